@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depuse.operators.graph import reachable
+from depuse.operators.graph import materialise, reachable
 from depuse.operators.sessions import session_gavs
 from depuse.operators.skew import salted_join
 
@@ -85,13 +85,20 @@ def compute_dependencies(
     depth: int = DEFAULT_DEPTH,
     closure: DataFrame | None = None,
     salt: bool = True,
+    materialise_input: bool = True,
 ) -> DataFrame:
     """Enhanced sessions for ``depth`` (see ``reach_for_depth``).
 
-    Traversal starts only from gavs that occur in the given sessions.
+    Traversal starts only from gavs that occur in the given sessions.  The
+    sessions are read by several branches (seeds, hot keys, candidates,
+    members, the final join); ``materialise_input`` checkpoints them first so
+    an expensive upstream plan runs once.  Pass False when ``sessions`` is a
+    plain table scan.
     """
     if edges is None and not (depth == 1 and closure is not None):
         raise ValueError("edges are required unless depth == 1 and a closure is given")
+    if materialise_input:
+        sessions = materialise(sessions)
     gavs_long = session_gavs(sessions)
     seeds = gavs_long.select(F.col("gav").alias("id")).distinct()
     reach = reach_for_depth(edges, depth, seeds=seeds, closure=closure)

@@ -12,7 +12,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from depuse.functions.sentinels import is_sentinel_only, strip_sentinels
@@ -31,6 +31,15 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def materialise_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``materialise`` that also returns the row count, observed while the
+    checkpoint is computed (no extra job)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    seen = Observation()
+    done = df.observe(seen, F.count(F.lit(1)).alias("rows")).checkpoint(eager=True)
+    return done, int(seen.get["rows"])
+
+
 def _union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return functools.reduce(lambda a, b: a.unionByName(b), frames)
 
@@ -120,15 +129,16 @@ def reachable(
     level = graph
     if seeds is not None:
         level = level.join(seeds.select(F.col("id").alias("src")).distinct(), "src", "left_semi")
-    level = materialise(level.withColumn("hops", F.lit(1)))
+    level, rows = materialise_counted(level.withColumn("hops", F.lit(1)))
     found = [level]
     depth = 1
-    while (max_depth is None or depth < max_depth) and not level.isEmpty():
+    while rows and (max_depth is None or depth < max_depth):
         depth += 1
         seen = _union_all([f.select("src", "dst") for f in found])
         fresh = expand(level, graph).join(seen, ["src", "dst"], "left_anti")
-        level = materialise(fresh.withColumn("hops", F.lit(depth)))
-        found.append(level)
+        level, rows = materialise_counted(fresh.withColumn("hops", F.lit(depth)))
+        if rows:
+            found.append(level)
     return _union_all(found)
 
 
@@ -153,14 +163,14 @@ def traversal_work(edges: DataFrame, seeds: DataFrame, max_depth: int | None = N
     """
     graph = materialise(edges.select("src", "dst").distinct())
     ids = seeds.select(F.col("id").alias("seed")).distinct()
-    level = materialise(
+    level, rows = materialise_counted(
         graph.join(ids.withColumnRenamed("seed", "src"), "src", "left_semi")
         .select(F.col("src").alias("seed"), F.col("dst").alias("node"), F.lit(1).cast("bigint").alias("n"))
     )
     node_count = graph.select(F.col("src").alias("id")).unionByName(graph.select(F.col("dst").alias("id"))).distinct().count()
     totals = []
     length = 1
-    while not level.isEmpty():
+    while rows:
         totals.append(
             level.groupBy("seed").agg(
                 F.sum("n").alias("n_paths"), (F.sum("n") * F.lit(length)).alias("work")
@@ -174,7 +184,7 @@ def traversal_work(edges: DataFrame, seeds: DataFrame, max_depth: int | None = N
         step = level.select("seed", F.col("node").alias("_mid"), "n").join(
             graph.select(F.col("src").alias("_mid"), F.col("dst").alias("node")), "_mid"
         )
-        level = materialise(step.groupBy("seed", "node").agg(F.sum("n").alias("n")))
+        level, rows = materialise_counted(step.groupBy("seed", "node").agg(F.sum("n").alias("n")))
     if not totals:
         return ids.filter(F.lit(False)).select(
             F.col("seed").alias("id"), F.lit(0).cast("bigint").alias("n_paths"), F.lit(0).cast("bigint").alias("work")

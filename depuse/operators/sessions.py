@@ -59,13 +59,19 @@ def bucket_sessions(spans: DataFrame, max_idle_ms: int) -> DataFrame:
     return flagged.withColumn("sessionId", (running - 1).cast("bigint"))
 
 
-def create_sessions(gav_logs: DataFrame, max_idle_ms: int) -> DataFrame:
+def create_sessions(gav_logs: DataFrame, max_idle_ms: int, materialise_rollup: bool = True) -> DataFrame:
     """``clientId INT, sessionId BIGINT, startTime BIGINT, endTime BIGINT,
     gavs ARRAY<STRING>`` (gavs is a sorted set).
 
-    Reads ``clientId, timestamp, gav`` of the gav logs.
+    Reads ``clientId, timestamp, gav`` of the gav logs.  The per-bucket
+    rollup feeds both the session-id window and the final aggregation; it is
+    checkpointed (``materialise_rollup``) so the logs are scanned once.
     """
     rollup = _bucket_rollup(gav_logs, max_idle_ms)
+    if materialise_rollup:
+        from depuse.operators.graph import materialise
+
+        rollup = materialise(rollup)
     ids = bucket_sessions(rollup.select("clientId", "bucket", "startTime", "endTime"), max_idle_ms)
     tagged = rollup.join(ids.select("clientId", "bucket", "sessionId"), ["clientId", "bucket"])
     return (
