@@ -23,7 +23,11 @@ def tmp_dir():
     return tempfile.mkdtemp(prefix="depuse-test-")
 
 
+def null_safe(t):
+    return tuple((v is None, v if v is not None else 0) for v in t)
+
+
 def rows(df, *cols):
     """Sorted list of tuples of ``cols`` (all columns when none given)."""
     cols = cols or tuple(df.columns)
-    return sorted(tuple(r[c] for c in cols) for r in df.select(*cols).collect())
+    return sorted((tuple(r[c] for c in cols) for r in df.select(*cols).collect()), key=null_safe)
