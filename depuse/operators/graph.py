@@ -31,13 +31,15 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def materialise_counted(df: DataFrame) -> tuple[DataFrame, int]:
-    """``materialise`` that also returns the row count, observed while the
-    checkpoint is computed (no extra job)."""
+def materialise_counted(df: DataFrame, where=None) -> tuple[DataFrame, int]:
+    """``materialise`` that also returns the number of rows (matching
+    ``where``, if given), observed while the checkpoint is computed (no
+    extra job)."""
     ensure_checkpoint_dir(df.sparkSession)
     seen = Observation()
-    done = df.observe(seen, F.count(F.lit(1)).alias("rows")).checkpoint(eager=True)
-    return done, int(seen.get["rows"])
+    counted = F.count(F.lit(1)) if where is None else F.count_if(where)
+    done = df.observe(seen, counted.alias("rows")).checkpoint(eager=True)
+    return done, int(seen.get["rows"] or 0)
 
 
 def _union_all(frames: Sequence[DataFrame]) -> DataFrame:
@@ -110,6 +112,33 @@ def expand(frontier: DataFrame, edges: DataFrame) -> DataFrame:
     return step.select("src", "dst").distinct()
 
 
+def encode_nodes(edges: DataFrame) -> DataFrame:
+    """``id, nid``: a distinct long for every node of ``edges``.
+
+    The loops join, sort and compare node pairs many times; longs are
+    smaller than gav strings and sort by radix (gavs share long prefixes, so
+    string sorts fall back to full comparisons).  The table is materialised,
+    which fixes the ids for every later use.
+    """
+    ids = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
+    return materialise(ids.withColumn("nid", F.monotonically_increasing_id()))
+
+
+def _encode_edges(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    by_src = ids.select(F.col("id").alias("src"), F.col("nid").alias("s"))
+    by_dst = ids.select(F.col("id").alias("dst"), F.col("nid").alias("d"))
+    return edges.join(by_src, "src").join(by_dst, "dst").select(F.col("s").alias("src"), F.col("d").alias("dst"))
+
+
+def _decode_pairs(pairs: DataFrame, ids: DataFrame) -> DataFrame:
+    by_src = ids.select(F.col("nid").alias("src"), F.col("id").alias("_s"))
+    by_dst = ids.select(F.col("nid").alias("dst"), F.col("id").alias("_d"))
+    rest = [c for c in pairs.columns if c not in ("src", "dst")]
+    return pairs.join(by_src, "src").join(by_dst, "dst").select(
+        F.col("_s").alias("src"), F.col("_d").alias("dst"), *rest
+    )
+
+
 def reachable(
     edges: DataFrame,
     seeds: DataFrame | None = None,
@@ -121,15 +150,19 @@ def reachable(
     ``seeds`` (a DataFrame with column ``id``) restricts the sources before
     the loop; ``max_depth`` stops after that many hops (None = until no new
     pair appears, which always happens, cycles included).  A node on a cycle
-    reaches itself.
+    reaches itself.  The loop runs on long node ids (``encode_nodes``) and
+    the result is decoded back to gavs.
     """
     if max_depth is not None and max_depth < 1:
         raise ValueError("max_depth must be >= 1 (or None for unbounded)")
-    graph = materialise(edges.select("src", "dst").distinct())
-    level = graph
+    edges = edges.select("src", "dst")
+    ids = encode_nodes(edges)
+    graph = materialise(_encode_edges(edges, ids).distinct())
+    first = graph
     if seeds is not None:
-        level = level.join(seeds.select(F.col("id").alias("src")).distinct(), "src", "left_semi")
-    level, rows = materialise_counted(level.withColumn("hops", F.lit(1)))
+        seed_ids = ids.join(seeds.select("id").distinct(), "id", "left_semi").select(F.col("nid").alias("src"))
+        first = first.join(seed_ids, "src", "left_semi")
+    level, rows = materialise_counted(first.withColumn("hops", F.lit(1)))
     found = [level]
     depth = 1
     while rows and (max_depth is None or depth < max_depth):
@@ -139,7 +172,7 @@ def reachable(
         level, rows = materialise_counted(fresh.withColumn("hops", F.lit(depth)))
         if rows:
             found.append(level)
-    return _union_all(found)
+    return _decode_pairs(_union_all(found), ids)
 
 
 def transitive_closure(edges: DataFrame) -> DataFrame:
