@@ -183,49 +183,108 @@ def transitive_closure(edges: DataFrame) -> DataFrame:
 # -- traversal work --------------------------------------------------------------
 
 
-def traversal_work(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """Per seed ``id``: number of paths leaving it (``n_paths``) and the sum of
-    their lengths (``work``), over edge-simple paths of length >= 1.
-
-    Paths are counted per (seed, node, length) rather than listed, so the
-    work is bounded by seeds x nodes per level.  On an acyclic graph every
-    walk is edge-simple, so the counts are exact.  A cycle reachable from a
-    seed makes the counts grow without end: that raises once the length
-    exceeds the node count, unless ``max_depth`` stops earlier (the counts
-    are then of walks up to that length).
+def traversal_work(
+    edges: DataFrame,
+    seeds: DataFrame,
+    max_depth: int | None = None,
+    mode: str = "auto",
+) -> DataFrame:
+    """Per seed ``id``: number of edge-simple paths (no edge used twice) of
+    length >= 1 leaving it (``n_paths``) and the sum of their lengths
+    (``work``).
+
+    ``mode="counts"`` counts paths per (seed, node, length) without listing
+    them: on an acyclic graph every walk is edge-simple, so this is exact,
+    and its size is bounded by seeds x nodes per level.  A cycle reachable
+    from a seed shows up as a length beyond the node count.  ``"trails"``
+    extends each path individually, carrying the ids of the edges it used,
+    which is exact on any graph (and as large as the number of paths).
+    ``"auto"`` counts and switches to trails when a cycle shows up.
+    ``max_depth`` bounds the path length in either mode.
     """
+    if mode not in ("auto", "counts", "trails"):
+        raise ValueError("mode must be 'auto', 'counts' or 'trails'")
+    if max_depth is not None and max_depth < 1:
+        raise ValueError("max_depth must be >= 1")
     graph = materialise(edges.select("src", "dst").distinct())
     ids = seeds.select(F.col("id").alias("seed")).distinct()
+    if mode != "trails":
+        try:
+            return _work_by_counts(graph, ids, max_depth)
+        except _CycleFound:
+            if mode == "counts":
+                raise ValueError("a cycle is reachable from the seeds: use mode='trails' or max_depth") from None
+    return _work_by_trails(graph, ids, max_depth)
+
+
+class _CycleFound(Exception):
+    pass
+
+
+def _level_totals(level: DataFrame, length: int, weight: str | None) -> DataFrame:
+    n = F.col(weight) if weight else F.lit(1).cast("bigint")
+    return level.groupBy("seed").agg(F.sum(n).alias("n_paths"), (F.sum(n) * F.lit(length)).alias("work"))
+
+
+def _sum_totals(ids: DataFrame, totals: list) -> DataFrame:
+    if not totals:
+        return ids.filter(F.lit(False)).select(
+            F.col("seed").alias("id"), F.lit(0).cast("bigint").alias("n_paths"), F.lit(0).cast("bigint").alias("work")
+        )
+    summed = _union_all(totals).groupBy("seed").agg(
+        F.sum("n_paths").cast("bigint").alias("n_paths"), F.sum("work").cast("bigint").alias("work")
+    )
+    return summed.withColumnRenamed("seed", "id")
+
+
+def _work_by_counts(graph: DataFrame, ids: DataFrame, max_depth: int | None) -> DataFrame:
     level, rows = materialise_counted(
         graph.join(ids.withColumnRenamed("seed", "src"), "src", "left_semi")
         .select(F.col("src").alias("seed"), F.col("dst").alias("node"), F.lit(1).cast("bigint").alias("n"))
     )
-    node_count = graph.select(F.col("src").alias("id")).unionByName(graph.select(F.col("dst").alias("id"))).distinct().count()
+    node_count = None
     totals = []
     length = 1
     while rows:
-        totals.append(
-            level.groupBy("seed").agg(
-                F.sum("n").alias("n_paths"), (F.sum("n") * F.lit(length)).alias("work")
-            )
-        )
+        totals.append(_level_totals(level, length, "n"))
         if max_depth is not None and length >= max_depth:
             break
-        if length > node_count:
-            raise ValueError("a cycle is reachable from the seeds: path counts are unbounded")
+        if node_count is None:
+            node_count = (
+                graph.select(F.col("src").alias("id")).unionByName(graph.select(F.col("dst").alias("id"))).distinct().count()
+            )
+        if max_depth is None and length > node_count:
+            raise _CycleFound()
         length += 1
         step = level.select("seed", F.col("node").alias("_mid"), "n").join(
             graph.select(F.col("src").alias("_mid"), F.col("dst").alias("node")), "_mid"
         )
         level, rows = materialise_counted(step.groupBy("seed", "node").agg(F.sum("n").alias("n")))
-    if not totals:
-        return ids.filter(F.lit(False)).select(
-            F.col("seed").alias("id"), F.lit(0).cast("bigint").alias("n_paths"), F.lit(0).cast("bigint").alias("work")
+    return _sum_totals(ids, totals)
+
+
+def _work_by_trails(graph: DataFrame, ids: DataFrame, max_depth: int | None) -> DataFrame:
+    numbered = materialise(graph.withColumn("eid", F.monotonically_increasing_id()))
+    level, rows = materialise_counted(
+        numbered.join(ids.withColumnRenamed("seed", "src"), "src", "left_semi").select(
+            F.col("src").alias("seed"), F.col("dst").alias("node"), F.array("eid").alias("used")
         )
-    summed = _union_all(totals).groupBy("seed").agg(
-        F.sum("n_paths").cast("bigint").alias("n_paths"), F.sum("work").cast("bigint").alias("work")
     )
-    return summed.withColumnRenamed("seed", "id")
+    totals = []
+    length = 1
+    while rows:
+        totals.append(_level_totals(level, length, None))
+        if max_depth is not None and length >= max_depth:
+            break
+        length += 1
+        step = level.select("seed", F.col("node").alias("_mid"), "used").join(
+            numbered.select(F.col("src").alias("_mid"), F.col("dst").alias("node"), "eid"), "_mid"
+        )
+        fresh = step.filter(~F.array_contains("used", F.col("eid"))).select(
+            "seed", "node", F.concat("used", F.array("eid")).alias("used")
+        )
+        level, rows = materialise_counted(fresh)
+    return _sum_totals(ids, totals)
 
 
 # -- graph files -------------------------------------------------------------------

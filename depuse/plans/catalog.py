@@ -293,6 +293,12 @@ def q_traversal_work(spark, sf):
     )
 
 
+def q_cyclic_traversal_work(spark, sf):
+    cyc = driver.cyclic_edges(spark, sf)
+    nodes = cyc.select(F.col("src").alias("id")).unionByName(cyc.select(F.col("dst").alias("id"))).distinct()
+    return G.traversal_work(cyc, nodes, mode="trails")
+
+
 QUERIES: dict[str, Query] = {
     name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_") and callable(fn)
 }

@@ -238,4 +238,14 @@ ORACLE: dict[str, str] = {
                CAST(coalesce(sum(p.n_paths), 0) AS BIGINT) AS n_paths,
                CAST(coalesce(sum(p.work), 0) AS BIGINT) AS work
         FROM sg s LEFT JOIN per_gav p USING (gav) GROUP BY s.clientId, s.sessionId"""),
+    "cyclic_traversal_work": _sql("""edges AS (SELECT DISTINCT CAST(n_nationkey AS VARCHAR) AS src,
+                              CAST((n_nationkey * 7 + 3) % 25 AS VARCHAR) AS dst FROM nation)""",
+        """trails(seed, node, len, used) AS (
+          SELECT src, dst, 1, [src || '>' || dst] FROM edges
+          UNION ALL
+          SELECT t.seed, e.dst, t.len + 1, list_append(t.used, e.src || '>' || e.dst)
+          FROM trails t JOIN edges e ON t.node = e.src
+          WHERE NOT list_contains(t.used, e.src || '>' || e.dst))""",
+        body="""SELECT seed AS id, CAST(count(*) AS BIGINT) AS n_paths, CAST(sum(len) AS BIGINT) AS work
+        FROM trails GROUP BY seed"""),
 }

@@ -143,3 +143,15 @@ def test_traversal_work_counts_paths(spark):
     seeds = spark.createDataFrame([("A",), ("D",), ("E",)], "id string")
     got = rows(G.traversal_work(edges, seeds))
     assert got == [("A", 6, 1 + 1 + 2 + 2 + 3 + 3), ("D", 1, 1)]
+
+
+def test_traversal_work_on_cycle_uses_trails(spark):
+    # a->b, b->a, b->c : trails from a: ab, aba, abc ; from b: ba, bc, bab, babc
+    edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c")], "src string, dst string")
+    seeds = spark.createDataFrame([("a",), ("b",)], "id string")
+    assert rows(G.traversal_work(edges, seeds)) == [("a", 3, 1 + 2 + 2), ("b", 4, 1 + 1 + 2 + 3)]
+    assert rows(G.traversal_work(edges, seeds, mode="trails")) == rows(G.traversal_work(edges, seeds))
+    import pytest
+
+    with pytest.raises(ValueError):
+        G.traversal_work(edges, seeds, mode="counts")
