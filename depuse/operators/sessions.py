@@ -93,22 +93,44 @@ def flag_sessions(
     """Per download: ``prev`` (previous download time of the client), ``diff``,
     ``isNewSession`` (0/1) and ``sessionId``.
 
-    ``tiebreak`` orders downloads with equal timestamps (it changes ``prev``
-    only for tied rows, never the sessions).  The per-row window runs over
-    (client, bucket), the previous bucket's end filling in for a bucket's
-    first row.
+    ``tiebreak`` orders downloads with equal timestamps; it changes ``prev``
+    only for tied rows (the first gets the previous distinct time, the others
+    their own time), never the sessions.
+
+    No window runs over a client's rows: the previous distinct time comes
+    from a window over the *distinct timestamps* of a (client, bucket), at
+    most ``max_idle_ms + 1`` values however many downloads share them, with
+    the previous bucket's end for a bucket's first timestamp; only rows with
+    the same client and millisecond are ranked together.
     """
+    from depuse.operators.graph import materialise
+
     rows = gav_logs.withColumn("bucket", idle_bucket(F.col("timestamp"), max_idle_ms))
-    spans = rows.groupBy("clientId", "bucket").agg(
+    # distinct (client, bucket, time): read by two branches, so kept once
+    stamps = materialise(rows.select("clientId", "bucket", "timestamp").distinct())
+    spans = stamps.groupBy("clientId", "bucket").agg(
         F.min("timestamp").alias("startTime"), F.max("timestamp").alias("endTime")
     )
     ids = bucket_sessions(spans, max_idle_ms).select("clientId", "bucket", "prevEnd", "sessionId")
-    in_bucket = Window.partitionBy("clientId", "bucket").orderBy("timestamp", *tiebreak)
-    prev = F.coalesce(F.lag("timestamp", 1).over(in_bucket), F.col("prevEnd"))
-    out = rows.join(ids, ["clientId", "bucket"]).withColumn("prev", prev)
+    in_bucket = Window.partitionBy("clientId", "bucket").orderBy("timestamp")
+    previous = (
+        stamps.join(ids, ["clientId", "bucket"])
+        .select(
+            "clientId",
+            "timestamp",
+            "sessionId",
+            F.coalesce(F.lag("timestamp", 1).over(in_bucket), F.col("prevEnd")).alias("_prevDistinct"),
+        )
+    )
+    order = list(tiebreak) or [c for c in gav_logs.columns if c not in ("clientId", "timestamp")]
+    tied = Window.partitionBy("clientId", "timestamp").orderBy(*order)
+    out = rows.join(previous, ["clientId", "timestamp"]).withColumn(
+        "prev",
+        F.when(F.row_number().over(tied) == 1, F.col("_prevDistinct")).otherwise(F.col("timestamp")),
+    )
     diff = F.col("timestamp") - F.col("prev")
     return out.select(
-        *[c for c in gav_logs.columns],
+        *gav_logs.columns,
         "prev",
         diff.alias("diff"),
         F.when(diff > F.lit(max_idle_ms), 1).otherwise(0).alias("isNewSession"),
