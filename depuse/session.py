@@ -71,3 +71,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         "spark.checkpoint.dir is not set: point it at a shared folder "
         "(HDFS, object store) so iterative jobs can cut their lineage"
     )
+
+
+# Target bytes per shuffle partition on a cluster: large enough to keep task
+# counts and per-task overheads down, small enough to sort and aggregate in
+# executor memory without heavy spilling.
+TARGET_PARTITION_BYTES = 256 * 1024 * 1024
+
+
+def cluster_conf(shuffle_input_bytes: int, cores: int, target_bytes: int = TARGET_PARTITION_BYTES) -> dict[str, str]:
+    """Suggested sizing for a run whose largest shuffle moves about
+    ``shuffle_input_bytes`` on ``cores`` executor cores.
+
+    The initial partition count is chosen so each partition is about
+    ``target_bytes`` (and at least two waves of tasks); AQE then merges small
+    partitions towards the same advisory size and splits skewed ones.
+    """
+    partitions = max(2 * cores, -(-shuffle_input_bytes // target_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(target_bytes * 2),
+        "spark.sql.files.maxPartitionBytes": str(min(target_bytes, 512 * 1024 * 1024)),
+    }

@@ -12,3 +12,11 @@ def test_salted_join_matches_plain(spark):
     assert [r["k"] for r in hot_keys(big, ["k"], 0.2).collect()] == ["hot"]
     for how in ("inner", "left", "left_semi", "left_anti"):
         assert rows(salted_join(big, small, ["k"], how, salts=8)) == rows(big.join(small, "k", how)), how
+
+
+def test_cluster_conf_sizes_partitions():
+    from depuse.session import cluster_conf
+
+    conf = cluster_conf(100 * 1024**4, cores=8000)  # 100 TiB over 1000 executors x 8 cores
+    assert int(conf["spark.sql.shuffle.partitions"]) == 409600
+    assert int(cluster_conf(10**6, cores=8)["spark.sql.shuffle.partitions"]) == 16
