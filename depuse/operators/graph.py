@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from depuse.functions.sentinels import is_sentinel_only, strip_sentinels
+from depuse.operators.skew import salted_join
 from depuse.session import ensure_checkpoint_dir
 from depuse.sources.text import EDGE_HEADER, GRAPH_DELIMITER, NODE_HEADER
 
@@ -104,11 +105,16 @@ def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 # -- reachability --------------------------------------------------------------
 
 
-def expand(frontier: DataFrame, edges: DataFrame) -> DataFrame:
-    """One traversal step: ``(src, dst)`` pairs one edge beyond ``frontier``."""
-    step = frontier.select("src", F.col("dst").alias("_mid")).join(
-        edges.select(F.col("src").alias("_mid"), "dst"), "_mid"
-    )
+def expand(frontier: DataFrame, edges: DataFrame, salt: bool = False) -> DataFrame:
+    """One traversal step: ``(src, dst)`` pairs one edge beyond ``frontier``.
+
+    The join key is the intermediate node; one that many sources reach is a
+    hot key.  By default AQE's skew-join rule splits its partition at run
+    time (no extra pass); ``salt`` spreads it explicitly instead.
+    """
+    left = frontier.select("src", F.col("dst").alias("_mid"))
+    right = edges.select(F.col("src").alias("_mid"), "dst")
+    step = salted_join(left, right, ["_mid"]) if salt else left.join(right, "_mid")
     return step.select("src", "dst").distinct()
 
 
@@ -143,6 +149,7 @@ def reachable(
     edges: DataFrame,
     seeds: DataFrame | None = None,
     max_depth: int | None = None,
+    salt: bool = False,
 ) -> DataFrame:
     """``src, dst, hops``: every ``dst`` reachable from ``src`` by 1 or more
     edges, with the least number of edges (``hops``).
@@ -168,7 +175,7 @@ def reachable(
     while rows and (max_depth is None or depth < max_depth):
         depth += 1
         seen = _union_all([f.select("src", "dst") for f in found])
-        fresh = expand(level, graph).join(seen, ["src", "dst"], "left_anti")
+        fresh = expand(level, graph, salt=salt).join(seen, ["src", "dst"], "left_anti")
         level, rows = materialise_counted(fresh.withColumn("hops", F.lit(depth)))
         if rows:
             found.append(level)

@@ -155,3 +155,8 @@ def test_traversal_work_on_cycle_uses_trails(spark):
 
     with pytest.raises(ValueError):
         G.traversal_work(edges, seeds, mode="counts")
+
+
+def test_salted_expansion_same_result(spark, tmp_dir):
+    _, edges = adjacency(spark, tmp_dir)
+    assert rows(G.reachable(edges, salt=True)) == rows(G.reachable(edges))
