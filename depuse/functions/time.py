@@ -49,7 +49,8 @@ def epoch_millis(ts: Column, wall_clock: bool = True) -> Column:
         micros = F.timestamp_diff("MICROSECOND", epoch, ts.cast("timestamp_ntz"))
     else:
         micros = F.unix_micros(ts)
-    return F.floor(micros.cast("decimal(20,0)") / F.lit(1000)).cast("bigint")
+    whole = micros - F.pmod(micros, F.lit(1000))  # floor to a multiple of 1000
+    return (whole / F.lit(1000)).cast("bigint")  # exact: the quotient is integral
 
 
 def millis_to_day(ms: Column) -> Column:

@@ -67,7 +67,7 @@ def enhanced(spark: SparkSession, sf: str, depth: int = D.DEFAULT_DEPTH) -> Data
     return D.compute_dependencies(report_sessions(spark, sf), edges(spark, sf), depth=depth)
 
 
-def _session_text(df: DataFrame) -> list:
+def _session_text() -> list:
     return [
         "clientId",
         "sessionId",
@@ -135,12 +135,12 @@ def q_session_flags(spark, sf):
 
 
 def q_sessions(spark, sf):
-    return sessions(spark, sf).select(*_session_text(None))
+    return sessions(spark, sf).select(*_session_text())
 
 
 def q_sessions_in_range(spark, sf):
     window = S.between(sessions(spark, sf), parse_bound(WINDOW_START), parse_bound(WINDOW_END))
-    return window.select(*_session_text(None))
+    return window.select(*_session_text())
 
 
 # -- graph --------------------------------------------------------------------------
@@ -214,7 +214,7 @@ def q_session_dependencies_depth40(spark, sf):
 
 def q_enhanced_sessions(spark, sf):
     return enhanced(spark, sf).select(
-        *_session_text(None),
+        *_session_text(),
         sorted_text(F.col("dependencies")).alias("dependencies"),
         F.size("dependencies").alias("n_dependencies"),
         "execMillis",
@@ -275,7 +275,7 @@ def _sample(spark, sf):
 
 
 def q_sample_by_size(spark, sf):
-    return _sample(spark, sf).select(*_session_text(None), "gavsSize")
+    return _sample(spark, sf).select(*_session_text(), "gavsSize")
 
 
 def q_depth_sweep(spark, sf):

@@ -3,7 +3,6 @@ from pyspark.sql import functions as F
 
 from depuse.operators import deps as D
 from depuse.operators import graph as G
-from depuse.sources.text import read_adjacency
 from tests.conftest import rows
 from tests.test_graph import adjacency
 

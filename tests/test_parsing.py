@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from depuse.operators.quality import DuplicatePathError, assert_unique_paths, duplicate_paths
 from depuse.sources.text import (
