@@ -57,7 +57,7 @@ def main() -> None:
     spark = build_session(
         "depuse-bench",
         master=f"local[{cpus}]",
-        shuffle_partitions=cpus * 2,
+        shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", cpus)),
         conf={"spark.driver.memory": memory},
     )
     ensure_checkpoint_dir(spark)
