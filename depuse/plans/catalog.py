@@ -24,6 +24,7 @@ from depuse.operators.resolve import resolve_gavs
 from depuse.sources import driver
 from depuse.sources.text import (
     dependency_record_rejects,
+    parse_adjacency,
     parse_dependency_records,
     parse_repository_logs,
     repository_log_rejects,
@@ -167,6 +168,14 @@ def q_graph_edges_valid(spark, sf):
     return G.validate_edges(driver.all_part_edges(spark, sf), nodes)
 
 
+def q_adjacency_edges(spark, sf):
+    return parse_adjacency(driver.adjacency_lines(spark, sf))[1]
+
+
+def q_adjacency_stats(spark, sf):
+    return G.graph_stats(*parse_adjacency(driver.adjacency_lines(spark, sf)))
+
+
 def q_graph_stats(spark, sf):
     records = driver.dependency_records(spark, sf)
     return G.graph_stats(G.graph_nodes(records), G.direct_edges(records))

@@ -175,6 +175,16 @@ ORACLE: dict[str, str] = {
           SELECT DISTINCT src, dst FROM (
             SELECT 'org.part:p' || p_partkey AS src, unnest({_PART_DEPS}) AS dst FROM part WHERE p_partkey % 10 <> 0))""",
         body="""SELECT src, dst FROM cand WHERE src IN (SELECT id FROM nodes) AND dst IN (SELECT id FROM nodes)"""),
+    "adjacency_edges": _sql(f"""adj AS (
+          SELECT DISTINCT src, dst FROM (
+            SELECT 'org.part:p' || p_partkey AS src, unnest({_PART_DEPS}) AS dst FROM part))""",
+        body="SELECT src, dst FROM adj"),
+    "adjacency_stats": _sql(f"""adj AS (
+          SELECT DISTINCT src, dst FROM (
+            SELECT 'org.part:p' || p_partkey AS src, unnest({_PART_DEPS}) AS dst FROM part))""",
+        """adj_nodes AS (SELECT DISTINCT id FROM (
+          SELECT 'org.part:p' || p_partkey AS id FROM part UNION ALL SELECT dst AS id FROM adj))""",
+        body="""SELECT (SELECT count(*) FROM adj_nodes) AS nodes, (SELECT count(*) FROM adj) AS edges"""),
     "graph_stats": _sql(RECORDS, RETAINED, NODES, EDGES, body="""
         SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges"""),
     "khop_reach": _sql(LOGS, RECORDS, GAV_LOGS, RETAINED, EDGES,

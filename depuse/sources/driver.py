@@ -85,6 +85,14 @@ def all_part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def adjacency_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One adjacency line ``<gav> <dep>,<dep>`` per part (every part)."""
+    part = table(spark, sf_dir, "part")
+    key = F.col("p_partkey")
+    deps = F.array_distinct(F.array(_gav_of(F.floor(key / 2)), _gav_of(F.floor(key / 3))))
+    return part.select(F.concat_ws(" ", _gav_of(key), F.array_join(deps, ",")).alias("value"))
+
+
 def dependency_records(spark: SparkSession, sf_dir: str, with_key: bool = False) -> DataFrame:
     """``path, gav, dependencies`` for parts that have a record."""
     part = table(spark, sf_dir, "part")

@@ -78,12 +78,18 @@ def read_dependency_records(spark: SparkSession, path: str, require_unique_path:
 
 
 def read_adjacency(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Adjacency list ``gav dep1,dep2,...`` per line -> (nodes, edges).
+    """Adjacency list ``gav dep1,dep2,...`` per line -> (nodes, edges)."""
+    return parse_adjacency(spark.read.text(path))
 
-    Nodes are every gav named on either side; edges are distinct.
+
+def parse_adjacency(lines: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
+    """Adjacency lines -> (nodes, edges).
+
+    Nodes are every gav named on either side; edges are distinct.  Blank
+    lines are skipped.
     """
-    lines = spark.read.text(path).filter(F.length(F.trim("value")) > 0)
-    parts = lines.select(F.split(F.trim("value"), " ").alias("f"))
+    lines = lines.filter(F.length(F.trim(column)) > 0)
+    parts = lines.select(F.split(F.trim(column), " ").alias("f"))
     rows = parts.select(
         F.element_at("f", 1).alias("src"),
         split_dependencies(F.coalesce(F.element_at("f", 2), F.lit(""))).alias("deps"),
