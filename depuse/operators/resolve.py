@@ -6,12 +6,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
+from depuse.operators.skew import salted_join
+
 
 def resolve_gavs(
     logs: DataFrame,
     records: DataFrame,
     sort: bool = False,
     keep: Sequence[str] = (),
+    salt: bool = False,
 ) -> DataFrame:
     """``clientId, timestamp, agent, gav, dependencies`` per resolvable log row.
 
@@ -21,10 +24,12 @@ def resolve_gavs(
     otherwise both sides are hash-partitioned on path and a hot path's
     partition is split by the skew-join rule.  ``sort`` range-partitions the
     result by (clientId, timestamp), the layout sessionisation reads best.
+    ``salt`` salts hot paths explicitly instead (it costs one more pass over
+    the logs' path column to find them).
     """
-    joined = logs.select("clientId", "timestamp", "agent", "path", *keep).join(
-        records.select("path", "gav", "dependencies"), "path", "inner"
-    )
+    left = logs.select("clientId", "timestamp", "agent", "path", *keep)
+    right = records.select("path", "gav", "dependencies")
+    joined = salted_join(left, right, ["path"]) if salt else left.join(right, "path", "inner")
     out = joined.select("clientId", "timestamp", "agent", "gav", "dependencies", *keep)
     if sort:
         out = out.repartitionByRange("clientId", "timestamp").sortWithinPartitions("clientId", "timestamp")

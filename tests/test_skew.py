@@ -20,3 +20,13 @@ def test_cluster_conf_sizes_partitions():
     conf = cluster_conf(100 * 1024**4, cores=8000)  # 100 TiB over 1000 executors x 8 cores
     assert int(conf["spark.sql.shuffle.partitions"]) == 409600
     assert int(cluster_conf(10**6, cores=8)["spark.sql.shuffle.partitions"]) == 16
+
+
+def test_salted_resolution_matches(spark):
+    from depuse.operators.resolve import resolve_gavs
+    from depuse.sources import driver
+    from tests.conftest import SF
+
+    logs, recs = driver.repository_logs(spark, SF), driver.dependency_records(spark, SF)
+    cols = ("clientId", "timestamp", "agent", "gav")
+    assert rows(resolve_gavs(logs, recs, salt=True), *cols) == rows(resolve_gavs(logs, recs), *cols)
