@@ -136,13 +136,15 @@ def _encode_edges(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return edges.join(by_src, "src").join(by_dst, "dst").select(F.col("s").alias("src"), F.col("d").alias("dst"))
 
 
-def _decode_pairs(pairs: DataFrame, ids: DataFrame) -> DataFrame:
+def _decode_pairs(pairs: DataFrame, ids: DataFrame, salt: bool = False) -> DataFrame:
+    """Long ids back to gavs.  A node that most sources reach (a library
+    everything depends on) is a hot ``dst`` key; ``salt`` spreads it."""
     by_src = ids.select(F.col("nid").alias("src"), F.col("id").alias("_s"))
     by_dst = ids.select(F.col("nid").alias("dst"), F.col("id").alias("_d"))
     rest = [c for c in pairs.columns if c not in ("src", "dst")]
-    return pairs.join(by_src, "src").join(by_dst, "dst").select(
-        F.col("_s").alias("src"), F.col("_d").alias("dst"), *rest
-    )
+    with_src = pairs.join(by_src, "src")
+    both = salted_join(with_src, by_dst, ["dst"]) if salt else with_src.join(by_dst, "dst")
+    return both.select(F.col("_s").alias("src"), F.col("_d").alias("dst"), *rest)
 
 
 def reachable(
@@ -159,6 +161,11 @@ def reachable(
     pair appears, which always happens, cycles included).  A node on a cycle
     reaches itself.  The loop runs on long node ids (``encode_nodes``) and
     the result is decoded back to gavs.
+
+    Hot nodes (many sources reach the same intermediate node or target) are
+    split at run time by AQE's skew-join rule, which needs the many map tasks
+    of a large input; ``salt=True`` salts them explicitly every round at the
+    cost of one small aggregation per round (see docs/SKEW.md).
     """
     if max_depth is not None and max_depth < 1:
         raise ValueError("max_depth must be >= 1 (or None for unbounded)")
@@ -179,7 +186,7 @@ def reachable(
         level, rows = materialise_counted(fresh.withColumn("hops", F.lit(depth)))
         if rows:
             found.append(level)
-    return _decode_pairs(_union_all(found), ids)
+    return _decode_pairs(_union_all(found), ids, salt=salt)
 
 
 def transitive_closure(edges: DataFrame) -> DataFrame:
