@@ -138,13 +138,35 @@ def flag_sessions(
     )
 
 
+DAY_COLUMN = "startDay"
+
+
+def with_start_day(sessions: DataFrame) -> DataFrame:
+    """Adds ``startDay`` (UTC date of ``startTime``), the partition column of
+    written session tables."""
+    from depuse.functions.time import millis_to_day
+
+    return sessions.withColumn(DAY_COLUMN, millis_to_day(F.col("startTime")))
+
+
 def between(sessions: DataFrame, start_ms: int, end_ms: int, column: str = "startTime") -> DataFrame:
     """Half-open time range on session start: ``start <= startTime < end``.
 
     Plain comparisons on a long column, so the filter reaches the parquet
-    scan as a pushed predicate.
+    scan as a pushed predicate.  When the table is partitioned by
+    ``startDay`` the matching day range is added too, so only the folders of
+    those days are listed and read (partition pruning).
     """
-    return sessions.filter((F.col(column) >= F.lit(start_ms)) & (F.col(column) < F.lit(end_ms)))
+    if end_ms <= start_ms:
+        return sessions.filter(F.lit(False))
+    kept = sessions.filter((F.col(column) >= F.lit(start_ms)) & (F.col(column) < F.lit(end_ms)))
+    if column == "startTime" and DAY_COLUMN in sessions.columns:
+        import datetime as _dt
+
+        first = _dt.datetime.fromtimestamp(start_ms / 1000, _dt.timezone.utc).date()
+        last = _dt.datetime.fromtimestamp((end_ms - 1) / 1000, _dt.timezone.utc).date()
+        kept = kept.filter((F.col(DAY_COLUMN) >= F.lit(first)) & (F.col(DAY_COLUMN) <= F.lit(last)))
+    return kept
 
 
 def session_gavs(sessions: DataFrame) -> DataFrame:

@@ -78,12 +78,25 @@ def sessionise(
     gav_logs_path: str,
     sessions_path: str,
     max_idle_ms: int = DEFAULT_MAX_IDLE_MS,
+    partition_by_day: bool = True,
 ) -> None:
-    """Gav logs parquet -> sessions parquet, rows sorted by start time within
-    files so range filters skip row groups."""
+    """Gav logs parquet -> sessions parquet.
+
+    Partitioned by the UTC day of the session start (``startDay``) so date
+    ranges read only their days' folders, and sorted by start time within
+    files so range filters also skip row groups.
+    """
     gav_logs = read_table(spark, gav_logs_path)
     schemas.check_columns(gav_logs, schemas.GAV_LOG, "gav logs")
-    write_table(S.create_sessions(gav_logs, max_idle_ms), sessions_path, cluster_by=["startTime"])
+    sessions = S.create_sessions(gav_logs, max_idle_ms)
+    if partition_by_day:
+        # range partitions: each task holds a balanced, contiguous time range,
+        # so it writes files for the one or two days it spans (a hash on the
+        # day would put a whole day in one task)
+        sessions = S.with_start_day(sessions).repartitionByRange("startTime", "clientId")
+        write_table(sessions, sessions_path, partition_by=[S.DAY_COLUMN], cluster_by=["startTime"])
+    else:
+        write_table(sessions, sessions_path, cluster_by=["startTime"])
 
 
 def compute_dependencies(
@@ -107,7 +120,11 @@ def compute_dependencies(
     if closure is None:
         _, edges = read_graph(spark, f"{graph}/nodes", f"{graph}/edges")
     enhanced = D.compute_dependencies(sessions, edges, depth=depth, closure=closure, materialise_input=False)
-    write_table(enhanced, enhanced_path, cluster_by=["startTime"])
+    if S.DAY_COLUMN in enhanced.columns:
+        enhanced = enhanced.repartitionByRange("startTime", "clientId")
+        write_table(enhanced, enhanced_path, partition_by=[S.DAY_COLUMN], cluster_by=["startTime"])
+    else:
+        write_table(enhanced, enhanced_path, cluster_by=["startTime"])
 
 
 def report(
