@@ -90,3 +90,23 @@ def write_report(
     for report, path in zip((direct_usage(enhanced), indirect_usage(enhanced)), paths):
         ordered(report).write.mode("overwrite").csv(path)
     return paths
+
+
+def write_daily_reports(enhanced: DataFrame, report_dir: str) -> tuple[str, str]:
+    """Per-day usage: ``<dir>/direct`` and ``<dir>/indirect``, each a CSV
+    table partitioned by ``day`` (UTC date of the session start), one folder
+    ``day=YYYY-MM-DD`` per day holding headerless ``gav,clients`` rows."""
+    base = report_dir.rstrip("/")
+    paths = (f"{base}/direct", f"{base}/indirect")
+    for kind, path in zip(("direct", "indirect"), paths):
+        daily = usage_by_day(enhanced, kind)
+        # range partitions over (day, gav): each task writes a slice of one or
+        # two days, never a whole day
+        (
+            daily.repartitionByRange("day", "gav")
+            .sortWithinPartitions("day", F.desc("clients"), "gav")
+            .write.mode("overwrite")
+            .partitionBy("day")
+            .csv(path)
+        )
+    return paths

@@ -140,6 +140,20 @@ def report(
     return R.write_report(enhanced, report_dir, start, end)
 
 
+def daily_report(
+    spark: SparkSession,
+    enhanced_path: str,
+    report_dir: str,
+    start: str,
+    end: str,
+) -> tuple[str, str]:
+    """Enhanced sessions starting in ``[start, end)`` -> per-day direct and
+    indirect usage tables (CSV partitioned by day)."""
+    enhanced = S.between(read_table(spark, enhanced_path), parse_bound(start), parse_bound(end))
+    schemas.check_columns(enhanced, schemas.ENHANCED_SESSION, "enhanced sessions")
+    return R.write_daily_reports(enhanced, report_dir.rstrip("/") + f"/{start}_{end}_daily")
+
+
 def depth_sweep(
     spark: SparkSession,
     sessions_path: str,

@@ -37,6 +37,10 @@ def test_pipeline_end_to_end(spark, tmp_dir):
     top = spark.read.csv(direct, schema="gav string, clients long").orderBy("clients", ascending=False).first()
     assert top["clients"] > 0
 
+    d_direct, _ = jobs.daily_report(spark, f"{tmp_dir}/enh40", f"{tmp_dir}/reports", start, end)
+    daily = spark.read.csv(d_direct, schema="gav string, clients long, day date")
+    assert daily.select("day").distinct().count() > 1
+
     res = jobs.depth_sweep(spark, f"{tmp_dir}/sessions", f"{tmp_dir}/graph", f"{tmp_dir}/prof", depths=(1, 2))
     assert res.count() > 0
     again = jobs.depth_sweep(spark, f"{tmp_dir}/sessions", f"{tmp_dir}/graph", f"{tmp_dir}/prof2", depths=(1,))

@@ -58,3 +58,13 @@ def test_write_report(spark, tmp_dir):
     text = "".join(open(f).read() for f in sorted(glob.glob(direct + "/part-*")))
     assert text.splitlines() == ["a,2"]
     assert spark.read.csv(indirect).count() == 1
+
+
+def test_write_daily_reports(spark, tmp_dir):
+    day = 86_400_000
+    df = enhanced(spark, [(1, 0, 5, ["a", "b"], ["b"]), (2, 0, day + 5, ["a"], []), (3, 0, day + 6, ["a"], [])])
+    direct, indirect = R.write_daily_reports(df, tmp_dir)
+    back = spark.read.csv(direct, schema="gav string, clients long, day date")
+    assert sorted((r["day"].isoformat(), r["gav"], r["clients"]) for r in back.collect()) == [
+        ("1970-01-01", "a", 1), ("1970-01-02", "a", 2)]
+    assert spark.read.csv(indirect, schema="gav string, clients long, day date").count() == 1
