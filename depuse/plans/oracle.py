@@ -129,19 +129,19 @@ _DAY = "strftime(DATE '1970-01-01' + CAST(floor(startTime / 86400000) AS INTEGER
 _lo, _hi, _step, _n = C.SAMPLE_GRID
 SAMPLE = """sample AS (
   SELECT * FROM (
-    SELECT *, len(gavs) AS gavsSize,
+    SELECT *, CAST(len(gavs) AS INTEGER) AS gavsSize,
            row_number() OVER (PARTITION BY len(gavs) ORDER BY clientId, sessionId) AS rk
     FROM sessions)
   WHERE gavsSize BETWEEN {lo} AND {hi} AND (gavsSize - {lo}) % {step} = 0 AND rk <= {n})""".format(
     lo=_lo, hi=_hi, step=_step, n=_n
 )
 
-SESSION_COLS = f"clientId, sessionId, startTime, endTime, {_sorted('gavs')} AS gavs, len(gavs) AS n_gavs"
+SESSION_COLS = f"clientId, sessionId, startTime, endTime, {_sorted('gavs')} AS gavs, CAST(len(gavs) AS INTEGER) AS n_gavs"
 
 ORACLE: dict[str, str] = {
     "parse_repository_logs": _sql(LOGS, body="SELECT clientId, timestamp, agent, path FROM logs WHERE event_id % 97 <> 0"),
     "parse_dependency_records": _sql(RECORDS, body=f"""SELECT path, gav, {_sorted('list_distinct(dependencies)')} AS dependencies,
-        len(list_distinct(dependencies)) AS n_dependencies FROM records WHERE p_partkey % 97 <> 0"""),
+        CAST(len(list_distinct(dependencies)) AS INTEGER) AS n_dependencies FROM records WHERE p_partkey % 97 <> 0"""),
     "rejected_lines": _sql(LOGS, RECORDS, LOG_LINES, RECORD_LINES, body="""
         SELECT 'log' AS kind, base || ' extra' AS line FROM log_lines WHERE bad
         UNION ALL
@@ -168,7 +168,7 @@ ORACLE: dict[str, str] = {
                                  WHEN p_partkey % 10 = 5 THEN list_concat(dependencies, ['UNKNOWN_DEPS'])
                                  ELSE dependencies END AS dependencies
           FROM records)""", RETAINED.replace("FROM records", "FROM srecords"), body=f"""
-        SELECT path, gav, {_sorted('deps')} AS dependencies, len(deps) AS n_dependencies FROM retained"""),
+        SELECT path, gav, {_sorted('deps')} AS dependencies, CAST(len(deps) AS INTEGER) AS n_dependencies FROM retained"""),
     "graph_nodes": _sql(RECORDS, RETAINED, NODES, body="SELECT id FROM nodes"),
     "graph_edges": _sql(RECORDS, RETAINED, EDGES, body="SELECT src, dst FROM edges"),
     "graph_edges_valid": _sql(RECORDS, RETAINED, NODES, f"""cand AS (
@@ -205,13 +205,14 @@ ORACLE: dict[str, str] = {
         body="SELECT clientId, sessionId, dependency FROM deps"),
     "session_dependencies_depth40": _sql(*DEPS40, body="SELECT clientId, sessionId, dependency FROM deps"),
     "enhanced_sessions": _sql(*ENHANCED, body=f"""
-        SELECT {SESSION_COLS}, {_sorted('dependencies')} AS dependencies, len(dependencies) AS n_dependencies,
+        SELECT {SESSION_COLS}, {_sorted('dependencies')} AS dependencies, CAST(len(dependencies) AS INTEGER) AS n_dependencies,
                CAST(-1 AS BIGINT) AS execMillis, CAST(NULL AS VARCHAR) AS errorDeps
         FROM enhanced"""),
     "top_level_gavs": _sql(*ENHANCED, body=f"""
-        SELECT clientId, sessionId, {_sorted('direct')} AS direct, len(direct) AS n_direct FROM split"""),
+        SELECT clientId, sessionId, {_sorted('direct')} AS direct, CAST(len(direct) AS INTEGER) AS n_direct FROM split"""),
     "sessions_with_dependencies": _sql(*ENHANCED, body="""
-        SELECT clientId, sessionId, len(gavs) AS n_gavs, len(direct) AS n_direct, len(indirect) AS n_indirect
+        SELECT clientId, sessionId, CAST(len(gavs) AS INTEGER) AS n_gavs, CAST(len(direct) AS INTEGER) AS n_direct,
+               CAST(len(indirect) AS INTEGER) AS n_indirect
         FROM split WHERE len(gavs) <> len(direct)"""),
     "direct_usage": _sql(*ENHANCED, body="SELECT gav, clients FROM direct_rep"),
     "indirect_usage": _sql(*ENHANCED, body="SELECT gav, clients FROM indirect_rep"),
@@ -224,7 +225,7 @@ ORACLE: dict[str, str] = {
     "top10_direct": _sql(*ENHANCED, body="SELECT gav, clients FROM direct_rep ORDER BY clients DESC, gav LIMIT 10"),
     "top10_indirect": _sql(*ENHANCED, body="SELECT gav, clients FROM indirect_rep ORDER BY clients DESC, gav LIMIT 10"),
     "session_size_histogram": _sql(*PIPE, body="""
-        SELECT len(gavs) AS gavsSize, count(*) AS "count" FROM sessions GROUP BY 1"""),
+        SELECT CAST(len(gavs) AS INTEGER) AS gavsSize, count(*) AS "count" FROM sessions GROUP BY 1"""),
     "sample_by_size": _sql(*PIPE, SAMPLE, body=f"SELECT {SESSION_COLS}, gavsSize FROM sample"),
     "depth_sweep": _sql(*PIPE, SAMPLE, "sg AS (SELECT clientId, sessionId, unnest(gavs) AS gav FROM sample)",
         SEEDS, RETAINED, EDGES, _reach("reach", "SELECT gav FROM seeds", None),
