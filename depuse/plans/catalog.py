@@ -132,7 +132,14 @@ def q_report_bounds(spark, sf):
 
 def q_session_flags(spark, sf):
     flagged = S.flag_sessions(gav_logs(spark, sf, keep=("event_id",)), MAX_IDLE_MS, tiebreak=("event_id",))
-    return flagged.select("clientId", "timestamp", "event_id", "gav", "prev", "diff", "isNewSession", "sessionId")
+    # -1 stands for "no previous download" (first download of a client), so
+    # the columns stay non-null integers in every result format
+    none = F.lit(-1).cast("bigint")
+    return flagged.select(
+        "clientId", "timestamp", "event_id", "gav",
+        F.coalesce("prev", none).alias("prev"), F.coalesce("diff", none).alias("diff"),
+        "isNewSession", "sessionId",
+    )
 
 
 def q_sessions(spark, sf):

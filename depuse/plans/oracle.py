@@ -159,7 +159,8 @@ ORACLE: dict[str, str] = {
                CAST(epoch_ms(date_trunc('minute', ts)) AS BIGINT) AS bound_ms_colon
         FROM events"""),
     "session_flags": _sql(LOGS, RECORDS, GAV_LOGS, FLAGS, body="""
-        SELECT clientId, timestamp, event_id, gav, prev, diff, isNewSession, sessionId FROM sflags"""),
+        SELECT clientId, timestamp, event_id, gav, coalesce(prev, -1) AS prev, coalesce(diff, -1) AS diff,
+               isNewSession, sessionId FROM sflags"""),
     "sessions": _sql(*PIPE, body=f"SELECT {SESSION_COLS} FROM sessions"),
     "sessions_in_range": _sql(*PIPE, body=f"""SELECT {SESSION_COLS} FROM sessions
         WHERE startTime >= {parse_bound(C.WINDOW_START)} AND startTime < {parse_bound(C.WINDOW_END)}"""),
