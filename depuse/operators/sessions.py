@@ -95,39 +95,46 @@ def flag_sessions(
 
     ``tiebreak`` orders downloads with equal timestamps; it changes ``prev``
     only for tied rows (the first gets the previous distinct time, the others
-    their own time), never the sessions.
+    their own time), never the sessions.  It should identify a download
+    within its (client, timestamp), like an event id.
 
     No window runs over a client's rows: the previous distinct time comes
     from a window over the *distinct timestamps* of a (client, bucket), at
     most ``max_idle_ms + 1`` values however many downloads share them, with
-    the previous bucket's end for a bucket's first timestamp; only rows with
-    the same client and millisecond are ranked together.
+    the previous bucket's end for a bucket's first timestamp.  The first of
+    tied rows is found by an aggregation (the least tiebreak per client and
+    millisecond) and a join, both of which split hot keys; without a
+    tiebreak, rows of one client and millisecond are ranked by a window.
     """
     from depuse.operators.graph import materialise
 
     rows = gav_logs.withColumn("bucket", idle_bucket(F.col("timestamp"), max_idle_ms))
-    # distinct (client, bucket, time): read by two branches, so kept once
-    stamps = materialise(rows.select("clientId", "bucket", "timestamp").distinct())
+    first_key = F.struct(*tiebreak) if tiebreak else None
+    keys = ["clientId", "bucket", "timestamp"]
+    # distinct (client, bucket, time), with the least tiebreak of each:
+    # read by two branches, so kept once
+    stamps = materialise(
+        rows.groupBy(*keys).agg(F.min(first_key).alias("_first")) if tiebreak else rows.select(*keys).distinct()
+    )
     spans = stamps.groupBy("clientId", "bucket").agg(
         F.min("timestamp").alias("startTime"), F.max("timestamp").alias("endTime")
     )
     ids = bucket_sessions(spans, max_idle_ms).select("clientId", "bucket", "prevEnd", "sessionId")
     in_bucket = Window.partitionBy("clientId", "bucket").orderBy("timestamp")
-    previous = (
-        stamps.join(ids, ["clientId", "bucket"])
-        .select(
-            "clientId",
-            "timestamp",
-            "sessionId",
-            F.coalesce(F.lag("timestamp", 1).over(in_bucket), F.col("prevEnd")).alias("_prevDistinct"),
-        )
-    )
-    order = list(tiebreak) or [c for c in gav_logs.columns if c not in ("clientId", "timestamp")]
-    tied = Window.partitionBy("clientId", "timestamp").orderBy(*order)
-    out = rows.join(previous, ["clientId", "timestamp"]).withColumn(
-        "prev",
-        F.when(F.row_number().over(tied) == 1, F.col("_prevDistinct")).otherwise(F.col("timestamp")),
+    previous = stamps.join(ids, ["clientId", "bucket"]).select(
+        "clientId",
+        "timestamp",
+        "sessionId",
+        F.coalesce(F.lag("timestamp", 1).over(in_bucket), F.col("prevEnd")).alias("_prevDistinct"),
+        *(["_first"] if tiebreak else []),
     )
+    out = rows.join(previous, ["clientId", "timestamp"])
+    if tiebreak:
+        is_first = first_key == F.col("_first")
+    else:
+        order = [c for c in gav_logs.columns if c not in ("clientId", "timestamp")]
+        is_first = F.row_number().over(Window.partitionBy("clientId", "timestamp").orderBy(*order)) == 1
+    out = out.withColumn("prev", F.when(is_first, F.col("_prevDistinct")).otherwise(F.col("timestamp")))
     diff = F.col("timestamp") - F.col("prev")
     return out.select(
         *gav_logs.columns,
