@@ -88,9 +88,14 @@ def main() -> None:
     gav_logs = G.materialise(resolve_gavs(hot.drop("event_id"), driver.dependency_records(spark, sf)))
     total = gav_logs.count()
     hot_rows = gav_logs.filter(F.col("clientId") == 1).count()
+    flags_input = G.materialise(
+        resolve_gavs(hot, driver.dependency_records(spark, sf), keep=("event_id",))
+    )
     runs = {
         "bucketed sessions (this package)": lambda: S.create_sessions(gav_logs, MAX_IDLE),
         "classic per-client window": lambda: classic_sessions(gav_logs),
+        "per-download session flags (event-id tiebreak)": lambda: S.flag_sessions(
+            flags_input, MAX_IDLE, tiebreak=("event_id",)),
     }
     results = {}
     for name, build in runs.items():
