@@ -30,3 +30,12 @@ def test_oracle_agrees(spark, name):
     want = sorted((tuple(v.item() if hasattr(v, "item") else v for v in r)
                    for r in clean.itertuples(index=False, name=None)), key=null_safe)
     assert rows(got, *cols) == want
+
+
+def test_only_top_k_reports_limit_rows(spark):
+    limited = set()
+    for name, fn in E.queries().items():
+        plan = fn(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        if "GlobalLimit" in plan or "LocalLimit" in plan or "Sample" in plan:
+            limited.add(name)
+    assert limited == {"top10_direct", "top10_indirect"}
