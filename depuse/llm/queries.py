@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depuse.llm import apportion, hilbert, url_filter
+from depuse.llm import apportion, bbit_minhash, hilbert, url_filter
 
 # The rules of the url query.
 URL_RULES = [
@@ -47,10 +47,18 @@ def op7_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apportion.apportion(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of near duplicates of every document."""
+    return bbit_minhash.near_duplicates(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_shingles", "component_id", "kept"
+    )
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op3_hilbert_shards": op3_hilbert_shards,
     "op7_sainte_lague": op7_sainte_lague,
+    "op10_bbit_minhash": op10_bbit_minhash,
 }
 
 ORACLE: dict[str, str] = {}
