@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depuse.llm import apportion, bbit_minhash, hilbert, url_filter
+from depuse.llm import apportion, bbit_minhash, crf_lines, hilbert, url_filter
 
 # The rules of the url query.
 URL_RULES = [
@@ -41,6 +41,14 @@ def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_crf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the line field's verdict on every document."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return crf_lines.label_quality(docs, labels, ["doc_id"]).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share"
+    )
+
+
 def op7_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words the mix takes of every document."""
     docs = table(spark, sf_dir, "documents")
@@ -57,6 +65,7 @@ def op10_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op3_hilbert_shards": op3_hilbert_shards,
+    "op5_crf_lines": op5_crf_lines,
     "op7_sainte_lague": op7_sainte_lague,
     "op10_bbit_minhash": op10_bbit_minhash,
 }
