@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depuse.llm import apportion, bbit_minhash, crf_lines, hilbert, url_filter
+from depuse.llm import apportion, bbit_minhash, crf_lines, hilbert, rank_order, url_filter
 
 # The rules of the url query.
 URL_RULES = [
@@ -55,6 +55,14 @@ def op7_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apportion.apportion(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_rank_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by rank-order profiles."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(rank_order.fold(F.col("doc_id")) == 0, F.lit(False))
+    named = rank_order.identify(docs, rank_order.learn(docs))
+    return named.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op10_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of near duplicates of every document."""
     return bbit_minhash.near_duplicates(table(spark, sf_dir, "documents")).select(
@@ -67,6 +75,7 @@ QUERIES = {
     "op3_hilbert_shards": op3_hilbert_shards,
     "op5_crf_lines": op5_crf_lines,
     "op7_sainte_lague": op7_sainte_lague,
+    "op8_rank_order": op8_rank_order,
     "op10_bbit_minhash": op10_bbit_minhash,
 }
 
