@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depuse.llm import apportion, bbit_minhash, crf_lines, hilbert, rank_order, url_filter
+from depuse.llm import apportion, bbit_minhash, best_fit, chunking, crf_lines, hilbert, rank_order, url_filter
 
 # The rules of the url query.
 URL_RULES = [
@@ -49,6 +49,11 @@ def op5_crf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text without passages that occur earlier."""
+    return chunking.dedupe_passages(table(spark, sf_dir, "documents"))
+
+
 def op7_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words the mix takes of every document."""
     docs = table(spark, sf_dir, "documents")
@@ -63,6 +68,11 @@ def op8_rank_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bin and place of every piece of every document."""
+    return best_fit.pack(table(spark, sf_dir, "documents"), with_text=False).drop("text")
+
+
 def op10_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of near duplicates of every document."""
     return bbit_minhash.near_duplicates(table(spark, sf_dir, "documents")).select(
@@ -74,8 +84,10 @@ QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op3_hilbert_shards": op3_hilbert_shards,
     "op5_crf_lines": op5_crf_lines,
+    "op6_chunk_dedup": op6_chunk_dedup,
     "op7_sainte_lague": op7_sainte_lague,
     "op8_rank_order": op8_rank_order,
+    "op9_best_fit": op9_best_fit,
     "op10_bbit_minhash": op10_bbit_minhash,
 }
 
