@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depuse.llm import apportion, bbit_minhash, best_fit, chunking, crf_lines, hilbert, rank_order, url_filter
+from depuse.llm import apportion, bbit_minhash, best_fit, chunking, crf_lines, hilbert, rank_order, surrogates, url_filter
 
 # The rules of the url query.
 URL_RULES = [
@@ -41,6 +41,11 @@ def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text with surrogates for its entities."""
+    return surrogates.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_crf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the line field's verdict on every document."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -83,6 +88,7 @@ def op10_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op3_hilbert_shards": op3_hilbert_shards,
+    "op4_surrogates": op4_surrogates,
     "op5_crf_lines": op5_crf_lines,
     "op6_chunk_dedup": op6_chunk_dedup,
     "op7_sainte_lague": op7_sainte_lague,
