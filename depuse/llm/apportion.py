@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depuse.llm.running import ROWS_PER_BUCKET, running_totals
+from depuse.llm.running import running_totals
 from depuse.llm.staging import stage
 from depuse.llm.words import count_words
 
@@ -125,7 +125,6 @@ def _takes(block: str) -> str:
 def apportion(
     docs: DataFrame, keep: Sequence[str] = ("doc_id",), weights: Sequence[float] = WEIGHTS, share: float = SHARE,
     most: int = MOST, block_words: int = BLOCK_WORDS, shards: int = OUTPUT_SHARDS, seed: int = SEED,
-    rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """``keep`` columns with ``size``, ``source_size``, ``target`` and ``taken``,
     plus the columns of the plan (``_first``, ``_rank``, ...) for ``materialise``."""
@@ -143,7 +142,7 @@ def apportion(
         block_plan([r["n"] for r in found], weights, share, most, block_words, shards, seed), PLAN
     )
     ranked = rows.join(F.broadcast(ranks), F.col("_source").eqNullSafe(F.col("_name"))).drop("_name", "_source")
-    laid = running_totals(ranked, "_rank", "_key", ["_size"], "_size", "_first", rows_per_bucket)
+    laid = running_totals(ranked, "_rank", "_key", ["_size"], "_size", "_first")
     b = F.lit(block_words)
     taken = F.expr(
         f"aggregate(sequence(_first div {block_words}L, (_first + _size - 1L) div {block_words}L), 0L, (t, b) -> "

@@ -25,7 +25,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from depuse.llm.running import ROWS_PER_BUCKET, running_totals
+from depuse.llm.running import running_totals
 from depuse.llm.staging import stage
 
 BITS = 5
@@ -112,7 +112,7 @@ def document_dims(docs: DataFrame) -> dict[str, Column]:
 
 def hilbert_shards(
     docs: DataFrame, shards: int, keep: Mapping[str, Column], dims: Mapping[str, Column] | None = None,
-    bits: int = BITS, rows_per_bucket: int = ROWS_PER_BUCKET,
+    bits: int = BITS,
 ) -> DataFrame:
     """``keep`` columns, the cells, ``curve_index``, ``law``, ``shard``, ``slot``.
 
@@ -132,7 +132,7 @@ def hilbert_shards(
         *dims, "curve_index", (F.sum("_n").over(upto) - F.col("_n")).alias("_before"), F.sum("_n").over(whole).alias("_all")
     ))
     placed = rows.join(F.broadcast(cells), list(dims))
-    ranked = running_totals(placed, "curve_index", "_key", list(keep), "_one", "_rank", rows_per_bucket)
+    ranked = running_totals(placed, "curve_index", "_key", list(keep), "_one", "_rank")
     rank, total, n = F.col("_before") + F.col("_rank"), F.col("_all"), F.lit(shards)
     # rank r of N rows goes to shard floor(r * n / N); the shard begins at ceil(shard * N / n)
     shard = F.expr(f"(_before + _rank) * {shards} div _all")

@@ -1,29 +1,22 @@
 """Exclusive running totals per group that no hot group can overload.
 
 A window over a whole group would put a group holding a third of all rows
-into one task.  Here the rows of a group are dealt by a uniform hash into
-buckets of about ``rows_per_bucket`` rows; totals of the buckets are a small
-table, their running sums are the buckets' offsets, and only the rows of one
-bucket are ordered together.
+into one task.  Here the n rows of a group are dealt by a uniform hash into
+about sqrt(n) buckets of about sqrt(n) rows; the running sums of the buckets'
+totals are their offsets, and only the rows of one bucket are ordered together.
+Either window sees about sqrt(n) rows of a group of n.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_BUCKET = 50_000
-
-
-def bucket_of(key: Column, buckets: Column) -> Column:
-    return F.pmod(key, buckets)
-
 
 def running_totals(
-    rows: DataFrame, group: str, key: str, ties: Sequence[str], value: str, out: str,
-    rows_per_bucket: int = ROWS_PER_BUCKET,
+    rows: DataFrame, group: str, key: str, ties: Sequence[str], value: str, out: str
 ) -> DataFrame:
     """Add ``out``: the sum of ``value`` over the group's earlier rows.
 
@@ -34,10 +27,8 @@ def running_totals(
     the table of group sizes, 16 bytes a group, is broadcast.  ``group`` holds
     no nulls.
     """
-    groups = rows.groupBy(group).agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(rows_per_bucket)).cast("long").alias("_buckets")
-    )
-    dealt = rows.join(F.broadcast(groups), group).withColumn("_bucket", bucket_of(F.col(key), F.col("_buckets")))
+    groups = rows.groupBy(group).agg(F.ceil(F.sqrt(F.count(F.lit(1)))).cast("long").alias("_buckets"))
+    dealt = rows.join(F.broadcast(groups), group).withColumn("_bucket", F.pmod(F.col(key), F.col("_buckets")))
     sums = dealt.groupBy(group, "_bucket").agg(F.sum(value).alias("_sum"))
     before = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     offsets = sums.select(group, "_bucket", (F.sum("_sum").over(before) - F.col("_sum")).alias("_offset"))
