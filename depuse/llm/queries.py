@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depuse.llm import apportion, bbit_minhash, best_fit, chunking, crf_lines, hilbert, rank_order, surrogates, url_filter
+from depuse.llm import apportion, bbit_minhash, best_fit, chunking, crf_lines, hilbert, rank_order, surrogates, url_filter, vafile
 
 # The rules of the url query.
 URL_RULES = [
@@ -29,6 +29,12 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op2_vafile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best vectors for every fiftieth one, exactly."""
+    vectors = vafile.integer_vectors(table(spark, sf_dir, "embeddings"))
+    return vafile.search(vectors, F.col("vec_id") % 50 == 0)
+
+
 def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards along the curve of (lang, source, size)."""
     docs = table(spark, sf_dir, "documents")
@@ -87,6 +93,7 @@ def op10_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_filters": op1_url_filters,
+    "op2_vafile": op2_vafile,
     "op3_hilbert_shards": op3_hilbert_shards,
     "op4_surrogates": op4_surrogates,
     "op5_crf_lines": op5_crf_lines,
