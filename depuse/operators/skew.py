@@ -6,7 +6,8 @@ large side over ``salts`` sub-partitions (by a hash of the row, so retries
 see the same assignment) and copies the matching rows of the other side into
 each of them; other keys are joined as usual.  Hot keys are keys whose row
 count exceeds ``min_share`` of all rows, so there are at most
-``1 / min_share`` of them: that bounded list is what gets broadcast.
+``1 / min_share`` of them; that list is marked for broadcast only while this
+bound is at most ``BROADCAST_KEYS``.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 DEFAULT_MIN_SHARE = 0.01
 DEFAULT_SALTS = 32
+BROADCAST_KEYS = 1000
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], min_share: float = DEFAULT_MIN_SHARE) -> DataFrame:
@@ -41,18 +43,24 @@ def salted_join(
     salts: int = DEFAULT_SALTS,
     min_share: float = DEFAULT_MIN_SHARE,
     hot: DataFrame | None = None,
+    hot_bounded: bool = False,
 ) -> DataFrame:
     """``large.join(small, on, how)`` with the hot keys of ``large`` salted.
 
+    A caller's own ``hot`` table is broadcast only if it says that the table
+    comes from ``hot_keys`` with this ``min_share`` (``hot_bounded``).
     ``how`` is one where every ``large`` row is matched independently
     (inner, left, left_semi, left_anti).
     """
     if how not in ("inner", "left", "left_outer", "left_semi", "left_anti"):
         raise ValueError(f"salted_join does not support how={how!r}")
     on = list(on)
+    bounded = hot is None or hot_bounded
     if hot is None:
         hot = hot_keys(large, on, min_share)
-    flags = F.broadcast(hot.select(*on).withColumn("_hot", F.lit(True)))
+    flags = hot.select(*on).withColumn("_hot", F.lit(True))
+    if bounded and min_share * BROADCAST_KEYS >= 1:
+        flags = F.broadcast(flags)
     row_hash = F.xxhash64(*[F.col(c) for c in large.columns])
     salted_large = (
         large.join(flags, on, "left")
