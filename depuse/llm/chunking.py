@@ -142,7 +142,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     first = found.groupBy("digest").agg(F.min(order).alias("first"), F.max(order).alias("last")).filter("first <> last")
     first = stage(first.select("digest", "first"))
     keys = ["digest"]
-    again = salted_join(found, first, keys, hot=hot_keys(found.select("digest"), keys)).filter(order != F.col("first"))
+    again = salted_join(found, first, keys, hot=hot_keys(found.select("digest"), keys), hot_bounded=True).filter(order != F.col("first"))
     return again.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("place", "words")).alias("spans"))
 
 
