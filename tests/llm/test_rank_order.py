@@ -1,0 +1,72 @@
+import zlib
+from collections import Counter
+
+import numpy as np
+
+from depuse.llm import queries
+from depuse.llm import rank_order as R
+from tests.llm.helpers import DOCUMENTS, documents, frame
+
+SF = "/root/testdata/sf0.01"
+
+
+def grams(text):
+    out, low = Counter(), []
+    for c in text or "":
+        small = c.lower()
+        low.append((small if len(small) == 1 else c) if c.isalpha() else " ")
+    for word in "".join(low).split(" "):
+        if word:
+            out.update(word)
+            padded = f" {word} "
+            out.update(padded[i:i + n] for n in (2, 3) for i in range(len(padded) - n + 1))
+    return out
+
+
+def code(gram):
+    return sum(ord(c) << (21 * k) for k, c in enumerate(gram))
+
+
+def test_ngrams_agree_with_brute_force():
+    texts = ["", "a", "Él b-c", "x1y2 zz", "   ", "ß İ ß", *(t or "" for _, t, *_ in documents(n=30))]
+    codes, owners = R.ngrams(texts)
+    for k, text in enumerate(texts):
+        found, n = R.counted(codes[owners == k])
+        assert dict(zip(found.tolist(), n.tolist())) == {code(g): c for g, c in grams(text).items()}
+
+
+def test_profile_and_distance_agree_with_brute_force():
+    texts = {"xx": "the cat sat on the mat " * 3, "yy": "der hund und die katze " * 2, "zz": "le chat et le chien"}
+    plain = {n: [g for g, _ in sorted(grams(t).items(), key=lambda x: (-x[1], code(x[0])))][:20] for n, t in texts.items()}
+    profiles = {n: R.profile(*R.counted(R.ngrams([t])[0]), 20).tolist() for n, t in texts.items()}
+    assert profiles == {n: [code(g) for g in p] for n, p in plain.items()}
+    languages = R.Languages(profiles, 20)
+    for text in ("the dog and the cat", "die katze", "q", "chat"):
+        own = [g for g, _ in sorted(grams(text).items(), key=lambda x: (-x[1], code(x[0])))][:20]
+        away = {n: sum(abs(k - p.index(g)) if g in p else 20 for k, g in enumerate(own)) for n, p in plain.items()}
+        best = min(away, key=lambda n: (away[n], n))
+        name, score = languages.nearest(np.array([code(g) for g in own], np.uint64))
+        assert name == best and abs(score - (1 - away[best] / (20 * len(own)))) < 1e-12
+
+
+def test_held_out_accuracy(spark):
+    got = queries.op8_rank_order(spark, SF).collect()
+    told = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert {r.doc_id: r.held_out for r in got} == {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in told}
+    assert np.mean([r.lang_pred == told[r.doc_id] for r in got if r.held_out]) > 0.97
+    assert all(0 <= r.score <= 1 for r in got)
+
+
+def test_documents_with_every_case(spark):
+    rows = [*documents(), (900, "12 34 !", "xx", "a", 7)]
+    docs = frame(spark, [(*r, 0.5) for r in rows], DOCUMENTS + ", score double")
+    profiles = R.learn(docs)
+    assert set(profiles) == {"xx", "yy"}
+    got = R.identify(docs, profiles)
+    assert Counter(r.doc_id for r in got.collect()) == Counter(r[0] for r in rows)
+    none = {i for i, t, *_ in rows if not grams(t)}
+    for r in got.collect():
+        if r.doc_id is not None:
+            assert (r.lang_pred == "und") == (r.doc_id in none) and (r.score == 0) <= (r.lang_pred == "und")
+    assert {r.lang_pred for r in R.identify(docs, {}).collect()} == {"und"}
+    assert R.learn(docs.limit(0)) == {} and R.identify(docs.limit(0), profiles).count() == 0
