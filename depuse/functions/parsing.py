@@ -11,8 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The accepted line formats (whole-line match).
-LOG_LINE_PATTERN = r"^(\d+) (\d+) (\S+) (\S+)$"
-RECORD_LINE_PATTERN = r"^(\d+) (\S+) (\S+) (\S+)$"
+LOG_LINE_PATTERN = r"^(\d+) (\d+) (\S+) (\S+)\z"
+RECORD_LINE_PATTERN = r"^(\d+) (\S+) (\S+) (\S+)\z"
 
 
 def is_well_formed(line: Column, pattern: str) -> Column:

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import datetime as _dt
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Report-bound formats.  The first is the one output names use;
-# the second (colon between hour and minute) is accepted on input too.
+# the second (colon between hour and minute) is accepted on input too.  The
+# offset is Z, +HH or +HHMM, for columns and arguments alike.
 BOUND_FORMATS = ("yyyy-MM-dd'T'HH-mmX", "yyyy-MM-dd'T'HH:mmX")
-_PY_BOUND_FORMATS = ("%Y-%m-%dT%H-%M%z", "%Y-%m-%dT%H:%M%z")
+_BOUND = re.compile(r"(\d{4}-\d{2}-\d{2}T\d{2})[-:](\d{2})(Z|[+-]\d{2}(?:\d{2})?)")
 
 MILLIS_PER_DAY = 86_400_000
 
@@ -25,16 +27,17 @@ def parse_bound(text: str | int) -> int:
     """Driver-side parse of a report-bound argument (text or epoch ms)."""
     if isinstance(text, int):
         return text
-    value = text.strip()
-    if value.endswith("Z"):
-        value = value[:-1] + "+0000"
-    for fmt in _PY_BOUND_FORMATS:
-        try:
-            stamp = _dt.datetime.strptime(value, fmt)
-        except ValueError:
-            continue
-        return int(stamp.timestamp()) * 1000
-    raise ValueError(f"not a report bound: {text!r} (expected e.g. 2014-06-18T00-00Z)")
+    found = _BOUND.fullmatch(text.strip())
+    if not found:
+        raise ValueError(f"not a report bound: {text!r} (expected e.g. 2014-06-18T00-00Z)")
+    hour, minute, zone = found.groups()
+    offset = "+0000" if zone == "Z" else zone.ljust(5, "0")
+    return int(_dt.datetime.strptime(f"{hour}-{minute}{offset}", "%Y-%m-%dT%H-%M%z").timestamp()) * 1000
+
+
+def bound_name(text: str) -> str:
+    """A bound as output names spell it: no colon, which some stores refuse."""
+    return text.strip().replace(":", "-")
 
 
 def epoch_millis(ts: Column, wall_clock: bool = True) -> Column:

@@ -4,12 +4,10 @@ A gav of a session is a dependency when some gav of the same session reaches
 it over one or more edges (intermediate nodes need not be in the session; a
 gav on a cycle is its own dependency).  Set-based form:
 
-    session gavs (c, s, g)  JOIN reach (g -> d)  ->  (c, s, d)
-                            SEMI JOIN session gavs on (c, s, d)
+    (c, s, gavs, g)  JOIN  (g -> targets)  ->  (c, s, targets that are in gavs)
 
-The first join is keyed by gav, so a gav present in a large share of the
-sessions would be one hot partition: its rows are salted (``skew``).  No
-pairs of gavs within a session are ever formed.
+The join is keyed by gav, so a gav present in a large share of the sessions
+would be one hot partition: its rows are salted (``skew``).
 """
 
 from __future__ import annotations
@@ -19,26 +17,40 @@ from pyspark.sql import functions as F
 
 from depuse.operators.graph import materialise, reachable
 from depuse.operators.sessions import session_gavs
-from depuse.operators.skew import salted_join
+from depuse.operators.skew import hot_keys, salted_join
 
-# Depth used when none is given, and the instrumentation
-# columns' values for set-based computation (nothing is timed per session).
-DEFAULT_DEPTH = 40
+# Depth used when none is given (1: the whole closure), and the
+# instrumentation columns' values for set-based computation (nothing is timed
+# per session).
+DEFAULT_DEPTH = 1
 NOT_TIMED = -1
+TARGETS_PER_ROW = 1000
 
 
-def session_dependencies(gavs_long: DataFrame, reach: DataFrame, salt: bool = True) -> DataFrame:
-    """``clientId, sessionId, dependency`` (distinct) from session gavs in long
-    form and a reachability table ``src, dst``."""
-    starts = gavs_long.select("clientId", "sessionId", F.col("gav").alias("src"))
-    pairs = reach.select("src", "dst")
+def session_dependencies(sessions: DataFrame, reach: DataFrame, salt: bool = True) -> DataFrame:
+    """``clientId, sessionId, dependency`` (distinct) from sessions (with
+    ``gavs``) and a reachability table ``src, dst``.
+
+    Only targets that occur in some session are kept; they travel as arrays of
+    at most about ``TARGETS_PER_ROW`` per row.  Whether a target is in the
+    session is decided in the stage that joins, so only hits are shuffled.
+    """
+    present = sessions.select(F.explode("gavs").alias("dst")).distinct()
+    useful = reach.select("src", "dst").join(present, "dst", "left_semi")
+    sizes = useful.groupBy("src").agg(F.ceil(F.count(F.lit(1)) / F.lit(TARGETS_PER_ROW)).alias("_rows"))
+    targets = (
+        useful.join(sizes, "src")
+        .groupBy("src", F.pmod(F.xxhash64("dst"), F.col("_rows")).alias("_part"))
+        .agg(F.collect_set("dst").alias("_targets")).drop("_part")
+    )
+    starts = sessions.select("clientId", "sessionId", "gavs", F.explode("gavs").alias("src"))
     if salt:
-        hit = salted_join(starts, pairs, ["src"])
+        hot = hot_keys(starts.select("src"), ["src"])
+        met = salted_join(starts, targets, ["src"], hot=hot, hot_bounded=True)
     else:
-        hit = starts.join(pairs, "src")
-    candidates = hit.select("clientId", "sessionId", F.col("dst").alias("dependency")).distinct()
-    members = gavs_long.select("clientId", "sessionId", F.col("gav").alias("dependency"))
-    return candidates.join(members, ["clientId", "sessionId", "dependency"], "left_semi")
+        met = starts.join(targets, "src")
+    hits = met.select("clientId", "sessionId", F.explode(F.array_intersect("_targets", "gavs")).alias("dependency"))
+    return hits.distinct()
 
 
 def reach_for_depth(
@@ -46,6 +58,7 @@ def reach_for_depth(
     depth: int,
     seeds: DataFrame | None = None,
     closure: DataFrame | None = None,
+    salt: bool = False,
 ) -> DataFrame:
     """Reachability table for a depth setting.
 
@@ -58,10 +71,10 @@ def reach_for_depth(
     if depth == 1:
         if closure is not None:
             return closure.select("src", "dst")
-        return reachable(edges, seeds=seeds).select("src", "dst")
+        return reachable(edges, seeds=seeds, salt=salt).select("src", "dst")
     if depth == 0:
-        return reachable(edges, seeds=seeds).select("src", "dst")
-    return reachable(edges, seeds=seeds, max_depth=depth).select("src", "dst")
+        return reachable(edges, seeds=seeds, salt=salt).select("src", "dst")
+    return reachable(edges, seeds=seeds, max_depth=depth, salt=salt).select("src", "dst")
 
 
 def enhance_sessions(sessions: DataFrame, dependencies: DataFrame) -> DataFrame:
@@ -86,21 +99,21 @@ def compute_dependencies(
     closure: DataFrame | None = None,
     salt: bool = True,
     materialise_input: bool = True,
+    salt_graph: bool = False,
 ) -> DataFrame:
     """Enhanced sessions for ``depth`` (see ``reach_for_depth``).
 
     Traversal starts only from gavs that occur in the given sessions.  The
-    sessions are read by several branches (seeds, hot keys, candidates,
-    members, the final join); ``materialise_input`` checkpoints them first so
-    an expensive upstream plan runs once.  Pass False when ``sessions`` is a
-    plain table scan.
+    sessions are read by several branches (seeds, targets, hot keys, the join,
+    the result); ``materialise_input`` checkpoints them first so an expensive
+    upstream plan runs once.  Pass False when ``sessions`` is a plain table
+    scan.  ``salt`` spreads gavs of very many sessions, ``salt_graph`` nodes
+    that very many others reach.
     """
     if edges is None and not (depth == 1 and closure is not None):
         raise ValueError("edges are required unless depth == 1 and a closure is given")
     if materialise_input:
         sessions = materialise(sessions)
-    gavs_long = session_gavs(sessions)
-    seeds = gavs_long.select(F.col("gav").alias("id")).distinct()
-    reach = reach_for_depth(edges, depth, seeds=seeds, closure=closure)
-    deps = session_dependencies(gavs_long, reach, salt=salt)
-    return enhance_sessions(sessions, deps)
+    seeds = session_gavs(sessions).select(F.col("gav").alias("id")).distinct()
+    reach = reach_for_depth(edges, depth, seeds=seeds, closure=closure, salt=salt_graph)
+    return enhance_sessions(sessions, session_dependencies(sessions, reach, salt=salt))

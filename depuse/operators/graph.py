@@ -18,12 +18,10 @@ from pyspark.sql import functions as F
 from depuse.functions.sentinels import is_sentinel_only, strip_sentinels
 from depuse.operators.skew import salted_join
 from depuse.session import ensure_checkpoint_dir
-from depuse.sources.text import EDGE_HEADER, GRAPH_DELIMITER, NODE_HEADER
+from depuse.sources.text import DIRECT_EDGE_TYPE, EDGE_HEADER, GRAPH_DELIMITER, NODE_HEADER, TRANSITIVE_EDGE_TYPE
 
-# Node label and edge types of the graph files.
+# Fixed value: node label of the graph files.
 NODE_LABEL = "GAV"
-DIRECT_EDGE_TYPE = "D_DEPENDS_ON"
-TRANSITIVE_EDGE_TYPE = "T_DEPENDS_ON"
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -32,14 +30,12 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def materialise_counted(df: DataFrame, where=None) -> tuple[DataFrame, int]:
-    """``materialise`` that also returns the number of rows (matching
-    ``where``, if given), observed while the checkpoint is computed (no
-    extra job)."""
+def materialise_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``materialise`` that also returns the number of rows, observed while
+    the checkpoint is computed (no extra job)."""
     ensure_checkpoint_dir(df.sparkSession)
     seen = Observation()
-    counted = F.count(F.lit(1)) if where is None else F.count_if(where)
-    done = df.observe(seen, counted.alias("rows")).checkpoint(eager=True)
+    done = df.observe(seen, F.count(F.lit(1)).alias("rows")).checkpoint(eager=True)
     return done, int(seen.get["rows"] or 0)
 
 
@@ -130,10 +126,13 @@ def encode_nodes(edges: DataFrame) -> DataFrame:
     return materialise(ids.withColumn("nid", F.monotonically_increasing_id()))
 
 
-def _encode_edges(edges: DataFrame, ids: DataFrame) -> DataFrame:
+def _encode_edges(edges: DataFrame, ids: DataFrame, salt: bool = False) -> DataFrame:
+    """Gavs to long ids; ``salt`` spreads a ``dst`` that very many depend on."""
     by_src = ids.select(F.col("id").alias("src"), F.col("nid").alias("s"))
     by_dst = ids.select(F.col("id").alias("dst"), F.col("nid").alias("d"))
-    return edges.join(by_src, "src").join(by_dst, "dst").select(F.col("s").alias("src"), F.col("d").alias("dst"))
+    with_src = edges.join(by_src, "src")
+    both = salted_join(with_src, by_dst, ["dst"]) if salt else with_src.join(by_dst, "dst")
+    return both.select(F.col("s").alias("src"), F.col("d").alias("dst"))
 
 
 def _decode_pairs(pairs: DataFrame, ids: DataFrame, salt: bool = False) -> DataFrame:
@@ -171,7 +170,7 @@ def reachable(
         raise ValueError("max_depth must be >= 1 (or None for unbounded)")
     edges = edges.select("src", "dst")
     ids = encode_nodes(edges)
-    graph = materialise(_encode_edges(edges, ids).distinct())
+    graph = materialise(_encode_edges(edges, ids, salt=salt).distinct())
     first = graph
     if seeds is not None:
         seed_ids = ids.join(seeds.select("id").distinct(), "id", "left_semi").select(F.col("nid").alias("src"))
@@ -189,9 +188,21 @@ def reachable(
     return _decode_pairs(_union_all(found), ids, salt=salt)
 
 
-def transitive_closure(edges: DataFrame) -> DataFrame:
-    """Exact closure ``src, dst`` of the edges (all sources)."""
-    return reachable(edges).select("src", "dst")
+def transitive_closure(edges: DataFrame, salt: bool = False) -> DataFrame:
+    """Exact closure ``src, dst`` of the edges (all sources).
+
+    Hop counts are not asked for, so paths double: after round k the pairs
+    cover all paths of up to ``2**k`` edges, and the loop ends after about
+    log2 of the longest path instead of one round per hop.
+    """
+    edges = edges.select("src", "dst")
+    ids = encode_nodes(edges)
+    pairs, rows = materialise_counted(_encode_edges(edges, ids, salt=salt).distinct())
+    before = -1
+    while rows != before:
+        before = rows
+        pairs, rows = materialise_counted(expand(pairs, pairs, salt=salt).union(pairs).distinct())
+    return _decode_pairs(pairs, ids, salt=salt)
 
 
 # -- traversal work --------------------------------------------------------------
@@ -205,34 +216,58 @@ def traversal_work(
 ) -> DataFrame:
     """Per seed ``id``: number of edge-simple paths (no edge used twice) of
     length >= 1 leaving it (``n_paths``) and the sum of their lengths
-    (``work``).
+    (``work``), paths up to ``max_depth`` edges if given.
 
     ``mode="counts"`` counts paths per (seed, node, length) without listing
-    them: on an acyclic graph every walk is edge-simple, so this is exact,
-    and its size is bounded by seeds x nodes per level.  A cycle reachable
-    from a seed shows up as a length beyond the node count.  ``"trails"``
-    extends each path individually, carrying the ids of the edges it used,
-    which is exact on any graph (and as large as the number of paths).
-    ``"auto"`` counts and switches to trails when a cycle shows up.
-    ``max_depth`` bounds the path length in either mode.
+    them: on an acyclic graph every walk is edge-simple, so this is exact, and
+    its size is bounded by seeds x nodes per level.  It refuses a graph with a
+    cycle that the seeds reach.  ``"trails"`` extends each path, carrying the
+    ids of the edges it used: exact on any graph and as large as the number of
+    paths, so on a cyclic graph it asks for ``max_depth``.  ``"auto"`` looks for
+    a cycle first (``reaches_cycle``) and chooses.
     """
     if mode not in ("auto", "counts", "trails"):
         raise ValueError("mode must be 'auto', 'counts' or 'trails'")
     if max_depth is not None and max_depth < 1:
         raise ValueError("max_depth must be >= 1")
     graph = materialise(edges.select("src", "dst").distinct())
-    ids = seeds.select(F.col("id").alias("seed")).distinct()
-    if mode != "trails":
-        try:
-            return _work_by_counts(graph, ids, max_depth)
-        except _CycleFound:
-            if mode == "counts":
-                raise ValueError("a cycle is reachable from the seeds: use mode='trails' or max_depth") from None
-    return _work_by_trails(graph, ids, max_depth)
-
-
-class _CycleFound(Exception):
-    pass
+    ids = materialise(seeds.select(F.col("id").alias("seed")).distinct())
+    if mode == "trails" and max_depth is not None:
+        return _work_by_trails(graph, ids, max_depth)
+    cyclic = reaches_cycle(graph, ids.select(F.col("seed").alias("id")))
+    if cyclic and mode == "counts":
+        raise ValueError("a cycle is reachable from the seeds: use mode='trails' with max_depth")
+    if cyclic and max_depth is None:
+        raise ValueError("a cycle is reachable from the seeds: paths grow without bound, give max_depth")
+    if cyclic or mode == "trails":
+        return _work_by_trails(graph, ids, max_depth)
+    return _work_by_counts(graph, ids, max_depth)
+
+
+def _reached(graph: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Edges leaving the seeds or any node they reach."""
+    level, rows = materialise_counted(graph.join(seeds.select(F.col("id").alias("src")).distinct(), "src", "left_semi"))
+    found = [level]
+    while rows:
+        heads = level.select(F.col("dst").alias("src")).distinct()
+        tails = _union_all([f.select("src") for f in found]).distinct()
+        level, rows = materialise_counted(graph.join(heads.join(tails, "src", "left_anti"), "src", "left_semi"))
+        found.append(level)
+    return _union_all(found)
+
+
+def reaches_cycle(graph: DataFrame, seeds: DataFrame) -> bool:
+    """Whether the seeds reach a cycle.  Edges that start at a node nothing
+    leads to, or end at a node nothing leaves, are peeled off until none is
+    left (no cycle) or all remaining ones are on or between cycles."""
+    left, rows = materialise_counted(_reached(graph, seeds).select("src", "dst").distinct())
+    while rows:
+        kept = left.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        kept = kept.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+        before, (left, rows) = rows, materialise_counted(kept.select("src", "dst"))
+        if rows == before:
+            return True
+    return False
 
 
 def _level_totals(level: DataFrame, length: int, weight: str | None) -> DataFrame:
@@ -256,19 +291,12 @@ def _work_by_counts(graph: DataFrame, ids: DataFrame, max_depth: int | None) ->
         graph.join(ids.withColumnRenamed("seed", "src"), "src", "left_semi")
         .select(F.col("src").alias("seed"), F.col("dst").alias("node"), F.lit(1).cast("bigint").alias("n"))
     )
-    node_count = None
     totals = []
     length = 1
     while rows:
         totals.append(_level_totals(level, length, "n"))
         if max_depth is not None and length >= max_depth:
             break
-        if node_count is None:
-            node_count = (
-                graph.select(F.col("src").alias("id")).unionByName(graph.select(F.col("dst").alias("id"))).distinct().count()
-            )
-        if max_depth is None and length > node_count:
-            raise _CycleFound()
         length += 1
         step = level.select("seed", F.col("node").alias("_mid"), "n").join(
             graph.select(F.col("src").alias("_mid"), F.col("dst").alias("node")), "_mid"
@@ -309,9 +337,13 @@ def write_graph(
     edges: DataFrame,
     nodes_path: str,
     edges_path: str,
-    edge_type: str = DIRECT_EDGE_TYPE,
+    closure: DataFrame | None = None,
 ) -> None:
-    """Pipe-delimited node and edge files with headers, nodes sorted by id."""
+    """Pipe-delimited node and edge files with headers, nodes sorted by id.
+
+    The direct edges are always written; a ``closure`` goes beside them under
+    its own edge type, so a reader can tell the two (``read_graph``).
+    """
     if nodes.isEmpty():
         raise ValueError("no usable dependency record: the graph would be empty")
     (
@@ -320,12 +352,11 @@ def write_graph(
         .write.mode("overwrite")
         .csv(nodes_path, sep=GRAPH_DELIMITER, header=True)
     )
-    (
-        edges.select(
-            F.col("src").alias(EDGE_HEADER[0]),
-            F.col("dst").alias(EDGE_HEADER[1]),
-            F.lit(edge_type).alias(EDGE_HEADER[2]),
+    typed = [
+        pairs.select(
+            F.col("src").alias(EDGE_HEADER[0]), F.col("dst").alias(EDGE_HEADER[1]), F.lit(kind).alias(EDGE_HEADER[2])
         )
-        .write.mode("overwrite")
-        .csv(edges_path, sep=GRAPH_DELIMITER, header=True)
-    )
+        for pairs, kind in ((edges, DIRECT_EDGE_TYPE), (closure, TRANSITIVE_EDGE_TYPE))
+        if pairs is not None
+    ]
+    _union_all(typed).write.mode("overwrite").csv(edges_path, sep=GRAPH_DELIMITER, header=True)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from depuse.functions.arrays import top_level
-from depuse.functions.time import millis_to_day
+from depuse.functions.time import bound_name, millis_to_day
 
 
 def direct_indirect(enhanced: DataFrame) -> DataFrame:
@@ -85,7 +85,7 @@ def write_report(
 ) -> tuple[str, str]:
     """Write ``<start>_<end>_direct.csv`` and ``..._indirect.csv`` (headerless
     ``gav,clients``, ordered by clients descending).  Returns the two paths."""
-    prefix = report_dir.rstrip("/") + f"/{start_text}_{end_text}_"
+    prefix = report_dir.rstrip("/") + f"/{bound_name(start_text)}_{bound_name(end_text)}_"
     paths = (prefix + "direct.csv", prefix + "indirect.csv")
     for report, path in zip((direct_usage(enhanced), indirect_usage(enhanced)), paths):
         ordered(report).write.mode("overwrite").csv(path)

@@ -14,18 +14,18 @@ def resolve_gavs(
     records: DataFrame,
     sort: bool = False,
     keep: Sequence[str] = (),
-    salt: bool = False,
+    salt: bool = True,
 ) -> DataFrame:
     """``clientId, timestamp, agent, gav, dependencies`` per resolvable log row.
 
     An inner equi-join on ``path``: logs with an unknown path vanish and
     repeated log lines stay.  The strategy is left to AQE: records are
     broadcast only when their measured size is under the broadcast threshold,
-    otherwise both sides are hash-partitioned on path and a hot path's
-    partition is split by the skew-join rule.  ``sort`` range-partitions the
-    result by (clientId, timestamp), the layout sessionisation reads best.
-    ``salt`` salts hot paths explicitly instead (it costs one more pass over
-    the logs' path column to find them).
+    otherwise both sides are hash-partitioned on path.  ``salt`` counts the
+    paths first (one more pass over that column) and spreads those with a
+    large share of the logs; without it a hot path's partition is left to the
+    skew-join rule.  ``sort`` range-partitions the result by (clientId,
+    timestamp), the layout sessionisation reads best.
     """
     left = logs.select("clientId", "timestamp", "agent", "path", *keep)
     right = records.select("path", "gav", "dependencies")

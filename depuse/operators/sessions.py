@@ -103,19 +103,25 @@ def flag_sessions(
     most ``max_idle_ms + 1`` values however many downloads share them, with
     the previous bucket's end for a bucket's first timestamp.  The first of
     tied rows is found by an aggregation (the least tiebreak per client and
-    millisecond) and a join, both of which split hot keys; without a
-    tiebreak, rows of one client and millisecond are ranked by a window.
+    millisecond) and a join, both of which split hot keys.  Without a tiebreak
+    all other columns serve as one, and fully equal rows are interchangeable.
     """
     from depuse.operators.graph import materialise
 
+    columns = gav_logs.columns
+    copy = F.lit(1)
+    if not tiebreak:
+        # all other columns order tied rows; rows equal in every column are
+        # counted, and numbered again at the end
+        tiebreak = [c for c in columns if c not in ("clientId", "timestamp")]
+        gav_logs = gav_logs.groupBy(*columns).agg(F.count(F.lit(1)).alias("_copies"))
+        copy = F.explode(F.sequence(F.lit(1), F.col("_copies")))
     rows = gav_logs.withColumn("bucket", idle_bucket(F.col("timestamp"), max_idle_ms))
-    first_key = F.struct(*tiebreak) if tiebreak else None
+    first_key = F.struct(*tiebreak)
     keys = ["clientId", "bucket", "timestamp"]
     # distinct (client, bucket, time), with the least tiebreak of each:
     # read by two branches, so kept once
-    stamps = materialise(
-        rows.groupBy(*keys).agg(F.min(first_key).alias("_first")) if tiebreak else rows.select(*keys).distinct()
-    )
+    stamps = materialise(rows.groupBy(*keys).agg(F.min(first_key).alias("_first")))
     spans = stamps.groupBy("clientId", "bucket").agg(
         F.min("timestamp").alias("startTime"), F.max("timestamp").alias("endTime")
     )
@@ -126,18 +132,14 @@ def flag_sessions(
         "timestamp",
         "sessionId",
         F.coalesce(F.lag("timestamp", 1).over(in_bucket), F.col("prevEnd")).alias("_prevDistinct"),
-        *(["_first"] if tiebreak else []),
+        "_first",
     )
-    out = rows.join(previous, ["clientId", "timestamp"])
-    if tiebreak:
-        is_first = first_key == F.col("_first")
-    else:
-        order = [c for c in gav_logs.columns if c not in ("clientId", "timestamp")]
-        is_first = F.row_number().over(Window.partitionBy("clientId", "timestamp").orderBy(*order)) == 1
+    out = rows.join(previous, ["clientId", "timestamp"]).withColumn("_copy", copy)
+    is_first = (first_key == F.col("_first")) & (F.col("_copy") == 1)
     out = out.withColumn("prev", F.when(is_first, F.col("_prevDistinct")).otherwise(F.col("timestamp")))
     diff = F.col("timestamp") - F.col("prev")
     return out.select(
-        *gav_logs.columns,
+        *columns,
         "prev",
         diff.alias("diff"),
         F.when(diff > F.lit(max_idle_ms), 1).otherwise(0).alias("isNewSession"),

@@ -7,9 +7,11 @@ comma-joined text plus a count so results compare independent of order.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from depuse.functions.arrays import sorted_text
@@ -21,12 +23,21 @@ from depuse.operators import quality as Q
 from depuse.operators import report as R
 from depuse.operators import sessions as S
 from depuse.operators.resolve import resolve_gavs
+from depuse.plans import jobs
+from depuse.session import ensure_checkpoint_dir
 from depuse.sources import driver
+from depuse.sources.tables import read_or_create, read_table, write_table
 from depuse.sources.text import (
+    DIRECT_EDGE_TYPE,
+    TRANSITIVE_EDGE_TYPE,
     dependency_record_rejects,
     parse_adjacency,
     parse_dependency_records,
     parse_repository_logs,
+    read_adjacency,
+    read_dependency_records,
+    read_graph,
+    read_repository_logs,
     repository_log_rejects,
 )
 
@@ -37,6 +48,8 @@ REPORT_END = "2024-02-01T00-00Z"
 WINDOW_START = "2024-01-08T00-00Z"
 WINDOW_END = "2024-01-22T00-00Z"
 SESSION_HOPS = 2
+DEEP_HOPS = 40
+TRAIL_DEPTH = 12
 KHOP_DEPTH = 3
 SWEEP_DEPTHS = (0, 1, 2, 3)
 SAMPLE_GRID = (2, 40, 1, 10)  # min size, max size, step, sessions per size
@@ -205,11 +218,10 @@ def q_transitive_closure(spark, sf):
 
 
 def _deps_long(spark, sf, depth, closure=None):
-    sess = report_sessions(spark, sf)
-    long = S.session_gavs(sess)
-    seeds = long.select(F.col("gav").alias("id")).distinct()
+    sess = G.materialise(report_sessions(spark, sf))
+    seeds = S.session_gavs(sess).select(F.col("gav").alias("id")).distinct()
     reach = D.reach_for_depth(edges(spark, sf), depth, seeds=seeds, closure=closure)
-    return D.session_dependencies(long, reach)
+    return D.session_dependencies(sess, reach)
 
 
 def q_session_dependencies_closure(spark, sf):
@@ -225,7 +237,7 @@ def q_session_dependencies_unbounded(spark, sf):
 
 
 def q_session_dependencies_depth40(spark, sf):
-    return _deps_long(spark, sf, D.DEFAULT_DEPTH)
+    return _deps_long(spark, sf, DEEP_HOPS)
 
 
 def q_enhanced_sessions(spark, sf):
@@ -295,12 +307,11 @@ def q_sample_by_size(spark, sf):
 
 
 def q_depth_sweep(spark, sf):
-    return P.depth_sweep(_sample(spark, sf), edges(spark, sf), SWEEP_DEPTHS)
+    return P.depth_sweep(G.materialise(_sample(spark, sf)), edges(spark, sf), SWEEP_DEPTHS)
 
 
 def q_traversal_work(spark, sf):
-    sess = report_sessions(spark, sf)
-    long = S.session_gavs(sess)
+    long = S.session_gavs(G.materialise(report_sessions(spark, sf)))
     per_gav = G.traversal_work(edges(spark, sf), long.select(F.col("gav").alias("id")))
     joined = long.join(per_gav.withColumnRenamed("id", "gav"), "gav", "left")
     return joined.groupBy("clientId", "sessionId").agg(
@@ -312,7 +323,181 @@ def q_traversal_work(spark, sf):
 def q_cyclic_traversal_work(spark, sf):
     cyc = driver.cyclic_edges(spark, sf)
     nodes = cyc.select(F.col("src").alias("id")).unionByName(cyc.select(F.col("dst").alias("id"))).distinct()
-    return G.traversal_work(cyc, nodes, mode="trails")
+    return G.traversal_work(cyc, nodes, max_depth=TRAIL_DEPTH)
+
+
+# -- files and jobs -------------------------------------------------------------------------
+#
+# Each writes to a new folder under the shared folder of the cluster and reads
+# the result back.
+
+
+def _scratch(spark) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/files-{uuid.uuid4().hex}"
+
+
+def _log_files(spark, sf) -> str:
+    path = _scratch(spark)
+    driver.repository_log_lines(spark, sf).write.text(path)
+    return path
+
+
+def _record_files(spark, sf) -> str:
+    path = _scratch(spark)
+    driver.dependency_record_lines(spark, sf).write.text(path)
+    return path
+
+
+def _record_text(records):
+    return records.select(
+        "path", "gav", sorted_text(F.col("dependencies")).alias("dependencies"),
+        F.size("dependencies").alias("n_dependencies"),
+    )
+
+
+def q_file_repository_logs(spark, sf):
+    return read_repository_logs(spark, _log_files(spark, sf))
+
+
+def q_file_dependency_records(spark, sf):
+    return _record_text(read_dependency_records(spark, _record_files(spark, sf)))
+
+
+def q_file_graph_records(spark, sf):
+    """Records by name repeat paths, which the graph reader accepts."""
+    path = _scratch(spark)
+    records = driver.records_by_name(spark, sf)
+    records.select(F.concat_ws(" ", F.lit("1"), "path", "gav", F.array_join("dependencies", ",")).alias("value")).write.text(path)
+    return _record_text(read_dependency_records(spark, path, require_unique_path=False))
+
+
+def q_file_parquet_table(spark, sf):
+    """Overwritten once: the second table is what stays."""
+    path, logs = _scratch(spark), driver.repository_logs(spark, sf)
+    write_table(logs.withColumn("agent", F.lit("old")), path)
+    write_table(logs, path, cluster_by=["clientId"])
+    return read_table(spark, path)
+
+
+def q_file_create_only(spark, sf):
+    """The second write is refused and the first table stays."""
+    path, logs = _scratch(spark), driver.repository_logs(spark, sf)
+    write_table(logs, path, mode="errorifexists")
+    try:
+        write_table(logs.withColumn("agent", F.lit("new")), path, mode="errorifexists")
+    except AnalysisException:
+        return read_table(spark, path)
+    raise AssertionError("an existing table was replaced")
+
+
+def q_file_read_or_create(spark, sf):
+    """Built and saved by the first call, reused by the second."""
+    path, logs = _scratch(spark), driver.repository_logs(spark, sf)
+    read_or_create(spark, path, lambda: logs)
+    return read_or_create(spark, path, lambda: logs.withColumn("agent", F.lit("rebuilt")))
+
+
+def _files_in_order(rows: DataFrame, key):
+    """Whether no file's least key is below the greatest of the file before
+    it (a scalar; one row per file is compared)."""
+    spans = rows.groupBy("file").agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
+    before = F.lag("hi").over(Window.orderBy("file"))
+    return spans.select((F.coalesce(before <= F.col("lo"), F.lit(True))).alias("ok")).agg(F.bool_and("ok").alias("ok")).scalar()
+
+
+def _graph_files(spark, sf, closure=False):
+    path = _scratch(spark)
+    nodes, direct = G.build_graph(driver.dependency_records(spark, sf))
+    direct = G.materialise(direct)
+    G.write_graph(nodes, direct, f"{path}/nodes", f"{path}/edges", G.transitive_closure(direct) if closure else None)
+    return f"{path}/nodes", f"{path}/edges"
+
+
+def q_file_graph_nodes(spark, sf):
+    """Node file lines with their places: sorted by id across all files."""
+    nodes, _ = _graph_files(spark, sf)
+    lines = spark.read.csv(nodes, sep="|", header=True, schema="id string, label string")
+    named = lines.select("id", "label", F.col("_metadata.file_name").alias("file"))
+    return named.select("id", "label", _files_in_order(named, F.col("id")).alias("sorted"))
+
+
+def q_file_graph_edges(spark, sf):
+    """Both edge types, read one after the other."""
+    files = _graph_files(spark, sf, closure=True)
+    kinds = [read_graph(spark, *files, kind)[1].withColumn("type", F.lit(kind)) for kind in (DIRECT_EDGE_TYPE, TRANSITIVE_EDGE_TYPE)]
+    return kinds[0].unionByName(kinds[1])
+
+
+def q_file_usage_report(spark, sf):
+    direct, indirect = R.write_report(G.materialise(enhanced(spark, sf)), _scratch(spark), "2024-01-01T00:00Z", "2024-02-01T00:00Z")
+    read = lambda path, kind: spark.read.csv(path, schema="gav string, clients long").withColumn("kind", F.lit(kind))
+    return read(direct, "direct").unionByName(read(indirect, "indirect"))
+
+
+def q_file_adjacency(spark, sf):
+    path = _scratch(spark)
+    driver.adjacency_lines(spark, sf).write.text(path)
+    return read_adjacency(spark, path)[0]
+
+
+def _jobs(spark, sf) -> str:
+    """Graph, resolved logs and sessions as the jobs write them."""
+    out, records = _scratch(spark), _record_files(spark, sf)
+    jobs.build_graph(spark, records, f"{out}/graph")
+    jobs.resolve(spark, _log_files(spark, sf), records, f"{out}/gav_logs")
+    jobs.sessionise(spark, f"{out}/gav_logs", f"{out}/sessions", MAX_IDLE_MS)
+    return out
+
+
+def q_job_build_graph(spark, sf):
+    counts = jobs.build_graph(spark, _record_files(spark, sf), _scratch(spark))
+    return spark.createDataFrame([tuple(counts.values())], ", ".join(f"{k} long" for k in counts))
+
+
+def q_job_resolve(spark, sf):
+    """Resolved logs of the job, with whether each file is in its order."""
+    path = _scratch(spark)
+    jobs.resolve(spark, _log_files(spark, sf), _record_files(spark, sf), path)
+    rows = read_table(spark, path).select("clientId", "timestamp", "agent", "gav", F.col("_metadata.file_name").alias("file"))
+    in_order = _files_in_order(rows, F.struct("clientId", "timestamp"))
+    return rows.select("clientId", "timestamp", "agent", "gav", in_order.alias("sorted"))
+
+
+def q_job_sessionise(spark, sf):
+    """Sessions table of the job with its partition day."""
+    table = read_table(spark, f"{_jobs(spark, sf)}/sessions")
+    return table.select(*_session_text(), F.col(S.DAY_COLUMN).cast("string").alias("day"))
+
+
+def q_job_dependencies(spark, sf):
+    out = _jobs(spark, sf)
+    jobs.compute_dependencies(spark, f"{out}/sessions", f"{out}/graph", f"{out}/enhanced", WINDOW_START, WINDOW_END)
+    table = read_table(spark, f"{out}/enhanced")
+    return table.select("clientId", "sessionId", sorted_text(F.col("dependencies")).alias("dependencies"), F.size("dependencies").alias("n_dependencies"))
+
+
+def q_job_dependencies_hops(spark, sf):
+    """The hop limit counts direct edges, though the graph holds its closure."""
+    out = _jobs(spark, sf)
+    jobs.compute_dependencies(
+        spark, f"{out}/sessions", f"{out}/graph", f"{out}/enhanced", REPORT_START, REPORT_END, depth=SESSION_HOPS
+    )
+    table = read_table(spark, f"{out}/enhanced")
+    return table.select("clientId", "sessionId", F.explode("dependencies").alias("dependency"))
+
+
+def q_job_report(spark, sf):
+    out = _jobs(spark, sf)
+    jobs.compute_dependencies(spark, f"{out}/sessions", f"{out}/graph", f"{out}/enhanced", REPORT_START, REPORT_END)
+    direct, _ = jobs.report(spark, f"{out}/enhanced", f"{out}/reports", REPORT_START, REPORT_END)
+    return spark.read.csv(direct, schema="gav string, clients long")
+
+
+def q_job_depth_sweep(spark, sf):
+    out = _jobs(spark, sf)
+    return jobs.depth_sweep(spark, f"{out}/sessions", f"{out}/graph", f"{out}/sweep", SWEEP_DEPTHS, SAMPLE_GRID).select(
+        "depth", "clientId", "sessionId", "n_dependencies"
+    )
 
 
 QUERIES: dict[str, Query] = {

@@ -1,6 +1,6 @@
 """Command line for the pipeline jobs (``spark-submit`` or ``python -m``).
 
-    python -m depuse.plans.cli build-graph  --records R --out DIR [--transitive]
+    python -m depuse.plans.cli build-graph  --records R --out DIR [--direct-only]
     python -m depuse.plans.cli resolve      --logs L --records R --out DIR
     python -m depuse.plans.cli sessionise   --gav-logs DIR --out DIR [--max-idle-ms N]
     python -m depuse.plans.cli dependencies --sessions DIR --graph DIR --out DIR --start T --end T [--depth N]
@@ -18,7 +18,7 @@ import json
 from collections.abc import Sequence
 
 from depuse.plans import jobs
-from depuse.session import build_session
+from depuse.session import build_session, cluster_conf
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -27,7 +27,7 @@ def _parser() -> argparse.ArgumentParser:
     p = sub.add_parser("build-graph")
     p.add_argument("--records", required=True)
     p.add_argument("--out", required=True)
-    p.add_argument("--transitive", action="store_true")
+    p.add_argument("--direct-only", action="store_true", help="leave the closure out")
     p = sub.add_parser("resolve")
     p.add_argument("--logs", required=True)
     p.add_argument("--records", required=True)
@@ -48,18 +48,25 @@ def _parser() -> argparse.ArgumentParser:
     for name in ("--sessions", "--graph", "--out"):
         p.add_argument(name, required=True)
     p.add_argument("--depths", default="1", help="comma-separated depth settings")
+    for name, default in (("--min-size", 2), ("--max-size", 40), ("--step", 1), ("--per-size", 10)):
+        p.add_argument(name, type=int, default=default)
+    p.add_argument("--new-sample", action="store_true", help="do not reuse a sample written before")
+    for p in sub.choices.values():
+        p.add_argument("--input-bytes", type=int, help="size of the largest shuffle, to choose its partitions")
+        p.add_argument("--cores", type=int, default=8, help="executor cores, with --input-bytes")
     return parser
 
 
 def main(argv: Sequence[str] | None = None, spark=None) -> dict:
     """Run one job; returns a small summary (also printed as JSON)."""
     args = _parser().parse_args(argv)
-    spark = spark or build_session(f"depuse-{args.job}")
+    conf = cluster_conf(args.input_bytes, args.cores) if args.input_bytes else None
+    spark = spark or build_session(f"depuse-{args.job}", conf=conf)
     summary: dict = {"job": args.job}
     if args.job == "build-graph":
-        summary.update(jobs.build_graph(spark, args.records, args.out, transitive=args.transitive))
+        summary.update(jobs.build_graph(spark, args.records, args.out, transitive=not args.direct_only))
     elif args.job == "resolve":
-        jobs.resolve(spark, args.logs, args.records, args.out)
+        summary.update(jobs.resolve(spark, args.logs, args.records, args.out))
     elif args.job == "sessionise":
         jobs.sessionise(spark, args.gav_logs, args.out, max_idle_ms=args.max_idle_ms)
     elif args.job == "dependencies":
@@ -70,7 +77,10 @@ def main(argv: Sequence[str] | None = None, spark=None) -> dict:
             summary["daily"] = list(jobs.daily_report(spark, args.enhanced, args.out, args.start, args.end))
     elif args.job == "depth-sweep":
         depths = [int(d) for d in args.depths.split(",") if d.strip()]
-        jobs.depth_sweep(spark, args.sessions, args.graph, args.out, depths=depths)
+        grid = (args.min_size, args.max_size, args.step, args.per_size)
+        jobs.depth_sweep(
+            spark, args.sessions, args.graph, args.out, depths=depths, grid=grid, reuse_sample=not args.new_sample
+        )
     print(json.dumps(summary))
     return summary
 

@@ -1,6 +1,6 @@
 """End-to-end jobs: each reads its inputs, runs the operators, writes tables.
 
-    build_graph          records text  -> graph files (direct or closure) + closure parquet
+    build_graph          records text  -> graph files (direct and closure) + closure parquet
     resolve              logs text + records text -> gav logs parquet
     sessionise           gav logs parquet -> sessions parquet
     compute_dependencies sessions parquet (range) + graph -> enhanced sessions parquet
@@ -15,10 +15,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from depuse import schemas
-from depuse.functions.time import parse_bound
+from depuse.functions.parsing import RECORD_LINE_PATTERN, is_well_formed
+from depuse.functions.time import bound_name, parse_bound
 from depuse.operators import deps as D
 from depuse.operators import graph as G
 from depuse.operators import profile as P
@@ -26,7 +29,13 @@ from depuse.operators import report as R
 from depuse.operators import sessions as S
 from depuse.operators.resolve import resolve_gavs
 from depuse.sources.tables import read_or_create, read_table, write_table
-from depuse.sources.text import read_dependency_records, read_graph, read_repository_logs
+from depuse.sources.text import (
+    parse_dependency_records,
+    read_dependency_records,
+    read_graph,
+    read_repository_logs,
+    repository_log_rejects,
+)
 
 # The pipeline defaults.
 DEFAULT_MAX_IDLE_MS = 60_000
@@ -36,29 +45,38 @@ def build_graph(
     spark: SparkSession,
     records_path: str,
     out_dir: str,
-    transitive: bool = False,
+    transitive: bool = True,
+    salt: bool = True,
 ) -> dict[str, int]:
     """Records text -> ``nodes`` and ``edges`` graph files under ``out_dir``.
 
-    With ``transitive`` the edge file holds the exact closure (edge type
-    ``T_DEPENDS_ON``); the closure is also kept as parquet (``closure``) for
-    the depth-1 dependency computation.  Returns node and edge counts.
+    The edge files always hold the direct edges (type ``D_DEPENDS_ON``).  With
+    ``transitive`` they hold the exact closure too (type ``T_DEPENDS_ON``), and
+    it is kept as parquet (``closure``) for the depth-1 dependency computation.
+    Returns the numbers of nodes, direct edges, closure pairs and rejected lines.
     """
-    records = read_dependency_records(spark, records_path, require_unique_path=False)
+    lines, rejects = _with_rejects(spark.read.text(records_path), RECORD_LINE_PATTERN)
+    records = parse_dependency_records(lines)
     nodes, edges = G.build_graph(records)
     nodes = G.materialise(nodes)
     edges = G.materialise(edges)
     out = out_dir.rstrip("/")
-    written = edges
-    edge_type = G.DIRECT_EDGE_TYPE
+    closure = None
     if transitive:
-        closure = G.transitive_closure(edges)
-        write_table(closure, f"{out}/closure", cluster_by=["src"])
-        written = read_table(spark, f"{out}/closure")
-        edge_type = G.TRANSITIVE_EDGE_TYPE
-    G.write_graph(nodes, written, f"{out}/nodes", f"{out}/edges", edge_type=edge_type)
-    stats = G.graph_stats(nodes, written).collect()[0]
-    return {"nodes": stats["nodes"], "edges": stats["edges"]}
+        write_table(G.transitive_closure(edges, salt=salt), f"{out}/closure", cluster_by=["src"])
+        closure = read_table(spark, f"{out}/closure")
+    G.write_graph(nodes, edges, f"{out}/nodes", f"{out}/edges", closure)
+    stats = G.graph_stats(nodes, edges).collect()[0]
+    return {
+        "nodes": stats["nodes"], "edges": stats["edges"], "closure": closure.count() if transitive else 0,
+        "rejected": int(rejects.get["rejected"] or 0),
+    }
+
+
+def _with_rejects(lines: DataFrame, pattern: str) -> tuple[DataFrame, Observation]:
+    """Lines, and a count of the malformed ones taken while they are read."""
+    seen = Observation()
+    return lines.observe(seen, F.count_if(~is_well_formed(F.col("value"), pattern)).alias("rejected")), seen
 
 
 def resolve(
@@ -66,11 +84,18 @@ def resolve(
     logs_path: str,
     records_path: str,
     gav_logs_path: str,
-) -> None:
-    """Logs + records text -> gav logs parquet, clustered by (client, time)."""
+    salt: bool = True,
+) -> dict[str, int]:
+    """Logs + records text -> gav logs parquet, clustered by (client, time).
+
+    Downloads of one path can be a large share of all, so hot paths are salted.
+    Returns the number of rejected log lines.
+    """
+    rejects = repository_log_rejects(spark.read.text(logs_path)).count()
     logs = read_repository_logs(spark, logs_path)
     records = read_dependency_records(spark, records_path, require_unique_path=True)
-    write_table(resolve_gavs(logs, records, sort=True), gav_logs_path)
+    write_table(resolve_gavs(logs, records, sort=True, salt=salt), gav_logs_path)
+    return {"rejected": rejects}
 
 
 def sessionise(
@@ -110,12 +135,13 @@ def compute_dependencies(
 ) -> None:
     """Sessions starting in ``[start, end)`` -> enhanced sessions parquet.
 
-    Depth 1 reads the closure kept by ``build_graph(transitive=True)``.
+    Depth 1 reads the closure kept by ``build_graph``; the other depths follow
+    its direct edges.
     """
     sessions = S.between(read_table(spark, sessions_path), parse_bound(start), parse_bound(end))
     schemas.check_columns(sessions, schemas.SESSION, "sessions")
     graph = graph_dir.rstrip("/")
-    closure = read_table(spark, f"{graph}/closure") if depth == 1 else None
+    closure = _closure(spark, graph) if depth == 1 else None
     edges = None
     if closure is None:
         _, edges = read_graph(spark, f"{graph}/nodes", f"{graph}/edges")
@@ -127,6 +153,13 @@ def compute_dependencies(
         write_table(enhanced, enhanced_path, cluster_by=["startTime"])
 
 
+def _closure(spark: SparkSession, graph: str) -> DataFrame:
+    try:
+        return read_table(spark, f"{graph}/closure")
+    except AnalysisException as err:
+        raise ValueError(f"{graph} was built without its closure: depth 1 needs build_graph(transitive=True)") from err
+
+
 def report(
     spark: SparkSession,
     enhanced_path: str,
@@ -151,7 +184,7 @@ def daily_report(
     indirect usage tables (CSV partitioned by day)."""
     enhanced = S.between(read_table(spark, enhanced_path), parse_bound(start), parse_bound(end))
     schemas.check_columns(enhanced, schemas.ENHANCED_SESSION, "enhanced sessions")
-    return R.write_daily_reports(enhanced, report_dir.rstrip("/") + f"/{start}_{end}_daily")
+    return R.write_daily_reports(enhanced, report_dir.rstrip("/") + f"/{bound_name(start)}_{bound_name(end)}_daily")
 
 
 def depth_sweep(

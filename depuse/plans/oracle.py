@@ -24,11 +24,11 @@ _PART_DEPS = """CASE WHEN p_partkey // 2 = p_partkey // 3 THEN ['org.part:p' ||
               ELSE ['org.part:p' || (p_partkey // 2), 'org.part:p' || (p_partkey // 3)] END"""
 
 RECORDS = f"""records AS (
-  SELECT 'artifacts/' || p_partkey || '.pom' AS path,
+  SELECT 'artifacts/' || (p_partkey + 10) || '.pom' AS path,
          'org.part:p' || p_partkey AS gav,
          CASE WHEN p_partkey % 10 = 0 THEN ['NO_DEPS'] ELSE {_PART_DEPS} END AS dependencies,
          p_partkey, p_size, p_name
-  FROM part WHERE p_partkey % 10 <> 9)"""
+  FROM part)"""
 
 LOG_LINES = """log_lines AS (
   SELECT concat_ws(' ', clientId, timestamp, agent, path) AS base, event_id % 97 = 0 AS bad, *
@@ -108,9 +108,10 @@ def _deps_from(reach: str) -> str:
 
 
 PIPE = (LOGS, RECORDS, GAV_LOGS, FLAGS, SESSIONS)
-DEPS40 = PIPE + (RANGE, SG, SEEDS, RETAINED, EDGES, _reach("reach", "SELECT gav FROM seeds", "40"), _deps_from("reach"))
+DEPS40 = PIPE + (RANGE, SG, SEEDS, RETAINED, EDGES, _reach("reach", "SELECT gav FROM seeds", str(C.DEEP_HOPS)), _deps_from("reach"))
+DEPS = PIPE + (RANGE, SG, SEEDS, RETAINED, EDGES, CLOSURE, _deps_from("closure"))
 
-ENHANCED = DEPS40 + ("""enhanced AS (
+ENHANCED = DEPS + ("""enhanced AS (
   SELECT s.*, coalesce(d.dependencies, []) AS dependencies
   FROM rsessions s LEFT JOIN (
     SELECT clientId, sessionId, list_sort(list(dependency)) AS dependencies FROM deps GROUP BY ALL) d
@@ -174,15 +175,15 @@ ORACLE: dict[str, str] = {
     "graph_edges": _sql(RECORDS, RETAINED, EDGES, body="SELECT src, dst FROM edges"),
     "graph_edges_valid": _sql(RECORDS, RETAINED, NODES, f"""cand AS (
           SELECT DISTINCT src, dst FROM (
-            SELECT 'org.part:p' || p_partkey AS src, unnest({_PART_DEPS}) AS dst FROM part WHERE p_partkey % 10 <> 0))""",
+            SELECT 'org.part:p' || p_partkey AS src, unnest({_PART_DEPS}) AS dst FROM part))""",
         body="""SELECT src, dst FROM cand WHERE src IN (SELECT id FROM nodes) AND dst IN (SELECT id FROM nodes)"""),
     "adjacency_edges": _sql(f"""adj AS (
           SELECT DISTINCT src, dst FROM (
-            SELECT 'org.part:p' || p_partkey AS src, unnest({_PART_DEPS}) AS dst FROM part))""",
+            SELECT 'org.part:p' || p_partkey AS src, unnest({_PART_DEPS}) AS dst FROM part WHERE p_partkey % 5 <> 4))""",
         body="SELECT src, dst FROM adj"),
     "adjacency_stats": _sql(f"""adj AS (
           SELECT DISTINCT src, dst FROM (
-            SELECT 'org.part:p' || p_partkey AS src, unnest({_PART_DEPS}) AS dst FROM part))""",
+            SELECT 'org.part:p' || p_partkey AS src, unnest({_PART_DEPS}) AS dst FROM part WHERE p_partkey % 5 <> 4))""",
         """adj_nodes AS (SELECT DISTINCT id FROM (
           SELECT 'org.part:p' || p_partkey AS id FROM part UNION ALL SELECT dst AS id FROM adj))""",
         body="""SELECT (SELECT count(*) FROM adj_nodes) AS nodes, (SELECT count(*) FROM adj) AS edges"""),
@@ -252,12 +253,65 @@ ORACLE: dict[str, str] = {
         FROM sg s LEFT JOIN per_gav p USING (gav) GROUP BY s.clientId, s.sessionId"""),
     "cyclic_traversal_work": _sql("""edges AS (SELECT DISTINCT CAST(n_nationkey AS VARCHAR) AS src,
                               CAST((n_nationkey * 7 + 3) % 25 AS VARCHAR) AS dst FROM nation)""",
-        """trails(seed, node, len, used) AS (
+        f"""trails(seed, node, len, used) AS (
           SELECT src, dst, 1, [src || '>' || dst] FROM edges
           UNION ALL
           SELECT t.seed, e.dst, t.len + 1, list_append(t.used, e.src || '>' || e.dst)
           FROM trails t JOIN edges e ON t.node = e.src
-          WHERE NOT list_contains(t.used, e.src || '>' || e.dst))""",
+          WHERE NOT list_contains(t.used, e.src || '>' || e.dst) AND t.len < {C.TRAIL_DEPTH})""",
         body="""SELECT seed AS id, CAST(count(*) AS BIGINT) AS n_paths, CAST(sum(len) AS BIGINT) AS work
         FROM trails GROUP BY seed"""),
 }
+
+_RECORD_COLUMNS = f"path, gav, {_sorted('list_distinct(dependencies)')} AS dependencies, CAST(len(list_distinct(dependencies)) AS INTEGER) AS n_dependencies"
+_LOGS = "SELECT clientId, timestamp, agent, path FROM logs"
+# lines with an extra field do not reach the jobs
+_GOOD_LOGS = LOGS.replace("FROM events)", "FROM events WHERE event_id % 97 <> 0)")
+_GOOD_RECORDS = RECORDS.replace("FROM part)", "FROM part WHERE p_partkey % 97 <> 0)")
+_JOB_PIPE = (_GOOD_LOGS, _GOOD_RECORDS, GAV_LOGS, FLAGS, SESSIONS)
+
+
+def _on_good_lines(*ctes: str) -> tuple[str, ...]:
+    swap = {LOGS: _GOOD_LOGS, RECORDS: _GOOD_RECORDS}
+    return tuple(swap.get(c, c) for c in ctes)
+
+
+_WINDOW = RANGE.replace(str(parse_bound(C.REPORT_START)), str(parse_bound(C.WINDOW_START))).replace(
+    str(parse_bound(C.REPORT_END)), str(parse_bound(C.WINDOW_END)))
+
+ORACLE |= {
+    "file_repository_logs": ORACLE["parse_repository_logs"],
+    "file_dependency_records": ORACLE["parse_dependency_records"],
+    "file_graph_records": _sql(RECORDS, f"""named AS (
+          SELECT 'names/' || replace(p_name, ' ', '-') || '.pom' AS path, gav, dependencies FROM records)""",
+        body=f"SELECT {_RECORD_COLUMNS} FROM named"),
+    "file_parquet_table": _sql(LOGS, body=_LOGS),
+    "file_create_only": _sql(LOGS, body=_LOGS),
+    "file_read_or_create": _sql(LOGS, body=_LOGS),
+    "file_graph_nodes": _sql(RECORDS, RETAINED, NODES, body="SELECT id, 'GAV' AS label, true AS sorted FROM nodes"),
+    "file_graph_edges": _sql(RECORDS, RETAINED, EDGES, CLOSURE, body="""
+        SELECT src, dst, 'D_DEPENDS_ON' AS type FROM edges
+        UNION ALL SELECT src, dst, 'T_DEPENDS_ON' AS type FROM closure"""),
+    "file_usage_report": _sql(*ENHANCED, body="""
+        SELECT gav, clients, 'direct' AS kind FROM direct_rep
+        UNION ALL SELECT gav, clients, 'indirect' AS kind FROM indirect_rep"""),
+    "file_adjacency": _sql(f"""adj AS (
+          SELECT DISTINCT src, dst FROM (
+            SELECT 'org.part:p' || p_partkey AS src, unnest({_PART_DEPS}) AS dst FROM part WHERE p_partkey % 5 <> 4))""",
+        body="SELECT DISTINCT id FROM (SELECT 'org.part:p' || p_partkey AS id FROM part UNION ALL SELECT dst AS id FROM adj)"),
+    "job_build_graph": _sql(_GOOD_RECORDS, RETAINED, NODES, EDGES, CLOSURE, body="""
+        SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges,
+               (SELECT count(*) FROM closure) AS closure,
+               (SELECT count(*) FROM part WHERE p_partkey % 97 = 0) AS rejected"""),
+    "job_resolve": _sql(_GOOD_LOGS, _GOOD_RECORDS, GAV_LOGS, body="""
+        SELECT clientId, timestamp, agent, gav, true AS sorted FROM gav_logs"""),
+    "job_sessionise": _sql(*_JOB_PIPE, body=f"SELECT {SESSION_COLS}, {_DAY} AS day FROM sessions"),
+    "job_dependencies": _sql(*[_WINDOW if c == RANGE else c for c in _on_good_lines(*ENHANCED)], body=f"""
+        SELECT clientId, sessionId, {_sorted('dependencies')} AS dependencies, CAST(len(dependencies) AS INTEGER) AS n_dependencies
+        FROM enhanced"""),
+    "job_dependencies_hops": _sql(*_JOB_PIPE, RANGE, SG, SEEDS, RETAINED, EDGES,
+        _reach("reach", "SELECT gav FROM seeds", str(C.SESSION_HOPS)), _deps_from("reach"),
+        body="SELECT clientId, sessionId, dependency FROM deps"),
+    "job_report": _sql(*_on_good_lines(*ENHANCED), body="SELECT gav, clients FROM direct_rep"),
+    "job_depth_sweep": ORACLE["depth_sweep"].replace(LOGS, _GOOD_LOGS).replace(RECORDS, _GOOD_RECORDS),
+}

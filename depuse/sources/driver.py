@@ -6,8 +6,8 @@ The driver tables hold no download logs, so fixed projections stand in:
   event type, path = ``artifacts/<props.k>.pom``;
 * dependency records from ``part``: part ``k`` has gav ``org.part:p<k>`` and
   depends on parts ``k div 2`` and ``k div 3``; parts ending in 0 have the
-  ``NO_DEPS`` sentinel and parts ending in 9 have no record at all, so a tenth
-  of the downloads cannot be resolved (an acyclic graph);
+  ``NO_DEPS`` sentinel (an acyclic graph).  The file of part ``k`` has key
+  ``k + 10``, so downloads of keys 0 to 9 cannot be resolved;
 * a cyclic graph from ``nation``: ``n -> (7n + 3) mod 25``.
 
 Rendering helpers turn the projections into text lines so the text parsers
@@ -27,6 +27,7 @@ from depuse.functions.time import epoch_millis
 PATH_PREFIX = "artifacts/"
 PATH_SUFFIX = ".pom"
 GAV_PREFIX = "org.part:p"
+FIRST_FILE = 10
 MALFORMED_EVERY = 97
 DEFAULT_MAX_IDLE_MS = 43_200_000
 NO_DEPS = SENTINELS[1]
@@ -76,35 +77,37 @@ def _part_dependencies(key: Column) -> Column:
 
 
 def all_part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidate edges of every part, records or not (``src, dst``)."""
+    """Candidate edges of every part, sentinel or not (``src, dst``)."""
     part = table(spark, sf_dir, "part")
     key = F.col("p_partkey")
-    return part.filter(key % 10 != 0).select(
+    return part.select(
         _gav_of(key).alias("src"),
         F.explode(F.array_distinct(F.array(_gav_of(F.floor(key / 2)), _gav_of(F.floor(key / 3))))).alias("dst"),
     )
 
 
 def adjacency_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One adjacency line ``<gav> <dep>,<dep>`` per part (every part)."""
+    """One adjacency line ``<gav> <dep>,<dep>`` per part; every fifth has no
+    dependencies, only its name."""
     part = table(spark, sf_dir, "part")
     key = F.col("p_partkey")
     deps = F.array_distinct(F.array(_gav_of(F.floor(key / 2)), _gav_of(F.floor(key / 3))))
-    return part.select(F.concat_ws(" ", _gav_of(key), F.array_join(deps, ",")).alias("value"))
+    listed = F.when(key % 5 != 4, F.array_join(deps, ","))
+    return part.select(F.concat_ws(" ", _gav_of(key), listed).alias("value"))
 
 
 def dependency_records(spark: SparkSession, sf_dir: str, with_key: bool = False) -> DataFrame:
-    """``path, gav, dependencies`` for parts that have a record."""
+    """``path, gav, dependencies`` of every part."""
     part = table(spark, sf_dir, "part")
     key = F.col("p_partkey")
     cols = [
-        _path_of(key).alias("path"),
+        _path_of(key + FIRST_FILE).alias("path"),
         _gav_of(key).alias("gav"),
         _part_dependencies(key).alias("dependencies"),
     ]
     if with_key:
         cols += [key, F.col("p_size"), F.col("p_name")]
-    return part.filter(key % 10 != 9).select(*cols)
+    return part.select(*cols)
 
 
 def dependency_record_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,6 +22,8 @@ from depuse.functions.parsing import (
 GRAPH_DELIMITER = "|"
 NODE_HEADER = ("id:ID", ":LABEL")
 EDGE_HEADER = (":START_ID", ":END_ID", ":TYPE")
+DIRECT_EDGE_TYPE = "D_DEPENDS_ON"
+TRANSITIVE_EDGE_TYPE = "T_DEPENDS_ON"
 
 
 def parse_repository_logs(lines: DataFrame, column: str = "value", on_overflow: str = "fail") -> DataFrame:
@@ -86,13 +88,13 @@ def parse_adjacency(lines: DataFrame, column: str = "value") -> tuple[DataFrame,
     """Adjacency lines -> (nodes, edges).
 
     Nodes are every gav named on either side; edges are distinct.  Blank
-    lines are skipped.
+    lines are skipped; a line without dependencies is a node of its own.
     """
     lines = lines.filter(F.length(F.trim(column)) > 0)
     parts = lines.select(F.split(F.trim(column), " ").alias("f"))
     rows = parts.select(
         F.element_at("f", 1).alias("src"),
-        split_dependencies(F.coalesce(F.element_at("f", 2), F.lit(""))).alias("deps"),
+        split_dependencies(F.coalesce(F.get("f", F.lit(1)), F.lit(""))).alias("deps"),
     )
     edges = rows.select("src", F.explode("deps").alias("dst")).distinct()
     nodes = (
@@ -103,20 +105,21 @@ def parse_adjacency(lines: DataFrame, column: str = "value") -> tuple[DataFrame,
     return nodes, edges
 
 
-def read_graph(spark: SparkSession, nodes_path: str, edges_path: str) -> tuple[DataFrame, DataFrame]:
+def read_graph(
+    spark: SparkSession, nodes_path: str, edges_path: str, edge_type: str = DIRECT_EDGE_TYPE
+) -> tuple[DataFrame, DataFrame]:
     """Read pipe-delimited graph files written by ``operators.graph.write_graph``.
 
-    Duplicate node ids are ignored (ids are unique afterwards); edge type is
-    dropped.
+    Duplicate node ids are ignored (ids are unique afterwards).  Only edges of
+    ``edge_type`` are returned; files with edges, but none of this type, raise.
     """
     nodes = (
         spark.read.csv(nodes_path, sep=GRAPH_DELIMITER, header=True, schema="id string, label string")
         .select("id")
         .dropDuplicates(["id"])
     )
-    edges = (
-        spark.read.csv(edges_path, sep=GRAPH_DELIMITER, header=True, schema="src string, dst string, type string")
-        .select("src", "dst")
-        .distinct()
-    )
-    return nodes, edges
+    every = spark.read.csv(edges_path, sep=GRAPH_DELIMITER, header=True, schema="src string, dst string, type string")
+    edges = every.filter(F.col("type") == edge_type)
+    if edges.isEmpty() and not every.isEmpty():
+        raise ValueError(f"{edges_path} holds no {edge_type} edges")
+    return nodes, edges.select("src", "dst").distinct()

@@ -4,8 +4,8 @@ The same parsing (S1) and path join (J1) as the batch resolver, over a file
 stream: a stream-static inner join with the dependency records, appended to
 a parquet gav-log table.  ``Trigger.AvailableNow`` processes whatever has
 arrived and stops, so a scheduler can run it like a batch job that only
-reads new files.  The stream's progress lives under the cluster's shared
-``spark.checkpoint.dir`` unless a location is given.
+reads new files.  The stream's progress lives beside its output
+(``<output>-progress``) unless a location is given, so the next run finds it.
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from depuse.operators.resolve import resolve_gavs
-from depuse.session import ensure_checkpoint_dir
 from depuse.sources.text import parse_repository_logs
 
 
@@ -36,10 +35,8 @@ def resolve_stream(
     available_now: bool = True,
 ) -> StreamingQuery:
     """Start appending resolved gav logs of new files to ``gav_logs_path``."""
-    location = checkpoint_location or (
-        ensure_checkpoint_dir(spark).rstrip("/") + "/streams/resolve-" + gav_logs_path.strip("/").replace("/", "_")
-    )
-    resolved = resolve_gavs(stream_repository_logs(spark, logs_path), records)
+    location = checkpoint_location or gav_logs_path.rstrip("/") + "-progress"
+    resolved = resolve_gavs(stream_repository_logs(spark, logs_path), records, salt=False)
     writer = resolved.writeStream.format("parquet").option("checkpointLocation", location).outputMode("append")
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start(gav_logs_path)

@@ -1,71 +1,77 @@
+import random
+
 import pytest
-from pyspark.sql import functions as F
 
 from depuse.operators import deps as D
 from depuse.operators import graph as G
 from tests.conftest import rows
-from tests.test_graph import adjacency
+from tests.test_graph import adjacency, random_edges
+from tests.test_properties import bfs_hops
+
+SESSION = "clientId int, sessionId bigint, startTime bigint, endTime bigint, gavs array<string>"
+GAVS = [["v1"], ["v1", "v2", "v3"], [f"v{k}" for k in range(16)], ["stranger"], ["v4", "stranger", "v9"], ["alone", "v0"]]
 
-ALL15 = "top1,dep1,dep2,dep3,dep4,dep22,top2,dep5,dep6,dep23,top3,dep7,dep8,dep21,dep24"
-CASES = [
-    (ALL15, "dep1,dep2,dep3,dep4,dep22,dep5,dep6,dep23,dep7,dep8,dep21,dep24"),
-    ("top1,top2,top3", ""),
-    ("absent1,absent2,absent3", ""),
-    ("top1,absent1,absent2,absent3", ""),
-    ("absent1,top1,top2,top3,dep24", "dep24"),
-]
 
+def sessions(spark, lists):
+    data = [(7, i, 100 + i, 200 + i, gavs) for i, gavs in enumerate(lists)]
+    return spark.createDataFrame(data, SESSION)
 
-def sessions(spark, gav_lists):
-    data = [(7, i, 100 + i, 200 + i, ["t:" + g for g in gl.split(",")]) for i, gl in enumerate(gav_lists)]
-    return spark.createDataFrame(
-        data, "clientId int, sessionId bigint, startTime bigint, endTime bigint, gavs array<string>")
 
+def expected(edges, gavs, most=None):
+    hops = {(a[1:], b[1:]): k for (a, b), k in bfs_hops(edges).items() if most is None or k <= most}
+    return sorted({b for a in gavs for b in gavs if (a, b) in hops})
 
-@pytest.mark.parametrize("depth", [10, 1, 0, 40])
-def test_golden_sessions(spark, tmp_dir, depth):
+
+@pytest.mark.parametrize("depth", [0, 1, 2, 3, 40])
+def test_sessions_agree_with_brute_force(spark, tmp_dir, depth):
     _, edges = adjacency(spark, tmp_dir)
-    enhanced = D.compute_dependencies(sessions(spark, [c for c, _ in CASES]), edges, depth=depth)
-    got = {r["sessionId"]: r for r in enhanced.collect()}
-    for i, (_, expected) in enumerate(CASES):
-        want = sorted("t:" + d for d in expected.split(",")) if expected else []
-        assert got[i]["dependencies"] == want
+    got = {r["sessionId"]: r for r in D.compute_dependencies(sessions(spark, GAVS), edges, depth=depth).collect()}
+    for i, gavs in enumerate(GAVS):
+        assert got[i]["dependencies"] == expected(random_edges(11), gavs, depth if depth > 1 else None)
         assert got[i]["execMillis"] == -1 and got[i]["errorDeps"] is None
 
 
-def test_closure_mode_with_precomputed_closure(spark, tmp_dir):
-    _, edges = adjacency(spark, tmp_dir)
-    closure = G.transitive_closure(edges)
-    enhanced = D.compute_dependencies(sessions(spark, [CASES[4][0]]), None, depth=1, closure=closure)
-    assert enhanced.collect()[0]["dependencies"] == ["t:dep24"]
+def test_default_depth_is_the_whole_closure(spark):
+    chain = spark.createDataFrame([(f"n{k}", f"n{k + 1}") for k in range(45)], "src string, dst string")
+    got = D.compute_dependencies(sessions(spark, [["n0", "n43"]]), chain).first()
+    assert got["dependencies"] == ["n43"]
+    closure = G.transitive_closure(chain)
+    assert D.compute_dependencies(sessions(spark, [["n0", "n43"]]), closure=closure).first()["dependencies"] == ["n43"]
 
 
-def test_hop_limit(spark, tmp_dir):
-    _, edges = adjacency(spark, tmp_dir)
-    sess = sessions(spark, ["top1,dep21", "top1,dep3"])
-    one = {r["sessionId"]: r["dependencies"] for r in D.compute_dependencies(sess, edges, depth=2).collect()}
-    assert one == {0: ["t:dep21"], 1: ["t:dep3"]}
-    deps = D.session_dependencies(
-        sess.select("clientId", "sessionId", F.explode("gavs").alias("gav")),
-        G.reachable(edges, max_depth=1))
-    assert rows(deps, "sessionId", "dependency") == [(1, "t:dep3")]
+def test_hop_limit(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d")], "src string, dst string")
+    sess = sessions(spark, [["a", "c"], ["a", "d"], ["b", "a"]])
+    two = {r["sessionId"]: r["dependencies"] for r in D.compute_dependencies(sess, edges, depth=2).collect()}
+    assert two == {0: ["c"], 1: [], 2: ["b"]}
+    assert rows(D.session_dependencies(sess, G.reachable(edges, max_depth=1)), "sessionId", "dependency") == [(2, "b")]
 
 
 def test_cycle_member_is_its_own_dependency(spark):
-    edges = spark.createDataFrame([("t:a", "t:b"), ("t:b", "t:a")], "src string, dst string")
-    enhanced = D.compute_dependencies(sessions(spark, ["a"]), edges, depth=0)
-    assert enhanced.collect()[0]["dependencies"] == ["t:a"]
+    edges = spark.createDataFrame([("a", "b"), ("b", "a")], "src string, dst string")
+    enhanced = D.compute_dependencies(sessions(spark, [["a"]]), edges, depth=0)
+    assert enhanced.collect()[0]["dependencies"] == ["a"]
 
 
 def test_negative_depth_rejected(spark, tmp_dir):
     _, edges = adjacency(spark, tmp_dir)
     with pytest.raises(ValueError):
-        D.compute_dependencies(sessions(spark, ["top1"]), edges, depth=-1)
+        D.compute_dependencies(sessions(spark, [["v1"]]), edges, depth=-1)
 
 
-def test_salted_equals_plain(spark, tmp_dir):
+def test_salted_and_split_targets_change_nothing(spark, tmp_dir, monkeypatch):
     _, edges = adjacency(spark, tmp_dir)
-    many = [CASES[0][0]] * 30 + [c for c, _ in CASES]
-    long = sessions(spark, many).select("clientId", "sessionId", F.explode("gavs").alias("gav"))
+    draw = random.Random(5)
+    many = sessions(spark, [GAVS[2]] * 30 + [draw.sample(GAVS[2], 5) for _ in range(20)])
     reach = G.transitive_closure(edges)
-    assert rows(D.session_dependencies(long, reach, salt=True)) == rows(D.session_dependencies(long, reach, salt=False))
+    plain = rows(D.session_dependencies(many, reach, salt=False))
+    assert rows(D.session_dependencies(many, reach, salt=True)) == plain
+    monkeypatch.setattr(D, "TARGETS_PER_ROW", 2)
+    assert rows(D.session_dependencies(many, reach)) == plain
+
+
+def test_only_hits_leave_the_join(spark, tmp_dir):
+    """Targets outside the session are dropped in the stage that joins."""
+    _, edges = adjacency(spark, tmp_dir)
+    plan = D.session_dependencies(sessions(spark, GAVS), edges, salt=False)._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_intersect" in plan

@@ -12,14 +12,20 @@ def test_parse_bound_both_forms():
     assert parse_bound("2014-06-18T00-00Z") == 1403049600000
     assert parse_bound("2014-06-18T00:00Z") == 1403049600000
     assert parse_bound("2014-06-18T02-00+0200") == 1403049600000
+    for text in ("2014-06-18T02-00+02", "2014-06-18T02:00+02", "2014-06-17T19-30-0430"):
+        assert parse_bound(text) == 1403049600000
     assert parse_bound(5) == 5
+    for bad in ("2014-06-18T02-00+02:00", "2014-06-18T00-00", "2014-06-18"):
+        with pytest.raises(ValueError):
+            parse_bound(bad)
     with pytest.raises(ValueError):
         parse_bound("18/06/2014")
 
 
 def test_bound_millis_column(spark):
-    df = spark.createDataFrame([("2014-06-18T00-00Z",), ("2014-06-18T00:00Z",), ("junk",)], "t string")
-    assert [r[0] for r in df.select(bound_millis(F.col("t"))).collect()] == [1403049600000, 1403049600000, None]
+    same = ["2014-06-18T00-00Z", "2014-06-18T00:00Z", "2014-06-18T02-00+02", "2014-06-17T19-30-0430"]
+    df = spark.createDataFrame([(t,) for t in [*same, "junk", "2014-06-18T02-00+02:00"]], "t string")
+    assert [r[0] for r in df.select(bound_millis(F.col("t"))).collect()] == [1403049600000] * 4 + [None] * 2
 
 
 def test_epoch_millis_ignores_session_zone(spark):

@@ -1,8 +1,18 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from depuse.operators import graph as G
-from depuse.sources.text import parse_dependency_records, read_adjacency, read_graph
+from depuse.sources.text import (
+    DIRECT_EDGE_TYPE,
+    TRANSITIVE_EDGE_TYPE,
+    parse_dependency_records,
+    read_adjacency,
+    read_graph,
+)
 from tests.conftest import rows
+from tests.test_properties import bfs_hops
 
 P = "t:"  # short gav prefix
 
@@ -13,11 +23,13 @@ def records(spark, spec):
     return parse_dependency_records(spark.createDataFrame(data, "value string"))
 
 
-BASIC = [
-    ("top1", ["dep1", "dep2", "dep3"]),
-    ("top2", ["dep4", "dep1", "dep3"]),
-    ("top3", ["UNKNOWN_DEPS"]),
-    ("top4", ["NO_DEPS"]),
+# A web application and what it builds on; two leaves say that they have none.
+WEB = [
+    ("web", ["json", "http"]),
+    ("http", ["sockets"]),
+    ("json", ["NO_DEPS"]),
+    ("mail", ["UNKNOWN_DEPS"]),
+    ("cron", ["http", "clock", "NO_DEPS"]),
 ]
 
 
@@ -25,23 +37,24 @@ def ids(df, col="id"):
     return sorted(r[col].replace(P, "") for r in df.collect())
 
 
-def test_basic_with_sentinels(spark):
-    nodes, edges = G.build_graph(records(spark, BASIC))
-    assert ids(nodes) == ["dep1", "dep2", "dep3", "dep4", "top1", "top2"]
-    assert edges.count() == 6
+def test_sentinel_only_records_are_no_nodes_unless_named(spark):
+    nodes, edges = G.build_graph(records(spark, WEB))
+    assert ids(nodes) == ["clock", "cron", "http", "json", "sockets", "web"]
+    assert edges.count() == 5
 
 
 def test_repeated_gav_unions_dependencies(spark):
-    nodes, edges = G.build_graph(records(spark, BASIC + [("top3", ["dep6"])]))
-    assert ids(nodes) == ["dep1", "dep2", "dep3", "dep4", "dep6", "top1", "top2", "top3"]
+    nodes, edges = G.build_graph(records(spark, WEB + [("mail", ["sockets"]), ("web", ["http", "mail"])]))
+    assert "mail" in ids(nodes)
     assert edges.count() == 7
 
 
-def test_transitive_chain(spark):
-    recs = records(spark, [("top1", ["dep1", "dep2"]), ("dep1", ["dep11"]), ("dep11", ["dep111"])])
-    nodes, edges = G.build_graph(recs)
-    assert ids(nodes) == ["dep1", "dep11", "dep111", "dep2", "top1"]
-    assert G.transitive_closure(edges).count() == 7
+def test_chain_longer_than_forty_reaches_its_end(spark):
+    chain = [(f"n{k}", f"n{k + 1}") for k in range(50)]
+    edges = spark.createDataFrame(chain, "src string, dst string")
+    closure = G.transitive_closure(edges)
+    assert closure.count() == 50 * 51 // 2
+    assert rows(closure.filter("src = 'n0' and dst = 'n50'")) == [("n0", "n50")]
 
 
 def test_diamond_closure_is_exact(spark):
@@ -71,27 +84,29 @@ def test_mixed_sentinels_are_stripped(spark):
     assert [(r["gav"], r["dependencies"]) for r in kept.collect()] == [(P + "m", [P + "a"])]
 
 
-def adjacency(spark, tmp_dir):
-    text = """t:top1 t:dep1,t:dep2,t:dep3,t:dep4,t:dep22
-t:top2 t:dep1,t:dep2,t:dep5,t:dep6,t:dep23
-t:top3 t:dep1,t:dep5,t:dep7,t:dep8,t:dep21
-t:dep3 t:dep21,t:dep22
-t:dep5 t:dep23,t:dep21
-t:dep7 t:dep24,t:dep21
-"""
+def random_edges(seed, nodes=16, n=30):
+    draw = random.Random(seed)
+    return sorted({(f"v{draw.randrange(nodes)}", f"v{draw.randrange(nodes)}") for _ in range(n)})
+
+
+def adjacency(spark, tmp_dir, seed=11):
+    """A random graph (cycles included) written and read as adjacency lines."""
+    out = {}
+    for a, b in random_edges(seed):
+        out.setdefault(a, []).append(b)
     path = f"{tmp_dir}/adj.txt"
     with open(path, "w") as fh:
-        fh.write(text)
+        fh.write("".join(f"{a} {','.join(bs)}\n" for a, bs in out.items()) + "alone\n")
     return read_adjacency(spark, path)
 
 
 def test_adjacency_graph_counts(spark, tmp_dir):
     nodes, edges = adjacency(spark, tmp_dir)
     stats = G.graph_stats(nodes, edges).collect()[0]
-    assert (stats["nodes"], stats["edges"]) == (15, 21)
-    closure = G.reachable(edges)
-    assert closure.count() == 25
-    assert closure.agg(F.max("hops")).collect()[0][0] == 2
+    known = random_edges(11)
+    assert (stats["nodes"], stats["edges"]) == (len({v for e in known for v in e}) + 1, len(known))
+    least = bfs_hops(known)
+    assert {(r.src, r.dst): r.hops for r in G.reachable(edges).collect()} == {(a[1:], b[1:]): k for (a, b), k in least.items()}
 
 
 def test_closure_idempotent_and_hops_monotone(spark, tmp_dir):
@@ -106,9 +121,9 @@ def test_closure_idempotent_and_hops_monotone(spark, tmp_dir):
 
 def test_seeded_reach_matches_full(spark, tmp_dir):
     _, edges = adjacency(spark, tmp_dir)
-    seeds = spark.createDataFrame([("t:top1",), ("t:dep5",)], "id string")
+    seeds = spark.createDataFrame([("v1",), ("v5",)], "id string")
     seeded = rows(G.reachable(edges, seeds=seeds))
-    full = [r for r in rows(G.reachable(edges)) if r[0] in ("t:top1", "t:dep5")]
+    full = [r for r in rows(G.reachable(edges)) if r[0] in ("v1", "v5")]
     assert seeded == full
 
 
@@ -119,18 +134,21 @@ def test_validate_edges(spark):
 
 
 def test_graph_files_round_trip(spark, tmp_dir):
-    nodes, edges = G.build_graph(records(spark, BASIC + [("dup", ["dep1"])]))
+    nodes, edges = G.build_graph(records(spark, WEB + [("ftp", ["sockets"])]))
     G.write_graph(nodes, edges, f"{tmp_dir}/nodes", f"{tmp_dir}/edges")
     header = open(sorted(__import__("glob").glob(f"{tmp_dir}/nodes/part-*.csv"))[0]).readline().strip()
     assert header == "id:ID|:LABEL"
     n2, e2 = read_graph(spark, f"{tmp_dir}/nodes", f"{tmp_dir}/edges")
     assert rows(n2) == rows(nodes)
     assert rows(e2) == rows(edges)
+    with pytest.raises(ValueError, match="T_DEPENDS_ON"):
+        read_graph(spark, f"{tmp_dir}/nodes", f"{tmp_dir}/edges", TRANSITIVE_EDGE_TYPE)
+    G.write_graph(nodes, edges, f"{tmp_dir}/nodes", f"{tmp_dir}/edges", G.transitive_closure(edges))
+    both = [read_graph(spark, f"{tmp_dir}/nodes", f"{tmp_dir}/edges", t)[1] for t in (DIRECT_EDGE_TYPE, TRANSITIVE_EDGE_TYPE)]
+    assert [rows(e) for e in both] == [rows(edges), rows(G.transitive_closure(edges))]
 
 
 def test_empty_graph_refused(spark, tmp_dir):
-    import pytest
-
     nodes, edges = G.build_graph(records(spark, [("q", ["NO_DEPS"])]))
     with pytest.raises(ValueError):
         G.write_graph(nodes, edges, f"{tmp_dir}/n", f"{tmp_dir}/e")
@@ -145,18 +163,52 @@ def test_traversal_work_counts_paths(spark):
     assert got == [("A", 6, 1 + 1 + 2 + 2 + 3 + 3), ("D", 1, 1)]
 
 
-def test_traversal_work_on_cycle_uses_trails(spark):
+def test_traversal_work_on_a_cycle(spark):
     # a->b, b->a, b->c : trails from a: ab, aba, abc ; from b: ba, bc, bab, babc
     edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c")], "src string, dst string")
     seeds = spark.createDataFrame([("a",), ("b",)], "id string")
-    assert rows(G.traversal_work(edges, seeds)) == [("a", 3, 1 + 2 + 2), ("b", 4, 1 + 1 + 2 + 3)]
-    assert rows(G.traversal_work(edges, seeds, mode="trails")) == rows(G.traversal_work(edges, seeds))
-    import pytest
-
-    with pytest.raises(ValueError):
-        G.traversal_work(edges, seeds, mode="counts")
+    assert rows(G.traversal_work(edges, seeds, max_depth=9)) == [("a", 3, 1 + 2 + 2), ("b", 4, 1 + 1 + 2 + 3)]
+    assert rows(G.traversal_work(edges, seeds, max_depth=2)) == [("a", 3, 5), ("b", 3, 1 + 1 + 2)]
+    for bad in ({"mode": "counts"}, {"mode": "counts", "max_depth": 3}, {}, {"mode": "trails"}):
+        with pytest.raises(ValueError):
+            G.traversal_work(edges, seeds, **bad)
+    leaf = spark.createDataFrame([("c",)], "id string")  # reaches no cycle
+    assert G.traversal_work(edges, leaf).count() == 0
+
+
+def test_dense_cycle_with_a_tail_is_recognised(spark):
+    dense = [(f"d{a}", f"d{b}") for a in range(8) for b in range(8) if a != b]
+    tail = [("d0", "t0")] + [(f"t{k}", f"t{k + 1}") for k in range(12)]
+    edges = spark.createDataFrame(dense + tail, "src string, dst string")
+    seeds = spark.createDataFrame([("d3",)], "id string")
+    with pytest.raises(ValueError, match="cycle"):
+        G.traversal_work(edges, seeds)
+    tail_only = spark.createDataFrame([("t0",)], "id string")
+    assert rows(G.traversal_work(edges, tail_only)) == [("t0", 12, sum(range(1, 13)))]
+
+
+@pytest.mark.parametrize("seed,bound", [(1, 3), (2, 4), (3, 2), (4, None)])
+def test_traversal_work_matches_brute_force(spark, seed, bound):
+    known = random_edges(seed, 7, 10)
+    if bound is None:
+        known = [(a, b) for a, b in known if a < b]  # no cycle
+    out = {}
+    for a, b in known:
+        out.setdefault(a, []).append(b)
+
+    def trails(node, used):
+        for b in out.get(node, []):
+            if (node, b) not in used and (bound is None or len(used) < bound):
+                yield len(used) + 1
+                yield from trails(b, used | {(node, b)})
+
+    want = sorted((v, len(t), sum(t)) for v in out if (t := list(trails(v, frozenset()))))
+    edges = spark.createDataFrame(known, "src string, dst string")
+    seeds = spark.createDataFrame([(v,) for v in out], "id string")
+    assert rows(G.traversal_work(edges, seeds, max_depth=bound)) == want
 
 
 def test_salted_expansion_same_result(spark, tmp_dir):
     _, edges = adjacency(spark, tmp_dir)
     assert rows(G.reachable(edges, salt=True)) == rows(G.reachable(edges))
+    assert rows(G.transitive_closure(edges, salt=True)) == rows(G.reachable(edges).select("src", "dst"))

@@ -3,6 +3,7 @@ import pytest
 from depuse.operators.quality import DuplicatePathError, assert_unique_paths, duplicate_paths
 from depuse.sources.text import (
     dependency_record_rejects,
+    parse_adjacency,
     parse_dependency_records,
     parse_repository_logs,
     read_dependency_records,
@@ -16,35 +17,42 @@ def lines(spark, values):
     return spark.createDataFrame([(v,) for v in values], "value string")
 
 
-LOG_SAMPLE = [
-    "42 1403074209000 ide org/example/driver/1.0.2/driver-1.0.2.jar",
-    "42 1403141587000 ide org/example/logging/2.0-beta/logging-2.0-beta.pom",
-    "wrongly formatted line",
-]
-
-RECORD_SAMPLE = [
-    "1500 org/example/tools/metadata.xml org.example:tools UNKNOWN_DEPS",
-    "1400 org/example/plugins/metadata.xml org.example:plugins UNKNOWN_DEPS",
-    "wrongly formatted line",
-]
-
-
-def test_log_sample_two_of_three(spark, tmp_dir):
-    path = f"{tmp_dir}/repolog.txt"
-    with open(path, "w") as fh:
-        fh.write("\n".join(LOG_SAMPLE) + "\n")
+# Cases from the line format: four fields parted by single spaces.
+GOOD_LOGS = {
+    "0 0 a b": (0, 0, "a", "b"),
+    "2147483647 9223372036854775807 gradle/8.1 x": (2147483647, 9223372036854775807, "gradle/8.1", "x"),
+    "007 1700000000123 curl é/ü.jar": (7, 1700000000123, "curl", "é/ü.jar"),
+    "5 6 tab\there no".replace("\t", "~"): (5, 6, "tab~here", "no"),
+}
+BAD_LOGS = ["1 2 a", "1  2 a b", "1\t2 a b", " 1 2 a b", "1 2 a b ", "1 2 a b\r", "-1 2 a b", "1 2.5 a b", "x 2 a b", "1 2 a b c"]
+GOOD_RECORDS = {
+    "12 a/b.pom g:a:1 g:x,g:y": ("a/b.pom", "g:a:1", ["g:x", "g:y"]),
+    "99999999999999999999 long g:count NO_DEPS": ("long", "g:count", ["NO_DEPS"]),
+    "0 p g ü": ("p", "g", ["ü"]),
+}
+BAD_RECORDS = ["1 p g", "1 p g d e", "one p g d", "1 p g d\r", "1 p  g d", "1 p g d "]
+
+
+def test_log_files(spark, tmp_dir):
+    path = f"{tmp_dir}/logs.txt"
+    with open(path, "w", newline="") as fh:
+        fh.write("\n".join([*GOOD_LOGS, *(x for x in BAD_LOGS if "\r" not in x)]) + "\n")
     logs = read_repository_logs(spark, path)
     assert logs.schema.simpleString() == "struct<clientId:int,timestamp:bigint,agent:string,path:string>"
-    assert rows(logs) == [
-        (42, 1403074209000, "ide", "org/example/driver/1.0.2/driver-1.0.2.jar"),
-        (42, 1403141587000, "ide", "org/example/logging/2.0-beta/logging-2.0-beta.pom"),
-    ]
+    assert rows(logs) == sorted(GOOD_LOGS.values())
+
+
+def test_every_malformed_line_is_rejected(spark):
+    assert parse_repository_logs(lines(spark, BAD_LOGS)).count() == 0
+    assert sorted(r.line for r in repository_log_rejects(lines(spark, [*BAD_LOGS, *GOOD_LOGS])).collect()) == sorted(BAD_LOGS)
+    assert parse_dependency_records(lines(spark, BAD_RECORDS)).count() == 0
+    assert dependency_record_rejects(lines(spark, [*BAD_RECORDS, *GOOD_RECORDS])).count() == len(BAD_RECORDS)
 
 
 def test_log_rejects_null_empty_malformed(spark):
-    df = lines(spark, [None, "", "clientID-wrong 1421030666000 m2e a/b.pom", "1 2 a b c", "1 2 a b"])
+    df = lines(spark, [None, "", "client 2 a b", "1 2 a b"])
     assert rows(parse_repository_logs(df)) == [(1, 2, "a", "b")]
-    assert repository_log_rejects(df).count() == 4
+    assert repository_log_rejects(df).count() == 3
 
 
 def test_log_overflow_fails_or_rejects(spark):
@@ -54,19 +62,21 @@ def test_log_overflow_fails_or_rejects(spark):
     assert rows(parse_repository_logs(df, on_overflow="reject")) == [(1, 2, "a", "b")]
 
 
-def test_record_sample(spark, tmp_dir):
+def test_record_files(spark, tmp_dir):
     path = f"{tmp_dir}/deps.txt"
     with open(path, "w") as fh:
-        fh.write("\n".join(RECORD_SAMPLE) + "\n")
-    recs = read_dependency_records(spark, path)
-    assert rows(recs) == [
-        ("org/example/plugins/metadata.xml", "org.example:plugins", ["UNKNOWN_DEPS"]),
-        ("org/example/tools/metadata.xml", "org.example:tools", ["UNKNOWN_DEPS"]),
-    ]
+        fh.write("\n".join(GOOD_RECORDS) + "\n")
+    assert rows(read_dependency_records(spark, path)) == sorted(GOOD_RECORDS.values())
+
+
+def test_adjacency_line_without_dependencies(spark):
+    nodes, edges = parse_adjacency(lines(spark, ["a b,c", "lone", "", "  ", "c ,", None]))
+    assert rows(nodes) == [("a",), ("b",), ("c",), ("lone",)]
+    assert rows(edges) == [("a", "b"), ("a", "c")]
 
 
 def test_record_extra_field_null_empty_rejected(spark):
-    df = lines(spark, [None, "", "1 p g a,b Additional Param", "1 p g a,b"])
+    df = lines(spark, [None, "", "1 p g a,b more words", "1 p g a,b"])
     assert rows(parse_dependency_records(df)) == [("p", "g", ["a", "b"])]
     assert dependency_record_rejects(df).count() == 3
 

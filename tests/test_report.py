@@ -53,7 +53,7 @@ def test_by_day_and_top_k(spark):
 
 def test_write_report(spark, tmp_dir):
     df = enhanced(spark, [(1, 0, 10, ["a", "b"], ["b"]), (2, 0, 10, ["a"], [])])
-    direct, indirect = R.write_report(df, tmp_dir, "2014-06-18T00-00Z", "2014-06-19T00-00Z")
+    direct, indirect = R.write_report(df, tmp_dir, "2014-06-18T00:00Z", "2014-06-19T00-00Z")
     assert direct.endswith("2014-06-18T00-00Z_2014-06-19T00-00Z_direct.csv")
     text = "".join(open(f).read() for f in sorted(glob.glob(direct + "/part-*")))
     assert text.splitlines() == ["a,2"]

@@ -1,8 +1,21 @@
+import os
+
 from depuse.sources import driver
 from depuse.streaming import resolve_stream
 from tests.conftest import SF
 
 
+def test_progress_is_kept_beside_the_output(spark, tmp_dir):
+    """A second run without a location reads only what is new."""
+    records = driver.dependency_records(spark, SF)
+    driver.repository_log_lines(spark, SF).write.text(f"{tmp_dir}/in/a")
+    resolve_stream(spark, f"{tmp_dir}/in/*", records, f"{tmp_dir}/out").awaitTermination()
+    assert os.path.isdir(f"{tmp_dir}/out-progress")
+    first = spark.read.parquet(f"{tmp_dir}/out").count()
+    resolve_stream(spark, f"{tmp_dir}/in/*", records, f"{tmp_dir}/out").awaitTermination()
+    assert spark.read.parquet(f"{tmp_dir}/out").count() == first
+
+
 def test_incremental_resolution_matches_batch(spark, tmp_dir):
     lines = driver.repository_log_lines(spark, SF)
     first, second = lines.randomSplit([0.5, 0.5], seed=7)
