@@ -1,4 +1,5 @@
-"""Named queries of this subpackage and DuckDB SQL for those SQL can express."""
+"""Named queries of this subpackage; ``ORACLE`` is the SQL of those that SQL
+can express."""
 
 from __future__ import annotations
 
@@ -6,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depuse.llm import apportion, bbit_minhash, best_fit, chunking, crf_lines, hilbert, rank_order, surrogates, url_filter, vafile
+from depuse.llm.oracle import ORACLE  # noqa: F401 - read by the entry module
 
 # The rules of the url query.
 URL_RULES = [
@@ -103,5 +105,3 @@ QUERIES = {
     "op9_best_fit": op9_best_fit,
     "op10_bbit_minhash": op10_bbit_minhash,
 }
-
-ORACLE: dict[str, str] = {}
