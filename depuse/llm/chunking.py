@@ -63,12 +63,14 @@ def cuts(gears: np.ndarray, starts: np.ndarray) -> np.ndarray:
     smallest = (h < least_before) & (h <= least_after)
     first = np.zeros(n, bool)
     first[1:] = smallest[:-1]
-    # near a document's border the window holds other documents' words: no cut
-    near = np.zeros(n + 1, np.int64)
-    reach = RADIUS + GEAR_WORDS
-    np.add.at(near, np.maximum(starts - RADIUS, 0), 1)
-    np.add.at(near, np.minimum(starts + reach, n), -1)
-    first &= np.cumsum(near)[:-1] == 0
+    # where the window would reach beyond the document there is no cut
+    ends = np.append(starts[1:], n)
+    near = np.zeros(n + 2, np.int64)
+    np.add.at(near, starts, 1)
+    np.add.at(near, np.minimum(starts + RADIUS + GEAR_WORDS, n + 1), -1)
+    np.add.at(near, np.maximum(ends - RADIUS + 1, starts), 1)
+    np.add.at(near, ends + 1, -1)
+    first &= np.cumsum(near)[:n] == 0
     first[starts] = True
     return np.flatnonzero(first)
 

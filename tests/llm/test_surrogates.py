@@ -18,9 +18,8 @@ TEXT = (
 def test_entities_are_found_and_text_around_them_stays():
     new, n = S.replaced(TEXT, {}, KEY)
     found = S.entities(TEXT)
-    assert n == len(found) == 16
-    assert Counter(k for *_, k, _ in found) == {"email": 1, "phone": 2, "card": 2, "ip": 2, "secret": 1, "name": 4, "surname": 3} | {
-        "name": Counter(k for *_, k, _ in found)["name"], "surname": Counter(k for *_, k, _ in found)["surname"]}
+    assert n == len(found) == 15
+    assert Counter(k for *_, k, _ in found) == {"email": 1, "phone": 2, "card": 2, "ip": 2, "secret": 1, "name": 4, "surname": 3}
     kept = [TEXT[a:b] for a, b in zip([0] + [e for _, e, *_ in found], [b for b, *_ in found] + [len(TEXT)])]
     at = 0
     for piece in kept:
