@@ -326,6 +326,27 @@ def q_cyclic_traversal_work(spark, sf):
     return G.traversal_work(cyc, nodes, max_depth=TRAIL_DEPTH)
 
 
+# -- orders as downloads: artifacts grow with the scale -----------------------------------
+
+
+def order_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    logs = resolve_gavs(driver.order_logs(spark, sf), driver.dependency_records(spark, sf))
+    return S.create_sessions(logs, MAX_IDLE_MS)
+
+
+def q_order_sessions(spark, sf):
+    return order_sessions(spark, sf).select(*_session_text())
+
+
+def q_order_session_dependencies(spark, sf):
+    sess = G.materialise(order_sessions(spark, sf))
+    return D.session_dependencies(sess, G.transitive_closure(edges(spark, sf)))
+
+
+def q_order_direct_usage(spark, sf):
+    return R.direct_usage(D.compute_dependencies(order_sessions(spark, sf), edges(spark, sf)))
+
+
 # -- files and jobs -------------------------------------------------------------------------
 #
 # Each writes to a new folder under the shared folder of the cluster and reads

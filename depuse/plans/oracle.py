@@ -263,6 +263,19 @@ ORACLE: dict[str, str] = {
         FROM trails GROUP BY seed"""),
 }
 
+ORDER_LOGS = """logs AS (
+  SELECT CAST(o_custkey AS INTEGER) AS clientId, CAST(epoch_ms(CAST(o_orderdate AS TIMESTAMP)) AS BIGINT) AS timestamp,
+         'order' AS agent, 'artifacts/' || (l_partkey + 10) || '.pom' AS path, l_orderkey AS event_id
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+_ALL = "rsessions AS (SELECT * FROM sessions)"
+_ORDERS = tuple({LOGS: ORDER_LOGS, RANGE: _ALL}.get(c, c) for c in ENHANCED)
+
+ORACLE |= {
+    "order_sessions": _sql(ORDER_LOGS, *PIPE[1:], body=f"SELECT {SESSION_COLS} FROM sessions"),
+    "order_session_dependencies": _sql(*_ORDERS, body="SELECT clientId, sessionId, dependency FROM deps"),
+    "order_direct_usage": _sql(*_ORDERS, body="SELECT gav, clients FROM direct_rep"),
+}
+
 _RECORD_COLUMNS = f"path, gav, {_sorted('list_distinct(dependencies)')} AS dependencies, CAST(len(list_distinct(dependencies)) AS INTEGER) AS n_dependencies"
 _LOGS = "SELECT clientId, timestamp, agent, path FROM logs"
 # lines with an extra field do not reach the jobs

@@ -59,6 +59,21 @@ def repository_logs(spark: SparkSession, sf_dir: str, with_event_id: bool = Fals
     return events.select(*cols)
 
 
+def order_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``clientId, timestamp, agent, path`` of ``lineitem`` as downloads: a
+    customer downloads the file of each part at the order's date.  Unlike the
+    event logs, the number of artifacts grows with the scale."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    joined = items.join(orders, items["l_orderkey"] == orders["o_orderkey"])
+    return joined.select(
+        F.col("o_custkey").cast("int").alias("clientId"),
+        epoch_millis(F.col("o_orderdate")).alias("timestamp"),
+        F.lit("order").alias("agent"),
+        _path_of(F.col("l_partkey") + FIRST_FILE).alias("path"),
+    )
+
+
 def repository_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One text line per event, ``value`` column, as ``spark.read.text`` gives."""
     logs = repository_logs(spark, sf_dir, with_event_id=True)
