@@ -17,7 +17,8 @@ Defined results:
 * a document is taken at most ``most`` times over; long ones are cut at block
   borders.  Ties between equal quotients go to the earlier source.  Rows equal
   in all kept columns are interchangeable.  Reruns agree.
-* extra columns are carried when named in ``keep``.
+* extra columns are carried when named in ``keep``; those named like a column
+  of the result are replaced.  ``mix_documents`` carries all, whatever their names.
 
 Scale: the documents are summed per source on the executors; only that table,
 one row a source, reaches the driver and is broadcast (``MAX_SOURCES`` rows at
@@ -36,6 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from depuse.llm.longs import as_longs, as_text, fields
 from depuse.llm.running import running_totals
 from depuse.llm.staging import stage
 from depuse.llm.words import count_words
@@ -47,6 +49,7 @@ BLOCK_WORDS = 128
 OUTPUT_SHARDS = 16
 SEED = 20
 MAX_SOURCES = 100_000
+RESULT = ("size", "source_size", "target", "taken")
 PLAN = "_rank int, source_size long, target double, _blocks long, _step long, _start long, _quota long, _shard_ends array<long>"
 
 
@@ -123,14 +126,17 @@ def _takes(block: str) -> str:
 
 
 def apportion(
-    docs: DataFrame, keep: Sequence[str] = ("doc_id",), weights: Sequence[float] = WEIGHTS, share: float = SHARE,
+    docs: DataFrame, keep: Sequence[str] = ("doc_id",), columns: Sequence[str] = ("doc_id", "source", "text"),
+    weights: Sequence[float] = WEIGHTS, share: float = SHARE,
     most: int = MOST, block_words: int = BLOCK_WORDS, shards: int = OUTPUT_SHARDS, seed: int = SEED,
 ) -> DataFrame:
     """``keep`` columns with ``size``, ``source_size``, ``target`` and ``taken``,
-    plus the columns of the plan (``_first``, ``_rank``, ...) for ``materialise``."""
+    plus the columns of the plan (``_first``, ``_rank``, ...) for ``mix_documents``.
+    ``columns`` names the columns of id, source and text."""
+    doc_id, source, text = (F.col(c) for c in columns)
     rows = stage(docs.select(
-        *keep, F.col("source").alias("_source"), count_words(F.col("text")).alias("_size"),
-        F.xxhash64(F.lit(seed), F.col("doc_id"), F.crc32(F.encode("text", "UTF-8"))).alias("_key"),
+        *(c for c in keep if c not in RESULT), source.alias("_source"), count_words(text).alias("_size"),
+        F.xxhash64(F.lit(seed), doc_id, F.crc32(F.encode(text, "UTF-8"))).alias("_key"),
     ))
     spark = docs.sparkSession
     found = rows.groupBy("_source").agg(F.sum("_size").alias("n")).limit(MAX_SOURCES + 1).collect()
@@ -181,21 +187,26 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     every word is taken) and ``n_chars``, if present, set to its length."""
     from depuse.llm.pieces import cut  # text slices by word numbers
 
-    names = docs.columns
-    mixed = apportion(docs, names, **options).filter("taken > 0")
+    # under names of their own, the columns cannot clash with the plan's
+    own = {c: f"_c{k}" for k, c in enumerate(docs.columns)}
+    text, chars = own["text"], own.get("n_chars")
+    renamed = docs.toDF(*own.values())
+    mixed = apportion(renamed, list(own.values()), [own[c] for c in ("doc_id", "source", "text")], **options)
     plan = ["_first", "_quota", "_blocks", "_step", "_start", "_block_words"]
 
     def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows, texts = [], []
-            for at, (text, size, *given) in enumerate(zip(batch["text"], batch["size"], *(batch[c] for c in plan))):
+            for at, (whole, size, *given) in enumerate(zip(batch[text], batch["size"], *(batch[c] for c in plan))):
                 spans = [(f, t) for _, f, t in runs_taken(given[0], size, dict(zip(plan, map(int, given))))]
                 rows += [at] * len(spans)
-                texts += cut(text, spans, size)
-            out = batch.iloc[rows][names].reset_index(drop=True)
-            out["text"] = texts
-            if "n_chars" in out:
-                out["n_chars"] = [len(t) for t in texts]
+                texts += cut(whole, spans, size)
+            out = batch.iloc[rows][list(own.values())].reset_index(drop=True)
+            out[text] = texts
+            if chars:
+                out[chars] = [str(len(t)) for t in texts] if chars in longs else [len(t) for t in texts]
             yield out
 
-    return mixed.select(*names, "size", *plan).mapInPandas(parts, docs.schema)
+    rows, longs = as_text(mixed.filter("taken > 0").select(*own.values(), "size", *plan), list(own.values()))
+    parted = rows.mapInPandas(parts, fields(rows, list(own.values())))
+    return as_longs(parted, longs).toDF(*docs.columns)

@@ -14,7 +14,7 @@ most the last open bins of each group.
 Defined results: null and empty texts have no words: one row with a null bin.
 A null source conflicts with nothing; the cluster is the text itself (copies
 and repeated rows never share a bin, and neither do two pieces of one text).
-Ties in length go by id, text hash and piece number; equal rows are
+Ties in length go by text hash, piece number and id (as text); equal rows are
 interchangeable.  Reruns agree.  Pieces cover every word, long texts included.
 An empty table gives no rows.  Extra columns are not read.
 """
@@ -29,13 +29,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from depuse.llm.longs import as_longs
 from depuse.llm.words import count_words
 
 CAPACITY = 1024
 GROUP_ROWS = 4096
 # Bins of a group are numbered below this, full pieces by hash above it.
 BINS_PER_GROUP = 1 << 20
-PIECES = "doc_id long, piece int, first_word int, n_words int, source string, cluster long, text string"
+PIECES = "doc_id string, piece int, first_word int, n_words int, source string, cluster long, text string"
 RESULT = "bin_id long, place int, doc_id long, piece int, first_word int, n_words int, source string, cluster long, text string"
 
 
@@ -94,7 +95,7 @@ def pack(
     """``RESULT``: one row per piece with its bin and its place in the bin."""
     text = [F.col("text")] if with_text else []
     rows = docs.select(
-        F.col("doc_id").cast("long"), F.col("source").cast("string"), F.xxhash64("text").alias("cluster"),
+        F.col("doc_id").cast("long").cast("string"), F.col("source").cast("string"), F.xxhash64("text").alias("cluster"),
         count_words(F.col("text")).cast("int").alias("n_words"), *text,
     )
     pieces = rows.mapInPandas(_pieces(capacity, with_text), PIECES)
@@ -104,7 +105,7 @@ def pack(
     dealt = pieces.withColumn("_key", key).withColumn("_group", F.pmod(F.col("_key"), F.lit(groups)).cast("int"))
 
     def place(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["n_words", "doc_id", "cluster", "piece"], ascending=[False, True, True, True], kind="stable")
+        group = group.sort_values(["n_words", "cluster", "piece", "doc_id"], ascending=[False, True, True, True], kind="stable")
         n = group["n_words"].to_numpy()
         placed = n > 0
         some = group[placed]
@@ -118,4 +119,5 @@ def pack(
         out["place"] = out.groupby("bin_id").cumcount() if len(some) else 0
         return out[[f.split(" ")[0] for f in RESULT.split(", ")]]
 
-    return dealt.groupBy("_group").applyInPandas(place, RESULT)
+    placed = dealt.groupBy("_group").applyInPandas(place, RESULT.replace("doc_id long", "doc_id string"))
+    return as_longs(placed, ["doc_id"])

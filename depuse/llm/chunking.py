@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from depuse.llm.longs import as_longs, as_text
 from depuse.llm.staging import stage
 from depuse.llm.words import WordHashes, mixed, words_of
 from depuse.operators.skew import hot_keys, salted_join
@@ -182,4 +183,5 @@ def dedupe_passages(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("_hash"))
     same = rows["doc_id"].eqNullSafe(spans["doc_id"]) & (rows["_hash"] == spans["text_hash"])
     joined = rows.join(spans, same, "left").select(rows["doc_id"], "text", "spans", count_words(F.col("text")).alias("n_words"))
-    return joined.mapInPandas(_cut, RESULT)
+    rows, longs = as_text(joined, ["doc_id"])
+    return as_longs(rows.mapInPandas(_cut, RESULT.replace("doc_id long", "doc_id string")), longs)

@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from depuse.llm.longs import as_longs, as_text, fields
+
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WINDOW = 8
@@ -307,5 +309,5 @@ def label_quality(
                 given = batch.iloc[begin:begin + len(texts)].reset_index(drop=True)
                 yield pd.concat([given[carried], judged(texts, weights, transition)], axis=1)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in carried)
-    return docs.select(*carried, *(() if "text" in carried else ("text",))).mapInPandas(judge, f"{fields}, {MEASURES}")
+    rows, longs = as_text(docs.select(*carried, *(() if "text" in carried else ("text",))), carried)
+    return as_longs(rows.mapInPandas(judge, f"{fields(rows, carried)}, {MEASURES}"), longs)

@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from depuse.llm.longs import as_longs, as_text, fields
+
 PROFILE = 400
 LONGEST = 3
 TRAIN_DOCUMENTS = 400
@@ -192,5 +194,5 @@ def identify(docs: DataFrame, profiles: dict[str, Sequence[int]], keep: Sequence
             out["lang_pred"], out["score"] = names, scores
             yield out
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(*keep, *(() if "text" in keep else ("text",))).mapInPandas(judge, f"{fields}, {RESULT}")
+    rows, longs = as_text(docs.select(*keep, *(() if "text" in keep else ("text",))), keep)
+    return as_longs(rows.mapInPandas(judge, f"{fields(rows, keep)}, {RESULT}"), longs)

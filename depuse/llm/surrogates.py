@@ -36,6 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from depuse.llm.longs import as_longs, as_text, fields
 from depuse.llm.staging import stage
 
 KEY = b"replace this key in production"
@@ -320,9 +321,10 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
             .agg(F.collect_set(F.struct("kind", "form", "attempt")).alias("_again"))
         )
         few = texts.count() <= BROADCAST_TEXTS
+        texts = texts.withColumnRenamed("text_hash", "_text_hash")
         rows = (
-            rows.withColumn("text_hash", F.xxhash64("text"))
-            .join(F.broadcast(texts) if few else texts, "text_hash", "left").drop("text_hash")
+            rows.withColumn("_text_hash", F.xxhash64("text"))
+            .join(F.broadcast(texts) if few else texts, "_text_hash", "left").drop("_text_hash")
         )
     names = [c for c in rows.columns if c != "_again"]
 
@@ -338,5 +340,5 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
             out["text"], out["n_entities"] = texts, counts
             yield out
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_again")
-    return rows.mapInPandas(swap, f"{fields}, n_entities long")
+    rows, longs = as_text(rows, names)
+    return as_longs(rows.mapInPandas(swap, f"{fields(rows, names)}, n_entities long"), longs)

@@ -34,6 +34,7 @@ def documents(seed=0, n=60):
         (k, t, draw.choice(["xx", "yy", None]), s, None if t is None else len(t))
         for k, (t, s) in enumerate(zip(texts, sources))
     ]
+    rows += [(2**62 + 1, texts[21], "xx", "a", 2**53 + 1)]
     rows += [rows[2], rows[2], (None, texts[2], None, None, None), (None, None, None, None, None), (1, texts[20], "xx", "a", 5)]
     return rows
 

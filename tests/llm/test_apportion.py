@@ -72,6 +72,16 @@ def test_the_mix_holds_the_words_taken(spark):
     assert held == Counter({i: r.taken for i, r in plan.items() if r.taken})
 
 
+def test_clashing_column_names_are_kept(spark):
+    schema = DOCUMENTS + ", size string, taken int, target string, _size string, _c0 int"
+    docs = frame(spark, [(*r, "s", 1, "t", "u", 2) for r in documents(n=30)], schema)
+    parts = A.mix_documents(docs, block_words=16)
+    assert parts.columns == docs.columns and parts.schema == docs.schema
+    assert {tuple(r)[5:] for r in parts.collect()} == {("s", 1, "t", "u", 2)}
+    sized = A.apportion(docs, ["doc_id", "size"], block_words=16).select("doc_id", "size").collect()
+    assert Counter(map(tuple, sized)) == Counter((i, len(words(t))) for i, t, *_ in documents(n=30))
+
+
 def test_shard_quotas_add_up(spark):
     plan = A.block_plan([5000, 100, 9000, 40], block_words=16, shards=7)
     ends = [row[-1] for row in plan]
