@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from depuse.llm.longs import as_longs, as_text, fields
 from depuse.llm.running import running_totals
-from depuse.llm.staging import stage
+from depuse.llm.staging import small_batches, stage
 from depuse.llm.words import count_words
 
 WEIGHTS = (5, 2, 1)
@@ -187,6 +187,7 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     every word is taken) and ``n_chars``, if present, set to its length."""
     from depuse.llm.pieces import cut  # text slices by word numbers
 
+    small_batches(docs)
     # under names of their own, the columns cannot clash with the plan's
     own = {c: f"_c{k}" for k, c in enumerate(docs.columns)}
     text, chars = own["text"], own.get("n_chars")

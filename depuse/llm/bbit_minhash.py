@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from depuse.llm.components import components
-from depuse.llm.staging import stage
+from depuse.llm.staging import small_batches, stage
 from depuse.llm.words import WordHashes, mixed, words_of
 from depuse.operators.skew import hot_keys, salted_join
 
@@ -56,7 +56,7 @@ SMALL_BUCKET = 16
 BLOCK_ROWS = 1000
 # Ids up to this many (8 bytes each) are broadcast, more are shuffled.
 BROADCAST_IDS = 1_000_000
-CHUNK_WORDS = 200_000
+CHUNK_WORDS = 100_000
 
 SKETCH = "doc_id long, text_hash long, low long, high long, n_shingles long, signature array<long>"
 SETS = "node long, shingles array<long>"
@@ -142,6 +142,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def sketch(docs: DataFrame) -> DataFrame:
     """Ids, digests, set sizes and packed signatures of ``docs``."""
+    small_batches(docs)
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
     return rows.mapInArrow(_sketch, SKETCH)
 

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from depuse.llm.longs import as_longs
+from depuse.llm.staging import small_batches
 from depuse.llm.words import count_words
 
 CAPACITY = 1024
@@ -93,6 +94,7 @@ def pack(
     docs: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS, with_text: bool = True,
 ) -> DataFrame:
     """``RESULT``: one row per piece with its bin and its place in the bin."""
+    small_batches(docs)
     text = [F.col("text")] if with_text else []
     rows = docs.select(
         F.col("doc_id").cast("long").cast("string"), F.col("source").cast("string"), F.xxhash64("text").alias("cluster"),

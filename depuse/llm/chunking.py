@@ -28,14 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from depuse.llm.longs import as_longs, as_text
-from depuse.llm.staging import stage
+from depuse.llm.staging import small_batches, stage
 from depuse.llm.words import WordHashes, mixed, words_of
 from depuse.operators.skew import hot_keys, salted_join
 
 GEAR_WORDS = 4
 RADIUS = 3
 MIN_RUN = 12
-CHUNK_WORDS = 200_000
+CHUNK_WORDS = 100_000
 CHUNKS = "doc_id long, text_hash long, digest long, place int, words int"
 RESULT = "doc_id long, text string, n_words long, dup_words long, dup_spans array<array<int>>"
 
@@ -117,6 +117,7 @@ def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def chunks(docs: DataFrame) -> DataFrame:
     """One row per chunk: its document, digest, first word and word count."""
+    small_batches(docs)
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
     return rows.filter("text is not null").mapInArrow(_chunk, CHUNKS)
 

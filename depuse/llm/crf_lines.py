@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from depuse.llm.longs import as_longs, as_text, fields
+from depuse.llm.staging import small_batches
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -34,7 +35,7 @@ WINDOW = 8
 MIN_CONTENT_SHARE = 0.5
 TRAIN_DOCUMENTS = 500
 TRAIN_LINES = 32  # training sequences are runs of this many lines
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 300_000
 MEASURES = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
     "base_failed boolean, content_share double, kept boolean"
@@ -296,6 +297,7 @@ def label_quality(
 ) -> DataFrame:
     """The ``keep`` columns of ``docs`` (default: all) with the columns of
     ``MEASURES``, which replace any of the same name."""
+    small_batches(docs)
     sample = training_sample(docs, labels, train_documents) if labels is not None else []
     weights, transition = DEFAULT_WEIGHTS, DEFAULT_TRANSITION
     if len({y for _, y in sample}) == 2:

@@ -29,13 +29,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from depuse.llm.longs import as_longs, as_text, fields
+from depuse.llm.staging import small_batches
 
 PROFILE = 400
 LONGEST = 3
 TRAIN_DOCUMENTS = 400
 FOLDS = 5
 UNKNOWN = "und"
-CHUNK_CHARS = 500_000
+CHUNK_CHARS = 300_000
 RESULT = "lang_pred string, score double"
 
 
@@ -174,6 +175,7 @@ def learn(docs: DataFrame, train_documents: int = TRAIN_DOCUMENTS, size: int = P
 
 def identify(docs: DataFrame, profiles: dict[str, Sequence[int]], keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """``keep`` columns with ``lang_pred`` and ``score`` from the text alone."""
+    small_batches(docs)
     languages = Languages(profiles)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from depuse.llm.longs import as_longs, as_text, fields
-from depuse.llm.staging import stage
+from depuse.llm.staging import small_batches, stage
 
 KEY = b"replace this key in production"
 MAX_ATTEMPTS = 64
@@ -310,6 +310,7 @@ def attempts_of(forms: DataFrame, key: bytes = KEY, most: int = MAX_ATTEMPTS) ->
 
 def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     """``docs`` with surrogates in ``text``, and ``n_entities``."""
+    small_batches(docs)
     found = stage(found_entities(docs))
     again = attempts_of(found.select("kind", "form").distinct(), key)
     rows = docs.drop("n_entities")

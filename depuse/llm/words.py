@@ -22,7 +22,7 @@ def words_of(text: str | None) -> list[bytes]:
 class WordHashes(dict):
     """64-bit hashes of words, computed once while the word stays in the memo."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 100_000):
         super().__init__()
         self.most = most
 
