@@ -36,6 +36,8 @@ def test_oracle_agrees(spark, name):
 def test_only_top_k_reports_limit_rows(spark):
     limited = set()
     for name, fn in catalog.QUERIES.items():
+        if name.startswith(("file_", "job_")):
+            continue  # their plans begin at the table that was written
         plan = fn(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
         if "GlobalLimit" in plan or "LocalLimit" in plan or "Sample" in plan:
             limited.add(name)
