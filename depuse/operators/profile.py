@@ -62,7 +62,8 @@ def depth_sweep(
     edges: DataFrame,
     depths: Sequence[int] = (1,),
 ) -> DataFrame:
-    """``depth, clientId, sessionId, n_dependencies`` for every depth setting.
+    """``depth, clientId, sessionId, n_dependencies, dependencies`` (sorted)
+    for every depth setting.
 
     One unbounded traversal from the sample's gavs records the least hop
     count of every reachable pair; a depth ``k >= 2`` keeps pairs within
@@ -92,5 +93,8 @@ def depth_sweep(
     return (
         grid.join(nearest, ["clientId", "sessionId"], "left")
         .groupBy("depth", "clientId", "sessionId")
-        .agg(F.sum(F.when(within, 1).otherwise(0)).cast("bigint").alias("n_dependencies"))
+        .agg(
+            F.sum(F.when(within, 1).otherwise(0)).cast("bigint").alias("n_dependencies"),
+            F.array_sort(F.collect_list(F.when(within, F.col("dst")))).alias("dependencies"),
+        )
     )

@@ -307,7 +307,8 @@ def q_sample_by_size(spark, sf):
 
 
 def q_depth_sweep(spark, sf):
-    return P.depth_sweep(G.materialise(_sample(spark, sf)), edges(spark, sf), SWEEP_DEPTHS)
+    sweep = P.depth_sweep(G.materialise(_sample(spark, sf)), edges(spark, sf), SWEEP_DEPTHS)
+    return sweep.withColumn("dependencies", sorted_text(F.col("dependencies")))
 
 
 def q_traversal_work(spark, sf):
@@ -517,7 +518,7 @@ def q_job_report(spark, sf):
 def q_job_depth_sweep(spark, sf):
     out = _jobs(spark, sf)
     return jobs.depth_sweep(spark, f"{out}/sessions", f"{out}/graph", f"{out}/sweep", SWEEP_DEPTHS, SAMPLE_GRID).select(
-        "depth", "clientId", "sessionId", "n_dependencies"
+        "depth", "clientId", "sessionId", "n_dependencies", sorted_text(F.col("dependencies")).alias("dependencies")
     )
 
 

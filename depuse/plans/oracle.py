@@ -239,7 +239,8 @@ ORACLE: dict[str, str] = {
         "grid AS (SELECT clientId, sessionId, unnest([{}]) AS depth FROM sample)".format(
             ", ".join(str(d) for d in C.SWEEP_DEPTHS)),
         body="""SELECT g.depth, g.clientId, g.sessionId,
-               CAST(count(n.dst) FILTER (WHERE g.depth <= 1 OR n.hops <= g.depth) AS BIGINT) AS n_dependencies
+               CAST(count(n.dst) FILTER (WHERE g.depth <= 1 OR n.hops <= g.depth) AS BIGINT) AS n_dependencies,
+               coalesce(array_to_string(list_sort(list(n.dst) FILTER (WHERE n.dst IS NOT NULL AND (g.depth <= 1 OR n.hops <= g.depth))), ','), '') AS dependencies
         FROM grid g LEFT JOIN nearest n USING (clientId, sessionId)
         GROUP BY g.depth, g.clientId, g.sessionId"""),
     "traversal_work": _sql(*PIPE, RANGE, SG, SEEDS, RETAINED, EDGES, """paths(seed, node, len) AS (
