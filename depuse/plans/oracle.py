@@ -266,7 +266,7 @@ ORACLE: dict[str, str] = {
 
 ORDER_LOGS = """logs AS (
   SELECT CAST(o_custkey AS INTEGER) AS clientId, CAST(epoch_ms(CAST(o_orderdate AS TIMESTAMP)) AS BIGINT) AS timestamp,
-         'order' AS agent, 'artifacts/' || (l_partkey + 10) || '.pom' AS path, l_orderkey AS event_id
+         'order' AS agent, 'artifacts/' || (l_partkey + 10) || '.pom' AS path, row_number() OVER () AS event_id
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 _ALL = "rsessions AS (SELECT * FROM sessions)"
 _ORDERS = tuple({LOGS: ORDER_LOGS, RANGE: _ALL}.get(c, c) for c in ENHANCED)
