@@ -4,10 +4,14 @@ Every word has a random 64-bit gear value; the rolling hash shifts 16 bits a
 word and adds the next value, so it depends on the last ``4`` words only.  A
 chunk ends where this hash is the smallest within ``RADIUS`` words either side:
 cuts depend on nearby words alone, so an insertion moves the cuts around itself
-and no others, and chunks hold more than ``RADIUS`` words.  Equal chunks are
-found by digest across all documents; the first occurrence (smallest id, then
-text hash, then place) stays.  A run of neighbouring repeated chunks of at
-least ``MIN_RUN`` words is a repeated passage and is cut from the text.
+and no others, and chunks hold more than ``RADIUS`` words.  The shortest
+stretches of neighbouring chunks of at least ``MIN_RUN`` words, one from each
+chunk on and one up to each chunk, are compared by the digest of their whole
+word sequence across all documents; the first occurrence (smallest id, then
+text hash, then place) stays, and the others are repeated passages and are cut
+from the text.  Every word cut is thus part of ``MIN_RUN`` words on that occur
+earlier in that order; common chunks that merely meet are no passage.  The
+first occurrence of a chunk is never cut.
 
 Defined results: words are runs of ``[^\\x20\\x09-\\x0D]`` and compare by their
 bytes.  Null and empty texts have no chunks and stay as they are.  Rows equal
@@ -40,6 +44,7 @@ CHUNKS = "doc_id long, text_hash long, digest long, place int, words int"
 RESULT = "doc_id long, text string, n_words long, dup_words long, dup_spans array<array<int>>"
 
 _MULTIPLIER = np.uint64(0xD6E8FEB86659FD93)
+_INVERSE = np.uint64(pow(0xD6E8FEB86659FD93, -1, 2**64))
 
 
 def gear_hashes(gears: np.ndarray) -> np.ndarray:
@@ -76,74 +81,92 @@ def cuts(gears: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(first)
 
 
-def digests(gears: np.ndarray, firsts: np.ndarray) -> np.ndarray:
-    """64-bit digests of the word sequences of all chunks."""
-    place = np.arange(len(gears)) - np.repeat(firsts, np.diff(np.append(firsts, len(gears))))
-    powers = np.ones(int(place.max()) + 1, np.uint64)
-    powers[1:] = _MULTIPLIER
-    powers = np.cumprod(powers)
-    terms = mixed(gears) * powers[place]
-    lengths = np.diff(np.append(firsts, len(gears))).astype(np.uint64)
-    return mixed(np.add.reduceat(terms, firsts) + lengths)
-
-
-def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    memo = WordHashes()
-    for batch in batches:
-        ids, keys = batch.column("doc_id"), batch.column("text_hash")
-        rows: list[int] = []
-        gears: list[np.ndarray] = []
-        count = 0
-        for at, text in enumerate(batch.column("text")):
-            words = words_of(text.as_py())
-            if words:
-                rows.append(at)
-                gears.append(memo.of(words))
-                count += len(words)
-            if rows and (count >= CHUNK_WORDS or at == batch.num_rows - 1):
-                flat = np.concatenate(gears)
-                starts = np.concatenate(([0], np.cumsum([len(g) for g in gears])[:-1]))
-                firsts = cuts(flat, starts)
-                owner = np.searchsorted(starts, firsts, side="right") - 1
-                take = pa.array(np.array(rows)[owner])
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(take), keys.take(take), pa.array(digests(flat, firsts).view(np.int64)),
-                     pa.array((firsts - starts[owner]).astype(np.int32)),
-                     pa.array(np.diff(np.append(firsts, len(flat))).astype(np.int32))],
-                    ["doc_id", "text_hash", "digest", "place", "words"],
-                )
-                rows, gears, count = [], [], 0
-
-
-def chunks(docs: DataFrame) -> DataFrame:
-    """One row per chunk: its document, digest, first word and word count."""
+def digests(gears: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit digests of the word sequences [begin, end), which may overlap."""
+    powers, inverse = np.ones((2, len(gears)), np.uint64)
+    powers[1:], inverse[1:] = _MULTIPLIER, _INVERSE
+    sums = np.zeros(len(gears) + 1, np.uint64)
+    sums[1:] = np.cumsum(mixed(gears) * np.cumprod(powers))
+    return mixed((sums[ends] - sums[begins]) * np.cumprod(inverse)[begins] + (ends - begins).astype(np.uint64))
+
+
+def stretches(firsts: np.ndarray, starts: np.ndarray, n: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the shortest runs of whole chunks with ``least`` words
+    on, from each chunk and up to each chunk of its document; with 1, the
+    chunks.  ``firsts`` and ``starts``: where chunks and documents begin."""
+    ends = np.append(firsts[1:], n)
+    owner = np.searchsorted(starts, firsts, side="right") - 1
+    at = np.arange(len(firsts))
+    last = np.searchsorted(ends, firsts + least)
+    ahead = np.append(ends, n + 1)[last] <= np.append(starts[1:], n)[owner]
+    first = np.searchsorted(firsts, ends - least, side="right") - 1
+    back = (first >= 0) & (firsts[first] >= starts[owner])
+    pairs = np.unique(np.concatenate((at[ahead] * len(at) + last[ahead], first[back] * len(at) + at[back])))
+    return firsts[pairs // len(at)], ends[pairs % len(at)]
+
+
+def _chunk(least: int):
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = WordHashes()
+        for batch in batches:
+            ids, keys = batch.column("doc_id"), batch.column("text_hash")
+            rows: list[int] = []
+            gears: list[np.ndarray] = []
+            count = 0
+            for at, text in enumerate(batch.column("text")):
+                words = words_of(text.as_py())
+                if words:
+                    rows.append(at)
+                    gears.append(memo.of(words))
+                    count += len(words)
+                if rows and (count >= CHUNK_WORDS or at == batch.num_rows - 1):
+                    flat = np.concatenate(gears)
+                    starts = np.concatenate(([0], np.cumsum([len(g) for g in gears])[:-1]))
+                    begins, ends = stretches(cuts(flat, starts), starts, len(flat), least)
+                    owner = np.searchsorted(starts, begins, side="right") - 1
+                    take = pa.array(np.array(rows)[owner])
+                    yield pa.RecordBatch.from_arrays(
+                        [ids.take(take), keys.take(take), pa.array(digests(flat, begins, ends).view(np.int64)),
+                         pa.array((begins - starts[owner]).astype(np.int32)),
+                         pa.array((ends - begins).astype(np.int32))],
+                        ["doc_id", "text_hash", "digest", "place", "words"],
+                    )
+                    rows, gears, count = [], [], 0
+
+    return parts
+
+
+def chunks(docs: DataFrame, least: int = 1) -> DataFrame:
+    """One row per stretch of chunks of ``least`` words on (each chunk for 1):
+    its document, digest, first word and word count."""
     small_batches(docs)
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
-    return rows.filter("text is not null").mapInArrow(_chunk, CHUNKS)
+    return rows.filter("text is not null").mapInArrow(_chunk(least), CHUNKS)
 
 
-def runs(spans: list[tuple[int, int]], min_run: int = MIN_RUN) -> list[list[int]]:
-    """Neighbouring (place, words) spans joined; those of ``min_run`` words on."""
+def runs(spans: list[tuple[int, int]]) -> list[list[int]]:
+    """Neighbouring and overlapping (place, words) spans joined."""
     out: list[list[int]] = []
     for place, words in sorted(spans):
         if out and out[-1][0] + out[-1][1] >= place:
             out[-1][1] = max(out[-1][1], place + words - out[-1][0])
         else:
             out.append([place, words])
-    return [r for r in out if r[1] >= min_run]
+    return out
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, spans) of the documents with repeated chunks; spans
-    holds place and words of each chunk that occurs earlier elsewhere.
+def repeated_spans(docs: DataFrame, least: int = 1) -> DataFrame:
+    """(doc_id, text_hash, spans) of the documents with repeated stretches of
+    ``least`` words on (chunks for 1); spans holds place and words of each
+    stretch that occurs earlier elsewhere.
 
-    Chunks meet by digest; a digest of very many chunks is reduced to one row
+    Stretches meet by digest; a digest of very many is reduced to one row
     map-side and its rows are salted in the join back.
     """
-    found = stage(chunks(docs))
+    found = stage(chunks(docs, least))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash", "place")
-    # with one occurrence only, first and last are the same
-    first = found.groupBy("digest").agg(F.min(order).alias("first"), F.max(order).alias("last")).filter("first <> last")
+    # equal rows count more than once, but all of them are the first
+    first = found.groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     first = stage(first.select("digest", "first"))
     keys = ["digest"]
     again = salted_join(found, first, keys, hot=hot_keys(found.select("digest"), keys), hot_bounded=True).filter(order != F.col("first"))
@@ -180,7 +203,7 @@ def dedupe_passages(docs: DataFrame) -> DataFrame:
     dup_spans ([first word, words] of what was cut)."""
     from depuse.llm.words import count_words
 
-    spans = repeated_spans(docs)
+    spans = repeated_spans(docs, MIN_RUN)
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("_hash"))
     same = rows["doc_id"].eqNullSafe(spans["doc_id"]) & (rows["_hash"] == spans["text_hash"])
     joined = rows.join(spans, same, "left").select(rows["doc_id"], "text", "spans", count_words(F.col("text")).alias("n_words"))

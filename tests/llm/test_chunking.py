@@ -100,5 +100,45 @@ def test_spans_agree_with_brute_force(spark):
     assert {s for s in spans if s[0] in alone} == {e for e in expected if e[0] in alone}
 
 
+def test_common_phrases_in_unrelated_documents_stay(spark):
+    """Chunks repeat everywhere, but a cut passage occurs elsewhere as a whole."""
+    draw = random.Random(5)
+    phrases = [sentence(draw, 12, 10_000) for _ in range(40)]
+    rows = [(k, " ".join(f"{' '.join(draw.choice(phrases).split(' ')[:draw.randrange(6, 13)])}" for _ in range(12))) for k in range(150)]
+    passage = sentence(draw, 60, 10_000)
+    rows += [(500 + k, f"{sentence(draw, 20)} {passage} {sentence(draw, 20)}") for k in range(3)]
+    texts = dict(rows)
+    windows = Counter(tuple(w[a:a + C.MIN_RUN]) for w in map(words, texts.values()) for a in range(len(w) - C.MIN_RUN + 1))
+    result = C.dedupe_passages(frame(spark, rows, "doc_id long, text string")).collect()
+    assert sum(r.dup_words for r in result) > 80
+    for r in result:
+        w = words(texts[r.doc_id])
+        for place, n in r.dup_spans:
+            covered = {
+                a + k for a in range(place, place + n - C.MIN_RUN + 1) if windows[tuple(w[a:a + C.MIN_RUN])] > 1
+                for k in range(C.MIN_RUN)
+            }
+            assert covered == set(range(place, place + n))
+    by_id = {r.doc_id: r for r in result}
+    assert by_id[500].dup_words == 0 and min(by_id[501].dup_words, by_id[502].dup_words) >= 40
+
+
+def test_stretches_are_the_shortest_of_whole_chunks():
+    draw = random.Random(6)
+    for _ in range(50):
+        sizes = [draw.randrange(1, 60) for _ in range(4)]
+        starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        firsts = np.array(sorted({*starts.tolist(), *draw.sample(range(sum(sizes)), min(8, sum(sizes)))}))
+        expected = set()
+        for a, n in zip(starts, sizes):
+            edges = [f for f in firsts if a <= f < a + n] + [a + n]
+            spans = [(x, y) for i, x in enumerate(edges) for y in edges[i + 1:] if y - x >= 12]
+            expected |= {(x, min(y for b, y in spans if b == x)) for x, _ in spans}
+            expected |= {(max(b for b, e in spans if e == y), y) for _, y in spans}
+        begins, ends = C.stretches(firsts, starts, sum(sizes), 12)
+        assert set(zip(begins.tolist(), ends.tolist())) == {(int(a), int(b)) for a, b in expected}
+        assert set(zip(*(x.tolist() for x in C.stretches(firsts, starts, sum(sizes), 1)))) == set(zip(firsts.tolist(), [*firsts[1:].tolist(), sum(sizes)]))
+
+
 def test_empty_table(spark):
     assert C.dedupe_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
