@@ -2,15 +2,20 @@
 
 Detected: e-mail addresses, IPv4 addresses, phone numbers, card and account
 numbers (13 to 19 digits), quoted or assigned secrets (hex or token-like), and
-person names (a known given name, a title or both, with a surname).  Every
-entity gets a surrogate drawn by HMAC-SHA256 from the secret key, its kind and
+person names.  A name begins at a title, at a known given name or beside a
+known surname (the lists below), and runs over all capitalised words, initials,
+particles and hyphens after it, parted by any white space without an empty line;
+common words of sentence beginnings end it.  A whole name goes on over a line
+break only at a known surname.  Its last word is the surname.  Names of which no
+word is listed and that no title precedes are not found.  Every entity gets a surrogate drawn by HMAC-SHA256 from the secret key, its kind and
 its canonical form, so one entity has one surrogate everywhere (coreference):
 
 * numbers keep their grouping, length, leading country code and, where the
   original has it, a valid Luhn digit; IPv4 stays private or public;
 * secrets keep length, alphabet and case; e-mails the shape of the local part
   and a reserved domain;
-* names keep gender, script, case and parts; a bare surname later in the same
+* names keep gender, script, case and parts (each word of the name is replaced;
+  initials, particles and white space stay); a bare surname later in the same
   document follows its full name.
 
 Collision check: all distinct entities of the corpus are drawn together.  Two
@@ -45,7 +50,7 @@ MAX_ATTEMPTS = 64
 BROADCAST_TEXTS = 20_000
 
 # Given names by gender and script, surnames and titles.  They
-# serve detection and replacement.
+# serve detection and replacement; MORE_GIVEN and MORE_SURNAMES detection only.
 GIVEN = {
     ("latin", "f"): "Alice Anna Carmen Claire Elena Emma Eva Greta Hannah Ingrid Isabel Julia Laura Lucia Maria Marie Nora Olivia Sarah Sophie".split(),
     ("latin", "m"): "Adam Anton Carlos David Diego Emil Felix Hans Henri James John Jorge Karl Louis Lukas Martin Michael Paul Peter Thomas".split(),
@@ -57,10 +62,27 @@ SURNAMES = {
     ("cyrillic", "m"): "Антонов Белов Волков Громов Егоров Зайцев Иванов Козлов Лебедев Морозов Орлов Павлов Соколов Титов".split(),
     ("cyrillic", "f"): "Антонова Белова Волкова Громова Егорова Зайцева Иванова Козлова Лебедева Морозова Орлова Павлова Соколова Титова".split(),
 }
+MORE_GIVEN = {
+    ("latin", "f"): "Abigail Agnes Aisha Alexandra Alicia Amanda Amelia Amy Ana Andrea Angela Anita Anne Annie Antonia Barbara Beatrice Beatriz Betty Brenda Camila Camille Carla Carol Caroline Catherine Cecilia Charlotte Chiara Christina Christine Clara Claudia Cynthia Daniela Deborah Denise Diana Donna Dorothy Eleanor Elisabeth Elizabeth Ellen Emily Esther Eva Fatima Fiona Francesca Gabriela Giulia Gloria Heather Heidi Helen Helena Inga Irene Isabella Jacqueline Jane Janet Jasmine Jennifer Jessica Joan Johanna Josephine Joyce Judith Judy Julie Karen Katarina Katherine Kathleen Katja Kimberly Kristin Laila Leila Lena Linda Lisa Louise Lucy Magdalena Margaret Margarita Maria Martha Mary Mei Melissa Mia Michelle Monica Nadia Nancy Natalia Natalie Nicole Nina Pamela Patricia Paula Petra Pilar Priya Rachel Rebecca Rosa Ruth Samantha Sandra Sara Sharon Silvia Simone Sofia Sonia Stephanie Susan Susanne Svetlana Teresa Theresa Ursula Valentina Valerie Vera Veronica Victoria Yuki Yvonne".split(),
+    ("latin", "m"): "Aaron Abdul Abraham Ahmed Alan Albert Alejandro Alessandro Alexander Alfred Ali Andre Andreas Andrew Angelo Anthony Antonio Arthur Benjamin Bernard Bernd Brian Bruno Charles Christian Christopher Daniel Dennis Dieter Dmitri Donald Douglas Edward Edwin Enrique Eric Ernst Eugene Fabian Fernando Francesco Francis Francisco Frank Franz Fred Frederick Friedrich Gabriel Gary George Gerald Gerhard Giovanni Giuseppe Gregory Guillermo Gustav Hamid Harold Harry Hassan Heinrich Henry Herbert Hiroshi Howard Hugo Ibrahim Igor Ivan Jack Jacob Jan Jason Javier Jean Jeffrey Jerry Joachim Joe Johann Johannes Jonas Jonathan Jose José Joseph Joshua Juan Jürgen Kenneth Kevin Klaus Kurt Larry Lars Lawrence Leon Leonard Luca Luigi Luis Manuel Marc Marco Mario Mark Markus Matthew Matthias Max Miguel Mohammed Muhammad Nicholas Nicolas Olaf Oliver Omar Oscar Otto Pablo Patrick Pavel Pedro Philip Philippe Pierre Rafael Rahul Raj Ralph Ramon Raymond Ricardo Richard Robert Roberto Roger Roland Ronald Rudolf Ryan Samuel Scott Sebastian Sergei Sergio Simon Stefan Stephen Steven Sven Theodor Timothy Tobias Tom Tomas Umberto Viktor Vincent Vladimir Walter Werner William Wolfgang Xavier Yusuf".split(),
+    ("cyrillic", "f"): "Александра Алина Алла Анастасия Валентина Виктория Галина Екатерина Евгения Зоя Ксения Лариса Лидия Любовь Людмила Маргарита Марина Надежда Нина Оксана Полина Раиса София Тамара Юлия".split(),
+    ("cyrillic", "m"): "Александр Анатолий Андрей Аркадий Артём Валерий Василий Виталий Владимир Вячеслав Геннадий Георгий Григорий Денис Евгений Егор Игорь Илья Кирилл Константин Лев Леонид Максим Никита Олег Пётр Роман Степан Фёдор Юрий Яков".split(),
+}
+MORE_SURNAMES = "Adams Allen Alvarez Anderson Andersen Bauer Bennett Bernard Bianchi Campbell Carlson Chavez Chen Collins Cooper Davies Davis Diaz Edwards Evans Fernandez Ferrari Flores Foster Garcia Gomez Gonzalez Gupta Gutierrez Hansen Hernandez Hoffmann Hughes Ivanov Jackson Jansen Jensen Jimenez Johansson Johnson Jones Khan Kim Klein Kowalski Kumar Larsen Lee Lefebvre Lewis Li Liu Martinez McDonald Mendez Miller Mitchell Moore Morales Morgan Morris Müller Murphy Nakamura Nelson Nguyen Nielsen O'Brien O'Connor Olsen Ortiz Patel Perez Petersen Peterson Petrov Phillips Popov Ramirez Reyes Richardson Rivera Roberts Robinson Rodriguez Romero Rossi Ruiz Russo Sanchez Santos Sato Schmidt Schneider Schulz Schwarz Sharma Silva Simmons Singh Stewart Suzuki Tanaka Taylor Thompson Wagner Wang Watson Weiss Williams Wilson Wright Zhang Zimmermann Кузнецов Кузнецова Новиков Новикова Петров Петрова Попов Попова Сидоров Сидорова Смирнов Смирнова Фёдоров Фёдорова".split()
 TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Herr": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Señor": "m", "Señora": "f"}
+PARTICLES = "von van der den de del della di da das dos do du la le el al ter ten zu zum zur af av bin ibn".split()
+# Capitalised words that are no part of a name
+NO_NAMES = frozenset(
+    "A After All Also Although An And Are As At Because Before But By Can Dear Did Do For From Had Has He Her Here His How However I If In Is It Its "
+    "Let May My No Not Now Of On One Or Our She Since So That The Their Then There These They This Those Thus To Under Until Was We Were What When "
+    "Where Which While Who Why Will With You Your Yes January February March April June July August September October November December Monday "
+    "Tuesday Wednesday Thursday Friday Saturday Sunday Der Die Das Und Er Sie Es Ein Eine Le La Les Et Il Elle Un Une El Los Las Y В И На Он Она Они "
+    "Это Но Не По С К У О А Я Мы Вы Что Как Когда".split()
+)
 SYLLABLES = "ba be bi bo da de di do fa fe ka ke ki ko la le li lo ma me mi mo na ne ni no ra re ri ro sa se si so ta te ti to va ve".split()
 
-_GENDER = {name: (script, gender) for (script, gender), names in GIVEN.items() for name in names}
+_GENDER = {name: kind for lists in (MORE_GIVEN, GIVEN) for kind, names in lists.items() for name in names}
+_FAMILIES = {*MORE_SURNAMES, *(name for names in SURNAMES.values() for name in names)}
 _CAPITAL = r"[A-ZÀ-ÖØ-ÞА-ЯЁ]"
 _NAMED = rf"{_CAPITAL}[^\W\d_]+"
 NUMBERS = re.compile(
@@ -71,39 +93,59 @@ NUMBERS = re.compile(
     r"|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\w))"
     r"|(?P<secret>(?<=[\"'=:])(?=[A-Za-z_-]*\d)[A-Za-z0-9_-]{20,}(?=[\"'\s]|$)|(?<!\w)(?=[a-fA-F]*\d)[0-9a-fA-F]{32,}(?!\w))"
 )
-NAMES = re.compile(
-    rf"(?<!\w)(?:(?:{'|'.join(TITLES)})\.? )?{_NAMED}(?: (?:{_CAPITAL}\. )?{_NAMED})?(?!\w)"
-)
+_SPACE = r"(?:[^\S\n]+(?:\n[^\S\n]*)?|\n[^\S\n]*)"
+_WORD = rf"(?:{_CAPITAL}['’])?{_NAMED}(?:[-‐'’]{_NAMED})*(?!\w)"
+_TITLE = rf"(?:{'|'.join(TITLES)})(?!\w)"
+_UNIT = rf"(?:(?:{_CAPITAL}\.)+|{_TITLE}\.?|{_WORD})"
+# Neighbouring capitalised words, initials and titles, and their parts
+NAMES = re.compile(rf"(?<!\w){_UNIT}(?:{_SPACE}(?:(?:{'|'.join(PARTICLES)}){_SPACE})*{_UNIT})*")
+_PARTS = re.compile(rf"(?<!\w)(?:(?P<initial>(?:{_CAPITAL}\.)+)|(?P<title>{_TITLE})\.?|(?P<word>{_WORD}))")
 # A text that these do not find has no e-mail or number, or no name: the full
 # patterns are not tried on it.
 _SOME_NUMBER = re.compile(r"[@0-9]")
-_SOME_NAME = re.compile("|".join(sorted({n for name in [*_GENDER, *TITLES] for n in (name, name.upper())})))
-_NAME_PARTS = re.compile(rf"(?:({'|'.join(TITLES)})(\.?) )?(\S+)(?: ({_CAPITAL}\.))?(?: (\S+))?$")
+_SOME_WORD = re.compile(rf"{_CAPITAL}[^\W\d_]+")
+_KNOWN = frozenset(
+    part for name in [*_GENDER, *_FAMILIES, *TITLES] for part in _SOME_WORD.findall(name) + _SOME_WORD.findall(name.upper())
+)
 
 
-def name_parts(text: str) -> tuple | None:
-    """(title, dot, given, initial, surname, script, gender) if ``text`` is a
-    person's name: a known given name and a surname, or a title and a name."""
-    found = _NAME_PARTS.match(text)
-    if not found:
+def _spelt(word: str) -> str:
+    return word.title() if word.isupper() else word
+
+
+def _given(part: re.Match) -> tuple | None:
+    """(script, gender) of a known given name; a double name goes by its first."""
+    return _GENDER.get(_spelt(re.split("[-‐]", part.group())[0])) if part.lastgroup == "word" else None
+
+
+def _family(part: re.Match) -> bool:
+    return part.lastgroup == "word" and any(w in _FAMILIES for w in (_spelt(part.group()), *re.split("[-‐]", _spelt(part.group()))))
+
+
+def name_parts(parts: Sequence[re.Match]) -> tuple | None:
+    """(given names, surname, script, gender) of the parts of one name."""
+    words = [p for p in parts if p.lastgroup == "word"]
+    if not words:
         return None
-    title, dot, first, initial, second = found.groups()
-    spelt = first.title() if first.isupper() else first
-    if spelt in _GENDER and second:
-        script, gender = _GENDER[spelt]
-        return title, dot, first, initial, second, script, gender
-    if title:
-        script = "cyrillic" if re.match(r"[А-ЯЁ]", first) else "latin"
-        if second:
-            return title, dot, first, initial, second, script, TITLES[title]
-        return title, dot, None, None, first, script, TITLES[title]
-    return None
+    *given, last = words
+    known = next((g for g in map(_given, given) if g), None)
+    titles = [TITLES[p["title"]] for p in parts if p.lastgroup == "title"]
+    if known:
+        return given, last, *known
+    script = "cyrillic" if re.match("[А-ЯЁ]", last.group()) else "latin"
+    ending = (last if script == "cyrillic" else words[0]).group().lower()[-1]
+    return given, last, script, titles[0] if titles else "f" if ending in "aая" else "m"
+
+
+def _name_form(found: tuple) -> str:
+    given, last, script, gender = found
+    return f"{script}|{gender}|{' '.join(g.group() for g in given).lower()}|{last.group().lower()}"
 
 
 def entities(text: str) -> list[tuple[int, int, str, str]]:
     """(begin, end, kind, canonical form) in text order, without overlaps."""
     out = _numbers(text) if _SOME_NUMBER.search(text) else []
-    if _SOME_NAME.search(text):
+    if not _KNOWN.isdisjoint(_SOME_WORD.findall(text)):
         out += _names(text)
     kept, last = [], 0
     for e in sorted(out, key=lambda e: (e[0], -e[1])):
@@ -125,33 +167,60 @@ def _numbers(text: str) -> list[tuple[int, int, str, str]]:
     return out
 
 
+def _begin(parts: Sequence[re.Match]) -> int | None:
+    """Where the name among neighbouring parts begins, if there is one."""
+    words = [k for k, p in enumerate(parts) if p.lastgroup == "word"]
+    for k, part in enumerate(parts):
+        if part.lastgroup == "title" and words and k < words[-1]:
+            return k
+        if _given(part) and k < words[-1]:
+            return k - 1 if k and _family(parts[k - 1]) else k
+        if k and _family(part):
+            return 0 if len(words) <= 3 else k - 1
+    return None
+
+
+def _segments(text: str, run: re.Match) -> Iterator[list[re.Match]]:
+    """The parts of a run of capitalised words, parted where a name ends."""
+    segment: list[re.Match] = []
+    for part in _PARTS.finditer(text, run.start(), run.end()):
+        if part.lastgroup == "word" and _spelt(part.group()) in NO_NAMES:
+            yield segment
+            segment = []
+            continue
+        broken = bool(segment) and "\n" in text[segment[-1].end():part.start()]
+        whole = sum(p.lastgroup == "word" for p in segment) >= 2 and not _family(part)
+        if part.lastgroup == "title" or broken and whole:
+            yield segment
+            segment = []
+        segment.append(part)
+    yield segment
+
+
 def _names(text: str) -> list[tuple[int, int, str, str]]:
     out = []
     surnames: dict[str, str] = {}  # bare surnames follow the full name met before
-    at = 0
-    while m := NAMES.search(text, at):
-        at = m.end()
-        parts = name_parts(m.group())
-        if parts is not None:
-            if parts[2] is None and parts[4] in surnames:  # a title and a surname met before
-                out.append((m.end() - len(parts[4]), m.end(), "surname", surnames[parts[4]]))
+    for run in NAMES.finditer(text):
+        for parts in _segments(text, run):
+            while parts and parts[-1].lastgroup != "word":
+                parts.pop()
+            begin = _begin(parts)
+            bare, name = (parts, []) if begin is None else (parts[:begin], parts[begin:])
+            for p in bare:
+                if p.group() in surnames:
+                    out.append((p.start(), p.end(), "surname", surnames[p.group()]))
+            if not name:
                 continue
-            out.append((m.start(), m.end(), "name", _name_form(parts)))
-            surnames.setdefault(parts[4], out[-1][3])
-            continue
-        first, _, rest = m.group().partition(" ")
-        if first in surnames:
-            out.append((m.start(), m.start() + len(first), "surname", surnames[first]))
-        if rest:  # the name may begin at the next word
-            at = m.start() + len(first)
+            given, last, *_ = found = name_parts(name)
+            if not given and last.group() in surnames:  # a title and a surname met before
+                out.append((last.start(), last.end(), "surname", surnames[last.group()]))
+                continue
+            out.append((name[0].start(), name[-1].end(), "name", _name_form(found)))
+            for p in [last, *(g for g in given[1:] if not _given(g))]:
+                surnames.setdefault(p.group(), out[-1][3])
     return out
 
 
-def _name_form(parts: tuple) -> str:
-    _, _, first, _, second, script, gender = parts
-    return f"{script}|{gender}|{(first or '').lower()}|{second.lower()}"
-
-
 class _Draws:
     """Keyed, endless, repeatable choices for one entity and attempt."""
 
@@ -224,7 +293,7 @@ def surrogate(kind: str, form: str, attempt: int = 0, key: bytes = KEY) -> str:
             if attempt or again:
                 tail = _word(draw, 4 + 2 * ((attempt + again) // 8))
                 family = family + tail if script == "latin" else family[:2] + "".join(draw.of("аеиолнрст") for _ in range(4)) + ("ова" if gender == "f" else "ов")
-            new = f"{script}|{gender}|{draw.of(GIVEN[script, gender]).lower() if first else ''}|{family.lower()}"
+            new = f"{script}|{gender}|{' '.join(draw.of(GIVEN[script, gender]).lower() for _ in first.split())}|{family.lower()}"
         if new.lower() != form.lower():
             return new
     raise RuntimeError("no surrogate differs from the entity")
@@ -237,15 +306,15 @@ def rendered(kind: str, original: str, new: str) -> str:
         return "".join(next(digits) if c.isdigit() else c for c in original)
     if kind in ("name", "surname"):
         _, _, first, last = new.split("|")
-        parts = name_parts(original) if kind == "name" else None
         spell = lambda word, like: word.upper() if like.isupper() and len(like) > 1 else word.capitalize()
-        if parts is None:
+        if kind == "surname":
             return spell(last, original)
-        title, dot, given, initial, second, *_ = parts
-        out = [f"{title}{dot}"] if title else []
-        out += [spell(first, given)] if given else []
-        out += [initial] if initial else []
-        return " ".join([*out, spell(last, second)])
+        given, family, *_ = name_parts(list(_PARTS.finditer(original)))
+        out, at = [], 0
+        for part, word in zip([*given, family], [*first.split(), last]):
+            out += [original[at:part.start()], spell(word, part.group())]
+            at = part.end()
+        return "".join(out)
     if kind == "email" and original.isupper():
         return new.upper()
     return new
