@@ -21,7 +21,10 @@ its canonical form, so one entity has one surrogate everywhere (coreference):
 Collision check: all distinct entities of the corpus are drawn together.  Two
 entities with one surrogate, or a surrogate that is itself an entity of the
 corpus, are drawn again with the next attempt number (the smallest entity keeps
-its draw) until all differ.  Only the entities beyond their first draw
+its draw) until all differ.  IPv4 addresses and phone numbers still open after
+``MAX_ATTEMPTS`` draws get the first values left in a keyed order of their whole
+space; where fewer are left than needed, values that other entities of the corpus
+have are used too, each once.  Only the entities beyond their first draw
 (usually none) have to be looked up; the others are drawn in place.
 
 Defined results: null and empty texts stay; text outside entities stays byte
@@ -34,6 +37,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import math
 import re
 from collections.abc import Iterator, Sequence
 
@@ -255,8 +259,43 @@ def _word(draw: _Draws, length: int) -> str:
     return "".join(draw.of(SYLLABLES) for _ in range(length // 2 + 1))[:max(length, 1)]
 
 
+_FIRSTS = [n for n in range(1, 224) if n not in (10, 127, 172, 192)]
+
+
+def space(kind: str, form: str) -> tuple[str, int]:
+    """Name and size of the finite space of an entity's surrogates; ("", 0) for
+    other kinds."""
+    if kind == "ip":
+        a, b, *_ = form.split(".")
+        return ("10", 1 << 24) if a == "10" else ("192.168", 1 << 16) if (a, b) == ("192", "168") else ("", len(_FIRSTS) << 24)
+    if kind == "phone":
+        keep = 1 if len(form) > 10 else 0
+        return f"{form[:keep]}/{len(form)}", 9 * 10 ** (len(form) - keep - 1)
+    return "", 0
+
+
+def placed(kind: str, form: str, place: int, key: bytes = KEY) -> str:
+    """The value at ``place`` in the keyed order of the entity's space."""
+    name, size = space(kind, form)
+    draw = _Draws(key, f"space of {kind}", name, 0)
+    start, step = draw.below(size), 1 + draw.below(size - 1)
+    while math.gcd(step, size) != 1:
+        step += 1
+    at = (start + place * step) % size
+    if kind == "phone":
+        keep = 1 if len(form) > 10 else 0
+        return form[:keep] + str(at + 10 ** (len(form) - keep - 1))
+    low = f"{at >> 8 & 255}.{at & 255}"
+    if name == "192.168":
+        return f"192.168.{low}"
+    return f"{10 if name == '10' else _FIRSTS[at >> 24]}.{at >> 16 & 255}.{low}"
+
+
 def surrogate(kind: str, form: str, attempt: int = 0, key: bytes = KEY) -> str:
-    """Canonical surrogate of a canonical entity; never the entity itself."""
+    """Canonical surrogate of a canonical entity; never the entity itself.
+    Attempts below 0 are places -1 - attempt of its space."""
+    if attempt < 0:
+        return placed(kind, form, -1 - attempt, key)
     for again in range(1000):
         draw = _Draws(key, kind, form, attempt if not again else attempt + 1_000_003 * again)
         if kind == "card":
@@ -272,7 +311,7 @@ def surrogate(kind: str, form: str, attempt: int = 0, key: bytes = KEY) -> str:
             elif (a, b) == (192, 168):
                 new = f"192.168.{draw.below(256)}.{draw.below(256)}"
             else:
-                first = draw.of([n for n in range(1, 224) if n not in (10, 127, 172, 192)])
+                first = draw.of(_FIRSTS)
                 new = f"{first}.{draw.below(256)}.{draw.below(256)}.{draw.below(256)}"
         elif kind == "email":
             local = form.rpartition("@")[0]
@@ -292,7 +331,7 @@ def surrogate(kind: str, form: str, attempt: int = 0, key: bytes = KEY) -> str:
             family = draw.of(pool)
             if attempt or again:
                 tail = _word(draw, 4 + 2 * ((attempt + again) // 8))
-                family = family + tail if script == "latin" else family[:2] + "".join(draw.of("аеиолнрст") for _ in range(4)) + ("ова" if gender == "f" else "ов")
+                family = family + tail if script == "latin" else family[:2] + "".join(draw.of("аеиолнрст") for _ in range(4 + 2 * ((attempt + again) // 8))) + ("ова" if gender == "f" else "ов")
             new = f"{script}|{gender}|{' '.join(draw.of(GIVEN[script, gender]).lower() for _ in first.split())}|{family.lower()}"
         if new.lower() != form.lower():
             return new
@@ -356,10 +395,10 @@ def attempts_of(forms: DataFrame, key: bytes = KEY, most: int = MAX_ATTEMPTS) ->
             batch["drawn"] = [surrogate(k, f, a, key) for k, f, a in zip(batch["kind"], batch["form"], batch["attempt"])]
             yield batch
 
-    open_ = forms.withColumn("attempt", F.lit(0))
+    open_ = forms.withColumn("attempt", F.lit(0).cast("long"))
     settled: DataFrame | None = None
     for attempt in range(most):
-        drawn = stage(open_.mapInPandas(draw, "kind string, form string, attempt int, drawn string"))
+        drawn = stage(open_.mapInPandas(draw, "kind string, form string, attempt long, drawn string"))
         taken = forms.select("kind", F.col("form").alias("drawn"))
         if settled is not None:
             taken = taken.union(settled.select("kind", "drawn"))
@@ -374,7 +413,52 @@ def attempts_of(forms: DataFrame, key: bytes = KEY, most: int = MAX_ATTEMPTS) ->
         if losers.isEmpty():
             return settled.filter("attempt > 0").select("kind", "form", "attempt")
         open_ = losers.select("kind", "form", (F.col("attempt") + 1).alias("attempt"))
-    raise RuntimeError(f"{most} draws did not part all entities")
+    left = stage(_left_places(forms, settled, open_, key))
+    if left.count() < open_.count():
+        raise RuntimeError(f"{most} draws did not part all entities")
+    return settled.filter("attempt > 0").select("kind", "form", "attempt").union(left)
+
+
+def _left_places(forms: DataFrame, settled: DataFrame, open_: DataFrame, key: bytes) -> DataFrame:
+    """(kind, form, attempt) of open entities at the places of their space that
+    no draw has; values that are entities of the corpus come last."""
+
+    def named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [space(k, f) for k, f in zip(batch["kind"], batch["form"])]
+            batch["space"], batch["size"] = [n for n, _ in found], [n for _, n in found]
+            yield batch[batch["size"] > 0]
+
+    def valued(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch["value"] = [placed(k, f, p, key) for k, f, p in zip(batch["kind"], batch["form"], batch["place"])]
+            yield batch
+
+    schema = "kind string, form string, space string, size long"
+    spaces = ["kind", "space"]
+    # as many places as values are in use and wanted hold enough that are not
+    drawn = settled.select("kind", F.col("drawn").alias("form"))
+    used = forms.select("kind", "form").union(drawn).union(open_.select("kind", "form"))
+    used = used.mapInPandas(named, schema).groupBy(*spaces).agg(F.count(F.lit(1)).alias("n"))
+    wanted = stage(open_.select("kind", "form").mapInPandas(named, schema))
+    ends = wanted.groupBy(*spaces).agg(F.min("form").alias("form"), F.min("size").alias("size")).join(used, spaces)
+    places = ends.select(*spaces, "form", F.explode(F.expr("sequence(0L, least(size, n + 1L) - 1L)")).alias("place"))
+    values = places.mapInPandas(valued, "kind string, space string, form string, place long, value string").drop("form")
+    values = values.join(drawn.select("kind", F.col("form").alias("value")), ["kind", "value"], "left_anti")
+    own = forms.select("kind", F.col("form").alias("value"), F.lit(True).alias("own"))
+    values = values.join(own, ["kind", "value"], "left").withColumn("own", F.coalesce("own", F.lit(False)))
+    # opposite orders of one key meet in one value at most, which goes to a neighbour
+    rank = F.row_number().over(Window.partitionBy(*spaces).orderBy("own", F.when(F.col("own"), F.xxhash64("value")).otherwise(F.col("place")), "value"))
+    most = wanted.groupBy(*spaces).agg(F.count(F.lit(1)).alias("wanted"))
+    values = values.withColumn("rank", rank).join(most, spaces).filter("rank <= wanted")
+    down = Window.partitionBy(*spaces).orderBy(F.xxhash64("form").desc(), F.col("form").desc())
+    pairs = wanted.withColumn("rank", F.row_number().over(down)).join(values, [*spaces, "rank"])
+    around = Window.partitionBy(*spaces)
+    same = F.max(F.when(F.col("form") == F.col("value"), F.col("rank"))).over(around)
+    pairs = pairs.withColumn("same", same).withColumn("other", F.when(F.col("same") > 1, F.col("same") - 1).when(F.col("same") == 1, F.lit(2)))
+    at = {r: F.max(F.when(F.col("rank") == F.col(r), F.col("place"))).over(around) for r in ("same", "other")}
+    place = F.when(F.col("rank") == F.col("same"), at["other"]).when(F.col("rank") == F.col("other"), at["same"]).otherwise(F.col("place"))
+    return pairs.withColumn("place", place).filter("place is not null").select("kind", "form", (-1 - F.col("place")).alias("attempt"))
 
 
 def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
@@ -384,7 +468,7 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     again = attempts_of(found.select("kind", "form").distinct(), key)
     rows = docs.drop("n_entities")
     if again is None:
-        rows = rows.withColumn("_again", F.lit(None).cast("array<struct<kind:string,form:string,attempt:int>>"))
+        rows = rows.withColumn("_again", F.lit(None).cast("array<struct<kind:string,form:string,attempt:bigint>>"))
     else:
         texts = stage(
             found.join(again, ["kind", "form"]).groupBy("text_hash")

@@ -127,3 +127,28 @@ def test_recall_on_the_labelled_names():
     whole = [n for n in labelled if n in found or n.removeprefix("Dr. ") in found]
     missed = [n for n in labelled if n not in whole]
     assert (len(labelled), len(whole), len(found)) == (32, 25, 25), missed
+
+
+def test_crowded_spaces_are_filled_exactly(spark):
+    """Draws that stop early leave entities open: half of the space, then most of it."""
+    for count, avoid in ((28_000, True), (40_000, False)):
+        forms = [("ip", f"192.168.{k >> 8}.{k & 255}") for k in range(count)] + [("phone", "+4912345"[1:]), ("name", "latin|f|anna|smith")]
+        again = S.attempts_of(spark.createDataFrame(forms, "kind string, form string"), KEY, 3)
+        again = {(r.kind, r.form): r.attempt for r in again.collect()}
+        assert min(again.values()) < 0
+        drawn = [S.surrogate(k, f, again.get((k, f), 0), KEY) for k, f in forms]
+        assert len(set(drawn)) == len(drawn) and not any(d == f for d, (_, f) in zip(drawn, forms))
+        assert all(d.startswith("192.168.") for d, (k, _) in zip(drawn, forms) if k == "ip")
+        assert not avoid or not set(drawn) & {f for _, f in forms}
+
+
+def test_places_cover_a_space_once():
+    for kind, form in (("ip", "192.168.0.1"), ("phone", "49123")):
+        name, size = S.space(kind, form)
+        values = {S.placed(kind, form, k, KEY) for k in range(size)}
+        assert len(values) == size and {S.space(kind, v) for v in values} == {(name, size)}
+
+
+def test_cyrillic_surnames_widen():
+    lengths = {a: len(S.surrogate("name", "cyrillic|m|иван|петров", a, KEY).split("|")[3]) for a in (1, 63)}
+    assert lengths[63] >= lengths[1] + 10
