@@ -6,7 +6,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depuse.llm import apportion, bbit_minhash, best_fit, chunking, crf_lines, hilbert, rank_order, surrogates, url_filter, vafile
+from depuse.llm import (
+    apportion, bbit_minhash, best_fit, chunking, collocations, crf_lines, hilbert, importance, rank_order, surrogates, url_filter,
+    vafile,
+)
 from depuse.llm.oracle import ORACLE  # noqa: F401 - read by the entry module
 
 # The rules of the url query.
@@ -93,6 +96,17 @@ def op10_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight towards the benchmark texts, and the tenth drawn."""
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 strongest phrases of two or three words of every language."""
+    found = collocations.collocations(table(spark, sf_dir, "documents"))
+    return found.withColumnRenamed("grp", "lang")
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_vafile": op2_vafile,
@@ -104,4 +118,6 @@ QUERIES = {
     "op8_rank_order": op8_rank_order,
     "op9_best_fit": op9_best_fit,
     "op10_bbit_minhash": op10_bbit_minhash,
+    "op11_importance": op11_importance,
+    "op12_collocations": op12_collocations,
 }
