@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depuse.llm import (
-    apportion, bbit_minhash, best_fit, chunking, collocations, crf_lines, hilbert, importance, rank_order, surrogates, url_filter,
-    vafile,
+    apportion, bbit_minhash, best_fit, chunking, collocations, crf_lines, crosspolytope, hilbert, importance, rank_order, surrogates,
+    url_filter, vafile,
 )
 from depuse.llm.oracle import ORACLE  # noqa: F401 - read by the entry module
 
@@ -107,6 +107,11 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("grp", "lang")
 
 
+def op13_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty nearest vectors found for every twentieth one."""
+    return crosspolytope.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_vafile": op2_vafile,
@@ -120,4 +125,5 @@ QUERIES = {
     "op10_bbit_minhash": op10_bbit_minhash,
     "op11_importance": op11_importance,
     "op12_collocations": op12_collocations,
+    "op13_cross_polytope": op13_cross_polytope,
 }
