@@ -56,7 +56,7 @@ SCALE = 1_000_000
 INSIDE_PERCENT = 50
 ROUTE_WORDS = 400_000  # word occurrences a route is meant to hold
 MIN_ROUTES, MAX_ROUTES = 512, 1_000_000
-BLOCK_WORDS = 1_500_000
+BLOCK_WORDS = 1_000_000
 SLICE_BYTES = 4_000_000
 
 _BREAK = b"."  # stands for every character that parts pieces
@@ -156,10 +156,13 @@ def _merged(suffixes: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     if not len(suffixes):
         return suffixes, np.zeros(0, np.int64)
     ranks = np.zeros(len(suffixes), np.int64)
-    for d in range(suffixes.shape[1]):
-        ranks = ranks * words + suffixes[:, d]
-        if d + 1 < suffixes.shape[1]:  # keep the mixed number small enough for the next factor
-            ranks = np.unique(ranks, return_inverse=True)[1]
+    most = 1  # of the mixed numbers so far
+    for column in suffixes.T:
+        if most * words >= 2**63:  # number them anew, in order
+            values, ranks = np.unique(ranks, return_inverse=True)
+            most = len(values)
+        ranks = ranks * words + column
+        most *= words
     _, first, weights = np.unique(ranks, return_index=True, return_counts=True)
     return suffixes[first], weights
 
@@ -253,23 +256,27 @@ def equal_partitions(
             sides = [(at, False)]
         for pointers, keep_all in sides:
             least = 1 if keep_all else min_count
-            parts = [pointers]
+            parts = [(pointers, int(weights[pointers].sum()))]
             while parts:
-                part = parts.pop()
-                if not len(part) or (least > 1 and weights[part].sum() < least):
+                part, total = parts.pop()
+                if total < least:
                     continue  # abandoned
-                keys = column[part]
+                keys, weighing = column[part], weights[part]
                 pivot = keys[len(keys) // 2]
-                equal = part[keys == pivot]
-                if len(equal) < len(part):
-                    parts += [part[keys < pivot], part[keys > pivot]]
-                n = int(weights[equal].sum())
+                equal_part, n = part, total
+                for side in (keys < pivot, keys > pivot):
+                    beside = int(weighing[side].sum())
+                    n -= beside
+                    if beside >= least:
+                        parts.append((part[side], beside))
                 if n < least:
                     continue
                 found = (*phrase, int(pivot))
                 yield found, n
                 if len(found) < depth:
-                    stack.append((equal, found, keep_all))
+                    if n < total:
+                        equal_part = part[keys == pivot]
+                    stack.append((equal_part, found, keep_all))
 
 
 def phrase_counts(routed: DataFrame, hot: dict[str, set[bytes]], min_count: int, max_words: int) -> DataFrame:
