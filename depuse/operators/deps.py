@@ -8,6 +8,11 @@ gav on a cycle is its own dependency).  Set-based form:
 
 The join is keyed by gav, so a gav present in a large share of the sessions
 would be one hot partition: its rows are salted (``skew``).
+
+A session of more than ``PACKED_FROM`` gavs does not travel with each of its
+gavs.  Its gavs are numbered and the targets of a gav become bitmaps of 32,768
+numbers; those met by a session's gavs are or-ed, first within the map tasks,
+and each of its gavs looks up its own bit.
 """
 
 from __future__ import annotations
@@ -15,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depuse.operators.graph import materialise, reachable
+from depuse.operators.graph import materialise, reachable, traversal_pairs
 from depuse.operators.sessions import session_gavs
 from depuse.operators.skew import hot_keys, salted_join
 
@@ -25,16 +30,36 @@ from depuse.operators.skew import hot_keys, salted_join
 DEFAULT_DEPTH = 1
 NOT_TIMED = -1
 TARGETS_PER_ROW = 1000
+PACKED_FROM = 64
+SESSION = ["clientId", "sessionId"]
 
 
-def session_dependencies(sessions: DataFrame, reach: DataFrame, salt: bool = True) -> DataFrame:
+def session_dependencies(
+    sessions: DataFrame, reach: DataFrame, salt: bool = True, packed_from: int = PACKED_FROM
+) -> DataFrame:
     """``clientId, sessionId, dependency`` (distinct) from sessions (with
     ``gavs``) and a reachability table ``src, dst``.
 
     Only targets that occur in some session are kept; they travel as arrays of
     at most about ``TARGETS_PER_ROW`` per row.  Whether a target is in the
     session is decided in the stage that joins, so only hits are shuffled.
+    What a session of n gavs ships is at most ``packed_from`` x n names; larger
+    ones go by bitmaps (``_packed_dependencies``).
     """
+    large = sessions.filter(F.size("gavs") > packed_from)
+    if large.isEmpty():
+        return _small_dependencies(sessions, reach, salt)
+    small = _small_dependencies(sessions.filter(F.size("gavs") <= packed_from), reach, salt)
+    return small.unionByName(_packed_dependencies(large, reach, salt))
+
+
+def _met(starts: DataFrame, targets: DataFrame, salt: bool) -> DataFrame:
+    if not salt:
+        return starts.join(targets, "src")
+    return salted_join(starts, targets, ["src"], hot=hot_keys(starts.select("src"), ["src"]), hot_bounded=True)
+
+
+def _small_dependencies(sessions: DataFrame, reach: DataFrame, salt: bool) -> DataFrame:
     present = sessions.select(F.explode("gavs").alias("dst")).distinct()
     useful = reach.select("src", "dst").join(present, "dst", "left_semi")
     sizes = useful.groupBy("src").agg(F.ceil(F.count(F.lit(1)) / F.lit(TARGETS_PER_ROW)).alias("_rows"))
@@ -43,16 +68,62 @@ def session_dependencies(sessions: DataFrame, reach: DataFrame, salt: bool = Tru
         .groupBy("src", F.pmod(F.xxhash64("dst"), F.col("_rows")).alias("_part"))
         .agg(F.collect_set("dst").alias("_targets")).drop("_part")
     )
-    starts = sessions.select("clientId", "sessionId", "gavs", F.explode("gavs").alias("src"))
-    if salt:
-        hot = hot_keys(starts.select("src"), ["src"])
-        met = salted_join(starts, targets, ["src"], hot=hot, hot_bounded=True)
-    else:
-        met = starts.join(targets, "src")
-    hits = met.select("clientId", "sessionId", F.explode(F.array_intersect("_targets", "gavs")).alias("dependency"))
+    starts = sessions.select(*SESSION, "gavs", F.explode("gavs").alias("src"))
+    met = _met(starts, targets, salt)
+    hits = met.select(*SESSION, F.explode(F.array_intersect("_targets", "gavs")).alias("dependency"))
     return hits.distinct()
 
 
+def _packed_dependencies(sessions: DataFrame, reach: DataFrame, salt: bool) -> DataFrame:
+    """The same by bitmaps: rows shuffled are linear in the sessions' gavs."""
+    long = session_gavs(sessions).distinct()
+    numbers = materialise(long.select("gav").distinct().withColumn("_n", F.monotonically_increasing_id()))
+    block, bit = F.bitmap_bucket_number("_n").alias("_block"), F.bitmap_bit_position("_n").alias("_bit")
+    members = salted_join(long, numbers, ["gav"]) if salt else long.join(numbers, "gav")
+    members = materialise(members.select(*SESSION, "gav", block, bit))
+    useful = reach.select("src", "dst").join(numbers.select(F.col("gav").alias("src")), "src", "left_semi")
+    useful = useful.join(numbers.withColumnRenamed("gav", "dst"), "dst")
+    targets = useful.groupBy("src", block).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_n")).alias("_bits"))
+    met = _met(members.select(*SESSION, F.col("gav").alias("src")), targets, salt)
+    reached = met.groupBy(*SESSION, "_block").agg(F.bitmap_or_agg("_bits").alias("_bits"))
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    is_set = byte.bitwiseAND(F.expr("shiftleft(1, cast(_bit % 8 as int))")) != 0
+    return members.join(reached, [*SESSION, "_block"]).filter(is_set).select(*SESSION, F.col("gav").alias("dependency"))
+
+
+def session_traversal_work(
+    sessions: DataFrame,
+    edges: DataFrame,
+    max_depth: int | None = None,
+    mode: str = "auto",
+    salt: bool = True,
+    packed_from: int = PACKED_FROM,
+) -> DataFrame:
+    """``clientId, sessionId, n_paths, work`` of every session: number and
+    summed length of the edge-simple paths from one of its gavs to one of its
+    gavs (``traversal_pairs``; 0 where there is none).
+
+    Sessions of up to ``packed_from`` gavs decide in the stage that joins
+    whether an end is theirs; larger ones look ends up by a second join.
+    """
+    sessions = materialise(sessions)
+    gavs = session_gavs(sessions).select(F.col("gav").alias("id")).distinct()
+    pairs = materialise(traversal_pairs(edges, gavs, gavs, max_depth, mode).withColumnRenamed("seed", "src"))
+    small, large = sessions.filter(F.size("gavs") <= packed_from), sessions.filter(F.size("gavs") > packed_from)
+    ends = pairs.groupBy("src").agg(F.collect_list(F.struct("node", "n_paths", "work")).alias("_ends"))
+    starts = small.select(*SESSION, F.array_distinct("gavs").alias("gavs"))
+    met = _met(starts.select(*SESSION, "gavs", F.explode("gavs").alias("src")), ends, salt)
+    inside = met.select(*SESSION, F.inline(F.filter("_ends", lambda e: F.array_contains("gavs", e["node"]))))
+    long = session_gavs(large).distinct()
+    apart = _met(long.withColumnRenamed("gav", "src"), pairs, salt)
+    apart = apart.join(long.withColumnRenamed("gav", "node"), [*SESSION, "node"], "left_semi")
+    every = inside.select(*SESSION, "n_paths", "work").unionByName(apart.select(*SESSION, "n_paths", "work"))
+    none = sessions.select(*SESSION, F.lit(0).cast("bigint").alias("n_paths"), F.lit(0).cast("bigint").alias("work"))
+    return every.unionByName(none).groupBy(*SESSION).agg(
+        F.sum("n_paths").cast("bigint").alias("n_paths"), F.sum("work").cast("bigint").alias("work")
+    )
+
+
 def reach_for_depth(
     edges: DataFrame,
     depth: int,

@@ -1,10 +1,11 @@
 """Dependency graph as DataFrames: ``nodes(id)``, ``edges(src, dst)``.
 
-Reachability is a semi-naive fixpoint: each round joins only the pairs found
-in the previous round with the edges, keeps pairs not seen before, and
-materialises them with a reliable checkpoint (under the cluster's
-``spark.checkpoint.dir``) so the lineage of round k never reaches back to
-round 1 and a lost executor costs one round, not the whole loop.
+Reachability is a fixpoint over placed tables (``placed``): the pairs found lie
+in buckets of their hash, a round shuffles only what is new and looks it up in
+place.  From few seeds, each round adds one hop to the last round's pairs;
+from all or most nodes, distances double (``_doubled``).  Every round's pairs
+are files under the cluster's ``spark.checkpoint.dir``, so the lineage of round
+k never reaches back to round 1 and a lost executor costs a re-read.
 """
 
 from __future__ import annotations
@@ -16,10 +17,14 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from depuse.functions.sentinels import is_sentinel_only, strip_sentinels
+from depuse.operators.placed import PlacedTable
 from depuse.operators.skew import salted_join
 from depuse.session import ensure_checkpoint_dir
 from depuse.sources.text import DIRECT_EDGE_TYPE, EDGE_HEADER, GRAPH_DELIMITER, NODE_HEADER, TRANSITIVE_EDGE_TYPE
 
+# Seeds that are at least this share of all nodes are met by doubling distances.
+SEED_SHARE = 0.1
+
 # Fixed value: node label of the graph files.
 NODE_LABEL = "GAV"
 
@@ -114,8 +119,8 @@ def expand(frontier: DataFrame, edges: DataFrame, salt: bool = False) -> DataFra
     return step.select("src", "dst").distinct()
 
 
-def encode_nodes(edges: DataFrame) -> DataFrame:
-    """``id, nid``: a distinct long for every node of ``edges``.
+def encode_nodes(edges: DataFrame) -> tuple[DataFrame, int]:
+    """``id, nid``: a distinct long for every node of ``edges``; and how many.
 
     The loops join, sort and compare node pairs many times; longs are
     smaller than gav strings and sort by radix (gavs share long prefixes, so
@@ -123,7 +128,7 @@ def encode_nodes(edges: DataFrame) -> DataFrame:
     which fixes the ids for every later use.
     """
     ids = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
-    return materialise(ids.withColumn("nid", F.monotonically_increasing_id()))
+    return materialise_counted(ids.withColumn("nid", F.monotonically_increasing_id()))
 
 
 def _encode_edges(edges: DataFrame, ids: DataFrame, salt: bool = False) -> DataFrame:
@@ -169,40 +174,76 @@ def reachable(
     if max_depth is not None and max_depth < 1:
         raise ValueError("max_depth must be >= 1 (or None for unbounded)")
     edges = edges.select("src", "dst")
-    ids = encode_nodes(edges)
-    graph = materialise(_encode_edges(edges, ids, salt=salt).distinct())
-    first = graph
-    if seeds is not None:
-        seed_ids = ids.join(seeds.select("id").distinct(), "id", "left_semi").select(F.col("nid").alias("src"))
-        first = first.join(seed_ids, "src", "left_semi")
-    level, rows = materialise_counted(first.withColumn("hops", F.lit(1)))
-    found = [level]
+    ids, nodes = encode_nodes(edges)
+    graph = _encode_edges(edges, ids, salt=salt).distinct()
+    if seeds is None:
+        return _decode_pairs(_doubled(graph, max_depth, salt), ids, salt=salt)
+    seed_ids = ids.join(seeds.select("id").distinct(), "id", "left_semi").select(F.col("nid").alias("src"))
+    seed_ids, starts = materialise_counted(seed_ids)
+    if starts >= SEED_SHARE * nodes:
+        pairs = _doubled(graph, max_depth, salt).join(seed_ids, "src", "left_semi")
+    else:
+        pairs = _by_frontier(graph, seed_ids, max_depth, salt)
+    return _decode_pairs(pairs, ids, salt=salt)
+
+
+def _by_frontier(graph: DataFrame, seed_ids: DataFrame, max_depth: int | None, salt: bool) -> DataFrame:
+    """``src, dst, hops`` from the seeds, one hop a round.  The edges lie in
+    buckets of ``src``, the pairs found in buckets of (src, dst)."""
+    spark = graph.sparkSession
+    edges, found = PlacedTable(spark, ["src"]), PlacedTable(spark, ["src", "dst"])
+    edges.append(graph)
+    first = edges.all().join(seed_ids, "src", "left_semi")
+    (rows,) = found.append(first.withColumn("hops", F.lit(1)))
     depth = 1
     while rows and (max_depth is None or depth < max_depth):
+        step = expand(found.level(depth - 1), edges.all(), salt=salt)
+        fresh = step.join(found.all().select("src", "dst"), ["src", "dst"], "left_anti")
         depth += 1
-        seen = _union_all([f.select("src", "dst") for f in found])
-        fresh = expand(level, graph, salt=salt).join(seen, ["src", "dst"], "left_anti")
-        level, rows = materialise_counted(fresh.withColumn("hops", F.lit(depth)))
-        if rows:
-            found.append(level)
-    return _decode_pairs(_union_all(found), ids, salt=salt)
+        (rows,) = found.append(fresh.withColumn("hops", F.lit(depth)))
+    edges.close()
+    return found.close()
+
+
+def _doubled(graph: DataFrame, max_depth: int | None = None, salt: bool = False) -> DataFrame:
+    """``src, dst, hops`` from every node, least hops, in about log2 of the
+    longest distance rounds.
+
+    With all distances up to ``span`` known, a pair that is up to twice as far
+    apart has a node exactly ``span`` from its start on a shortest path.  So a
+    round joins only the pairs at exactly that distance (a part of the last
+    round's) with all known ones: a pair is met once per such node, never
+    through the closure joined with itself.  Pairs lie twice, by ``src`` for the
+    join and by (src, dst) to be looked up; a round shuffles what it finds.
+    On cycles this is no more work: every pair is part of the result, so merging
+    a cycle's nodes first would not make it smaller.
+    """
+    spark = graph.sparkSession
+    known, by_src = PlacedTable(spark, ["src", "dst"]), PlacedTable(spark, ["src"], small=0)
+    longest = F.max("hops")
+    rows, most = known.append(graph.withColumn("hops", F.lit(1)), longest)
+    span, level = 1, 0
+    while rows and most == span and (max_depth is None or span < max_depth):
+        while known.placed and by_src.levels <= level:
+            by_src.append(known.level(by_src.levels))
+        far = known.level(level).filter(F.col("hops") == span).select("src", F.col("dst").alias("_mid"))
+        near = (by_src if known.placed else known).all().select(F.col("src").alias("_mid"), "dst", F.col("hops").alias("_more"))
+        if max_depth is not None:
+            near = near.filter(F.col("_more") <= max_depth - span)
+        met = salted_join(far, near, ["_mid"]) if salt else far.join(near, "_mid")
+        found = met.groupBy("src", "dst").agg((F.min("_more") + F.lit(span)).alias("hops"))
+        fresh = found.join(known.all().select("src", "dst"), ["src", "dst"], "left_anti")
+        rows, most = known.append(fresh, longest)
+        span, level = 2 * span, level + 1
+    if by_src.levels:
+        by_src.close()
+    return known.close()
 
 
 def transitive_closure(edges: DataFrame, salt: bool = False) -> DataFrame:
-    """Exact closure ``src, dst`` of the edges (all sources).
-
-    Hop counts are not asked for, so paths double: after round k the pairs
-    cover all paths of up to ``2**k`` edges, and the loop ends after about
-    log2 of the longest path instead of one round per hop.
-    """
-    edges = edges.select("src", "dst")
-    ids = encode_nodes(edges)
-    pairs, rows = materialise_counted(_encode_edges(edges, ids, salt=salt).distinct())
-    before = -1
-    while rows != before:
-        before = rows
-        pairs, rows = materialise_counted(expand(pairs, pairs, salt=salt).union(pairs).distinct())
-    return _decode_pairs(pairs, ids, salt=salt)
+    """Exact closure ``src, dst`` of the edges (all sources), by doubling
+    distances (``_doubled``)."""
+    return reachable(edges, salt=salt).select("src", "dst")
 
 
 # -- traversal work --------------------------------------------------------------
@@ -226,34 +267,69 @@ def traversal_work(
     paths, so on a cyclic graph it asks for ``max_depth``.  ``"auto"`` looks for
     a cycle first (``reaches_cycle``) and chooses.
     """
+    graph = materialise(edges.select("src", "dst").distinct())
+    ids = materialise(seeds.select(F.col("id").alias("seed")).distinct())
+    return _path_totals(graph, ids, max_depth, mode, None).withColumnRenamed("seed", "id")
+
+
+def traversal_pairs(
+    edges: DataFrame,
+    seeds: DataFrame,
+    targets: DataFrame,
+    max_depth: int | None = None,
+    mode: str = "auto",
+) -> DataFrame:
+    """``seed, node, n_paths, work`` per seed and target ``node``: number and
+    summed length of the edge-simple paths from the one to the other; pairs
+    without a path are left out.  ``mode`` and ``max_depth`` as in
+    ``traversal_work``.
+
+    Only edges that the seeds reach and that lead to a target take part, so
+    paths that end nowhere in the targets are not followed to their ends, and
+    only cycles between seeds and targets count as cycles.
+    """
+    graph = materialise(edges.select("src", "dst").distinct())
+    ids = materialise(seeds.select(F.col("id").alias("seed")).distinct())
+    ends = materialise(targets.select(F.col("id").alias("node")).distinct())
+    ahead = _reached(graph, ids.select(F.col("seed").alias("id")))
+    back = _reached(ahead.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ends.select(F.col("node").alias("id")))
+    between = materialise(back.select(F.col("dst").alias("src"), F.col("src").alias("dst")).distinct())
+    return _path_totals(between, ids, max_depth, mode, ends)
+
+
+def _path_totals(
+    graph: DataFrame, ids: DataFrame, max_depth: int | None, mode: str, ends: DataFrame | None
+) -> DataFrame:
+    """Path totals per seed, or per seed and node of ``ends``."""
     if mode not in ("auto", "counts", "trails"):
         raise ValueError("mode must be 'auto', 'counts' or 'trails'")
     if max_depth is not None and max_depth < 1:
         raise ValueError("max_depth must be >= 1")
-    graph = materialise(edges.select("src", "dst").distinct())
-    ids = materialise(seeds.select(F.col("id").alias("seed")).distinct())
     if mode == "trails" and max_depth is not None:
-        return _work_by_trails(graph, ids, max_depth)
+        return _work_by_trails(graph, ids, max_depth, ends)
     cyclic = reaches_cycle(graph, ids.select(F.col("seed").alias("id")))
     if cyclic and mode == "counts":
         raise ValueError("a cycle is reachable from the seeds: use mode='trails' with max_depth")
     if cyclic and max_depth is None:
         raise ValueError("a cycle is reachable from the seeds: paths grow without bound, give max_depth")
     if cyclic or mode == "trails":
-        return _work_by_trails(graph, ids, max_depth)
-    return _work_by_counts(graph, ids, max_depth)
+        return _work_by_trails(graph, ids, max_depth, ends)
+    return _work_by_counts(graph, ids, max_depth, ends)
 
 
 def _reached(graph: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Edges leaving the seeds or any node they reach."""
-    level, rows = materialise_counted(graph.join(seeds.select(F.col("id").alias("src")).distinct(), "src", "left_semi"))
-    found = [level]
+    """Edges leaving the seeds or any node they reach.  Nodes found lie in
+    buckets and are looked up in place, like the edges."""
+    edges, nodes = PlacedTable(graph.sparkSession, ["src"]), PlacedTable(graph.sparkSession, ["src"])
+    edges.append(graph)
+    (rows,) = nodes.append(seeds.select(F.col("id").alias("src")).distinct())
     while rows:
-        heads = level.select(F.col("dst").alias("src")).distinct()
-        tails = _union_all([f.select("src") for f in found]).distinct()
-        level, rows = materialise_counted(graph.join(heads.join(tails, "src", "left_anti"), "src", "left_semi"))
-        found.append(level)
-    return _union_all(found)
+        heads = edges.all().join(nodes.level(nodes.levels - 1), "src", "left_semi").select(F.col("dst").alias("src")).distinct()
+        (rows,) = nodes.append(heads.join(nodes.all(), "src", "left_anti"))
+    met = materialise(edges.all().join(nodes.all(), "src", "left_semi"))
+    edges.close()
+    nodes.close()
+    return met
 
 
 def reaches_cycle(graph: DataFrame, seeds: DataFrame) -> bool:
@@ -270,23 +346,26 @@ def reaches_cycle(graph: DataFrame, seeds: DataFrame) -> bool:
     return False
 
 
-def _level_totals(level: DataFrame, length: int, weight: str | None) -> DataFrame:
+def _level_totals(level: DataFrame, length: int, weight: str | None, ends: DataFrame | None) -> DataFrame:
     n = F.col(weight) if weight else F.lit(1).cast("bigint")
-    return level.groupBy("seed").agg(F.sum(n).alias("n_paths"), (F.sum(n) * F.lit(length)).alias("work"))
+    keys = ["seed"]
+    if ends is not None:
+        level, keys = level.join(ends, "node", "left_semi"), ["seed", "node"]
+    return level.groupBy(*keys).agg(F.sum(n).alias("n_paths"), (F.sum(n) * F.lit(length)).alias("work"))
 
 
-def _sum_totals(ids: DataFrame, totals: list) -> DataFrame:
+def _sum_totals(ids: DataFrame, totals: list, ends: DataFrame | None) -> DataFrame:
+    keys = ["seed"] if ends is None else ["seed", "node"]
+    none = F.lit(0).cast("bigint")
     if not totals:
-        return ids.filter(F.lit(False)).select(
-            F.col("seed").alias("id"), F.lit(0).cast("bigint").alias("n_paths"), F.lit(0).cast("bigint").alias("work")
-        )
-    summed = _union_all(totals).groupBy("seed").agg(
+        node = [] if ends is None else [F.col("seed").alias("node")]
+        return ids.filter(F.lit(False)).select("seed", *node, none.alias("n_paths"), none.alias("work"))
+    return _union_all(totals).groupBy(*keys).agg(
         F.sum("n_paths").cast("bigint").alias("n_paths"), F.sum("work").cast("bigint").alias("work")
     )
-    return summed.withColumnRenamed("seed", "id")
 
 
-def _work_by_counts(graph: DataFrame, ids: DataFrame, max_depth: int | None) -> DataFrame:
+def _work_by_counts(graph: DataFrame, ids: DataFrame, max_depth: int | None, ends: DataFrame | None) -> DataFrame:
     level, rows = materialise_counted(
         graph.join(ids.withColumnRenamed("seed", "src"), "src", "left_semi")
         .select(F.col("src").alias("seed"), F.col("dst").alias("node"), F.lit(1).cast("bigint").alias("n"))
@@ -294,7 +373,7 @@ def _work_by_counts(graph: DataFrame, ids: DataFrame, max_depth: int | None) ->
     totals = []
     length = 1
     while rows:
-        totals.append(_level_totals(level, length, "n"))
+        totals.append(_level_totals(level, length, "n", ends))
         if max_depth is not None and length >= max_depth:
             break
         length += 1
@@ -302,10 +381,10 @@ def _work_by_counts(graph: DataFrame, ids: DataFrame, max_depth: int | None) ->
             graph.select(F.col("src").alias("_mid"), F.col("dst").alias("node")), "_mid"
         )
         level, rows = materialise_counted(step.groupBy("seed", "node").agg(F.sum("n").alias("n")))
-    return _sum_totals(ids, totals)
+    return _sum_totals(ids, totals, ends)
 
 
-def _work_by_trails(graph: DataFrame, ids: DataFrame, max_depth: int | None) -> DataFrame:
+def _work_by_trails(graph: DataFrame, ids: DataFrame, max_depth: int | None, ends: DataFrame | None) -> DataFrame:
     numbered = materialise(graph.withColumn("eid", F.monotonically_increasing_id()))
     level, rows = materialise_counted(
         numbered.join(ids.withColumnRenamed("seed", "src"), "src", "left_semi").select(
@@ -315,7 +394,7 @@ def _work_by_trails(graph: DataFrame, ids: DataFrame, max_depth: int | None) ->
     totals = []
     length = 1
     while rows:
-        totals.append(_level_totals(level, length, None))
+        totals.append(_level_totals(level, length, None, ends))
         if max_depth is not None and length >= max_depth:
             break
         length += 1
@@ -326,7 +405,7 @@ def _work_by_trails(graph: DataFrame, ids: DataFrame, max_depth: int | None) ->
             "seed", "node", F.concat("used", F.array("eid")).alias("used")
         )
         level, rows = materialise_counted(fresh)
-    return _sum_totals(ids, totals)
+    return _sum_totals(ids, totals, ends)
 
 
 # -- graph files -------------------------------------------------------------------

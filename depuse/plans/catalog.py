@@ -37,6 +37,7 @@ from depuse.sources.text import (
     read_adjacency,
     read_dependency_records,
     read_graph,
+    read_rejected_records,
     read_repository_logs,
     repository_log_rejects,
 )
@@ -321,6 +322,10 @@ def q_traversal_work(spark, sf):
     )
 
 
+def q_session_traversal_work(spark, sf):
+    return D.session_traversal_work(report_sessions(spark, sf), edges(spark, sf))
+
+
 def q_cyclic_traversal_work(spark, sf):
     cyc = driver.cyclic_edges(spark, sf)
     nodes = cyc.select(F.col("src").alias("id")).unionByName(cyc.select(F.col("dst").alias("id"))).distinct()
@@ -381,6 +386,18 @@ def q_file_repository_logs(spark, sf):
     return read_repository_logs(spark, _log_files(spark, sf))
 
 
+def q_file_rejected_line_numbers(spark, sf):
+    """Rejected record lines by their place in their file: files of up to 1,000
+    parts in key order, one a folder."""
+    path, key = _scratch(spark), F.col("p_partkey")
+    lines = driver.dependency_record_lines(spark, sf, with_key=True).withColumn("folder", F.floor(key / 1000).cast("int"))
+    placed = lines.repartition("folder").sortWithinPartitions("folder", "p_partkey")
+    placed.select("folder", "value").write.partitionBy("folder").text(path)
+    rejects = read_rejected_records(spark, f"{path}/*")
+    folder = F.regexp_extract("file", "folder=([0-9]+)/", 1).cast("int")
+    return rejects.select(folder.alias("folder"), "line_number", "line")
+
+
 def q_file_dependency_records(spark, sf):
     return _record_text(read_dependency_records(spark, _record_files(spark, sf)))
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from depuse import schemas
-from depuse.functions.parsing import RECORD_LINE_PATTERN, is_well_formed
+from depuse.functions.parsing import LOG_LINE_PATTERN, RECORD_LINE_PATTERN, is_well_formed
 from depuse.functions.time import bound_name, parse_bound
 from depuse.operators import deps as D
 from depuse.operators import graph as G
@@ -31,10 +31,9 @@ from depuse.operators.resolve import resolve_gavs
 from depuse.sources.tables import read_or_create, read_table, write_table
 from depuse.sources.text import (
     parse_dependency_records,
+    parse_repository_logs,
     read_dependency_records,
     read_graph,
-    read_repository_logs,
-    repository_log_rejects,
 )
 
 # The pipeline defaults.
@@ -89,13 +88,15 @@ def resolve(
     """Logs + records text -> gav logs parquet, clustered by (client, time).
 
     Downloads of one path can be a large share of all, so hot paths are salted.
-    Returns the number of rejected log lines.
+    The raw logs are read once: the parsed columns are materialised for the
+    several passes that follow (hot paths, the join, the range sampling), and
+    the rejected lines, whose number is returned, are counted on the way.
     """
-    rejects = repository_log_rejects(spark.read.text(logs_path)).count()
-    logs = read_repository_logs(spark, logs_path)
+    lines, rejects = _with_rejects(spark.read.text(logs_path), LOG_LINE_PATTERN)
+    logs = G.materialise(parse_repository_logs(lines))
     records = read_dependency_records(spark, records_path, require_unique_path=True)
     write_table(resolve_gavs(logs, records, sort=True, salt=salt), gav_logs_path)
-    return {"rejected": rejects}
+    return {"rejected": int(rejects.get["rejected"] or 0)}
 
 
 def sessionise(

@@ -139,6 +139,12 @@ SAMPLE = """sample AS (
 
 SESSION_COLS = f"clientId, sessionId, startTime, endTime, {_sorted('gavs')} AS gavs, CAST(len(gavs) AS INTEGER) AS n_gavs"
 
+CYCLIC_EDGES = """edges AS (
+  SELECT DISTINCT CAST(p_partkey AS VARCHAR) AS src, CAST(unnest(CASE WHEN p_partkey % 25 = 0 AND p_partkey >= 25
+           THEN [p_partkey + 3, p_partkey // 25 // 2 * 25 + 1]
+           ELSE [p_partkey - p_partkey % 25 + (p_partkey % 25 * 7 + 3) % 25] END) AS VARCHAR) AS dst
+  FROM part)"""
+
 ORACLE: dict[str, str] = {
     "parse_repository_logs": _sql(LOGS, body="SELECT clientId, timestamp, agent, path FROM logs WHERE event_id % 97 <> 0"),
     "parse_dependency_records": _sql(RECORDS, body=f"""SELECT path, gav, {_sorted('list_distinct(dependencies)')} AS dependencies,
@@ -192,10 +198,8 @@ ORACLE: dict[str, str] = {
     "khop_reach": _sql(LOGS, RECORDS, GAV_LOGS, RETAINED, EDGES,
         _reach("reach", "SELECT gav FROM gav_logs", str(C.KHOP_DEPTH)),
         body="SELECT src, dst, min(hops) AS hops FROM reach GROUP BY src, dst"),
-    "cyclic_reach": _sql("""edges AS (SELECT DISTINCT CAST(n_nationkey AS VARCHAR) AS src,
-                              CAST((n_nationkey * 7 + 3) % 25 AS VARCHAR) AS dst FROM nation)""",
-        "nn AS (SELECT count(*) AS n FROM nation)",
-        _reach("reach", None, "(SELECT n FROM nn)"),
+    "cyclic_reach": _sql(CYCLIC_EDGES,
+        _reach("reach", None, "100"),  # no two parts are further apart
         body="SELECT src, dst, min(hops) AS hops FROM reach GROUP BY src, dst"),
     "transitive_closure": _sql(RECORDS, RETAINED, EDGES, CLOSURE, body="SELECT src, dst FROM closure"),
     "session_dependencies_closure": _sql(*PIPE, RANGE, SG, RETAINED, EDGES, CLOSURE, _deps_from("closure"),
@@ -252,8 +256,25 @@ ORACLE: dict[str, str] = {
                CAST(coalesce(sum(p.n_paths), 0) AS BIGINT) AS n_paths,
                CAST(coalesce(sum(p.work), 0) AS BIGINT) AS work
         FROM sg s LEFT JOIN per_gav p USING (gav) GROUP BY s.clientId, s.sessionId"""),
-    "cyclic_traversal_work": _sql("""edges AS (SELECT DISTINCT CAST(n_nationkey AS VARCHAR) AS src,
-                              CAST((n_nationkey * 7 + 3) % 25 AS VARCHAR) AS dst FROM nation)""",
+    "session_traversal_work": _sql(*PIPE, RANGE, SG, SEEDS, RETAINED, EDGES, """paths(seed, node, len) AS (
+          SELECT src, dst, 1 FROM edges WHERE src IN (SELECT gav FROM seeds)
+          UNION ALL
+          SELECT p.seed, e.dst, p.len + 1 FROM paths p JOIN edges e ON p.node = e.src)""",
+        """per_pair AS (SELECT seed, node, count(*) AS n_paths, sum(len) AS work FROM paths GROUP BY seed, node),
+        inside AS (
+          SELECT a.clientId, a.sessionId, sum(p.n_paths) AS n_paths, sum(p.work) AS work
+          FROM sg a JOIN per_pair p ON p.seed = a.gav
+          JOIN sg b ON b.clientId = a.clientId AND b.sessionId = a.sessionId AND b.gav = p.node
+          GROUP BY a.clientId, a.sessionId)""",
+        body="""SELECT s.clientId, s.sessionId, CAST(coalesce(n_paths, 0) AS BIGINT) AS n_paths, CAST(coalesce(work, 0) AS BIGINT) AS work
+        FROM (SELECT DISTINCT clientId, sessionId FROM sg) s LEFT JOIN inside USING (clientId, sessionId)"""),
+    "file_rejected_line_numbers": _sql(RECORDS, RECORD_LINES, body="""
+        SELECT folder, line_number, line FROM (
+          SELECT CAST(p_partkey // 1000 AS INTEGER) AS folder, row_number() OVER (PARTITION BY p_partkey // 1000 ORDER BY p_partkey) AS line_number,
+                 base || ' extra' AS line, bad
+          FROM record_lines)
+        WHERE bad"""),
+    "cyclic_traversal_work": _sql(CYCLIC_EDGES,
         f"""trails(seed, node, len, used) AS (
           SELECT src, dst, 1, [src || '>' || dst] FROM edges
           UNION ALL

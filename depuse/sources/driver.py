@@ -8,7 +8,8 @@ The driver tables hold no download logs, so fixed projections stand in:
   depends on parts ``k div 2`` and ``k div 3``; parts ending in 0 have the
   ``NO_DEPS`` sentinel (an acyclic graph).  The file of part ``k`` has key
   ``k + 10``, so downloads of keys 0 to 9 cannot be resolved;
-* a cyclic graph from ``nation``: ``n -> (7n + 3) mod 25``.
+* a cyclic graph from ``part``: in every 25 keys, place p -> (7p + 3) mod 25
+  (cycles of up to 4), and from the first key of a block on to one of block / 2.
 
 Rendering helpers turn the projections into text lines so the text parsers
 run over every row; lines of events whose id is a multiple of 97 (and parts
@@ -125,13 +126,14 @@ def dependency_records(spark: SparkSession, sf_dir: str, with_key: bool = False)
     return part.select(*cols)
 
 
-def dependency_record_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One text line per part record: ``<p_size> <path> <gav> <deps>``."""
+def dependency_record_lines(spark: SparkSession, sf_dir: str, with_key: bool = False) -> DataFrame:
+    """One text line per part record: ``<p_size> <path> <gav> <deps>``;
+    ``with_key`` adds ``p_partkey``."""
     records = dependency_records(spark, sf_dir, with_key=True)
     line = F.concat_ws(" ", F.col("p_size").cast("string"), "path", "gav", F.array_join("dependencies", ","))
     bad = F.col("p_partkey") % MALFORMED_EVERY == 0
     return records.select(
-        F.when(bad, F.concat(line, F.lit(" extra"))).otherwise(line).alias("value")
+        F.when(bad, F.concat(line, F.lit(" extra"))).otherwise(line).alias("value"), *["p_partkey"] * with_key
     )
 
 
@@ -146,12 +148,14 @@ def records_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cyclic_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``src, dst`` of the nation graph (every node is on a cycle)."""
-    nation = table(spark, sf_dir, "nation")
-    n = F.col("n_nationkey")
-    return nation.select(
-        n.cast("string").alias("src"), ((n * 7 + 3) % 25).cast("string").alias("dst")
-    ).distinct()
+    """``src, dst`` of a graph of short cycles whose number grows with ``part``:
+    every node is on a cycle, and blocks lead on to lower blocks."""
+    part = table(spark, sf_dir, "part")
+    key, place = F.col("p_partkey"), F.col("p_partkey") % 25
+    ring = key - place + (place * 7 + 3) % 25
+    on = F.when((place == 0) & (key >= 25), F.floor(F.floor(key / 25) / 2).cast("long") * 25 + 1)
+    dst = F.explode(F.array_compact(F.array(ring, on)))
+    return part.select(key.cast("string").alias("src"), dst.alias("dst")).withColumn("dst", F.col("dst").cast("string")).distinct()
 
 
 def sentinel_records(spark: SparkSession, sf_dir: str) -> DataFrame:

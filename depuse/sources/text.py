@@ -6,7 +6,7 @@ split like any file scan and stays inside whole-stage code generation.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from depuse.functions.parsing import (
@@ -17,6 +17,7 @@ from depuse.functions.parsing import (
     record_fields,
     split_dependencies,
 )
+from depuse.session import ensure_checkpoint_dir
 
 # Graph file layout (pipe-delimited, with these headers).
 GRAPH_DELIMITER = "|"
@@ -59,6 +60,43 @@ def dependency_record_rejects(lines: DataFrame, column: str = "value") -> DataFr
     )
 
 
+def numbered_rejects(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """``file, line_number, line`` of the lines that do not match ``pattern``.
+
+    The files are read once.  A split's lines come in order, so a line's place
+    in its split is the distance of its row id from the split's first; a split
+    sends on one row with its number of lines and its rejects (at most what the
+    split holds).  Running sums over the splits of a file, one small row each,
+    give the lines before every split.  A line that crosses into the next split
+    belongs to the one it starts in, as the reader has it.
+    """
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("at"),
+    )
+    bad = F.when(~is_well_formed(F.col("value"), pattern), F.struct("at", F.col("value").alias("line")))
+    splits = lines.groupBy("file", "start").agg(
+        F.count(F.lit(1)).alias("lines"), F.min("at").alias("first"), F.collect_list(bad).alias("rejects")
+    )
+    ensure_checkpoint_dir(spark)
+    splits = splits.checkpoint(eager=True)
+    earlier = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    before = splits.select("file", "start", F.coalesce(F.sum("lines").over(earlier), F.lit(0)).alias("before"))
+    found = splits.select("file", "start", "first", F.explode("rejects").alias("reject")).join(before, ["file", "start"])
+    number = F.col("before") + F.col("reject.at") - F.col("first") + 1
+    return found.select("file", number.cast("long").alias("line_number"), F.col("reject.line").alias("line"))
+
+
+def read_rejected_logs(spark: SparkSession, path: str) -> DataFrame:
+    """``file, line_number, line`` of malformed repository log lines."""
+    return numbered_rejects(spark, path, LOG_LINE_PATTERN)
+
+
+def read_rejected_records(spark: SparkSession, path: str) -> DataFrame:
+    """``file, line_number, line`` of malformed dependency record lines."""
+    return numbered_rejects(spark, path, RECORD_LINE_PATTERN)
+
+
 def read_repository_logs(spark: SparkSession, path: str, on_overflow: str = "fail") -> DataFrame:
     """Scan repository log text files (a path, directory or glob)."""
     return parse_repository_logs(spark.read.text(path), on_overflow=on_overflow)

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from depuse.operators import deps as D
 from depuse.operators import graph as G
@@ -75,3 +76,73 @@ def test_only_hits_leave_the_join(spark, tmp_dir):
     _, edges = adjacency(spark, tmp_dir)
     plan = D.session_dependencies(sessions(spark, GAVS), edges, salt=False)._jdf.queryExecution().optimizedPlan().toString()
     assert "array_intersect" in plan
+
+
+def _random_sessions(seed, n=12, most=14, nodes=16):
+    draw = random.Random(seed)
+    return [(k % 3, k, [f"v{x}" for x in draw.sample(range(nodes), draw.randrange(most + 1))]) for k in range(n)]
+
+
+SHORT = "clientId int, sessionId long, gavs array<string>"
+
+
+@pytest.mark.parametrize("packed_from", [0, 3, 64])
+def test_packed_sessions_equal_plain_ones(spark, packed_from):
+    draw = random.Random(4)
+    reach = sorted({(f"v{draw.randrange(16)}", f"v{draw.randrange(16)}") for _ in range(60)})
+    sessions = _random_sessions(8) + [(9, 1, ["v1", "v1", "v2"]), (9, 2, None)]
+    want = sorted({(c, s, b) for c, s, g in sessions for a, b in reach if g and a in g and b in g})
+    frame, pairs = spark.createDataFrame(sessions, SHORT), spark.createDataFrame(reach, "src string, dst string")
+    for salt in (True, False):
+        assert rows(D.session_dependencies(frame, pairs, salt, packed_from)) == want
+
+
+def test_session_of_ten_thousand_gavs(spark):
+    """More than one block of numbers; what the join yields is linear."""
+    n = 40_000
+    sessions = spark.range(n).groupBy(F.lit(1).cast("int").alias("clientId"), F.lit(5).cast("long").alias("sessionId")).agg(
+        F.collect_list(F.concat(F.lit("g"), F.col("id").cast("string"))).alias("gavs")
+    )
+    reach = spark.range(0, 3 * n, 3).select(
+        F.concat(F.lit("g"), F.col("id").cast("string")).alias("src"),
+        F.explode(F.array(*[F.concat(F.lit("g"), (F.col("id") + k).cast("string")) for k in (1, 20_001)])).alias("dst"),
+    )
+    got = D.session_dependencies(sessions, reach)
+    starts = range(0, n, 3)
+    want = {k + 1 for k in starts if k + 1 < n} | {k + 20_001 for k in starts if k + 20_001 < n}
+    assert {int(r.dependency[1:]) for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("seed,bound,packed_from", [(1, 3, 64), (2, 4, 0), (3, None, 4), (5, None, 64)])
+def test_session_work_matches_brute_force(spark, seed, bound, packed_from):
+    draw = random.Random(seed)
+    known = sorted({(f"v{draw.randrange(9)}", f"v{draw.randrange(9)}") for _ in range(14)})
+    if bound is None:
+        known = [(a, b) for a, b in known if a < b]  # no cycle
+    out = {}
+    for a, b in known:
+        out.setdefault(a, []).append(b)
+
+    def trails(node, used):
+        for b in out.get(node, []):
+            if (node, b) not in used and (bound is None or len(used) < bound):
+                yield b, len(used) + 1
+                yield from trails(b, used | {(node, b)})
+
+    sessions = _random_sessions(seed, 10, 6, 10) + [(8, 1, ["v1", "v1", "absent"]), (8, 2, [])]
+    want = []
+    for c, s, gavs in sessions:
+        found = [length for a in set(gavs) for end, length in trails(a, frozenset()) if end in gavs]
+        want.append((c, s, len(found), sum(found)))
+    got = D.session_traversal_work(
+        spark.createDataFrame(sessions, SHORT), spark.createDataFrame(known, "src string, dst string"), bound, packed_from=packed_from
+    )
+    assert rows(got) == sorted(want)
+
+
+def test_session_work_ignores_cycles_that_lead_to_no_member(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "b"), ("a", "d")], "src string, dst string")
+    sessions = spark.createDataFrame([(1, 1, ["a", "d"]), (1, 2, ["c"])], SHORT)
+    with pytest.raises(ValueError, match="cycle"):
+        D.session_traversal_work(sessions, edges)
+    assert rows(D.session_traversal_work(sessions.filter("sessionId = 1"), edges)) == [(1, 1, 1, 1)]

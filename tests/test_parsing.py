@@ -2,6 +2,7 @@ import pytest
 
 from depuse.operators.quality import DuplicatePathError, assert_unique_paths, duplicate_paths
 from depuse.sources.text import (
+    read_rejected_records,
     dependency_record_rejects,
     parse_adjacency,
     parse_dependency_records,
@@ -100,3 +101,25 @@ def test_duplicated_path_raises(spark, tmp_dir):
 def test_unique_paths_pass(spark):
     recs = parse_dependency_records(lines(spark, ["1 a g x", "1 b g y"]))
     assert_unique_paths(recs)
+
+
+def test_line_numbers_of_rejects_over_many_splits(spark, tmp_dir):
+    """Files cut into splits of 200 bytes, several of them read by one task."""
+    want = set()
+    for name, n, every in (("a", 300, 7), ("b", 1, 1), ("c", 95, 96), ("d", 0, 1), ("e", 120, 1)):
+        lines = []
+        for k in range(1, n + 1):
+            bad = k % every == 0
+            lines.append(f"{k} p{k} g{k} d{k}" + " extra" * bad if k % 13 else "")
+            if bad or k % 13 == 0:
+                want.add((name, k, lines[-1]))
+        with open(f"{tmp_dir}/{name}.txt", "w") as fh:
+            fh.write("\n".join(lines) + ("\n" if name == "a" else ""))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    try:
+        got = read_rejected_records(spark, f"{tmp_dir}/*.txt")
+        assert spark.read.text(f"{tmp_dir}/*.txt").rdd.getNumPartitions() > 20
+        found = {(r.file.rsplit("/", 1)[1][:-4], r.line_number, r.line) for r in got.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found == want
