@@ -7,7 +7,10 @@ of words cut into blocks of ``block_words``; the mix's blocks are awarded to the
 sources one by one by the highest quotient target / (2 * awarded + 1), so every
 output shard (a run of awards) has an integer quota per source.  Which blocks
 fill a quota is a seeded permutation of the source's blocks: all are taken once
-before any is taken again.
+before any is taken again.  Awards are whole blocks, and a source's last block
+is short; what a source then lacks of its target, or has beyond it, is settled
+in words: the block after its last whole one is taken in part.  So every source
+gets its target to the word, however small it is.
 
 Defined results:
 
@@ -50,7 +53,10 @@ OUTPUT_SHARDS = 16
 SEED = 20
 MAX_SOURCES = 100_000
 RESULT = ("size", "source_size", "target", "taken")
-PLAN = "_rank int, source_size long, target double, _blocks long, _step long, _start long, _quota long, _shard_ends array<long>"
+PLAN = (
+    "_rank int, source_size long, target double, _blocks long, _step long, _start long, _quota long, "
+    "_whole long, _part_block long, _part long, _shard_ends array<long>"
+)
 
 
 def capped_targets(sizes: Sequence[int], weights: Sequence[float], share: float, most: float) -> list[float]:
@@ -100,6 +106,25 @@ def sainte_lague(votes: Sequence[float], seats: int, limits: Sequence[int]) -> l
     return out
 
 
+def settled(size: int, want: int, blocks: int, quota: int, step: int, start: int, block_words: int) -> tuple[int, int, int]:
+    """(whole picks, block of the pick after them, its words that are taken),
+    so that a source with ``quota`` awards gives exactly ``want`` words."""
+    if not blocks:
+        return 0, 0, 0
+    short = block_words * blocks - size  # words the last block lacks
+    last = ((blocks - 1) * step + start) % blocks  # its place in a pass
+
+    def words(picks: int) -> int:
+        passes, more = divmod(picks, blocks)
+        return passes * size + more * block_words - (short if last < more else 0)
+
+    while quota and words(quota) > want:
+        quota -= 1
+    while words(quota + 1) <= want:
+        quota += 1
+    return quota, (quota - start) * pow(step, -1, blocks) % blocks, want - words(quota)
+
+
 def block_plan(
     sizes: Sequence[int], weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: int = MOST,
     block_words: int = BLOCK_WORDS, shards: int = OUTPUT_SHARDS, seed: int = SEED,
@@ -115,14 +140,17 @@ def block_plan(
         step = draw.randrange(1, 1 << 20)
         while n and math.gcd(step, n) != 1:
             step += 1
-        plan.append((r, size, target, n, step, draw.randrange(max(n, 1)), ends[-1][r], [e[r] for e in ends]))
+        start, quota = draw.randrange(max(n, 1)), ends[-1][r]
+        want = min(round(target), most * size)
+        rest = settled(size, want, n, quota, step, start, block_words)
+        plan.append((r, size, target, n, step, start, quota, *rest, [e[r] for e in ends]))
     return plan
 
 
-# How often block b of a source is taken: picks p, p + blocks, ... below the
-# quota, where p is the block's place in the seeded permutation.
+# How often the whole of block b of a source is taken: picks p, p + blocks, ...
+# below the whole ones, where p is the block's place in the seeded permutation.
 def _takes(block: str) -> str:
-    return f"greatest(0L, (_quota - (({block} * _step + _start) % _blocks) + _blocks - 1L) div _blocks)"
+    return f"greatest(0L, (_whole - (({block} * _step + _start) % _blocks) + _blocks - 1L) div _blocks)"
 
 
 def apportion(
@@ -152,7 +180,8 @@ def apportion(
     b = F.lit(block_words)
     taken = F.expr(
         f"aggregate(sequence(_first div {block_words}L, (_first + _size - 1L) div {block_words}L), 0L, (t, b) -> "
-        f"t + (least(_first + _size, (b + 1L) * {block_words}L) - greatest(_first, b * {block_words}L)) * {_takes('b')})"
+        f"t + (least(_first + _size, (b + 1L) * {block_words}L) - greatest(_first, b * {block_words}L)) * {_takes('b')}) + "
+        f"greatest(0L, least(_first + _size, _part_block * {block_words}L + _part) - greatest(_first, _part_block * {block_words}L))"
     )
     return (
         laid.join(F.broadcast(plan), "_rank")
@@ -165,17 +194,19 @@ def apportion(
 def runs_taken(first: int, size: int, plan: dict) -> Iterator[tuple[int, int, int]]:
     """(pass, from word, to word) of each run of neighbouring blocks that the
     same pass over the source takes from a document's words."""
-    width, blocks = plan["_block_words"], plan["_blocks"]
+    width, blocks, whole = plan["_block_words"], plan["_blocks"], plan["_whole"]
     if not size or not blocks:
         return
-    for turn in range(-(-plan["_quota"] // blocks)):
+    for turn in range(-(-(whole + (plan["_part"] > 0)) // blocks)):
         begin = None
         for b in range(first // width, (first + size - 1) // width + 1):
-            chosen = (b * plan["_step"] + plan["_start"]) % blocks + turn * blocks < plan["_quota"]
-            if chosen and begin is None:
+            pick = (b * plan["_step"] + plan["_start"]) % blocks + turn * blocks
+            if pick <= whole and begin is None:
                 begin = max(first, b * width)
-            if not chosen and begin is not None:
-                yield turn, begin - first, b * width - first
+            if pick >= whole and begin is not None:
+                end = b * width + plan["_part"] * (pick == whole)
+                if begin < min(end, first + size):
+                    yield turn, begin - first, min(end, first + size) - first
                 begin = None
         if begin is not None:
             yield turn, begin - first, size
@@ -193,7 +224,7 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     text, chars = own["text"], own.get("n_chars")
     renamed = docs.toDF(*own.values())
     mixed = apportion(renamed, list(own.values()), [own[c] for c in ("doc_id", "source", "text")], **options)
-    plan = ["_first", "_quota", "_blocks", "_step", "_start", "_block_words"]
+    plan = ["_first", "_whole", "_part", "_blocks", "_step", "_start", "_block_words"]
 
     def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

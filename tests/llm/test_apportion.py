@@ -97,3 +97,38 @@ def test_empty_table_and_too_many_sources(spark, monkeypatch):
     monkeypatch.setattr(A, "MAX_SOURCES", 2)
     with pytest.raises(ValueError):
         A.apportion(frame(spark, documents()))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.integers(1, 900), st.integers(0, 1800), st.integers(1, 130), st.integers(0, 40), st.integers(1, 500), st.integers(0, 500))
+def test_settled_to_the_word(size, want, width, quota, step, start):
+    blocks, want = -(-size // width), min(want, 2 * size)
+    step = next(s for s in range(step, step + 1000) if A.math.gcd(s, blocks) == 1)
+    start, quota = start % blocks, min(quota, 2 * blocks)
+    whole, block, part = A.settled(size, want, blocks, quota, step, start, width)
+    real = [min(width, size - b * width) for b in range(blocks)]
+    order = sorted(range(blocks), key=lambda b: (b * step + start) % blocks)
+    picks = (order * 3)[: whole + 1]
+    assert sum(real[b] for b in picks[:whole]) + part == want
+    assert picks[whole] == block and 0 <= part < real[block]
+
+
+def test_no_source_vanishes(spark):
+    """A thousand sources of 1 to 300 words beside one of 20,000."""
+    rows = [(k, "w " * (1 + k * 7 % 300), "xx", f"s{k:04d}", 1) for k in range(1000)]
+    rows += [(1000 + k, "big " * 400, "xx", "t", 1) for k in range(50)]
+    sizes = {r[3]: 0 for r in rows}
+    for _, t, _, s, _ in rows:
+        sizes[s] += len(words(t))
+    targets = A.capped_targets([sizes[s] for s in sorted(sizes)], [(5, 2, 1)[k % 3] for k in range(len(sizes))], 1.5, 2)
+    docs = frame(spark, rows)
+    got = A.apportion(docs, ["doc_id", "source"]).collect()
+    taken = Counter()
+    for r in got:
+        assert 0 <= r.taken <= 2 * r["size"]
+        taken[r.source] += r.taken
+    assert taken == Counter({s: min(round(t), 2 * sizes[s]) for s, t in zip(sorted(sizes), targets)})
+    held = Counter()
+    for r in A.mix_documents(docs).collect():
+        held[r.doc_id] += len(words(r.text))
+    assert held == Counter({r.doc_id: r.taken for r in got if r.taken})
