@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from depuse.operators.graph import reachable
 from depuse.operators.sessions import session_gavs
+from depuse.operators.topn import top_rows
 
 # The sampling grid used when none is given.
 DEFAULT_MIN_SIZE = 2
@@ -36,9 +37,9 @@ def sample_by_size(
     """At most ``per_size`` sessions of every size ``min_size, min_size+step,
     ... <= max_size``, the first ones by (clientId, sessionId).
 
-    One pass: ``row_number() <= per_size`` lets Spark keep only the first
-    ``per_size`` rows of each size inside every map task before the shuffle,
-    so a size shared by most sessions does not land whole in one task.
+    One pass in two steps (``top_rows``): a size shared by most sessions is
+    ranked in parts first, so its last task reads at most ``per_size`` rows of
+    each part, however many map tasks there are.
     """
     if min_size < 2:
         raise ValueError("min_size must be >= 2")
@@ -47,14 +48,8 @@ def sample_by_size(
     if step < 1 or per_size < 1:
         raise ValueError("step and per_size must be >= 1")
     sizes = list(range(min_size, max_size + 1, step))
-    order = Window.partitionBy("gavsSize").orderBy("clientId", "sessionId")
-    return (
-        with_size(sessions)
-        .filter(F.col("gavsSize").isin(sizes))
-        .withColumn("_rank", F.row_number().over(order))
-        .filter(F.col("_rank") <= per_size)
-        .drop("_rank")
-    )
+    sized = with_size(sessions).filter(F.col("gavsSize").isin(sizes))
+    return top_rows(sized, ["gavsSize"], [F.asc("clientId"), F.asc("sessionId")], per_size, ["clientId", "sessionId"])
 
 
 def depth_sweep(

@@ -17,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from depuse.operators.topn import free_name
+
 DEFAULT_MIN_SHARE = 0.01
 DEFAULT_SALTS = 32
 BROADCAST_KEYS = 1000
@@ -58,17 +60,19 @@ def salted_join(
     bounded = hot is None or hot_bounded
     if hot is None:
         hot = hot_keys(large, on, min_share)
-    flags = hot.select(*on).withColumn("_hot", F.lit(True))
+    taken = [*large.columns, *small.columns]
+    salt, is_hot = free_name(taken, "_salt"), free_name(taken, "_hot")
+    flags = hot.select(*on).withColumn(is_hot, F.lit(True))
     if bounded and min_share * BROADCAST_KEYS >= 1:
         flags = F.broadcast(flags)
     row_hash = F.xxhash64(*[F.col(c) for c in large.columns])
     salted_large = (
         large.join(flags, on, "left")
-        .withColumn("_salt", F.when(F.col("_hot"), F.pmod(row_hash, F.lit(salts))).otherwise(F.lit(0)).cast("int"))
-        .drop("_hot")
+        .withColumn(salt, F.when(F.col(is_hot), F.pmod(row_hash, F.lit(salts))).otherwise(F.lit(0)).cast("int"))
+        .drop(is_hot)
     )
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    copies = F.when(F.col(is_hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     salted_small = (
-        small.join(flags, on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+        small.join(flags, on, "left").withColumn(salt, F.explode(copies)).drop(is_hot)
     )
-    return salted_large.join(salted_small, on + ["_salt"], how).drop("_salt")
+    return salted_large.join(salted_small, on + [salt], how).drop(salt)
