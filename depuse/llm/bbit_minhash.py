@@ -45,6 +45,7 @@ from depuse.llm.components import components
 from depuse.llm.staging import small_batches, stage
 from depuse.llm.words import WordHashes, mixed, words_of
 from depuse.operators.skew import hot_keys, salted_join
+from depuse.operators.topn import free_name
 
 SHINGLE = 5
 PERCENT = 75
@@ -375,9 +376,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     key = ["doc_id", "text_hash"]
     drop = verdicts.filter("not kept").select(*key).distinct()
     repeated = verdicts.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    hashed = docs.withColumn("_text_hash", F.xxhash64("text"))
-    same = hashed["doc_id"].eqNullSafe(drop["doc_id"]) & (hashed["_text_hash"] == drop["text_hash"])
+    text_hash = free_name(docs.columns, "_text_hash")
+    hashed = docs.withColumn(text_hash, F.xxhash64("text"))
+    same = hashed["doc_id"].eqNullSafe(drop["doc_id"]) & (hashed[text_hash] == drop["text_hash"])
     stay = hashed.join(F.broadcast(drop) if drop.count() <= BROADCAST_IDS else drop, same, "left_anti")
     if not repeated.isEmpty():
-        stay = stay.dropDuplicates(["doc_id", "_text_hash"])
+        stay = stay.dropDuplicates(["doc_id", text_hash])
     return stay.select(*docs.columns)

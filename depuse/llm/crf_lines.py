@@ -23,11 +23,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from depuse.llm.longs import as_longs, as_text, fields
 from depuse.llm.staging import small_batches
+from depuse.operators.topn import top_rows
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -266,12 +267,11 @@ def judged(texts: list[str], weights: np.ndarray, transition: np.ndarray) -> pd.
 def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_DOCUMENTS) -> list[tuple[np.ndarray, int]]:
     """Feature bits of at most ``per_class`` documents of quality 0 and as many
     of quality 1 (smallest id hashes); only these bits reach the driver."""
-    by_hash = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (
+    known = (
         labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
         .groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
-        .withColumn("_n", F.row_number().over(by_hash)).filter(F.col("_n") <= per_class).select("doc_id", "quality")
     )
+    chosen = top_rows(known, ["quality"], [F.xxhash64("doc_id"), F.col("doc_id")], per_class, ["doc_id"])
 
     def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

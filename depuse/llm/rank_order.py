@@ -25,11 +25,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from depuse.llm.longs import as_longs, as_text, fields
 from depuse.llm.staging import small_batches
+from depuse.operators.topn import top_rows
 
 PROFILE = 400
 LONGEST = 3
@@ -147,11 +148,8 @@ def fold(doc_id) -> F.Column:
 def learn(docs: DataFrame, train_documents: int = TRAIN_DOCUMENTS, size: int = PROFILE) -> dict[str, list[int]]:
     """Profiles by language, from documents outside the held-out fold."""
     known = docs.filter(F.col("lang").isNotNull() & (fold(F.col("doc_id")) != 0))
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (
-        known.select("doc_id", "lang").withColumn("_n", F.row_number().over(by_hash))
-        .filter(F.col("_n") <= train_documents).select("doc_id", "lang").distinct()
-    )
+    by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
+    chosen = top_rows(known.select("doc_id", "lang"), ["lang"], by_hash, train_documents, ["doc_id"]).distinct()
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -165,8 +163,7 @@ def learn(docs: DataFrame, train_documents: int = TRAIN_DOCUMENTS, size: int = P
         .select("lang", "text").mapInPandas(count, "lang string, code long, n long")
         .groupBy("lang", "code").agg(F.sum("n").alias("n"))
     )
-    order = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
-    top = counts.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= size)
+    top = top_rows(counts, ["lang"], [F.desc("n"), F.asc("code")], size, ["code"], out="_r")
     found: dict[str, list[int]] = {}
     for row in sorted(top.select("lang", "_r", "code").collect()):
         found.setdefault(row["lang"], []).append(row["code"])

@@ -47,6 +47,7 @@ from pyspark.sql import functions as F
 
 from depuse.llm.longs import as_longs, as_text, fields
 from depuse.llm.staging import small_batches, stage
+from depuse.operators.topn import free_name
 
 KEY = b"replace this key in production"
 MAX_ATTEMPTS = 64
@@ -467,25 +468,26 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     found = stage(found_entities(docs))
     again = attempts_of(found.select("kind", "form").distinct(), key)
     rows = docs.drop("n_entities")
+    special_of, hash_of = (free_name(rows.columns, c) for c in ("_again", "_text_hash"))
     if again is None:
-        rows = rows.withColumn("_again", F.lit(None).cast("array<struct<kind:string,form:string,attempt:bigint>>"))
+        rows = rows.withColumn(special_of, F.lit(None).cast("array<struct<kind:string,form:string,attempt:bigint>>"))
     else:
         texts = stage(
             found.join(again, ["kind", "form"]).groupBy("text_hash")
-            .agg(F.collect_set(F.struct("kind", "form", "attempt")).alias("_again"))
+            .agg(F.collect_set(F.struct("kind", "form", "attempt")).alias(special_of))
         )
         few = texts.count() <= BROADCAST_TEXTS
-        texts = texts.withColumnRenamed("text_hash", "_text_hash")
+        texts = texts.withColumnRenamed("text_hash", hash_of)
         rows = (
-            rows.withColumn("_text_hash", F.xxhash64("text"))
-            .join(F.broadcast(texts) if few else texts, "_text_hash", "left").drop("_text_hash")
+            rows.withColumn(hash_of, F.xxhash64("text"))
+            .join(F.broadcast(texts) if few else texts, hash_of, "left").drop(hash_of)
         )
-    names = [c for c in rows.columns if c != "_again"]
+    names = [c for c in rows.columns if c != special_of]
 
     def swap(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts, counts = [], []
-            for text, special in zip(batch["text"], batch["_again"]):
+            for text, special in zip(batch["text"], batch[special_of]):
                 known = {(s["kind"], s["form"]): s["attempt"] for s in special} if special is not None else {}
                 text, n = replaced(text, known, key) if isinstance(text, str) else (None, 0)
                 texts.append(text)
