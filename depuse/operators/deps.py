@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from depuse.functions.arrays import bit_is_set
 from depuse.operators.graph import materialise, reachable, traversal_pairs
 from depuse.operators.sessions import session_gavs
 from depuse.operators.skew import hot_keys, salted_join
@@ -86,9 +87,8 @@ def _packed_dependencies(sessions: DataFrame, reach: DataFrame, salt: bool) -> D
     targets = useful.groupBy("src", block).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_n")).alias("_bits"))
     met = _met(members.select(*SESSION, F.col("gav").alias("src")), targets, salt)
     reached = met.groupBy(*SESSION, "_block").agg(F.bitmap_or_agg("_bits").alias("_bits"))
-    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    is_set = byte.bitwiseAND(F.expr("shiftleft(1, cast(_bit % 8 as int))")) != 0
-    return members.join(reached, [*SESSION, "_block"]).filter(is_set).select(*SESSION, F.col("gav").alias("dependency"))
+    hits = members.join(reached, [*SESSION, "_block"]).filter(bit_is_set(F.col("_bits"), F.col("_bit")))
+    return hits.select(*SESSION, F.col("gav").alias("dependency"))
 
 
 def session_traversal_work(

@@ -85,9 +85,16 @@ def write_report(
 ) -> tuple[str, str]:
     """Write ``<start>_<end>_direct.csv`` and ``..._indirect.csv`` (headerless
     ``gav,clients``, ordered by clients descending).  Returns the two paths."""
+    return write_usage(direct_usage(enhanced), indirect_usage(enhanced), report_dir, start_text, end_text)
+
+
+def write_usage(
+    direct: DataFrame, indirect: DataFrame, report_dir: str, start_text: str, end_text: str
+) -> tuple[str, str]:
+    """Write two ``gav, clients`` tables as ``write_report`` does."""
     prefix = report_dir.rstrip("/") + f"/{bound_name(start_text)}_{bound_name(end_text)}_"
     paths = (prefix + "direct.csv", prefix + "indirect.csv")
-    for report, path in zip((direct_usage(enhanced), indirect_usage(enhanced)), paths):
+    for report, path in zip((direct, indirect), paths):
         ordered(report).write.mode("overwrite").csv(path)
     return paths
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from depuse.functions.arrays import sorted_text
 from depuse.functions.time import bound_millis, parse_bound
+from depuse.operators import daily as U
 from depuse.operators import deps as D
 from depuse.operators import graph as G
 from depuse.operators import profile as P
@@ -26,6 +27,7 @@ from depuse.operators.resolve import resolve_gavs
 from depuse.plans import jobs
 from depuse.session import ensure_checkpoint_dir
 from depuse.sources import driver
+from depuse.sources.manifest import reuse_or_build
 from depuse.sources.tables import read_or_create, read_table, write_table
 from depuse.sources.text import (
     DIRECT_EDGE_TYPE,
@@ -53,6 +55,10 @@ DEEP_HOPS = 40
 TRAIL_DEPTH = 12
 KHOP_DEPTH = 3
 SWEEP_DEPTHS = (0, 1, 2, 3)
+WINDOW_DAYS = ("2024-01-08", "2024-01-21")
+FEW_CLIENTS = 4  # so that lists and bitmaps both occur at every scale
+OFFSETS = {"Z": 0, "+01": 60, "-0530": -330, "+0845": 525, "-11": -660}  # minutes
+REUSE_LEAST = (2, 3)
 SAMPLE_GRID = (2, 40, 1, 10)  # min size, max size, step, sessions per size
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -141,6 +147,18 @@ def q_report_bounds(spark, sf):
     )
 
 
+def q_report_bounds_offsets(spark, sf):
+    """Local times under several offsets name the instants they should."""
+    events = driver.table(spark, sf, "events")
+    zones = F.array(*[F.lit(z) for z in OFFSETS])
+    zone = F.get(zones, F.pmod("event_id", F.lit(len(OFFSETS))).cast("int"))
+    dash = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH-mm"), zone)
+    colon = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm"), zone)
+    return events.select(
+        "event_id", dash.alias("bound_text"), bound_millis(dash).alias("bound_ms"), bound_millis(colon).alias("bound_ms_colon")
+    )
+
+
 # -- sessions -------------------------------------------------------------------
 
 
@@ -283,6 +301,11 @@ def q_indirect_usage_by_day(spark, sf):
     return report.select(F.col("day").cast("string").alias("day"), "gav", "clients")
 
 
+def q_usage_of_days(spark, sf):
+    """Two weeks out of the month's client sets."""
+    return U.usage_of_days(U.daily_parts(enhanced(spark, sf), sparse_up_to=FEW_CLIENTS), *WINDOW_DAYS)
+
+
 def q_top10_direct(spark, sf):
     return R.top_k(R.direct_usage(enhanced(spark, sf)), 10)
 
@@ -436,6 +459,27 @@ def q_file_read_or_create(spark, sf):
     return read_or_create(spark, path, lambda: logs.withColumn("agent", F.lit("rebuilt")))
 
 
+def q_file_reused_table(spark, sf):
+    """Downloads per client of at least so many, as a managed table: built,
+    reused, built for another parameter, built again for more input files."""
+    path, logs = _scratch(spark), _log_files(spark, sf)
+
+    def counted(least):
+        lines = read_repository_logs(spark, logs)
+        return lambda: lines.groupBy("clientId").agg(F.count(F.lit(1)).alias("downloads")).filter(F.col("downloads") >= least)
+
+    def never():
+        raise AssertionError("a table that still holds was built again")
+
+    steps = [reuse_or_build(spark, path, counted(REUSE_LEAST[0]), {"least": REUSE_LEAST[0]}, [logs])]
+    steps.append(reuse_or_build(spark, path, never, {"least": REUSE_LEAST[0]}, [logs]))
+    steps.append(reuse_or_build(spark, path, counted(REUSE_LEAST[1]), {"least": REUSE_LEAST[1]}, [logs]))
+    driver.repository_log_lines(spark, sf).write.mode("append").text(logs)
+    steps.append(reuse_or_build(spark, path, counted(REUSE_LEAST[1]), {"least": REUSE_LEAST[1]}, [logs]))
+    named = [step.withColumn("step", F.lit(k)) for k, step in enumerate(steps)]
+    return named[0].unionByName(named[1]).unionByName(named[2]).unionByName(named[3])
+
+
 def _files_in_order(rows: DataFrame, key):
     """Whether no file's least key is below the greatest of the file before
     it (a scalar; one row per file is compared)."""
@@ -532,6 +576,34 @@ def q_job_report(spark, sf):
     return spark.read.csv(direct, schema="gav string, clients long")
 
 
+def _job_enhanced(spark, sf) -> str:
+    out = _jobs(spark, sf)
+    jobs.compute_dependencies(spark, f"{out}/sessions", f"{out}/graph", f"{out}/enhanced", REPORT_START, REPORT_END)
+    return out
+
+
+def _both(spark, paths, schema) -> DataFrame:
+    direct, indirect = (
+        spark.read.csv(path, schema=schema).withColumn("kind", F.lit(kind)) for path, kind in zip(paths, ("direct", "indirect"))
+    )
+    return direct.unionByName(indirect)
+
+
+def q_job_daily_report(spark, sf):
+    out = _job_enhanced(spark, sf)
+    paths = jobs.daily_report(spark, f"{out}/enhanced", f"{out}/reports", REPORT_START, REPORT_END)
+    both = _both(spark, paths, "gav string, clients long, day date")
+    return both.select("kind", F.col("day").cast("string").alias("day"), "gav", "clients")
+
+
+def q_job_report_days(spark, sf):
+    """Client sets of the month, two weeks of them redone, then one report."""
+    out = _job_enhanced(spark, sf)
+    for start, end in ((REPORT_START, REPORT_END), (WINDOW_START, WINDOW_END)):
+        jobs.daily_parts(spark, f"{out}/enhanced", f"{out}/parts", start, end)
+    return _both(spark, jobs.report_days(spark, f"{out}/parts", f"{out}/reports", *WINDOW_DAYS), "gav string, clients long")
+
+
 def q_job_depth_sweep(spark, sf):
     out = _jobs(spark, sf)
     return jobs.depth_sweep(spark, f"{out}/sessions", f"{out}/graph", f"{out}/sweep", SWEEP_DEPTHS, SAMPLE_GRID).select(

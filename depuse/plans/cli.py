@@ -5,6 +5,8 @@
     python -m depuse.plans.cli sessionise   --gav-logs DIR --out DIR [--max-idle-ms N]
     python -m depuse.plans.cli dependencies --sessions DIR --graph DIR --out DIR --start T --end T [--depth N]
     python -m depuse.plans.cli report       --enhanced DIR --out DIR --start T --end T [--daily]
+    python -m depuse.plans.cli daily-parts  --enhanced DIR --out DIR --start T --end T
+    python -m depuse.plans.cli report-days  --parts DIR --out DIR --first DAY --last DAY
     python -m depuse.plans.cli depth-sweep  --sessions DIR --graph DIR --out PREFIX [--depths 1,2]
 
 Times are zoned date-times such as ``2014-06-18T00-00Z``.  Cluster settings
@@ -44,13 +46,19 @@ def _parser() -> argparse.ArgumentParser:
     for name in ("--enhanced", "--out", "--start", "--end"):
         p.add_argument(name, required=True)
     p.add_argument("--daily", action="store_true", help="also write per-day reports")
+    p = sub.add_parser("daily-parts")
+    for name in ("--enhanced", "--out", "--start", "--end"):
+        p.add_argument(name, required=True)
+    p = sub.add_parser("report-days")
+    for name in ("--parts", "--out", "--first", "--last"):
+        p.add_argument(name, required=True)
     p = sub.add_parser("depth-sweep")
     for name in ("--sessions", "--graph", "--out"):
         p.add_argument(name, required=True)
     p.add_argument("--depths", default="1", help="comma-separated depth settings")
     for name, default in (("--min-size", 2), ("--max-size", 40), ("--step", 1), ("--per-size", 10)):
         p.add_argument(name, type=int, default=default)
-    p.add_argument("--new-sample", action="store_true", help="do not reuse a sample written before")
+    p.add_argument("--new-sample", action="store_true", help="do not reuse tables written before")
     for p in sub.choices.values():
         p.add_argument("--input-bytes", type=int, help="size of the largest shuffle, to choose its partitions")
         p.add_argument("--cores", type=int, default=8, help="executor cores, with --input-bytes")
@@ -75,6 +83,10 @@ def main(argv: Sequence[str] | None = None, spark=None) -> dict:
         summary["reports"] = list(jobs.report(spark, args.enhanced, args.out, args.start, args.end))
         if args.daily:
             summary["daily"] = list(jobs.daily_report(spark, args.enhanced, args.out, args.start, args.end))
+    elif args.job == "daily-parts":
+        jobs.daily_parts(spark, args.enhanced, args.out, args.start, args.end)
+    elif args.job == "report-days":
+        summary["reports"] = list(jobs.report_days(spark, args.parts, args.out, args.first, args.last))
     elif args.job == "depth-sweep":
         depths = [int(d) for d in args.depths.split(",") if d.strip()]
         grid = (args.min_size, args.max_size, args.step, args.per_size)

@@ -5,6 +5,8 @@
     sessionise           gav logs parquet -> sessions parquet
     compute_dependencies sessions parquet (range) + graph -> enhanced sessions parquet
     report               enhanced sessions parquet (range) -> two CSV reports
+    daily_parts          enhanced sessions parquet (range) -> client sets per day
+    report_days          client sets per day -> two CSV reports of any days
     depth_sweep          sessions parquet -> sample, histogram, per-depth results
 
 Intermediate tables are written between stages (as the pipeline is meant to
@@ -21,14 +23,16 @@ from pyspark.sql import functions as F
 
 from depuse import schemas
 from depuse.functions.parsing import LOG_LINE_PATTERN, RECORD_LINE_PATTERN, is_well_formed
-from depuse.functions.time import bound_name, parse_bound
+from depuse.functions.time import MILLIS_PER_DAY, bound_name, parse_bound
+from depuse.operators import daily as U
 from depuse.operators import deps as D
 from depuse.operators import graph as G
 from depuse.operators import profile as P
 from depuse.operators import report as R
 from depuse.operators import sessions as S
 from depuse.operators.resolve import resolve_gavs
-from depuse.sources.tables import read_or_create, read_table, write_table
+from depuse.sources.manifest import reuse_or_build
+from depuse.sources.tables import read_table, write_table
 from depuse.sources.text import (
     parse_dependency_records,
     parse_repository_logs,
@@ -188,6 +192,30 @@ def daily_report(
     return R.write_daily_reports(enhanced, report_dir.rstrip("/") + f"/{bound_name(start)}_{bound_name(end)}_daily")
 
 
+def daily_parts(spark: SparkSession, enhanced_path: str, parts_path: str, start: str | int, end: str | int) -> None:
+    """Enhanced sessions starting in ``[start, end)`` -> client sets per day.
+
+    The bounds are whole UTC days.  Days of the range that have sessions replace
+    their folders; all other days stay, so each day is added or redone alone.
+    """
+    first, last = parse_bound(start), parse_bound(end)
+    if first % MILLIS_PER_DAY or last % MILLIS_PER_DAY:
+        raise ValueError("daily parts are built for whole UTC days")
+    enhanced = S.between(read_table(spark, enhanced_path), first, last)
+    schemas.check_columns(enhanced, schemas.ENHANCED_SESSION, "enhanced sessions")
+    parts = U.daily_parts(enhanced).repartitionByRange(U.DAY, "gav", "block").sortWithinPartitions(U.DAY, "gav")
+    writer = parts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(U.DAY).parquet(parts_path)
+
+
+def report_days(spark: SparkSession, parts_path: str, report_dir: str, first_day: str, last_day: str) -> tuple[str, str]:
+    """The two CSV reports over the days ``first_day`` to ``last_day`` (UTC
+    dates, both included) from client sets per day; sessions are not read."""
+    usage = G.materialise(U.usage_of_days(read_table(spark, parts_path), first_day, last_day))
+    direct, indirect = (usage.filter(F.col("kind") == kind).select("gav", "clients") for kind in ("direct", "indirect"))
+    return R.write_usage(direct, indirect, report_dir, first_day, last_day)
+
+
 def depth_sweep(
     spark: SparkSession,
     sessions_path: str,
@@ -200,16 +228,21 @@ def depth_sweep(
     """Stratified session sample -> per-depth dependency counts.
 
     The sample (``<prefix>-sample-<grid>``) and the size histogram
-    (``<prefix>-histogram``) are reused when present; results go to
-    ``<prefix>-results-<grid>``.
+    (``<prefix>-histogram``) are managed tables (``sources.manifest``): reused
+    while the sessions' files and the grid are the same, both built anew with
+    ``reuse_sample=False``.  Results go to ``<prefix>-results-<grid>``.
     """
     lo, hi, step, n = grid
     tag = f"{lo}-{hi}-{step}-{n}"
     sessions = read_table(spark, sessions_path)
-    sample = read_or_create(
-        spark, f"{out_prefix}-sample-{tag}", lambda: P.sample_by_size(sessions, lo, hi, step, n), reuse=reuse_sample
+
+    def kept(name: str, create, **parameters) -> DataFrame:
+        return reuse_or_build(spark, f"{out_prefix}-{name}", create, parameters, [sessions_path], rebuild=not reuse_sample)
+
+    sample = kept(
+        f"sample-{tag}", lambda: P.sample_by_size(sessions, lo, hi, step, n), min_size=lo, max_size=hi, step=step, per_size=n
     )
-    read_or_create(spark, f"{out_prefix}-histogram", lambda: P.session_size_histogram(sessions))
+    kept("histogram", lambda: P.session_size_histogram(sessions))
     _, edges = read_graph(spark, f"{graph_dir.rstrip('/')}/nodes", f"{graph_dir.rstrip('/')}/edges")
     results = P.depth_sweep(sample, edges, depths)
     write_table(results, f"{out_prefix}-results-{tag}")

@@ -126,6 +126,11 @@ ENHANCED = DEPS + ("""enhanced AS (
 )
 
 _DAY = "strftime(DATE '1970-01-01' + CAST(floor(startTime / 86400000) AS INTEGER), '%Y-%m-%d')"
+_USAGE_OF_DAYS = f"""
+        SELECT kind, gav, count(DISTINCT clientId) AS clients FROM (
+          SELECT 'direct' AS kind, {_DAY} AS day, clientId, unnest(direct) AS gav FROM split
+          UNION ALL SELECT 'indirect' AS kind, {_DAY} AS day, clientId, unnest(indirect) AS gav FROM split)
+        WHERE day BETWEEN '{C.WINDOW_DAYS[0]}' AND '{C.WINDOW_DAYS[1]}' GROUP BY kind, gav"""
 
 _lo, _hi, _step, _n = C.SAMPLE_GRID
 SAMPLE = """sample AS (
@@ -165,6 +170,12 @@ ORACLE: dict[str, str] = {
                CAST(epoch_ms(date_trunc('minute', ts)) AS BIGINT) AS bound_ms,
                CAST(epoch_ms(date_trunc('minute', ts)) AS BIGINT) AS bound_ms_colon
         FROM events"""),
+    "report_bounds_offsets": _sql("zones(k, zone, minutes) AS (VALUES " + ", ".join(
+        f"({k}, '{z}', {m})" for k, (z, m) in enumerate(C.OFFSETS.items())) + ")", """bounds AS (
+          SELECT event_id, ts, zone, CAST(epoch_ms(date_trunc('minute', ts)) - 60000 * minutes AS BIGINT) AS bound_ms
+          FROM events JOIN zones ON event_id % (SELECT count(*) FROM zones) = k)""", body="""
+        SELECT event_id, strftime(ts, '%Y-%m-%dT%H-%M') || zone AS bound_text, bound_ms, bound_ms AS bound_ms_colon
+        FROM bounds"""),
     "session_flags": _sql(LOGS, RECORDS, GAV_LOGS, FLAGS, body="""
         SELECT clientId, timestamp, event_id, gav, coalesce(prev, -1) AS prev, coalesce(diff, -1) AS diff,
                isNewSession, sessionId FROM sflags"""),
@@ -228,6 +239,7 @@ ORACLE: dict[str, str] = {
     "indirect_usage_by_day": _sql(*ENHANCED, body=f"""
         SELECT day, gav, count(DISTINCT clientId) AS clients
         FROM (SELECT {_DAY} AS day, clientId, unnest(indirect) AS gav FROM split) GROUP BY day, gav"""),
+    "usage_of_days": _sql(*ENHANCED, body=_USAGE_OF_DAYS),
     "top10_direct": _sql(*ENHANCED, body="SELECT gav, clients FROM direct_rep ORDER BY clients DESC, gav LIMIT 10"),
     "top10_indirect": _sql(*ENHANCED, body="SELECT gav, clients FROM indirect_rep ORDER BY clients DESC, gav LIMIT 10"),
     "session_size_histogram": _sql(*PIPE, body="""
@@ -323,6 +335,10 @@ ORACLE |= {
     "file_parquet_table": _sql(LOGS, body=_LOGS),
     "file_create_only": _sql(LOGS, body=_LOGS),
     "file_read_or_create": _sql(LOGS, body=_LOGS),
+    "file_reused_table": _sql(LOGS, """per AS (SELECT clientId, count(*) AS n FROM logs WHERE event_id % 97 <> 0 GROUP BY 1)""",
+        f"""steps(step, times, least) AS (VALUES (0, 1, {C.REUSE_LEAST[0]}), (1, 1, {C.REUSE_LEAST[0]}),
+          (2, 1, {C.REUSE_LEAST[1]}), (3, 2, {C.REUSE_LEAST[1]}))""", body="""
+        SELECT step, clientId, n * times AS downloads FROM per, steps WHERE n * times >= least"""),
     "file_graph_nodes": _sql(RECORDS, RETAINED, NODES, body="SELECT id, 'GAV' AS label, true AS sorted FROM nodes"),
     "file_graph_edges": _sql(RECORDS, RETAINED, EDGES, CLOSURE, body="""
         SELECT src, dst, 'D_DEPENDS_ON' AS type FROM edges
@@ -348,5 +364,11 @@ ORACLE |= {
         _reach("reach", "SELECT gav FROM seeds", str(C.SESSION_HOPS)), _deps_from("reach"),
         body="SELECT clientId, sessionId, dependency FROM deps"),
     "job_report": _sql(*_on_good_lines(*ENHANCED), body="SELECT gav, clients FROM direct_rep"),
+    "job_daily_report": _sql(*_on_good_lines(*ENHANCED), body=f"""
+        SELECT kind, day, gav, count(DISTINCT clientId) AS clients FROM (
+          SELECT 'direct' AS kind, {_DAY} AS day, clientId, unnest(direct) AS gav FROM split
+          UNION ALL SELECT 'indirect' AS kind, {_DAY} AS day, clientId, unnest(indirect) AS gav FROM split)
+        GROUP BY kind, day, gav"""),
+    "job_report_days": _sql(*_on_good_lines(*ENHANCED), body=_USAGE_OF_DAYS),
     "job_depth_sweep": ORACLE["depth_sweep"].replace(LOGS, _GOOD_LOGS).replace(RECORDS, _GOOD_RECORDS),
 }

@@ -4,6 +4,7 @@ import pytest
 
 from depuse.plans import jobs
 from depuse.sources import driver
+from depuse.sources.manifest import builds
 from depuse.sources.tables import read_table
 from tests.conftest import SF
 
@@ -56,3 +57,22 @@ def test_pipeline_end_to_end(spark, tmp_dir):
     assert res.count() > 0
     again = jobs.depth_sweep(spark, f"{tmp_dir}/sessions", f"{tmp_dir}/graph", f"{tmp_dir}/prof2", depths=(1,))
     assert again.count() * 2 == res.count()
+
+
+def test_depth_sweep_reuses_what_still_holds(spark, tmp_dir):
+    from depuse.plans.catalog import order_sessions
+
+    records = f"{tmp_dir}/records"
+    write_lines(driver.dependency_record_lines(spark, SF), records)
+    jobs.build_graph(spark, records, f"{tmp_dir}/graph", transitive=False)
+    order_sessions(spark, SF).write.parquet(f"{tmp_dir}/sessions")
+
+    def sweep(**how):
+        jobs.depth_sweep(spark, f"{tmp_dir}/sessions", f"{tmp_dir}/graph", f"{tmp_dir}/p", grid=(2, 40, 1, 3), **how)
+        return [builds(spark, f"{tmp_dir}/p-{name}").count() for name in ("sample-2-40-1-3", "histogram")]
+
+    assert sweep() == [1, 1]
+    assert sweep() == [1, 1]
+    assert sweep(reuse_sample=False) == [2, 2]
+    read_table(spark, f"{tmp_dir}/sessions").limit(5).write.mode("append").parquet(f"{tmp_dir}/sessions")
+    assert sweep() == [3, 3]
