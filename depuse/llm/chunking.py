@@ -6,8 +6,8 @@ chunk ends where this hash is the smallest within ``RADIUS`` words either side:
 cuts depend on nearby words alone, so an insertion moves the cuts around itself
 and no others, and chunks hold more than ``RADIUS`` words.  The shortest
 stretches of neighbouring chunks of at least ``MIN_RUN`` words, one from each
-chunk on and one up to each chunk, are compared by the digest of their whole
-word sequence across all documents; the first occurrence (smallest id, then
+chunk on and one up to each chunk, are compared by the 96-bit digest of their
+whole word sequence across all documents; the first occurrence (smallest id, then
 text hash, then place) stays, and the others are repeated passages and are cut
 from the text.  Every word cut is thus part of ``MIN_RUN`` words on that occur
 earlier in that order; common chunks that merely meet are no passage.  The
@@ -34,17 +34,19 @@ from pyspark.sql import functions as F
 from depuse.llm.longs import as_longs, as_text
 from depuse.llm.staging import small_batches, stage
 from depuse.llm.words import WordHashes, mixed, words_of
-from depuse.operators.skew import hot_keys, salted_join
+from depuse.operators.skew import DEFAULT_MIN_SHARE, salted_join
 
 GEAR_WORDS = 4
 RADIUS = 3
 MIN_RUN = 12
 CHUNK_WORDS = 100_000
-CHUNKS = "doc_id long, text_hash long, digest long, place int, words int"
+CHUNKS = "doc_id long, text_hash long, digest long, check int, place int, words int"
+DIGEST = ["digest", "check"]
 RESULT = "doc_id long, text string, n_words long, dup_words long, dup_spans array<array<int>>"
 
-_MULTIPLIER = np.uint64(0xD6E8FEB86659FD93)
-_INVERSE = np.uint64(pow(0xD6E8FEB86659FD93, -1, 2**64))
+# Odd multipliers of the two digests, and what the second one's gears are mixed with.
+_MULTIPLIERS = (0xD6E8FEB86659FD93, 0x9FB21C651E98DF25)
+_OTHER_GEARS = np.uint64(0x5851F42D4C957F2D)
 
 
 def gear_hashes(gears: np.ndarray) -> np.ndarray:
@@ -81,15 +83,22 @@ def cuts(gears: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(first)
 
 
-def digests(gears: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit digests of the word sequences [begin, end), which may overlap."""
+def _digests(gears: np.ndarray, begins: np.ndarray, ends: np.ndarray, multiplier: int) -> np.ndarray:
     powers, inverse = np.ones((2, len(gears)), np.uint64)
-    powers[1:], inverse[1:] = _MULTIPLIER, _INVERSE
+    powers[1:], inverse[1:] = np.uint64(multiplier), np.uint64(pow(multiplier, -1, 2**64))
     sums = np.zeros(len(gears) + 1, np.uint64)
     sums[1:] = np.cumsum(mixed(gears) * np.cumprod(powers))
     return mixed((sums[ends] - sums[begins]) * np.cumprod(inverse)[begins] + (ends - begins).astype(np.uint64))
 
 
+def digests(gears: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64 and 32 more bits that stand for the word sequences [begin, end), which
+    may overlap: at 10^13 different stretches fewer than 0.001 accidental pairs
+    are expected."""
+    check = _digests(gears ^ _OTHER_GEARS, begins, ends, _MULTIPLIERS[1]) >> np.uint64(32)
+    return _digests(gears, begins, ends, _MULTIPLIERS[0]).view(np.int64), check.astype(np.uint32).view(np.int32)
+
+
 def stretches(firsts: np.ndarray, starts: np.ndarray, n: int, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Begins and ends of the shortest runs of whole chunks with ``least`` words
     on, from each chunk and up to each chunk of its document; with 1, the
@@ -125,11 +134,12 @@ def _chunk(least: int):
                     begins, ends = stretches(cuts(flat, starts), starts, len(flat), least)
                     owner = np.searchsorted(starts, begins, side="right") - 1
                     take = pa.array(np.array(rows)[owner])
+                    digest, check = digests(flat, begins, ends)
                     yield pa.RecordBatch.from_arrays(
-                        [ids.take(take), keys.take(take), pa.array(digests(flat, begins, ends).view(np.int64)),
+                        [ids.take(take), keys.take(take), pa.array(digest), pa.array(check),
                          pa.array((begins - starts[owner]).astype(np.int32)),
                          pa.array((ends - begins).astype(np.int32))],
-                        ["doc_id", "text_hash", "digest", "place", "words"],
+                        ["doc_id", "text_hash", *DIGEST, "place", "words"],
                     )
                     rows, gears, count = [], [], 0
 
@@ -161,15 +171,16 @@ def repeated_spans(docs: DataFrame, least: int = 1) -> DataFrame:
     stretch that occurs earlier elsewhere.
 
     Stretches meet by digest; a digest of very many is reduced to one row
-    map-side and its rows are salted in the join back.
+    map-side and its rows are salted in the join back.  The counts of the digests
+    that occur again tell which those are.
     """
     found = stage(chunks(docs, least))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash", "place")
     # equal rows count more than once, but all of them are the first
-    first = found.groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    first = stage(first.select("digest", "first"))
-    keys = ["digest"]
-    again = salted_join(found, first, keys, hot=hot_keys(found.select("digest"), keys), hot_bounded=True).filter(order != F.col("first"))
+    first = found.groupBy(*DIGEST).agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    first = stage(first)
+    hot = first.filter(F.col("n") > F.lit(DEFAULT_MIN_SHARE * found.count())).select(*DIGEST)
+    again = salted_join(found, first.drop("n"), DIGEST, hot=hot, hot_bounded=True).filter(order != F.col("first"))
     return again.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("place", "words")).alias("spans"))
 
 

@@ -140,5 +140,51 @@ def test_stretches_are_the_shortest_of_whole_chunks():
         assert set(zip(*(x.tolist() for x in C.stretches(firsts, starts, sum(sizes), 1)))) == set(zip(firsts.tolist(), [*firsts[1:].tolist(), sum(sizes)]))
 
 
+def test_digests_tell_sequences_apart_by_two_numbers():
+    """Equal stretches have equal digests wherever they stand, and either
+    number alone differs between all others."""
+    draw = np.random.default_rng(1)
+    gears = draw.integers(0, 2**63, 4000, dtype=np.uint64)
+    gears[2000:] = gears[:2000]
+    begins = draw.integers(0, 1900, 5000)
+    ends = begins + draw.integers(1, 100, 5000)
+    one, other = C.digests(gears, begins, ends), C.digests(gears, begins + 2000, ends + 2000)
+    assert all((a == b).all() for a, b in zip(one, other))
+    spans = len(set(zip(begins.tolist(), ends.tolist())))
+    assert one[0].dtype == np.int64 and one[1].dtype == np.int32
+    assert len(set(one[0].tolist())) == len(set(one[1].tolist())) == spans
+    swapped = np.array([gears[1], gears[0]])
+    for a, b in zip(C.digests(swapped, np.array([0]), np.array([2])), C.digests(gears, np.array([0]), np.array([2]))):
+        assert a != b
+
+
+def brute_cut(rows):
+    """What is cut, by comparing the word tuples of the stretches themselves."""
+    texts = dict(rows)
+    first, found = {}, {}
+    for i in sorted(texts):
+        w = words_of(texts[i])
+        c = chunked(texts[i])
+        begins, ends = C.stretches(np.array(c[:-1]), np.array([0]), len(w), C.MIN_RUN) if w else ((), ())
+        found[i] = [(int(a), int(b), tuple(w[a:b])) for a, b in zip(begins, ends)]
+        for a, _, key in found[i]:
+            first[key] = min(first.get(key, (i, a)), (i, a))
+    return {i: {p for a, b, key in spans if first[key] != (i, a) for p in range(a, b)} for i, spans in found.items()}
+
+
+def test_cut_words_agree_with_brute_force_over_stretches(spark):
+    draw = random.Random(12)
+    passages = [sentence(draw, draw.randrange(14, 90), 3000) for _ in range(12)]
+    rows = []
+    for k in range(160):
+        parts = [draw.choice(passages) if draw.random() < 0.4 else sentence(draw, draw.randrange(1, 40), 3000) for _ in range(5)]
+        rows.append((k, draw.choice([" ", "\n"]).join(parts)))
+    rows += [(200 + k, passages[k % 3]) for k in range(9)]
+    want = brute_cut(rows)
+    assert sum(map(len, want.values())) > 2000
+    for r in C.dedupe_passages(frame(spark, rows, "doc_id long, text string")).collect():
+        assert {p for a, n in r.dup_spans for p in range(a, a + n)} == want[r.doc_id]
+
+
 def test_empty_table(spark):
     assert C.dedupe_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
