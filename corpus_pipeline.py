@@ -36,8 +36,9 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of texts in bins of 1,024 words without conflicts."""
-    return best_fit.pack(docs)
+    """Pieces of texts in bins of 1,024 words without conflicts; the parts that
+    mixing took of one document share no bin."""
+    return best_fit.pack(docs, cluster=F.col("doc_id"))
 
 
 STAGES = [

@@ -12,9 +12,11 @@ group, so no source, cluster or document loads one task; what is lost is at
 most the last open bins of each group.
 
 Defined results: null and empty texts have no words: one row with a null bin.
-A null source conflicts with nothing; the cluster is the text itself (copies
-and repeated rows never share a bin, and neither do two pieces of one text).
-Ties in length go by text hash, piece number and id (as text); equal rows are
+A null source conflicts with nothing.  The cluster is what the caller names (a
+component of near duplicates, or the document that rows are parts of), and the
+text itself where that is null or not given: then copies and repeated rows never
+share a bin, and neither do two pieces of one text.  Ties in length go by
+cluster, text hash, piece number and id (as text); equal rows are
 interchangeable.  Reruns agree.  Pieces cover every word, long texts included.
 An empty table gives no rows.  Extra columns are not read.
 """
@@ -26,18 +28,18 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from depuse.llm.longs import as_longs
-from depuse.llm.staging import small_batches
+from depuse.llm.staging import small_batches, stage
 from depuse.llm.words import count_words
 
 CAPACITY = 1024
 GROUP_ROWS = 4096
-# Bins of a group are numbered below this, full pieces by hash above it.
+# Bins of a group are numbered below this, from the group's number times this on.
 BINS_PER_GROUP = 1 << 20
-PIECES = "doc_id string, piece int, first_word int, n_words int, source string, cluster long, text string"
+PIECES = "doc_id string, piece int, first_word int, n_words int, source string, cluster long, text_hash long, text string"
 RESULT = "bin_id long, place int, doc_id long, piece int, first_word int, n_words int, source string, cluster long, text string"
 
 
@@ -83,7 +85,7 @@ def _pieces(capacity: int, with_text: bool):
                 firsts += [f for f, _ in spans]
                 sizes += [t - f for f, t in spans]
                 texts += cut(text, spans, n) if with_text and n else [text if with_text else None] * len(spans)
-            out = batch[["doc_id", "source", "cluster"]].iloc[rows].reset_index(drop=True)
+            out = batch[["doc_id", "source", "cluster", "text_hash"]].iloc[rows].reset_index(drop=True)
             out["piece"], out["first_word"], out["n_words"], out["text"] = numbers, firsts, sizes, texts
             yield out
 
@@ -92,22 +94,32 @@ def _pieces(capacity: int, with_text: bool):
 
 def pack(
     docs: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS, with_text: bool = True,
+    cluster: Column | None = None,
 ) -> DataFrame:
-    """``RESULT``: one row per piece with its bin and its place in the bin."""
+    """``RESULT``: one row per piece with its bin and its place in the bin.
+
+    ``cluster``: a long column of ``docs``; rows that share one never share a bin.
+    """
     small_batches(docs)
     text = [F.col("text")] if with_text else []
+    text_hash = F.xxhash64("text")
     rows = docs.select(
-        F.col("doc_id").cast("long").cast("string"), F.col("source").cast("string"), F.xxhash64("text").alias("cluster"),
-        count_words(F.col("text")).cast("int").alias("n_words"), *text,
+        F.col("doc_id").cast("long").cast("string"), F.col("source").cast("string"),
+        (text_hash if cluster is None else F.coalesce(cluster.cast("long"), text_hash)).alias("cluster"),
+        text_hash.alias("text_hash"), count_words(F.col("text")).cast("int").alias("n_words"), *text,
     )
     pieces = rows.mapInPandas(_pieces(capacity, with_text), PIECES)
-    total = docs.select(F.sum(F.greatest(F.lit(1), F.ceil(count_words(F.col("text")) / F.lit(capacity))))).first()[0] or 0
+    if with_text:
+        total = docs.select(F.sum(F.greatest(F.lit(1), F.ceil(count_words(F.col("text")) / F.lit(capacity))))).first()[0] or 0
+    else:  # a few bytes a piece: written once, so that the texts are read once
+        pieces = stage(pieces)
+        total = pieces.count()
     groups = max(1, -(-int(total) // group_rows))
-    key = F.xxhash64("doc_id", "cluster", "piece")
+    key = F.xxhash64("doc_id", "text_hash", "piece")
     dealt = pieces.withColumn("_key", key).withColumn("_group", F.pmod(F.col("_key"), F.lit(groups)).cast("int"))
 
     def place(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["n_words", "cluster", "piece", "doc_id"], ascending=[False, True, True, True], kind="stable")
+        group = group.sort_values(["n_words", "cluster", "text_hash", "piece", "doc_id"], ascending=[False, True, True, True, True], kind="stable")
         n = group["n_words"].to_numpy()
         placed = n > 0
         some = group[placed]

@@ -2,6 +2,7 @@ from collections import Counter, defaultdict
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from depuse.llm import best_fit as B
 from tests.llm.helpers import DOCUMENTS, documents, frame, words
@@ -40,7 +41,7 @@ def check(rows, got, capacity):
             assert words(r.text) and len(words(r.text)) == r.n_words
         else:
             assert r.bin_id is None
-        whole[r.doc_id, r.cluster].append(r)
+        whole[r.doc_id, r.cluster if r.cluster != r.doc_id else r.text].append(r)
     for group in bins.values():
         assert sum(r.n_words for r in group) <= capacity
         assert len({r.cluster for r in group}) == len(group)
@@ -64,5 +65,24 @@ def test_documents_with_every_case(spark):
     assert Counter(tuple(r)[:-1] for r in one.collect()) == Counter(tuple(r)[:-1] for r in two.collect())
 
 
+def test_clusters_of_the_caller_share_no_bin(spark):
+    """Parts of one document, and near copies under one component, stay apart
+    though their texts differ and no source parts them; a null cluster is the
+    text itself."""
+    rows = [(k // 4, f"part {k} of a text", "xx", None, 1) for k in range(80)]
+    rows += [(None, "nobody's text", "xx", None, 1)] * 3
+    docs = frame(spark, rows)
+    got = B.pack(docs, 100, cluster=F.col("doc_id")).collect()
+    check(rows, got, 100)
+    bins = defaultdict(list)
+    for r in got:
+        bins[r.bin_id].append(r.doc_id if r.doc_id is not None else "nobody")
+    assert all(len(set(b)) == len(b) for b in bins.values())
+    assert len({r.bin_id for r in got if r.doc_id == 0}) == 4
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, B.pack(docs, 100, cluster=F.col("doc_id")).collect()), key=str)
+    plain = B.pack(docs, 100).collect()
+    assert any(n > 1 for n in Counter((r.bin_id, r.doc_id) for r in plain).values())  # what the cluster is for
+
+
 def test_empty_table(spark):
     assert B.pack(spark.createDataFrame([], DOCUMENTS)).count() == 0
