@@ -5,7 +5,7 @@ Each line gives binary features (shares of symbols, capitals and digits, word
 counts, repetition, link and legal wording); Viterbi decoding finds the best
 label sequence of a whole document.  The field is trained here, on a bounded
 sample of labelled documents (``train_documents`` per quality class, those of
-the smallest id hashes); a line's training label is its document's quality.
+the smallest id hashes, one row an id, ``DOCUMENT_LINES`` lines each); a line's training label is its document's quality.
 
 Defined results: words are runs of ``[^\\x20\\x09-\\x0D]``; a null or empty text
 has none, fails the base rules and is dropped.  ``base_failed``: fewer than
@@ -36,6 +36,7 @@ WINDOW = 8
 MIN_CONTENT_SHARE = 0.5
 TRAIN_DOCUMENTS = 500
 TRAIN_LINES = 32  # training sequences are runs of this many lines
+DOCUMENT_LINES = 4096  # lines of one document that training reads at most
 CHUNK_CHARS = 300_000
 MEASURES = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -264,9 +265,17 @@ def judged(texts: list[str], weights: np.ndarray, transition: np.ndarray) -> pd.
     return pd.DataFrame({**base, "base_failed": failed, "content_share": share, "kept": ~failed & (share >= MIN_CONTENT_SHARE)})
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_DOCUMENTS) -> list[tuple[np.ndarray, int]]:
+def _spread(bits: np.ndarray, most: int) -> np.ndarray:
+    return bits if len(bits) <= most else bits[np.arange(most) * len(bits) // most]
+
+
+def training_sample(
+    docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_DOCUMENTS, per_document: int = DOCUMENT_LINES
+) -> list[tuple[np.ndarray, int]]:
     """Feature bits of at most ``per_class`` documents of quality 0 and as many
-    of quality 1 (smallest id hashes); only these bits reach the driver."""
+    of quality 1 (smallest id hashes), one row an id (smallest text hash) and at
+    most ``per_document`` lines a document, spread evenly over it; only these
+    bits reach the driver."""
     known = (
         labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
         .groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
@@ -281,11 +290,12 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_D
                 yield pd.DataFrame({
                     "doc_id": batch["doc_id"].to_numpy()[begin:begin + len(texts)],
                     "quality": batch["quality"].to_numpy()[begin:begin + len(texts)],
-                    "bits": [b.tolist() for b in np.split(bits, edges)],
+                    "bits": [_spread(b, per_document).tolist() for b in np.split(bits, edges)],
                 })
 
     # 2 * per_class ids at most
     sample = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(chosen), "doc_id")
+    sample = sample.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     found = sample.mapInPandas(lines, "doc_id long, quality int, bits array<long>").collect()
     found.sort(key=lambda r: (r["doc_id"], len(r["bits"])))
     return [(np.array(r["bits"], np.int64), r["quality"]) for r in found]

@@ -70,3 +70,11 @@ def test_documents_with_every_case(spark):
     empty = frame(spark, [(1, 1, 0), (None, 0, 0), (2, None, 0)], "doc_id long, quality int, toxic int")
     assert C.label_quality(docs.limit(0), empty).count() == 0
     assert C.label_quality(docs, empty, ["doc_id"]).count() == len(rows)
+
+
+def test_the_sample_is_bounded_in_rows_and_lines(spark):
+    docs = frame(spark, [(1, "a line\n" * 5000, None, None, 1)] * 40 + [(2, "## |\n" * 3, None, None, 1)])
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    found = C.training_sample(docs, labels, per_document=700)
+    assert sorted((len(bits), y) for bits, y in found) == [(4, 0), (700, 1)]
+    assert C._spread(np.arange(10), 4).tolist() == [0, 2, 5, 7]
