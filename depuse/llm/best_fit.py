@@ -40,7 +40,10 @@ GROUP_ROWS = 4096
 # Bins of a group are numbered below this, from the group's number times this on.
 BINS_PER_GROUP = 1 << 20
 PIECES = "doc_id string, piece int, first_word int, n_words int, source string, cluster long, text_hash long, text string"
-RESULT = "bin_id long, place int, doc_id long, piece int, first_word int, n_words int, source string, cluster long, text string"
+RESULT = (
+    "bin_id long, place int, doc_id long, piece int, first_word int, n_words int, source string, cluster long, text_hash long, "
+    "text string"
+)
 
 
 def best_fit(lengths: Sequence[int], sources: Sequence, clusters: Sequence, capacity: int = CAPACITY) -> list[int]:
@@ -96,7 +99,8 @@ def pack(
     docs: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS, with_text: bool = True,
     cluster: Column | None = None,
 ) -> DataFrame:
-    """``RESULT``: one row per piece with its bin and its place in the bin.
+    """``RESULT``: one row per piece with its bin and its place in the bin;
+    doc_id and text_hash tell whose piece it is.
 
     ``cluster``: a long column of ``docs``; rows that share one never share a bin.
     """

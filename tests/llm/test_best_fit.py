@@ -41,7 +41,7 @@ def check(rows, got, capacity):
             assert words(r.text) and len(words(r.text)) == r.n_words
         else:
             assert r.bin_id is None
-        whole[r.doc_id, r.cluster if r.cluster != r.doc_id else r.text].append(r)
+        whole[r.doc_id, r.text_hash].append(r)
     for group in bins.values():
         assert sum(r.n_words for r in group) <= capacity
         assert len({r.cluster for r in group}) == len(group)
