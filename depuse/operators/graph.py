@@ -11,9 +11,9 @@ k never reaches back to round 1 and a lost executor costs a re-read.
 from __future__ import annotations
 
 import functools
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from depuse.functions.sentinels import is_sentinel_only, strip_sentinels
@@ -35,12 +35,13 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def materialise_counted(df: DataFrame) -> tuple[DataFrame, int]:
-    """``materialise`` that also returns the number of rows, observed while
-    the checkpoint is computed (no extra job)."""
+def materialise_counted(df: DataFrame, measure: Column | None = None) -> tuple[DataFrame, int]:
+    """``materialise`` that also returns the number of rows (or another count),
+    observed while the checkpoint is computed (no extra job)."""
     ensure_checkpoint_dir(df.sparkSession)
     seen = Observation()
-    done = df.observe(seen, F.count(F.lit(1)).alias("rows")).checkpoint(eager=True)
+    measure = F.count(F.lit(1)) if measure is None else measure
+    done = df.observe(seen, measure.alias("rows")).checkpoint(eager=True)
     return done, int(seen.get["rows"] or 0)
 
 
@@ -264,8 +265,13 @@ def traversal_work(
     its size is bounded by seeds x nodes per level.  It refuses a graph with a
     cycle that the seeds reach.  ``"trails"`` extends each path, carrying the
     ids of the edges it used: exact on any graph and as large as the number of
-    paths, so on a cyclic graph it asks for ``max_depth``.  ``"auto"`` looks for
-    a cycle first (``reaches_cycle``) and chooses.
+    paths, so on a cyclic graph it asks for ``max_depth``.  ``"components"``
+    lists trails only inside strongly connected components and counts between
+    them (``_work_by_components``): exact on any graph, with or without
+    ``max_depth``, and as large as the trails of single components.  ``"auto"``
+    looks for a cycle first and chooses ``"counts"`` or ``"components"``; on a
+    cyclic graph it asks for ``max_depth``, as the trails of one large component
+    can be very many.
     """
     graph = materialise(edges.select("src", "dst").distinct())
     ids = materialise(seeds.select(F.col("id").alias("seed")).distinct())
@@ -301,18 +307,21 @@ def _path_totals(
     graph: DataFrame, ids: DataFrame, max_depth: int | None, mode: str, ends: DataFrame | None
 ) -> DataFrame:
     """Path totals per seed, or per seed and node of ``ends``."""
-    if mode not in ("auto", "counts", "trails"):
-        raise ValueError("mode must be 'auto', 'counts' or 'trails'")
+    if mode not in ("auto", "counts", "trails", "components"):
+        raise ValueError("mode must be 'auto', 'counts', 'trails' or 'components'")
     if max_depth is not None and max_depth < 1:
         raise ValueError("max_depth must be >= 1")
     if mode == "trails" and max_depth is not None:
         return _work_by_trails(graph, ids, max_depth, ends)
-    cyclic = reaches_cycle(graph, ids.select(F.col("seed").alias("id")))
+    ahead = _reached(graph, ids.select(F.col("seed").alias("id")))
+    core, cyclic = _peeled(ahead)
     if cyclic and mode == "counts":
-        raise ValueError("a cycle is reachable from the seeds: use mode='trails' with max_depth")
-    if cyclic and max_depth is None:
-        raise ValueError("a cycle is reachable from the seeds: paths grow without bound, give max_depth")
-    if cyclic or mode == "trails":
+        raise ValueError("a cycle is reachable from the seeds: use mode='components'")
+    if cyclic and mode != "components" and max_depth is None:
+        raise ValueError("a cycle is reachable from the seeds: give max_depth, or use mode='components'")
+    if cyclic:
+        return _work_by_components(ahead, core, ids, max_depth, ends)
+    if mode == "trails":
         return _work_by_trails(graph, ids, max_depth, ends)
     return _work_by_counts(graph, ids, max_depth, ends)
 
@@ -333,17 +342,65 @@ def _reached(graph: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def reaches_cycle(graph: DataFrame, seeds: DataFrame) -> bool:
-    """Whether the seeds reach a cycle.  Edges that start at a node nothing
-    leads to, or end at a node nothing leaves, are peeled off until none is
-    left (no cycle) or all remaining ones are on or between cycles."""
-    left, rows = materialise_counted(_reached(graph, seeds).select("src", "dst").distinct())
-    while rows:
+    """Whether the seeds reach a cycle."""
+    return _peeled(_reached(graph, seeds))[1] > 0
+
+
+def _peeled(edges: DataFrame) -> tuple[DataFrame, int]:
+    """Edges on or between cycles, and how many.  Edges that start at a node
+    nothing leads to, or end at a node nothing leaves, are peeled off until none
+    is left (no cycle) or no more can go."""
+    left, rows = materialise_counted(edges.select("src", "dst").distinct())
+    before = None
+    while rows and rows != before:
         kept = left.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
         kept = kept.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
         before, (left, rows) = rows, materialise_counted(kept.select("src", "dst"))
-        if rows == before:
-            return True
-    return False
+    return left, rows
+
+
+def component_edges(edges: DataFrame) -> DataFrame:
+    """The ``src, dst`` whose ends lie in one strongly connected component, that
+    is, the edges that are on a cycle.
+
+    Every node learns the least node id that leads to it and the least that it
+    leads to.  Nodes of one component agree in both; edges whose ends do not are
+    dropped, until all agree.  Then the least node of each connected part leads
+    to all of it and all of it leads to that node, so the part is a component.
+    Rounds follow the longest way that a least id travels.
+    """
+    core, rows = _peeled(edges)
+    if not rows:
+        return core
+    ids, _ = encode_nodes(core)
+    left, rows = materialise_counted(_encode_edges(core, ids))
+    before = None
+    while rows != before:
+        ahead = _least_leading(left)
+        back = _least_leading(left.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        seen = ahead.join(back.withColumnRenamed("least", "last"), "node")
+        by_src = seen.select(F.col("node").alias("src"), F.struct("least", "last").alias("_s"))
+        by_dst = seen.select(F.col("node").alias("dst"), F.struct("least", "last").alias("_d"))
+        kept = left.join(by_src, "src").join(by_dst, "dst").filter(F.col("_s") == F.col("_d"))
+        before, (left, rows) = rows, materialise_counted(kept.select("src", "dst"))
+    return materialise(_decode_pairs(left, ids))
+
+
+def _least_leading(edges: DataFrame) -> DataFrame:
+    """``node, least``: the least node that leads to each node, itself included.
+    A round sends only the values that the last one lowered."""
+    nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
+    known, lowered = materialise_counted(nodes.select("node", F.col("node").alias("least"), F.lit(True).alias("_new")))
+    while lowered:
+        offers = (
+            known.filter("_new").select(F.col("node").alias("src"), "least").join(edges, "src")
+            .groupBy(F.col("dst").alias("node")).agg(F.min("least").alias("_offer"))
+        )
+        lower = F.coalesce(F.col("_offer") < F.col("least"), F.lit(False))
+        met = known.select("node", "least").join(offers, "node", "left")
+        met = met.select("node", F.least("least", "_offer").alias("least"), lower.alias("_new"))
+        known, lowered = materialise_counted(met, F.count_if("_new"))
+    return known.select("node", "least")
 
 
 def _level_totals(level: DataFrame, length: int, weight: str | None, ends: DataFrame | None) -> DataFrame:
@@ -385,18 +442,23 @@ def _work_by_counts(graph: DataFrame, ids: DataFrame, max_depth: int | None, end
 
 
 def _work_by_trails(graph: DataFrame, ids: DataFrame, max_depth: int | None, ends: DataFrame | None) -> DataFrame:
+    totals = [_level_totals(level, length, None, ends) for length, level in _trail_levels(graph, ids, max_depth)]
+    return _sum_totals(ids, totals, ends)
+
+
+def _trail_levels(graph: DataFrame, ids: DataFrame, max_depth: int | None) -> Iterator[tuple[int, DataFrame]]:
+    """Length by length, one row ``seed, node, used`` per edge-simple path."""
     numbered = materialise(graph.withColumn("eid", F.monotonically_increasing_id()))
     level, rows = materialise_counted(
         numbered.join(ids.withColumnRenamed("seed", "src"), "src", "left_semi").select(
             F.col("src").alias("seed"), F.col("dst").alias("node"), F.array("eid").alias("used")
         )
     )
-    totals = []
     length = 1
     while rows:
-        totals.append(_level_totals(level, length, None, ends))
+        yield length, level
         if max_depth is not None and length >= max_depth:
-            break
+            return
         length += 1
         step = level.select("seed", F.col("node").alias("_mid"), "used").join(
             numbered.select(F.col("src").alias("_mid"), F.col("dst").alias("node"), "eid"), "_mid"
@@ -405,7 +467,73 @@ def _work_by_trails(graph: DataFrame, ids: DataFrame, max_depth: int | None, end
             "seed", "node", F.concat("used", F.array("eid")).alias("used")
         )
         level, rows = materialise_counted(fresh)
-    return _sum_totals(ids, totals, ends)
+
+
+def _work_by_components(
+    graph: DataFrame, core: DataFrame, ids: DataFrame, max_depth: int | None, ends: DataFrame | None
+) -> DataFrame:
+    """Path totals on a graph with cycles.
+
+    A path that leaves a component never comes back, so it is a trail inside one
+    component, an edge to the next, a trail inside that, and so on; only the
+    trails inside can meet an edge twice.  Those are listed once per entry of a
+    component, whatever the number of seeds, and reduced to ``n`` trails of total
+    length ``w`` per (entry, exit).  Between components, paths are counted per
+    (seed, node): n and w of two parts make n1 n2 and w1 n2 + n1 w2.  Lengths are
+    told apart (``len``, else 0) only where ``max_depth`` has to.
+    """
+    inside = component_edges(core)
+    across = materialise(graph.select("src", "dst").join(inside, ["src", "dst"], "left_anti"))
+    starts = ids.select(F.col("seed").alias("node")).unionByName(across.select(F.col("dst").alias("node")))
+    entries = materialise(starts.join(inside.select(F.col("src").alias("node")), "node", "left_semi").distinct())
+    trips = _component_trips(inside, entries.withColumnRenamed("node", "seed"), max_depth)
+    step = 0 if max_depth is None else 1
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    sums = [F.sum("n").alias("n"), F.sum("w").alias("w")]
+    arrived = ids.select("seed", F.col("seed").alias("node"), F.lit(0).alias("len"), one.alias("n"), zero.alias("w"))
+    # The path of no edges is counted with the first round; here it goes again.
+    totals = [_ended(arrived.withColumn("n", -one), ends)]
+    while True:
+        fits = F.col("node") == F.col("_entry")
+        if max_depth is not None:
+            fits = fits & (F.col("len") + F.col("_len") <= max_depth)
+        more, many = F.coalesce("_w", zero), F.coalesce("_n", one)
+        met = arrived.join(trips, fits, "left").select(
+            "seed", F.coalesce("_exit", "node").alias("node"), (F.col("len") + F.coalesce("_len", F.lit(0))).alias("len"),
+            (F.col("n") * many).alias("n"), (F.col("w") * many + F.col("n") * more).alias("w"),
+        )
+        at, rows = materialise_counted(met.groupBy("seed", "node", "len").agg(*sums))
+        if not rows:
+            return _sum_totals(ids, totals, ends).filter("n_paths > 0")
+        totals.append(_ended(at, ends))
+        onward = at if max_depth is None else at.filter(F.col("len") < max_depth)
+        arrived = (
+            onward.withColumnRenamed("node", "src").join(across, "src")
+            .select("seed", F.col("dst").alias("node"), (F.col("len") + step).alias("len"), "n", (F.col("w") + F.col("n")).alias("w"))
+            .groupBy("seed", "node", "len").agg(*sums)
+        )
+
+
+def _ended(paths: DataFrame, ends: DataFrame | None) -> DataFrame:
+    """Paths ``seed, node, n, w`` as totals per seed, or per seed and end."""
+    keys = ["seed"]
+    if ends is not None:
+        paths, keys = paths.join(ends, "node", "left_semi"), ["seed", "node"]
+    return paths.groupBy(*keys).agg(F.sum("n").alias("n_paths"), F.sum("w").alias("work"))
+
+
+def _component_trips(inside: DataFrame, entries: DataFrame, max_depth: int | None) -> DataFrame:
+    """``_entry, _exit, _len, _n, _w``: the trails inside components from each
+    entry (column ``seed``), the one of no edges included."""
+    trips = [entries.select("seed", F.col("seed").alias("node"), F.lit(0).alias("len"), F.lit(1).cast("bigint").alias("n"))]
+    for length, level in _trail_levels(inside, entries, max_depth):
+        counted = level.groupBy("seed", "node").agg(F.count(F.lit(1)).alias("n"))
+        trips.append(counted.select("seed", "node", F.lit(length).alias("len"), "n"))
+    kept = F.lit(0) if max_depth is None else F.col("len")
+    return materialise(
+        _union_all(trips).groupBy(F.col("seed").alias("_entry"), F.col("node").alias("_exit"), kept.alias("_len"))
+        .agg(F.sum("n").alias("_n"), F.sum(F.col("n") * F.col("len")).alias("_w"))
+    )
 
 
 # -- graph files -------------------------------------------------------------------

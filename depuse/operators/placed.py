@@ -26,6 +26,7 @@ from depuse.session import ensure_checkpoint_dir
 
 LEVEL = "level"
 SMALL_ROWS = 1_000_000
+FOLD_LEVELS = 8  # plain levels that ``all()`` unites one by one at most
 
 
 class PlacedTable:
@@ -48,6 +49,8 @@ class PlacedTable:
         self.levels = 0
         self.rows = 0
         self.plain: list[DataFrame] | None = [] if self.small else None  # None: placed
+        self.folded: list[DataFrame] = []  # the first plain levels in one checkpoint
+        self.folds = 0  # how many levels that are
 
     @property
     def placed(self) -> bool:
@@ -69,7 +72,7 @@ class PlacedTable:
         count = int(found["m0"] or 0)
         self.rows += count
         if self.plain is not None and self.rows > self.small:
-            levels, self.plain = self.plain, None
+            levels, self.plain, self.folded = self.plain, None, []
             for number, level in enumerate(levels):
                 self._write(level, number)
         return (count, *[found[f"m{i}"] for i in range(1, len(measures) + 1)])
@@ -88,7 +91,10 @@ class PlacedTable:
     def all(self) -> DataFrame:
         """Every row, read in its buckets."""
         if self.plain is not None:
-            return functools.reduce(DataFrame.unionByName, self.plain)
+            if self.levels - self.folds > FOLD_LEVELS:
+                together = functools.reduce(DataFrame.unionByName, self.folded + self.plain[self.folds:])
+                self.folded, self.folds = [together.coalesce(self.buckets).checkpoint(eager=True)], self.levels
+            return functools.reduce(DataFrame.unionByName, self.folded + self.plain[self.folds:])
         return self._table().drop(LEVEL)
 
     def level(self, number: int) -> DataFrame:

@@ -355,6 +355,12 @@ def q_cyclic_traversal_work(spark, sf):
     return G.traversal_work(cyc, nodes, max_depth=TRAIL_DEPTH)
 
 
+def q_cyclic_traversal_unbounded(spark, sf):
+    """Every edge-simple path, however long, counted from component to component."""
+    cyc = driver.cyclic_edges(spark, sf)
+    return G.traversal_work(cyc, cyc.select(F.col("src").alias("id")), mode="components")
+
+
 # -- orders as downloads: artifacts grow with the scale -----------------------------------
 
 

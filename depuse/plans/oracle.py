@@ -295,6 +295,15 @@ ORACLE: dict[str, str] = {
           WHERE NOT list_contains(t.used, e.src || '>' || e.dst) AND t.len < {C.TRAIL_DEPTH})""",
         body="""SELECT seed AS id, CAST(count(*) AS BIGINT) AS n_paths, CAST(sum(len) AS BIGINT) AS work
         FROM trails GROUP BY seed"""),
+    "cyclic_traversal_unbounded": _sql(CYCLIC_EDGES,
+        """trails(seed, node, len, used) AS (
+          SELECT src, dst, 1, [src || '>' || dst] FROM edges
+          UNION ALL
+          SELECT t.seed, e.dst, t.len + 1, list_append(t.used, e.src || '>' || e.dst)
+          FROM trails t JOIN edges e ON t.node = e.src
+          WHERE NOT list_contains(t.used, e.src || '>' || e.dst))""",
+        body="""SELECT seed AS id, CAST(count(*) AS BIGINT) AS n_paths, CAST(sum(len) AS BIGINT) AS work
+        FROM trails GROUP BY seed"""),
 }
 
 ORDER_LOGS = """logs AS (

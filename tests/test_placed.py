@@ -100,3 +100,15 @@ def test_lookup_in_place_shuffles_only_what_is_new(spark):
     again.append(left)  # already lies in its buckets: written without a shuffle
     assert [r[0] for r in rows(again.close())] == list(range(2000, 2010))
     table.close()
+
+
+def test_many_small_levels_are_read_once_each(spark):
+    table = PlacedTable(spark, ["k"])
+    want = []
+    for number in range(20):
+        table.append(spark.createDataFrame([(number, number % 3), (number, 7)], "k int, v int"))
+        want += [(number, number % 3), (number, 7)]
+        assert rows(table.all()) == sorted(want)
+        assert rows(table.level(number)) == sorted(want[-2:])
+    assert rows(table.level(3)) == [(3, 0), (3, 7)]
+    assert rows(table.close()) == sorted(want)
