@@ -35,7 +35,8 @@ class PlacedTable:
     ``buckets`` is the session's number of shuffle partitions if not given:
     Spark then deals the other side of a join to just these buckets.  Up to
     ``small`` rows the levels are plain checkpoints, whose reshuffling costs
-    less than the bucketed files do; beyond, all of them are placed.
+    less than the bucketed files do; beyond, all of them are placed.  ``all()``
+    folds plain levels into one checkpoint every ``FOLD_LEVELS`` of them.
     """
 
     def __init__(self, spark: SparkSession, key: Sequence[str], buckets: int | None = None, small: int | None = None):
