@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from depuse.functions.arrays import bit_is_set
-from depuse.operators.graph import materialise, reachable, traversal_pairs
+from depuse.operators.graph import materialise, packed_reach, reachable, traversal_pairs, unpacked
 from depuse.operators.sessions import session_gavs
 from depuse.operators.skew import hot_keys, salted_join
 
@@ -39,10 +39,10 @@ def session_dependencies(
     sessions: DataFrame, reach: DataFrame, salt: bool = True, packed_from: int = PACKED_FROM
 ) -> DataFrame:
     """``clientId, sessionId, dependency`` (distinct) from sessions (with
-    ``gavs``) and a reachability table ``src, dst``.
+    ``gavs``) and a reachability table ``src, dst`` or ``src, dsts``.
 
-    Only targets that occur in some session are kept; they travel as arrays of
-    at most about ``TARGETS_PER_ROW`` per row.  Whether a target is in the
+    Targets travel as arrays of at most about ``TARGETS_PER_ROW`` per row; of
+    pairs, only targets that occur in some session are kept.  Whether a target is in the
     session is decided in the stage that joins, so only hits are shuffled.
     What a session of n gavs ships is at most ``packed_from`` x n names; larger
     ones go by bitmaps (``_packed_dependencies``).
@@ -61,20 +61,30 @@ def _met(starts: DataFrame, targets: DataFrame, salt: bool) -> DataFrame:
 
 
 def _small_dependencies(sessions: DataFrame, reach: DataFrame, salt: bool) -> DataFrame:
-    present = sessions.select(F.explode("gavs").alias("dst")).distinct()
-    useful = reach.select("src", "dst").join(present, "dst", "left_semi")
-    sizes = useful.groupBy("src").agg(F.ceil(F.count(F.lit(1)) / F.lit(TARGETS_PER_ROW)).alias("_rows"))
-    targets = (
-        useful.join(sizes, "src")
-        .groupBy("src", F.pmod(F.xxhash64("dst"), F.col("_rows")).alias("_part"))
-        .agg(F.collect_set("dst").alias("_targets")).drop("_part")
-    )
+    if "dsts" in reach.columns:
+        targets = _target_rows(reach)
+    else:
+        present = sessions.select(F.explode("gavs").alias("dst")).distinct()
+        useful = reach.select("src", "dst").join(present, "dst", "left_semi")
+        sizes = useful.groupBy("src").agg(F.ceil(F.count(F.lit(1)) / F.lit(TARGETS_PER_ROW)).alias("_rows"))
+        targets = (
+            useful.join(sizes, "src")
+            .groupBy("src", F.pmod(F.xxhash64("dst"), F.col("_rows")).alias("_part"))
+            .agg(F.collect_set("dst").alias("_targets")).drop("_part")
+        )
     starts = sessions.select(*SESSION, "gavs", F.explode("gavs").alias("src"))
     met = _met(starts, targets, salt)
     hits = met.select(*SESSION, F.explode(F.array_intersect("_targets", "gavs")).alias("dependency"))
     return hits.distinct()
 
 
+def _target_rows(reach: DataFrame) -> DataFrame:
+    """Arrays of targets as they are, in slices of ``TARGETS_PER_ROW``."""
+    slices = F.sequence(F.lit(1), F.size("dsts"), F.lit(TARGETS_PER_ROW))
+    cut = reach.filter(F.size("dsts") > 0).select("src", "dsts", F.explode(slices).alias("_at"))
+    return cut.select("src", F.slice("dsts", F.col("_at"), F.lit(TARGETS_PER_ROW)).alias("_targets"))
+
+
 def _packed_dependencies(sessions: DataFrame, reach: DataFrame, salt: bool) -> DataFrame:
     """The same by bitmaps: rows shuffled are linear in the sessions' gavs."""
     long = session_gavs(sessions).distinct()
@@ -82,7 +92,7 @@ def _packed_dependencies(sessions: DataFrame, reach: DataFrame, salt: bool) -> D
     block, bit = F.bitmap_bucket_number("_n").alias("_block"), F.bitmap_bit_position("_n").alias("_bit")
     members = salted_join(long, numbers, ["gav"]) if salt else long.join(numbers, "gav")
     members = materialise(members.select(*SESSION, "gav", block, bit))
-    useful = reach.select("src", "dst").join(numbers.select(F.col("gav").alias("src")), "src", "left_semi")
+    useful = unpacked(reach).join(numbers.select(F.col("gav").alias("src")), "src", "left_semi")
     useful = useful.join(numbers.withColumnRenamed("gav", "dst"), "dst")
     targets = useful.groupBy("src", block).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_n")).alias("_bits"))
     met = _met(members.select(*SESSION, F.col("gav").alias("src")), targets, salt)
@@ -131,7 +141,8 @@ def reach_for_depth(
     closure: DataFrame | None = None,
     salt: bool = False,
 ) -> DataFrame:
-    """Reachability table for a depth setting.
+    """Reachability table for a depth setting: ``src, dst``, or ``src, dsts``
+    (``graph.packed_reach``).
 
     ``1``: the precomputed closure (or, without one, unbounded reach from the
     seeds, which is the same relation); ``0``: unbounded; ``k >= 2``: within
@@ -141,10 +152,10 @@ def reach_for_depth(
         raise ValueError("depth must be >= 0")
     if depth == 1:
         if closure is not None:
-            return closure.select("src", "dst")
-        return reachable(edges, seeds=seeds, salt=salt).select("src", "dst")
+            return closure if "dsts" in closure.columns else closure.select("src", "dst")
+        return packed_reach(edges, seeds=seeds, salt=salt)
     if depth == 0:
-        return reachable(edges, seeds=seeds, salt=salt).select("src", "dst")
+        return packed_reach(edges, seeds=seeds, salt=salt)
     return reachable(edges, seeds=seeds, max_depth=depth, salt=salt).select("src", "dst")
 
 

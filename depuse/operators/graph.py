@@ -3,7 +3,9 @@
 Reachability is a fixpoint over placed tables (``placed``): the pairs found lie
 in buckets of their hash, a round shuffles only what is new and looks it up in
 place.  From few seeds, each round adds one hop to the last round's pairs;
-from all or most nodes, distances double (``_doubled``).  Every round's pairs
+from all or most nodes, distances double (``_doubled``), or, where hop counts
+are not asked for and there is no cycle, nodes go layer by layer with their
+targets as arrays (``packed_reach``).  Every round's pairs
 are files under the cluster's ``spark.checkpoint.dir``, so the lineage of round
 k never reaches back to round 1 and a lost executor costs a re-read.
 """
@@ -11,20 +13,27 @@ k never reaches back to round 1 and a lost executor costs a re-read.
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from depuse.functions.sentinels import is_sentinel_only, strip_sentinels
-from depuse.operators.placed import PlacedTable
-from depuse.operators.skew import salted_join
+from depuse.operators.placed import LEVEL, SMALL_ROWS, PlacedTable
+from depuse.operators.skew import hot_keys, salted_join
 from depuse.session import ensure_checkpoint_dir
 from depuse.sources.text import DIRECT_EDGE_TYPE, EDGE_HEADER, GRAPH_DELIMITER, NODE_HEADER, TRANSITIVE_EDGE_TYPE
 
 # Seeds that are at least this share of all nodes are met by doubling distances.
 SEED_SHARE = 0.1
 
+# Longest path of a graph whose closure goes layer by layer; names that the
+# arrays of one source may hold when they are united in one row.
+MOST_LAYERS = 32
+HEAVY = 100_000
+
 # Fixed value: node label of the graph files.
 NODE_LABEL = "GAV"
 
@@ -241,10 +250,109 @@ def _doubled(graph: DataFrame, max_depth: int | None = None, salt: bool = False)
     return known.close()
 
 
-def transitive_closure(edges: DataFrame, salt: bool = False) -> DataFrame:
-    """Exact closure ``src, dst`` of the edges (all sources), by doubling
-    distances (``_doubled``)."""
-    return reachable(edges, salt=salt).select("src", "dst")
+def transitive_closure(edges: DataFrame, salt: bool = False, packed: bool = False) -> DataFrame:
+    """Exact closure ``src, dst`` of the edges (all sources); ``packed`` leaves
+    it as ``packed_reach`` has it."""
+    reach = packed_reach(edges, salt=salt)
+    return reach if packed else unpacked(reach)
+
+
+def unpacked(reach: DataFrame) -> DataFrame:
+    """Reachability as ``src, dst`` (see ``packed_reach``)."""
+    return reach.select("src", F.explode("dsts").alias("dst")) if "dsts" in reach.columns else reach.select("src", "dst")
+
+
+def packed_reach(edges: DataFrame, seeds: DataFrame | None = None, salt: bool = False) -> DataFrame:
+    """Unbounded reach without hop counts: ``src, dsts ARRAY<STRING>`` (every
+    target of ``src`` in one of its rows), or ``src, dst`` as ``reachable`` has it
+    where the seeds are few or the graph has a cycle or very long paths.
+
+    Without cycles a node reaches its heads and what these reach, so nodes are
+    taken by the length of their longest path, each once, when all its heads are
+    done.  A node's targets travel as arrays, one row an edge, not a row a pair.
+    """
+    graph, rows = materialise_counted(edges.select("src", "dst").dropna().distinct())
+    if seeds is not None:
+        seeds = materialise(seeds.select("id").distinct())
+        nodes = graph.select(F.col("src").alias("id")).unionByName(graph.select(F.col("dst").alias("id"))).distinct()
+        starts = F.count(F.col("_seed"))
+        counts = nodes.join(seeds.withColumn("_seed", F.lit(1)), "id", "left").agg(F.count(F.lit(1)).alias("n"), starts.alias("s")).collect()[0]
+        if counts["s"] < SEED_SHARE * counts["n"]:
+            return reachable(graph, seeds=seeds, salt=salt).select("src", "dst")
+    layers = _layers(graph, rows)
+    if layers is None:
+        return reachable(graph, seeds=seeds, salt=salt).select("src", "dst")
+    reach = _by_layers(graph, *layers)
+    return reach if seeds is None else reach.join(seeds.withColumnRenamed("id", "src"), "src", "left_semi")
+
+
+def _layers(graph: DataFrame, rows: int) -> tuple[DataFrame, int] | None:
+    """``src, layer`` (edges of the longest path from ``src``) and the number of
+    layers; None if there is a cycle or a path of more than ``MOST_LAYERS``."""
+    left, layers = PlacedTable(graph.sparkSession, ["dst"]), 0
+    left.append(graph)
+    while rows:
+        if layers == MOST_LAYERS:
+            left.close()
+            return None
+        open_ = left.level(layers)
+        inner = open_.join(open_.select(F.col("src").alias("dst")).distinct().hint("shuffle_hash"), "dst", "left_semi")
+        before, (rows,) = rows, left.append(inner.select("src", "dst"))
+        layers += 1
+        if rows == before:
+            left.close()
+            return None
+    layer_of = left.levelled().groupBy("src").agg((F.max(LEVEL) + 1).alias("layer"))
+    layer_of = materialise(layer_of)
+    left.close()
+    return layer_of, layers
+
+
+def _by_layers(graph: DataFrame, layer_of: DataFrame, layers: int) -> DataFrame:
+    """``src, dsts`` of an acyclic graph, layer by layer.  The rows done lie in
+    buckets of ``src`` and are looked up in place; what is shuffled is one array
+    an edge.  Sources that many arrays meet go by ``_merged_heavy``."""
+    spark = graph.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/layers-{uuid.uuid4().hex}"
+    graph.join(layer_of, "src").write.partitionBy("layer").parquet(path)
+    schema = T.StructType([*graph.schema.fields, T.StructField("layer", T.IntegerType())])
+    placed = spark.read.schema(schema).parquet(path)
+    hot, hots = materialise_counted(hot_keys(graph, ["dst"]))
+    most = graph.groupBy("src").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).collect()[0][0] or 0
+    done, longest = PlacedTable(spark, ["src"], small=SMALL_ROWS // 20), 0
+    for layer in range(1, layers + 1):
+        step = placed.filter(F.col("layer") == layer).select("src", "dst")
+        heads = step.select("src", F.array("dst").alias("dsts"))
+        parts = heads
+        if layer > 1:
+            known = done.all().select(F.col("src").alias("dst"), "dsts")
+            usual = step
+            if hots:
+                usual = step.join(F.broadcast(hot), "dst", "left_anti")
+                common = salted_join(step.join(F.broadcast(hot), "dst", "left_semi"), known.join(F.broadcast(hot), "dst", "left_semi"), ["dst"])
+                parts = parts.unionByName(common.select("src", "dsts"))
+            parts = parts.unionByName(known.join(usual.hint("shuffle_hash"), "dst").select("src", "dsts"))
+        merged = _merged(parts) if most * (longest + 1) <= HEAVY else _merged_heavy(materialise(parts))
+        _, size = done.append(merged, F.max(F.size("dsts")))
+        longest = max(longest, size or 0) if most * (longest + 1) <= HEAVY else HEAVY
+    return done.close() if layers else graph.select("src", F.array("dst").alias("dsts"))
+
+
+def _merged(parts: DataFrame) -> DataFrame:
+    """``src, dsts``: arrays of a source united in one row."""
+    return parts.groupBy("src").agg(F.array_distinct(F.flatten(F.collect_list("dsts"))).alias("dsts"))
+
+
+def _merged_heavy(parts: DataFrame) -> DataFrame:
+    """``_merged``, but a source whose arrays hold more than ``HEAVY`` names is
+    united name by name, into rows of about ``HEAVY / 10``."""
+    sizes = parts.groupBy("src").agg(F.sum(F.size("dsts")).alias("_n")).filter(F.col("_n") > HEAVY)
+    sizes = materialise(sizes)
+    usual = _merged(parts.join(sizes, "src", "left_anti"))
+    names = parts.join(sizes.select("src"), "src", "left_semi").select("src", F.explode("dsts").alias("dst")).distinct()
+    piece = F.pmod(F.xxhash64("dst"), F.ceil(F.col("_n") * 10 / F.lit(HEAVY)))
+    heavy = names.join(sizes, "src").groupBy("src", piece.alias("_piece")).agg(F.collect_list("dst").alias("dsts"))
+    return usual.unionByName(heavy.select("src", "dsts"))
 
 
 # -- traversal work --------------------------------------------------------------

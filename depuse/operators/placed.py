@@ -104,6 +104,12 @@ class PlacedTable:
             return self.plain[number]
         return self._table().filter(F.col(LEVEL) == number).drop(LEVEL)
 
+    def levelled(self) -> DataFrame:
+        """Every row with the number of its ``append`` (column ``level``)."""
+        if self.plain is not None:
+            return functools.reduce(DataFrame.unionByName, (rows.withColumn(LEVEL, F.lit(n)) for n, rows in enumerate(self.plain)))
+        return self._table()
+
     def close(self) -> DataFrame:
         """Every row, from plain files; the catalog's entry goes."""
         if self.plain is not None:

@@ -244,7 +244,7 @@ def _deps_long(spark, sf, depth, closure=None):
 
 
 def q_session_dependencies_closure(spark, sf):
-    return _deps_long(spark, sf, 1, closure=G.transitive_closure(edges(spark, sf)))
+    return _deps_long(spark, sf, 1, closure=G.transitive_closure(edges(spark, sf), packed=True))
 
 
 def q_session_dependencies_hops(spark, sf):
@@ -375,7 +375,7 @@ def q_order_sessions(spark, sf):
 
 def q_order_session_dependencies(spark, sf):
     sess = G.materialise(order_sessions(spark, sf))
-    return D.session_dependencies(sess, G.transitive_closure(edges(spark, sf)))
+    return D.session_dependencies(sess, G.transitive_closure(edges(spark, sf), packed=True))
 
 
 def q_order_direct_usage(spark, sf):

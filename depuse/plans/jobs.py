@@ -66,7 +66,9 @@ def build_graph(
     out = out_dir.rstrip("/")
     closure = None
     if transitive:
-        write_table(G.transitive_closure(edges, salt=salt), f"{out}/closure", cluster_by=["src"])
+        # sorted before the targets are listed: one row a source
+        reach = G.transitive_closure(edges, salt=salt, packed=True).sortWithinPartitions("src")
+        write_table(G.unpacked(reach), f"{out}/closure")
         closure = read_table(spark, f"{out}/closure")
     G.write_graph(nodes, edges, f"{out}/nodes", f"{out}/edges", closure)
     stats = G.graph_stats(nodes, edges).collect()[0]
