@@ -441,9 +441,10 @@ def _reached(graph: DataFrame, seeds: DataFrame) -> DataFrame:
     edges.append(graph)
     (rows,) = nodes.append(seeds.select(F.col("id").alias("src")).distinct())
     while rows:
-        heads = edges.all().join(nodes.level(nodes.levels - 1), "src", "left_semi").select(F.col("dst").alias("src")).distinct()
-        (rows,) = nodes.append(heads.join(nodes.all(), "src", "left_anti"))
-    met = materialise(edges.all().join(nodes.all(), "src", "left_semi"))
+        last = nodes.level(nodes.levels - 1).hint("shuffle_hash")
+        heads = edges.all().join(last, "src", "left_semi").select(F.col("dst").alias("src")).distinct()
+        (rows,) = nodes.append(heads.join(nodes.all().hint("merge"), "src", "left_anti"))
+    met = materialise(edges.all().join(nodes.all().hint("merge"), "src", "left_semi"))
     edges.close()
     nodes.close()
     return met
@@ -461,8 +462,8 @@ def _peeled(edges: DataFrame) -> tuple[DataFrame, int]:
     left, rows = materialise_counted(edges.select("src", "dst").distinct())
     before = None
     while rows and rows != before:
-        kept = left.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-        kept = kept.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+        kept = left.join(left.select(F.col("src").alias("dst")).distinct().hint("merge"), "dst", "left_semi")
+        kept = kept.join(left.select(F.col("dst").alias("src")).distinct().hint("merge"), "src", "left_semi")
         before, (left, rows) = rows, materialise_counted(kept.select("src", "dst"))
     return left, rows
 
@@ -496,19 +497,24 @@ def component_edges(edges: DataFrame) -> DataFrame:
 
 def _least_leading(edges: DataFrame) -> DataFrame:
     """``node, least``: the least node that leads to each node, itself included.
-    A round sends only the values that the last one lowered."""
+    A round sends only the values that the last one lowered; they are added to
+    those known, which stay in their buckets."""
+    spark = edges.sparkSession
     nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
-    known, lowered = materialise_counted(nodes.select("node", F.col("node").alias("least"), F.lit(True).alias("_new")))
+    steps, known = PlacedTable(spark, ["src"]), PlacedTable(spark, ["node"])
+    steps.append(edges.select("src", "dst"))
+    (lowered,) = known.append(nodes.select("node", F.col("node").alias("least")))
+    least = F.min("least").alias("least")
     while lowered:
-        offers = (
-            known.filter("_new").select(F.col("node").alias("src"), "least").join(edges, "src")
-            .groupBy(F.col("dst").alias("node")).agg(F.min("least").alias("_offer"))
-        )
-        lower = F.coalesce(F.col("_offer") < F.col("least"), F.lit(False))
-        met = known.select("node", "least").join(offers, "node", "left")
-        met = met.select("node", F.least("least", "_offer").alias("least"), lower.alias("_new"))
-        known, lowered = materialise_counted(met, F.count_if("_new"))
-    return known.select("node", "least")
+        sent = known.level(known.levels - 1).withColumnRenamed("node", "src").hint("shuffle_hash")
+        offers = steps.all().join(sent, "src").groupBy(F.col("dst").alias("node")).agg(least)
+        best = known.all().groupBy("node").agg(F.min("least").alias("_best"))
+        lower = best.join(offers.hint("shuffle_hash"), "node").filter(F.col("least") < F.col("_best"))
+        (lowered,) = known.append(lower.select("node", "least"))
+    found = materialise(known.all().groupBy("node").agg(least))
+    steps.close()
+    known.close()
+    return found
 
 
 def _level_totals(level: DataFrame, length: int, weight: str | None, ends: DataFrame | None) -> DataFrame:
@@ -543,7 +549,7 @@ def _work_by_counts(graph: DataFrame, ids: DataFrame, max_depth: int | None, end
             break
         length += 1
         step = level.select("seed", F.col("node").alias("_mid"), "n").join(
-            graph.select(F.col("src").alias("_mid"), F.col("dst").alias("node")), "_mid"
+            graph.select(F.col("src").alias("_mid"), F.col("dst").alias("node")).hint("merge"), "_mid"
         )
         level, rows = materialise_counted(step.groupBy("seed", "node").agg(F.sum("n").alias("n")))
     return _sum_totals(ids, totals, ends)
