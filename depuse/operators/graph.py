@@ -29,8 +29,9 @@ from depuse.sources.text import DIRECT_EDGE_TYPE, EDGE_HEADER, GRAPH_DELIMITER,
 # Seeds that are at least this share of all nodes are met by doubling distances.
 SEED_SHARE = 0.1
 
-# Longest path of a graph whose closure goes layer by layer; names that the
-# arrays of one source may hold when they are united in one row.
+# Fewest edges and longest path of a graph whose closure goes layer by layer;
+# names that the arrays of one source may hold when they are united in one row.
+LAYERED_FROM = 10_000
 MOST_LAYERS = 32
 HEAVY = 100_000
 
@@ -265,13 +266,16 @@ def unpacked(reach: DataFrame) -> DataFrame:
 def packed_reach(edges: DataFrame, seeds: DataFrame | None = None, salt: bool = False) -> DataFrame:
     """Unbounded reach without hop counts: ``src, dsts ARRAY<STRING>`` (every
     target of ``src`` in one of its rows), or ``src, dst`` as ``reachable`` has it
-    where the seeds are few or the graph has a cycle or very long paths.
+    where the graph is small, the seeds are few, or there is a cycle or a very
+    long path.
 
     Without cycles a node reaches its heads and what these reach, so nodes are
     taken by the length of their longest path, each once, when all its heads are
     done.  A node's targets travel as arrays, one row an edge, not a row a pair.
     """
     graph, rows = materialise_counted(edges.select("src", "dst").dropna().distinct())
+    if rows < LAYERED_FROM:
+        return reachable(graph, seeds=seeds, salt=salt).select("src", "dst")
     if seeds is not None:
         seeds = materialise(seeds.select("id").distinct())
         nodes = graph.select(F.col("src").alias("id")).unionByName(graph.select(F.col("dst").alias("id"))).distinct()

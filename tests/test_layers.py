@@ -9,6 +9,11 @@ from depuse.operators.placed import PlacedTable
 from tests.conftest import rows
 
 
+@pytest.fixture(autouse=True)
+def layered(monkeypatch):
+    monkeypatch.setattr(G, "LAYERED_FROM", 0)
+
+
 def acyclic(seed, nodes=30, edges=70):
     draw = random.Random(seed)
     pairs = {tuple(sorted(draw.sample(range(nodes), 2))) for _ in range(edges)}
