@@ -35,8 +35,9 @@ LAYERED_FROM = 10_000
 MOST_LAYERS = 32
 HEAVY = 100_000
 
-# Fixed value: node label of the graph files.
+# Node label of the graph files, edges in one of them at most.
 NODE_LABEL = "GAV"
+EDGES_PER_FILE = 2_000_000
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -292,24 +293,35 @@ def packed_reach(edges: DataFrame, seeds: DataFrame | None = None, salt: bool =
 
 def _layers(graph: DataFrame, rows: int) -> tuple[DataFrame, int] | None:
     """``src, layer`` (edges of the longest path from ``src``) and the number of
-    layers; None if there is a cycle or a path of more than ``MOST_LAYERS``."""
-    left, layers = PlacedTable(graph.sparkSession, ["dst"]), 0
-    left.append(graph)
-    while rows:
-        if layers == MOST_LAYERS:
-            left.close()
-            return None
-        open_ = left.level(layers)
-        inner = open_.join(open_.select(F.col("src").alias("dst")).distinct().hint("shuffle_hash"), "dst", "left_semi")
-        before, (rows,) = rows, left.append(inner.select("src", "dst"))
-        layers += 1
-        if rows == before:
-            left.close()
-            return None
-    layer_of = left.levelled().groupBy("src").agg((F.max(LEVEL) + 1).alias("layer"))
-    layer_of = materialise(layer_of)
-    left.close()
-    return layer_of, layers
+    layers; None if there is a cycle or a path of more than ``MOST_LAYERS``.
+
+    A node is closed when all its heads are.  A round sends the nodes just
+    closed to the edges that lead to them and adds how many heads that closed
+    for each source, so an edge is met once, not in every layer below it."""
+    spark = graph.sparkSession
+    edges, heads, closed, left = PlacedTable(spark, ["dst"]), PlacedTable(spark, ["src"]), [], 0
+    if rows:
+        edges.append(graph)
+        (left,) = heads.append(graph.groupBy("src").agg(F.count(F.lit(1)).alias("n")))
+        ends = edges.all().select(F.col("dst").alias("src")).distinct()
+        last = materialise(ends.join(heads.all().select("src").hint("shuffle_hash"), "src", "left_anti"))
+    while left and len(closed) < MOST_LAYERS:
+        met = edges.all().join(last.withColumnRenamed("src", "dst").hint("shuffle_hash"), "dst")
+        heads.append(met.groupBy("src").agg((-F.count(F.lit(1))).alias("n")))
+        touched = heads.level(heads.levels - 1).select("src").hint("shuffle_hash")
+        done = heads.all().groupBy("src").agg(F.sum("n").alias("n")).filter(F.col("n") == 0)
+        last, found = materialise_counted(done.select("src").join(touched, "src", "left_semi"))
+        if not found:
+            break
+        closed.append(last.withColumn("layer", F.lit(len(closed) + 1)))
+        left -= found
+    if rows:
+        edges.close()
+        heads.close()
+    if left:
+        return None
+    none = graph.select("src", F.lit(0).alias("layer")).filter(F.lit(False))
+    return materialise(_union_all(closed).coalesce(edges.buckets)) if closed else none, len(closed)
 
 
 def _by_layers(graph: DataFrame, layer_of: DataFrame, layers: int) -> DataFrame:
@@ -667,7 +679,9 @@ def write_graph(
     """Pipe-delimited node and edge files with headers, nodes sorted by id.
 
     The direct edges are always written; a ``closure`` goes beside them under
-    its own edge type, so a reader can tell the two (``read_graph``).
+    its own edge type, so a reader can tell the two (``read_graph``).  Edge
+    files are gzipped, as neighbouring lines of a closure differ little, and
+    hold at most ``EDGES_PER_FILE`` edges, as such a file is read by one task.
     """
     if nodes.isEmpty():
         raise ValueError("no usable dependency record: the graph would be empty")
@@ -684,4 +698,8 @@ def write_graph(
         for pairs, kind in ((edges, DIRECT_EDGE_TYPE), (closure, TRANSITIVE_EDGE_TYPE))
         if pairs is not None
     ]
-    _union_all(typed).write.mode("overwrite").csv(edges_path, sep=GRAPH_DELIMITER, header=True)
+    (
+        _union_all(typed)
+        .write.mode("overwrite").option("compression", "gzip").option("maxRecordsPerFile", EDGES_PER_FILE)
+        .csv(edges_path, sep=GRAPH_DELIMITER, header=True)
+    )

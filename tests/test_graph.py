@@ -212,3 +212,21 @@ def test_salted_expansion_same_result(spark, tmp_dir):
     _, edges = adjacency(spark, tmp_dir)
     assert rows(G.reachable(edges, salt=True)) == rows(G.reachable(edges))
     assert rows(G.transitive_closure(edges, salt=True)) == rows(G.reachable(edges).select("src", "dst"))
+
+
+def test_edge_files_are_packed_and_short(spark, tmp_dir, monkeypatch):
+    import glob
+    import gzip
+
+    monkeypatch.setattr(G, "EDGES_PER_FILE", 500)
+    chain = [(f"org.part:p{k:03}", f"org.part:p{k + 1:03}") for k in range(60)]
+    edges = spark.createDataFrame(chain, "src string, dst string")
+    closure = G.transitive_closure(edges).orderBy("src")
+    nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+    G.write_graph(nodes, edges, f"{tmp_dir}/nodes", f"{tmp_dir}/edges", closure)
+    files = glob.glob(f"{tmp_dir}/edges/part-*")
+    texts = [gzip.open(f, "rt").read().splitlines() for f in files if f.endswith(".gz")]
+    assert len(texts) == len(files) and all(t[0] == ":START_ID|:END_ID|:TYPE" and len(t) <= 501 for t in texts)
+    assert sum(len(t) - 1 for t in texts) == 60 + 60 * 61 // 2
+    assert rows(read_graph(spark, f"{tmp_dir}/nodes", f"{tmp_dir}/edges")[1]) == sorted(chain)
+    assert rows(read_graph(spark, f"{tmp_dir}/nodes", f"{tmp_dir}/edges", TRANSITIVE_EDGE_TYPE)[1]) == rows(closure)

@@ -74,3 +74,34 @@ def test_sessions_meet_packed_reach(spark, monkeypatch, packed_from):
     sessions = spark.createDataFrame([(1, k, 0, 0, g) for k, g in enumerate(gavs)], "clientId int, sessionId long, startTime long, endTime long, gavs array<string>")
     want = sorted({(1, k, b) for k, g in enumerate(gavs) for a, b in closed(known) if a in g and b in g})
     assert rows(D.session_dependencies(sessions, reach, packed_from=packed_from)) == want
+
+
+@pytest.mark.parametrize("small", [5, 1_000_000], ids=["placed", "plain"])
+def test_an_edge_is_met_once_on_the_way_to_its_layer(spark, monkeypatch, small):
+    """Rows added in the rounds: the edges, and at most one count an edge; not
+    every edge again in each layer below it."""
+    monkeypatch.setattr(placed, "SMALL_ROWS", small)
+    added = []
+    append = PlacedTable.append
+
+    def watched(self, frame, *measures):
+        done = append(self, frame, *measures)
+        added.append(done[0])
+        return done
+
+    monkeypatch.setattr(PlacedTable, "append", watched)
+    chain = [(f"v{k}", f"v{k + 1}") for k in range(8)] + [("v0", "v6"), ("w", "v7")]
+    layer_of, layers = G._layers(spark.createDataFrame(chain, "src string, dst string"), len(chain))
+    assert rows(layer_of) == sorted([(f"v{k}", 8 - k) for k in range(8)] + [("w", 2)]) and layers == 8
+    assert sum(added) <= 3 * len(chain)
+
+
+def test_cycles_and_very_long_paths_have_no_layers(spark, monkeypatch):
+    monkeypatch.setattr(G, "MOST_LAYERS", 3)
+
+    def layers(pairs):
+        return G._layers(spark.createDataFrame(pairs, "src string, dst string"), len(pairs))
+
+    assert layers([("a", "a")]) is None and layers([("a", "b"), ("b", "c"), ("c", "b"), ("c", "d")]) is None
+    path = [(f"v{k:02}", f"v{k + 1:02}") for k in range(G.MOST_LAYERS + 1)]
+    assert layers(path) is None and layers(path[1:])[1] == G.MOST_LAYERS
