@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from depuse.functions.arrays import bit_is_set
-from depuse.operators.graph import materialise, packed_reach, reachable, traversal_pairs, unpacked
+from depuse.operators.graph import materialise, materialise_counted, packed_reach, reachable, traversal_pairs, unpacked
 from depuse.operators.sessions import session_gavs
 from depuse.operators.skew import hot_keys, salted_join
 
@@ -32,6 +32,7 @@ DEFAULT_DEPTH = 1
 NOT_TIMED = -1
 TARGETS_PER_ROW = 1000
 PACKED_FROM = 64
+FEW_NAMES = 10_000
 SESSION = ["clientId", "sessionId"]
 
 
@@ -47,6 +48,7 @@ def session_dependencies(
     What a session of n gavs ships is at most ``packed_from`` x n names; larger
     ones go by bitmaps (``_packed_dependencies``).
     """
+    reach = _from_present(sessions, reach)
     large = sessions.filter(F.size("gavs") > packed_from)
     if large.isEmpty():
         return _small_dependencies(sessions, reach, salt)
@@ -54,6 +56,13 @@ def session_dependencies(
     return small.unionByName(_packed_dependencies(large, reach, salt))
 
 
+def _from_present(sessions: DataFrame, reach: DataFrame) -> DataFrame:
+    """Reachability from the sessions' gavs, if these are few: it is filtered
+    where it is read, so that the rest of a whole closure is not shuffled."""
+    present, names = materialise_counted(sessions.select(F.explode("gavs").alias("src")).distinct())
+    return reach.join(F.broadcast(present), "src", "left_semi") if names <= FEW_NAMES else reach
+
+
 def _met(starts: DataFrame, targets: DataFrame, salt: bool) -> DataFrame:
     if not salt:
         return starts.join(targets, "src")

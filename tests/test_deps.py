@@ -146,3 +146,24 @@ def test_session_work_ignores_cycles_that_lead_to_no_member(spark):
     with pytest.raises(ValueError, match="cycle"):
         D.session_traversal_work(sessions, edges)
     assert rows(D.session_traversal_work(sessions.filter("sessionId = 1"), edges)) == [(1, 1, 1, 1)]
+
+
+@pytest.mark.parametrize("packed_from", [1, 64])
+def test_targets_of_absent_sources_are_not_met(spark, monkeypatch, packed_from):
+    """Rows of the closure that go into a join beyond its first filter."""
+    chain = [(f"n{a:02}", f"n{b:02}") for a in range(40) for b in range(a + 1, 40)]
+    closure = spark.createDataFrame(chain, "src string, dst string")
+    known = spark.createDataFrame([(1, 0, 0, 0, ["n05", "n30", "else"]), (2, 0, 0, 0, ["n39"])],
+                                  "clientId int, sessionId long, startTime long, endTime long, gavs array<string>")
+    seen = []
+    for name in ("_small_dependencies", "_packed_dependencies"):
+        def watched(sessions, reach, salt, inner=getattr(D, name)):
+            seen.append(reach.count())
+            return inner(sessions, reach, salt)
+
+        monkeypatch.setattr(D, name, watched)
+    assert rows(D.session_dependencies(known, closure, packed_from=packed_from)) == [(1, 0, "n30")]
+    assert seen and set(seen) == {34 + 9}
+    monkeypatch.setattr(D, "FEW_NAMES", 3)
+    assert rows(D.session_dependencies(known, closure, packed_from=packed_from)) == [(1, 0, "n30")]
+    assert max(seen) == len(chain)
