@@ -7,7 +7,10 @@ gav on a cycle is its own dependency).  Set-based form:
     (c, s, gavs, g)  JOIN  (g -> targets)  ->  (c, s, targets that are in gavs)
 
 The join is keyed by gav, so a gav present in a large share of the sessions
-would be one hot partition: its rows are salted (``skew``).
+would be one hot partition: its rows are salted (``skew``).  The others meet the
+targets where these lie.  What travels with a gav are 16-bit hashes of its
+session's gavs, not their names; the targets that agree with one (others do by
+chance in 1 of 65,536 comparisons) are then looked up in the session itself.
 
 A session of more than ``PACKED_FROM`` gavs does not travel with each of its
 gavs.  Its gavs are numbered and the targets of a gav become bitmaps of 32,768
@@ -17,13 +20,14 @@ and each of its gavs looks up its own bit.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from depuse.functions.arrays import bit_is_set
 from depuse.operators.graph import materialise, materialise_counted, packed_reach, reachable, traversal_pairs, unpacked
+from depuse.operators.placed import staged
 from depuse.operators.sessions import session_gavs
-from depuse.operators.skew import hot_keys, salted_join
+from depuse.operators.skew import DEFAULT_MIN_SHARE, hot_keys, salted_join
 
 # Depth used when none is given (1: the whole closure), and the
 # instrumentation columns' values for set-based computation (nothing is timed
@@ -37,7 +41,11 @@ SESSION = ["clientId", "sessionId"]
 
 
 def session_dependencies(
-    sessions: DataFrame, reach: DataFrame, salt: bool = True, packed_from: int = PACKED_FROM
+    sessions: DataFrame,
+    reach: DataFrame,
+    salt: bool = True,
+    packed_from: int = PACKED_FROM,
+    present: DataFrame | None = None,
 ) -> DataFrame:
     """``clientId, sessionId, dependency`` (distinct) from sessions (with
     ``gavs``) and a reachability table ``src, dst`` or ``src, dsts``.
@@ -45,22 +53,52 @@ def session_dependencies(
     Targets travel as arrays of at most about ``TARGETS_PER_ROW`` per row; of
     pairs, only targets that occur in some session are kept.  Whether a target is in the
     session is decided in the stage that joins, so only hits are shuffled.
-    What a session of n gavs ships is at most ``packed_from`` x n names; larger
-    ones go by bitmaps (``_packed_dependencies``).
+    What a session of n gavs ships is n names and at most ``packed_from`` x n
+    hashes; larger ones go by bitmaps (``_packed_dependencies``).  ``present`` is
+    ``present_gavs`` of the sessions, if the caller has it.
     """
-    reach = _from_present(sessions, reach)
+    present = present_gavs(sessions) if present is None else present
+    reach = _from_present(present, reach)
+    hot = _hot_gavs(present) if salt else None
     large = sessions.filter(F.size("gavs") > packed_from)
     if large.isEmpty():
-        return _small_dependencies(sessions, reach, salt)
-    small = _small_dependencies(sessions.filter(F.size("gavs") <= packed_from), reach, salt)
-    return small.unionByName(_packed_dependencies(large, reach, salt))
+        return _small_dependencies(sessions, reach, hot)
+    small = _small_dependencies(sessions.filter(F.size("gavs") <= packed_from), reach, hot)
+    return small.unionByName(_packed_dependencies(large, reach, hot))
+
 
+def present_gavs(sessions: DataFrame) -> DataFrame:
+    """``src, _n``: every gav of the sessions and how often it occurs."""
+    return staged(sessions.select(F.explode("gavs").alias("src")).groupBy("src").agg(F.count(F.lit(1)).alias("_n")))
 
-def _from_present(sessions: DataFrame, reach: DataFrame) -> DataFrame:
+
+def _from_present(present: DataFrame, reach: DataFrame) -> DataFrame:
     """Reachability from the sessions' gavs, if these are few: it is filtered
     where it is read, so that the rest of a whole closure is not shuffled."""
-    present, names = materialise_counted(sessions.select(F.explode("gavs").alias("src")).distinct())
-    return reach.join(F.broadcast(present), "src", "left_semi") if names <= FEW_NAMES else reach
+    few = present.count() <= FEW_NAMES
+    return reach.join(F.broadcast(present.select("src")), "src", "left_semi") if few else reach
+
+
+def _hot_gavs(present: DataFrame) -> DataFrame | None:
+    """Gavs with more than ``DEFAULT_MIN_SHARE`` of all (``skew.hot_keys``); None
+    if there is none."""
+    total = present.agg(F.sum("_n")).collect()[0][0] or 0
+    often = present.filter(F.col("src").isNotNull() & (F.col("_n") > F.lit(total * DEFAULT_MIN_SHARE)))
+    hot, names = materialise_counted(often.select("src"))
+    return hot if names else None
+
+
+def _looked_up(starts: DataFrame, targets: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """``starts`` joined with ``targets`` on ``src``: hot ones salted, the others
+    in the buckets of ``targets``, if it lies in some."""
+    if hot is None:
+        return starts.join(targets, "src")
+    known = F.broadcast(hot)
+    usual = starts.join(known, "src", "left_anti").join(targets, "src")
+    common = salted_join(
+        starts.join(known, "src", "left_semi"), targets.join(known, "src", "left_semi"), ["src"], hot=hot, hot_bounded=True
+    )
+    return usual.unionByName(common)
 
 
 def _met(starts: DataFrame, targets: DataFrame, salt: bool) -> DataFrame:
@@ -69,7 +107,7 @@ def _met(starts: DataFrame, targets: DataFrame, salt: bool) -> DataFrame:
     return salted_join(starts, targets, ["src"], hot=hot_keys(starts.select("src"), ["src"]), hot_bounded=True)
 
 
-def _small_dependencies(sessions: DataFrame, reach: DataFrame, salt: bool) -> DataFrame:
+def _small_dependencies(sessions: DataFrame, reach: DataFrame, hot: DataFrame | None) -> DataFrame:
     if "dsts" in reach.columns:
         targets = _target_rows(reach)
     else:
@@ -81,10 +119,20 @@ def _small_dependencies(sessions: DataFrame, reach: DataFrame, salt: bool) -> Da
             .groupBy("src", F.pmod(F.xxhash64("dst"), F.col("_rows")).alias("_part"))
             .agg(F.collect_set("dst").alias("_targets")).drop("_part")
         )
-    starts = sessions.select(*SESSION, "gavs", F.explode("gavs").alias("src"))
-    met = _met(starts, targets, salt)
-    hits = met.select(*SESSION, F.explode(F.array_intersect("_targets", "gavs")).alias("dependency"))
-    return hits.distinct()
+    targets = targets.withColumn("_codes", F.transform("_targets", _code))
+    starts = sessions.select(*SESSION, F.transform("gavs", _code).alias("_gavs"), F.explode("gavs").alias("src"))
+    met = _looked_up(starts, targets, hot).filter(F.coalesce(F.arrays_overlap("_codes", "_gavs"), F.lit(False)))
+    alike = met.select(*SESSION, F.explode(F.filter("_targets", lambda t: F.array_contains("_gavs", _code(t)))).alias("_found"))
+    alike = alike.groupBy(*SESSION).agg(F.collect_set("_found").alias("_found"))
+    alike = staged(alike).withColumnsRenamed({"clientId": "_client", "sessionId": "_session"})
+    same = F.col("clientId").eqNullSafe(F.col("_client")) & F.col("sessionId").eqNullSafe(F.col("_session"))
+    hits = sessions.select(*SESSION, "gavs").join(alike, same)
+    return hits.select(*SESSION, F.explode(F.array_intersect("_found", "gavs")).alias("dependency")).distinct()
+
+
+def _code(gav: Column) -> Column:
+    """16 bits of a gav's hash."""
+    return F.shiftright(F.hash(gav), 16).cast("smallint")
 
 
 def _target_rows(reach: DataFrame) -> DataFrame:
@@ -94,17 +142,19 @@ def _target_rows(reach: DataFrame) -> DataFrame:
     return cut.select("src", F.slice("dsts", F.col("_at"), F.lit(TARGETS_PER_ROW)).alias("_targets"))
 
 
-def _packed_dependencies(sessions: DataFrame, reach: DataFrame, salt: bool) -> DataFrame:
+def _packed_dependencies(sessions: DataFrame, reach: DataFrame, hot: DataFrame | None) -> DataFrame:
     """The same by bitmaps: rows shuffled are linear in the sessions' gavs."""
     long = session_gavs(sessions).distinct()
     numbers = materialise(long.select("gav").distinct().withColumn("_n", F.monotonically_increasing_id()))
     block, bit = F.bitmap_bucket_number("_n").alias("_block"), F.bitmap_bit_position("_n").alias("_bit")
-    members = salted_join(long, numbers, ["gav"]) if salt else long.join(numbers, "gav")
+    members = long.join(numbers, "gav")
+    if hot is not None:
+        members = salted_join(long, numbers, ["gav"], hot=hot.withColumnRenamed("src", "gav"), hot_bounded=True)
     members = materialise(members.select(*SESSION, "gav", block, bit))
     useful = unpacked(reach).join(numbers.select(F.col("gav").alias("src")), "src", "left_semi")
     useful = useful.join(numbers.withColumnRenamed("gav", "dst"), "dst")
     targets = useful.groupBy("src", block).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_n")).alias("_bits"))
-    met = _met(members.select(*SESSION, F.col("gav").alias("src")), targets, salt)
+    met = _looked_up(members.select(*SESSION, F.col("gav").alias("src")), targets, hot)
     reached = met.groupBy(*SESSION, "_block").agg(F.bitmap_or_agg("_bits").alias("_bits"))
     hits = members.join(reached, [*SESSION, "_block"]).filter(bit_is_set(F.col("_bits"), F.col("_bit")))
     return hits.select(*SESSION, F.col("gav").alias("dependency"))
@@ -196,7 +246,7 @@ def compute_dependencies(
 
     Traversal starts only from gavs that occur in the given sessions.  The
     sessions are read by several branches (seeds, targets, hot keys, the join,
-    the result); ``materialise_input`` checkpoints them first so an expensive
+    the result); ``materialise_input`` writes them first so an expensive
     upstream plan runs once.  Pass False when ``sessions`` is a plain table
     scan.  ``salt`` spreads gavs of very many sessions, ``salt_graph`` nodes
     that very many others reach.
@@ -204,7 +254,7 @@ def compute_dependencies(
     if edges is None and not (depth == 1 and closure is not None):
         raise ValueError("edges are required unless depth == 1 and a closure is given")
     if materialise_input:
-        sessions = materialise(sessions)
-    seeds = session_gavs(sessions).select(F.col("gav").alias("id")).distinct()
-    reach = reach_for_depth(edges, depth, seeds=seeds, closure=closure, salt=salt_graph)
-    return enhance_sessions(sessions, session_dependencies(sessions, reach, salt=salt))
+        sessions = staged(sessions)
+    present = present_gavs(sessions)
+    reach = reach_for_depth(edges, depth, seeds=present.select(F.col("src").alias("id")), closure=closure, salt=salt_graph)
+    return enhance_sessions(sessions, staged(session_dependencies(sessions, reach, salt=salt, present=present)))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from depuse.functions.sentinels import is_sentinel_only, strip_sentinels
-from depuse.operators.placed import LEVEL, SMALL_ROWS, PlacedTable
+from depuse.operators.placed import LEVEL, SMALL_ROWS, PlacedTable, staged
 from depuse.operators.skew import hot_keys, salted_join
 from depuse.session import ensure_checkpoint_dir
 from depuse.sources.text import DIRECT_EDGE_TYPE, EDGE_HEADER, GRAPH_DELIMITER, NODE_HEADER, TRANSITIVE_EDGE_TYPE
@@ -34,6 +34,7 @@ SEED_SHARE = 0.1
 LAYERED_FROM = 10_000
 MOST_LAYERS = 32
 HEAVY = 100_000
+SEPARATOR = "\x01"  # of names in a text
 
 # Node label of the graph files, edges in one of them at most.
 NODE_LABEL = "GAV"
@@ -255,7 +256,7 @@ def _doubled(graph: DataFrame, max_depth: int | None = None, salt: bool = False)
 def transitive_closure(edges: DataFrame, salt: bool = False, packed: bool = False) -> DataFrame:
     """Exact closure ``src, dst`` of the edges (all sources); ``packed`` leaves
     it as ``packed_reach`` has it."""
-    reach = packed_reach(edges, salt=salt)
+    reach = packed_reach(edges, salt=salt, in_place=packed)
     return reach if packed else unpacked(reach)
 
 
@@ -264,7 +265,9 @@ def unpacked(reach: DataFrame) -> DataFrame:
     return reach.select("src", F.explode("dsts").alias("dst")) if "dsts" in reach.columns else reach.select("src", "dst")
 
 
-def packed_reach(edges: DataFrame, seeds: DataFrame | None = None, salt: bool = False) -> DataFrame:
+def packed_reach(
+    edges: DataFrame, seeds: DataFrame | None = None, salt: bool = False, in_place: bool = True
+) -> DataFrame:
     """Unbounded reach without hop counts: ``src, dsts ARRAY<STRING>`` (every
     target of ``src`` in one of its rows), or ``src, dst`` as ``reachable`` has it
     where the graph is small, the seeds are few, or there is a cycle or a very
@@ -273,12 +276,14 @@ def packed_reach(edges: DataFrame, seeds: DataFrame | None = None, salt: bool =
     Without cycles a node reaches its heads and what these reach, so nodes are
     taken by the length of their longest path, each once, when all its heads are
     done.  A node's targets travel as arrays, one row an edge, not a row a pair.
+    ``in_place`` leaves the arrays in their buckets of ``src``, so that a join on
+    ``src`` does not shuffle them; the session's catalog keeps their entry.
     """
     graph, rows = materialise_counted(edges.select("src", "dst").dropna().distinct())
     if rows < LAYERED_FROM:
         return reachable(graph, seeds=seeds, salt=salt).select("src", "dst")
     if seeds is not None:
-        seeds = materialise(seeds.select("id").distinct())
+        seeds = staged(seeds.select("id").distinct())
         nodes = graph.select(F.col("src").alias("id")).unionByName(graph.select(F.col("dst").alias("id"))).distinct()
         starts = F.count(F.col("_seed"))
         counts = nodes.join(seeds.withColumn("_seed", F.lit(1)), "id", "left").agg(F.count(F.lit(1)).alias("n"), starts.alias("s")).collect()[0]
@@ -287,7 +292,7 @@ def packed_reach(edges: DataFrame, seeds: DataFrame | None = None, salt: bool =
     layers = _layers(graph, rows)
     if layers is None:
         return reachable(graph, seeds=seeds, salt=salt).select("src", "dst")
-    reach = _by_layers(graph, *layers)
+    reach = _by_layers(graph, *layers, in_place)
     return reach if seeds is None else reach.join(seeds.withColumnRenamed("id", "src"), "src", "left_semi")
 
 
@@ -324,7 +329,7 @@ def _layers(graph: DataFrame, rows: int) -> tuple[DataFrame, int] | None:
     return materialise(_union_all(closed).coalesce(edges.buckets)) if closed else none, len(closed)
 
 
-def _by_layers(graph: DataFrame, layer_of: DataFrame, layers: int) -> DataFrame:
+def _by_layers(graph: DataFrame, layer_of: DataFrame, layers: int, in_place: bool) -> DataFrame:
     """``src, dsts`` of an acyclic graph, layer by layer.  The rows done lie in
     buckets of ``src`` and are looked up in place; what is shuffled is one array
     an edge.  Sources that many arrays meet go by ``_merged_heavy``."""
@@ -335,6 +340,7 @@ def _by_layers(graph: DataFrame, layer_of: DataFrame, layers: int) -> DataFrame:
     placed = spark.read.schema(schema).parquet(path)
     hot, hots = materialise_counted(hot_keys(graph, ["dst"]))
     most = graph.groupBy("src").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).collect()[0][0] or 0
+    as_text = graph.filter(F.col("dst").contains(SEPARATOR)).isEmpty()
     done, longest = PlacedTable(spark, ["src"], small=SMALL_ROWS // 20), 0
     for layer in range(1, layers + 1):
         step = placed.filter(F.col("layer") == layer).select("src", "dst")
@@ -348,23 +354,29 @@ def _by_layers(graph: DataFrame, layer_of: DataFrame, layers: int) -> DataFrame:
                 common = salted_join(step.join(F.broadcast(hot), "dst", "left_semi"), known.join(F.broadcast(hot), "dst", "left_semi"), ["dst"])
                 parts = parts.unionByName(common.select("src", "dsts"))
             parts = parts.unionByName(known.join(usual.hint("shuffle_hash"), "dst").select("src", "dsts"))
-        merged = _merged(parts) if most * (longest + 1) <= HEAVY else _merged_heavy(materialise(parts))
+        merged = _merged(parts, as_text) if most * (longest + 1) <= HEAVY else _merged_heavy(materialise(parts), as_text)
         _, size = done.append(merged, F.max(F.size("dsts")))
         longest = max(longest, size or 0) if most * (longest + 1) <= HEAVY else HEAVY
-    return done.close() if layers else graph.select("src", F.array("dst").alias("dsts"))
+    if not layers:
+        return graph.select("src", F.array("dst").alias("dsts"))
+    return done.all() if in_place else done.close()
 
 
-def _merged(parts: DataFrame) -> DataFrame:
-    """``src, dsts``: arrays of a source united in one row."""
-    return parts.groupBy("src").agg(F.array_distinct(F.flatten(F.collect_list("dsts"))).alias("dsts"))
+def _merged(parts: DataFrame, as_text: bool) -> DataFrame:
+    """``src, dsts``: arrays of a source united in one row.  They travel ``as_text``,
+    which takes half the bytes, unless a name contains ``SEPARATOR``."""
+    if not as_text:
+        return parts.groupBy("src").agg(F.array_distinct(F.flatten(F.collect_list("dsts"))).alias("dsts"))
+    texts = parts.select("src", F.array_join("dsts", SEPARATOR).alias("dsts")).groupBy("src").agg(F.collect_list("dsts").alias("dsts"))
+    return texts.select("src", F.array_distinct(F.split(F.array_join("dsts", SEPARATOR), SEPARATOR)).alias("dsts"))
 
 
-def _merged_heavy(parts: DataFrame) -> DataFrame:
+def _merged_heavy(parts: DataFrame, as_text: bool) -> DataFrame:
     """``_merged``, but a source whose arrays hold more than ``HEAVY`` names is
     united name by name, into rows of about ``HEAVY / 10``."""
     sizes = parts.groupBy("src").agg(F.sum(F.size("dsts")).alias("_n")).filter(F.col("_n") > HEAVY)
     sizes = materialise(sizes)
-    usual = _merged(parts.join(sizes, "src", "left_anti"))
+    usual = _merged(parts.join(sizes, "src", "left_anti"), as_text)
     names = parts.join(sizes.select("src"), "src", "left_semi").select("src", F.explode("dsts").alias("dst")).distinct()
     piece = F.pmod(F.xxhash64("dst"), F.ceil(F.col("_n") * 10 / F.lit(HEAVY)))
     heavy = names.join(sizes, "src").groupBy("src", piece.alias("_piece")).agg(F.collect_list("dst").alias("dsts"))

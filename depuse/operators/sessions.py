@@ -21,6 +21,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from depuse.operators.placed import PlacedTable
+
 
 def idle_bucket(ts: Column, max_idle_ms: int) -> Column:
     """Index of the ``max_idle_ms + 1`` wide time bucket holding ``ts``."""
@@ -64,18 +66,25 @@ def create_sessions(gav_logs: DataFrame, max_idle_ms: int, materialise_rollup: b
     gavs ARRAY<STRING>`` (gavs is a sorted set).
 
     Reads ``clientId, timestamp, gav`` of the gav logs.  The per-bucket
-    rollup feeds both the session-id window and the final aggregation; it is
-    checkpointed (``materialise_rollup``) so the logs are scanned once.
+    rollup feeds both the session-id window and the final rows; it is written
+    once, to buckets of (client, bucket) (``materialise_rollup``), so the logs are
+    scanned once and the gavs stay in place when the session ids come to them.
+    A session of one bucket is that bucket's row; only those of several buckets
+    are aggregated.
     """
     rollup = _bucket_rollup(gav_logs, max_idle_ms)
     if materialise_rollup:
-        from depuse.operators.graph import materialise
-
-        rollup = materialise(rollup)
+        table = PlacedTable(rollup.sparkSession, ["clientId", "bucket"], small=0)
+        table.append(rollup)
+        rollup = table.all()
     ids = bucket_sessions(rollup.select("clientId", "bucket", "startTime", "endTime"), max_idle_ms)
-    tagged = rollup.join(ids.select("clientId", "bucket", "sessionId"), ["clientId", "bucket"])
-    return (
-        tagged.select("clientId", "sessionId", "startTime", "endTime", F.explode("gavs").alias("gav"))
+    by_client = Window.partitionBy("clientId").orderBy("bucket")
+    near = [F.coalesce(at("sessionId").over(by_client) != F.col("sessionId"), F.lit(True)) for at in (F.lag, F.lead)]
+    ids = ids.select("clientId", "bucket", "sessionId", (near[0] & near[1]).alias("_alone"))
+    alone = rollup.join(ids.filter("_alone").drop("_alone"), ["clientId", "bucket"]).filter(F.size("gavs") > 0)
+    parts = rollup.join(ids.filter("NOT _alone").drop("_alone"), ["clientId", "bucket"])
+    merged = (
+        parts.select("clientId", "sessionId", "startTime", "endTime", F.explode("gavs").alias("gav"))
         .groupBy("clientId", "sessionId")
         .agg(
             F.min("startTime").alias("startTime"),
@@ -83,6 +92,7 @@ def create_sessions(gav_logs: DataFrame, max_idle_ms: int, materialise_rollup: b
             F.array_sort(F.collect_set("gav")).alias("gavs"),
         )
     )
+    return alone.select("clientId", "sessionId", "startTime", "endTime", F.array_sort("gavs").alias("gavs")).unionByName(merged)
 
 
 def flag_sessions(

@@ -22,18 +22,33 @@ from depuse.operators.topn import free_name
 DEFAULT_MIN_SHARE = 0.01
 DEFAULT_SALTS = 32
 BROADCAST_KEYS = 1000
+GROUP_SHIFT = 48  # leaves 65,536 hash groups, never null
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], min_share: float = DEFAULT_MIN_SHARE) -> DataFrame:
+def hot_keys(df: DataFrame, keys: Sequence[str], min_share: float = DEFAULT_MIN_SHARE, coarse: bool = False) -> DataFrame:
     """Keys with more than ``min_share`` of the rows (at most ``1/min_share``).
 
     Lazy: the threshold is a scalar subquery over the same counts, so nothing
-    runs until the join that uses it does.
+    runs until the join that uses it does.  Null keys, which no join matches, are
+    left out, as the join's own plan does: what lies below is then shuffled once.
+    ``coarse`` counts 65,536 hash groups of the keys first and then only
+    the keys of groups that have so many rows: mostly none, so that no key is
+    shuffled, but ``df`` is read once more where there are some.
     """
     if not 0 < min_share <= 1:
         raise ValueError("min_share must be in (0, 1]")
+    for key in keys:
+        df = df.filter(F.col(key).isNotNull())
+    if coarse:
+        group = free_name(df.columns, "_group")
+        df = df.select(*keys, F.shiftright(F.xxhash64(*keys), GROUP_SHIFT).alias(group))
+        sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+        total = sizes.select((F.sum("_n") * F.lit(min_share)).alias("_t")).scalar()
+        large = sizes.filter(F.col("_n") > total).select(group)
+        df = df.join(F.broadcast(large) if min_share * BROADCAST_KEYS >= 1 else large, group, "left_semi")
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.select((F.sum("_n") * F.lit(min_share)).alias("_t")).scalar()
+    if not coarse:
+        total = counts.select((F.sum("_n") * F.lit(min_share)).alias("_t")).scalar()
     return counts.filter(F.col("_n") > total).select(*keys)
 
 

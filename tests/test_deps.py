@@ -167,3 +167,25 @@ def test_targets_of_absent_sources_are_not_met(spark, monkeypatch, packed_from):
     monkeypatch.setattr(D, "FEW_NAMES", 3)
     assert rows(D.session_dependencies(known, closure, packed_from=packed_from)) == [(1, 0, "n30")]
     assert max(seen) == len(chain)
+
+
+def test_hashes_that_agree_by_chance_make_no_dependency(spark, monkeypatch):
+    """Every gav has the same hash; names decide."""
+    monkeypatch.setattr(D, "_code", lambda gav: F.lit(7).cast("smallint"))
+    draw = random.Random(9)
+    reach = sorted({(f"v{draw.randrange(16)}", f"v{draw.randrange(16)}") for _ in range(60)})
+    sessions = _random_sessions(10) + [(None, 3, ["v1", "v2", "v5", "v7"]), (9, 1, ["v1", None, "v2"])]
+    want = {(c, s, b) for c, s, g in sessions for a, b in reach if a in g and b in g}
+    frame, pairs = spark.createDataFrame(sessions, SHORT), spark.createDataFrame(reach, "src string, dst string")
+    for salt in (True, False):
+        got = rows(D.session_dependencies(frame, pairs, salt))
+        assert len(got) == len(want) and set(got) == want
+
+
+def test_gavs_of_the_sessions_are_counted_once(spark, monkeypatch):
+    """Seeds, few names and hot gavs come from one table."""
+    made, inner = [], D.present_gavs
+    monkeypatch.setattr(D, "present_gavs", lambda sessions: made.append(1) or inner(sessions))
+    edges = spark.createDataFrame([("a", "b"), ("b", "c")], "src string, dst string")
+    got = D.compute_dependencies(sessions(spark, [["a", "c"], ["c"], []]), edges)
+    assert {r["sessionId"]: r["dependencies"] for r in got.collect()} == {0: ["c"], 1: [], 2: []} and made == [1]

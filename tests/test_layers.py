@@ -105,3 +105,54 @@ def test_cycles_and_very_long_paths_have_no_layers(spark, monkeypatch):
     assert layers([("a", "a")]) is None and layers([("a", "b"), ("b", "c"), ("c", "b"), ("c", "d")]) is None
     path = [(f"v{k:02}", f"v{k + 1:02}") for k in range(G.MOST_LAYERS + 1)]
     assert layers(path) is None and layers(path[1:])[1] == G.MOST_LAYERS
+
+
+def test_names_that_hold_the_separator(spark):
+    known = [(f"{a}\x01x", f"{b}\x01x") for a, b in acyclic(5)] + [("a", "b"), ("b", "c\x01"), ("c\x01", "v00\x01x")]
+    known = [(b, a) if a > b else (a, b) for a, b in known]
+    edges = spark.createDataFrame(known, "src string, dst string")
+    assert rows(G.transitive_closure(edges)) == closed(known)
+
+
+def test_packed_reach_is_met_in_its_buckets(spark, monkeypatch):
+    """No join on ``src`` shuffles the arrays, neither with the seeds nor with
+    the sessions, whose names do not travel."""
+    monkeypatch.setattr(placed, "SMALL_ROWS", 5)
+    monkeypatch.setattr(G, "SMALL_ROWS", 100)
+    monkeypatch.setattr(D, "FEW_NAMES", 0)
+    plans = []
+
+    def watched(frame, inner=placed.staged):
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return inner(frame)
+
+    monkeypatch.setattr(D, "staged", watched)
+    known = [(f"v{k:02}", f"w{k % 5}") for k in range(20)] + [(f"w{k}", f"x{k % 2}") for k in range(5)]
+    gavs = [["v00", "v03", "w0", "x0"], ["v01", "x1"], ["v04", "x1", "w3"], ["v03"]]
+    sessions = spark.createDataFrame([(1, k, 0, 0, g) for k, g in enumerate(gavs)], "clientId int, sessionId long, startTime long, endTime long, gavs array<string>")
+    edges = spark.createDataFrame(known, "src string, dst string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = D.compute_dependencies(sessions, edges, salt=False)
+        assert sorted((r.sessionId, d) for r in got.collect() for d in r.dependencies) == sorted(
+            {(k, b) for k, g in enumerate(gavs) for a, b in closed(known) if a in g and b in g}
+        )
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    (met,) = [p for p in plans if "arrays_overlap" in p]
+    dealt = [line for line in met.splitlines() if "Exchange hashpartitioning(src" in line]
+    assert "Bucketed: true" in met and all("dsts" not in below for below in _below(met, dealt))
+    assert dealt
+
+
+def _below(plan, lines):
+    """The part of a plan under each of its lines."""
+    every = plan.splitlines()
+    for line in lines:
+        at, depth = every.index(line), line.index("Exchange")
+        part = []
+        for under in every[at + 1:]:
+            if len(under) - len(under.lstrip(" :+-*()0123456789")) <= depth:
+                break
+            part.append(under)
+        yield "\n".join(part)

@@ -30,3 +30,13 @@ def test_salted_resolution_matches(spark):
     logs, recs = driver.repository_logs(spark, SF), driver.dependency_records(spark, SF)
     cols = ("clientId", "timestamp", "agent", "gav")
     assert rows(resolve_gavs(logs, recs, salt=True), *cols) == rows(resolve_gavs(logs, recs), *cols)
+
+
+def test_hash_groups_find_the_same_hot_keys(spark):
+    data = [("hot", 1)] * 50 + [("warm", 2)] * 30 + [(f"k{i}", i) for i in range(100)] + [(None, 0)] * 200
+    df = spark.createDataFrame(data, "k string, v int")
+    for share in (0.01, 0.1, 0.2, 0.5):
+        plain = rows(hot_keys(df, ["k"], share))
+        assert rows(hot_keys(df, ["k"], share, coarse=True)) == plain and (None,) not in plain
+    assert rows(hot_keys(df, ["k"], 0.2)) == [("hot",)]
+    assert rows(hot_keys(df, ["k", "v"], 0.1, coarse=True)) == [("hot", 1), ("warm", 2)]
